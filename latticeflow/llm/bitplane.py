@@ -29,12 +29,12 @@ from .common import documents, fresh_path, width
 MAGIC = b"LFPLANE1"
 BLOCK = 1 << 16
 FILE_IDS = 1 << 20
-TABLE_WORDS = 400_000
+TABLE_WORDS = 600_000
 END_ID = 1
-SAFE = re.compile("[!-~À-ÖØ-öø-įı-ňŊ-ž]+")
-# The pre-token pattern of the word vocabulary, for lower-cased words of SAFE letters.
+# Characters on which lowering, composing and splitting are known to agree with the library's.
+UNUSUAL = re.compile("[^\\n\x20-\x7eÀ-ÖØ-öø-įı-ňŊ-ž]")
+# The pre-token pattern of the word vocabulary, for lower-cased words of those characters.
 PRETOKEN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ž]+|[0-9]|[^a-zß-öø-ž0-9\\s]+")
-BLANKS = re.compile("[ \\n\\t\\r]+")
 
 
 def pack_block(ids: np.ndarray, planes: str = "byte", level: int = 1) -> list[bytes]:
@@ -92,11 +92,26 @@ def read_ids(content: bytes, start: int = 0, stop: int | None = None) -> np.ndar
     return np.concatenate(out) if out else np.zeros(0, dtype="<u4")
 
 
+class Grown:
+    """A numpy array that grows at its end."""
+
+    def __init__(self, dtype):
+        self.data, self.used = np.zeros(1 << 16, dtype=dtype), 0
+
+    def extend(self, values: list) -> None:
+        to = self.used + len(values)
+        if to > len(self.data):
+            self.data = np.concatenate([self.data, np.zeros(max(len(self.data), len(values)), dtype=self.data.dtype)])
+        self.data[self.used : to] = values
+        self.used = to
+
+
 class WordEncoder:
     """The tokenizers library's ids word by word: white space always parts this vocabulary's pre-tokens.
 
-    Words of SAFE characters are split by the vocabulary's own pattern and each distinct pre-token goes
-    through the library's model once; any other word goes through the whole library once.
+    Texts of plain characters are lowered and split by the vocabulary's own pattern, and each distinct
+    pre-token goes through the library's model once; words of any other text go through the whole
+    library, each distinct one once.
     """
 
     def __init__(self, path: str):
@@ -111,55 +126,61 @@ class WordEncoder:
 
     def reset(self) -> None:
         self.words: dict[str, int] = {}
-        self.tokens: dict[str, list[int]] = {}
-        self.pool, self.used = np.zeros(1 << 16, dtype=np.uint32), 0
-        self.starts: list[int] = []
-        self.sizes: list[int] = []
-
-    def ids_of(self, word: str) -> list[int]:
-        if "<|" in word or not SAFE.fullmatch(word):
-            return self.tokenizer.encode(word, add_special_tokens=False).ids
+        self.odd: dict[str, int] = {}
+        self.tokens: dict[str, tuple[int, ...]] = {}
+        self.pool, self.ends = Grown(np.uint32), Grown(np.int64)
+        self.count = 0
+
+    def plain_ids(self, word: str) -> list[int]:
         out: list[int] = []
-        for token in PRETOKEN.findall(word.lower()):
+        for token in (word,) if word.isalpha() else PRETOKEN.findall(word):
             ids = self.tokens.get(token)
             if ids is None:
                 spelled = token if token.isascii() else "".join([self.mapped[b] for b in token.encode()])
-                ids = self.tokens[token] = [t.id for t in self.model.tokenize(spelled)]
+                ids = self.tokens[token] = tuple([t.id for t in self.model.tokenize(spelled)])  # tuples of numbers leave the collector's lists
             out += ids
         return out
 
-    def add(self, word: str) -> int:
-        ids = self.ids_of(word)
-        if self.used + len(ids) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(ids)), dtype=np.uint32)])
-        self.pool[self.used : self.used + len(ids)] = ids
-        self.starts.append(self.used)
-        self.sizes.append(len(ids))
-        self.used += len(ids)
-        self.words[word] = n = len(self.words)
-        return n
+    def slots(self, text: str, fresh: list, ends: list) -> list[int]:
+        """The numbers of the text's words; ids of new ones are appended to fresh, their ends to ends."""
+        plain = not UNUSUAL.search(text) and "<|" not in text
+        table = self.words if plain else self.odd
+        words = (text.lower() if plain else text).replace("\n", " ").split(" ")
+        found = list(map(table.get, words))
+        missing = found.count(None)
+        at = -1
+        for _ in range(missing):
+            at = found.index(None, at + 1)
+            w = words[at]
+            n = table.get(w)
+            if n is None:
+                fresh += self.plain_ids(w) if plain else self.tokenizer.encode(w, add_special_tokens=False).ids
+                ends.append(self.pool.used + len(fresh))
+                n = table[w] = self.count
+                self.count += 1
+            found[at] = n
+        return found
 
     def encode(self, texts: list[str], end_id: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, end id after each if given; number of ids of each)."""
-        if len(self.words) > TABLE_WORDS:
+        if self.count > TABLE_WORDS:
             self.reset()
-        get, slots, counts = self.words.get, [], []
+        slots, counts, fresh, ends = [], [], [], []
         for text in texts:
-            words = BLANKS.split(text)
-            found = [get(w) for w in words]
-            if None in found:
-                found = [self.words[w] if w in self.words else self.add(w) for w in words]
+            found = self.slots(text, fresh, ends)
             slots += found
             counts.append(len(found))
         if not counts:
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        self.pool.extend(fresh)
+        self.ends.extend(ends)
         slot = np.array(slots, dtype=np.int64)
-        size = np.array(self.sizes, dtype=np.int64)[slot]
-        start = np.array(self.starts, dtype=np.int64)[slot]
-        ends = np.cumsum(size)
-        ids = self.pool[np.repeat(start - (ends - size), size) + np.arange(int(ends[-1]), dtype=np.int64)]
+        stop = self.ends.data[slot]
+        size = stop - np.where(slot > 0, self.ends.data[slot - 1], 0)
+        done = np.cumsum(size)
+        ids = self.pool.data[np.repeat(stop - done, size) + np.arange(int(done[-1]), dtype=np.int64)]
         last = np.cumsum(counts)
-        done = np.concatenate([[0], ends])[np.concatenate([[0], last])]
+        done = np.concatenate([[0], done])[np.concatenate([[0], last])]
         lengths = np.diff(done)
         if end_id is not None:
             ids, lengths = np.insert(ids, done[1:], end_id), lengths + 1
