@@ -10,9 +10,11 @@ these are dealt over g = (k - 1) / 2 groups by hash, so two of them fall in one
 within a group need to be indexed.  g is a power of two that grows with n and at most doubles between
 sets that can link (k allows for the larger), so the pairs of a set stay in proportion to n.
 
-Equal sets are one class from the start.  Classes in one posting list are first linked to the list's
-head only; complete pairs are then made for those lists alone whose members still differ in component.
-Every pair is verified on the whole sets.
+Equal sets are one class from the start.  Classes in one posting list are first compared with the list's
+head only.  What was compared with one head, or with heads that link, is a cluster: all its pairs are
+compared in blocks, as products of 0-1 matrices, unless it is one component already.  Complete pairs of
+classes are made for those lists alone whose members still differ in component and in cluster.  Every
+comparison is on the whole sets.
 """
 
 from __future__ import annotations
@@ -26,14 +28,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import RID, documents, materialise
-from .components import connected_components
+from .components import connected_components, forest
 
 WORDS = 3
 PER_CENT = 90
-FREQUENT_IN_TASK = 8
+FREQUENT_IN_TASK = 3
+FREQUENT = 24
 FREQUENT_MOST = 1 << 17
 COUNT_EVERY = 2_000_000
 WORDS_HELD = 400_000
+BROADCAST_KEYS = 1 << 20
+BLOCK_SETS, BLOCK_SHINGLES, COLUMNS = 512, 1 << 20, 8192
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 S31, S27 = np.uint64(31), np.uint64(27)
 
@@ -77,32 +82,46 @@ def groups_of(n: int, per_cent: int) -> int:
     return 1 << max(0, (-(-spare // 16) - 1).bit_length()) if spare > 16 else 1
 
 
-def keys_of(s: np.ndarray, frequent: np.ndarray, per_cent: int) -> np.ndarray:
-    """What a set is indexed under; sets too small to link with any other but an equal one have none."""
+def keys_of(s: np.ndarray, frequent: np.ndarray, per_cent: int) -> tuple[np.ndarray, np.ndarray, int, int, int]:
+    """(keys, place of each in the set's order, how many are single shingles, frequent ones in the prefix, k).
+
+    A key of two shingles has the place of the later one.  Sets too small to link with any other but an
+    equal one have no keys.
+    """
     n = len(s)
+    none = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int32), 0, 0, 0
     if n * 100 < per_cent * (n + 1):  # not even one shingle may differ
-        return np.zeros(0, dtype=np.uint64)
+        return none
     g = groups_of(n, per_cent)
-    size = min(n, n - -(-per_cent * n // 100) + 2 * g + 1)
-    common = np.isin(s, frequent, assume_unique=True)
-    rare, often = s[~common], s[common]
+    k = 2 * g + 1
+    size = min(n, n - -(-per_cent * n // 100) + k)
+    if len(frequent):
+        common = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s
+        rare, often = s[~common], s[common]
+    else:
+        rare, often = s, s[:0]
     rare = rare[:size]
     often = often[: size - len(rare)]
+    single = np.arange(len(rare), dtype=np.int32)
     if len(often) < 2:
-        return rare
-    order = np.argsort((mix(often) & np.uint64(g - 1)).astype(np.int64), kind="stable")
-    often, part = often[order], (mix(often) & np.uint64(g - 1))[order]
-    pairs, edges = [rare], np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]])
+        return rare, single, len(rare), len(often), k
+    part = (mix(often) & np.uint64(g - 1)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    keys, places = [rare], [single]
+    edges = np.concatenate([[0], np.flatnonzero(np.diff(part[order])) + 1, [len(part)]])
     for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
         if b - a > 1:
             i, j = np.triu_indices(b - a, 1)
-            pairs.append(mix(mix(often[a + i] * M1) + often[a + j]))
-    return np.concatenate(pairs)
+            i, j = order[a + i], order[a + j]
+            keys.append(mix(mix(often[i] * M1) + often[j]))
+            places.append((len(rare) + j).astype(np.int32))
+    return np.concatenate(keys), np.concatenate(places), len(rare), len(often), k
 
 
 def frequent_shingles(docs: DataFrame, words: int) -> np.ndarray:
-    """Shingles that some stretch of a task's documents holds FREQUENT_IN_TASK times, the commonest FREQUENT_MOST of them.
+    """The commonest FREQUENT_MOST of the shingles that stand in FREQUENT documents or more.
 
+    Counted over all documents, but a stretch of COUNT_EVERY shingles tells only of those that it holds FREQUENT_IN_TASK times.
     Only the order of the prefix depends on this, never a result; the bound makes it fit to broadcast.
     """
 
@@ -124,12 +143,12 @@ def frequent_shingles(docs: DataFrame, words: int) -> np.ndarray:
         if held:
             yield flush()
 
-    rows = docs.select("text").mapInPandas(run, "t bigint, c bigint").groupBy("t").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "t").limit(FREQUENT_MOST).select("t").collect()
+    rows = docs.select("text").mapInPandas(run, "t bigint, c bigint").groupBy("t").agg(F.sum("c").alias("c")).where(F.col("c") >= FREQUENT).orderBy(F.desc("c"), "t").limit(FREQUENT_MOST).select("t").collect()
     return np.sort(np.array([r[0] for r in rows], dtype=np.int64).view(np.uint64))
 
 
 def describe(docs: DataFrame, words: int, per_cent: int) -> DataFrame:
-    """rid, doc_id, n, set_key, keys of each document."""
+    """rid, doc_id, n, set_key, keys, places, singles, often, k of each document."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, words))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -138,63 +157,139 @@ def describe(docs: DataFrame, words: int, per_cent: int) -> DataFrame:
             for lo in range(0, len(pdf), 1000):
                 cut = pdf.iloc[lo : lo + 1000]
                 sets = [own.sets(t) for t in cut["text"]]
-                yield pd.DataFrame({RID: cut[RID], "doc_id": cut["doc_id"], "n": [len(s) for s in sets], "set_key": [set_key(s) for s in sets], "keys": [keys_of(s, frequent, per_cent).view(np.int64) for s in sets]})
+                keys = [keys_of(s, frequent, per_cent) for s in sets]
+                yield pd.DataFrame({RID: cut[RID], "doc_id": cut["doc_id"], "n": [len(s) for s in sets], "set_key": [set_key(s) for s in sets], "keys": [k[0].view(np.int64) for k in keys], "places": [k[1] for k in keys], "singles": [k[2] for k in keys], "often": [k[3] for k in keys], "k": [k[4] for k in keys]})
 
-    return docs.mapInPandas(run, f"{RID} bigint, doc_id {docs.schema['doc_id'].dataType.simpleString()}, n bigint, set_key binary, keys array<bigint>")
+    return docs.mapInPandas(run, f"{RID} bigint, doc_id {docs.schema['doc_id'].dataType.simpleString()}, n bigint, set_key binary, keys array<bigint>, places array<int>, singles int, often int, k int")
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """set_key, shingles of the documents whose rid is wanted."""
+    """v, shingles of the documents whose key is wanted; their keys are broadcast if they are few."""
+    wanted = wanted.distinct()
+    if wanted.count() <= BROADCAST_KEYS:
+        wanted = F.broadcast(wanted)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = Shingler(words)
         for pdf in batches:
             for lo in range(0, len(pdf), 1000):
-                sets = [own.sets(t) for t in pdf["text"].iloc[lo : lo + 1000]]
-                yield pd.DataFrame({"set_key": [set_key(s) for s in sets], "shingles": [s.view(np.int64) for s in sets]})
+                cut = pdf.iloc[lo : lo + 1000]
+                yield pd.DataFrame({"v": cut[RID], "shingles": [own.sets(t).view(np.int64) for t in cut["text"]]})
+
+    rows = docs.join(wanted.withColumnRenamed("v", RID), RID, "left_semi").select(RID, "text")
+    return rows.mapInPandas(run, "v bigint, shingles array<bigint>").dropDuplicates(["v"])
 
-    return docs.join(wanted, RID, "left_semi").select("text").mapInPandas(run, "set_key binary, shingles array<bigint>")
+
+def sets_of(docs: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
+    return materialise(whole_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("v")), words), "sets")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
-    """The pairs (a, b) whose sets link."""
-    left = sets.select(F.col("set_key").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("set_key").alias("b"), F.col("shingles").alias("sb"))
+    """The pairs (a, b) whose whole sets link."""
+    left = sets.select(F.col("v").alias("a"), F.col("shingles").alias("sa"))
+    right = sets.select(F.col("v").alias("b"), F.col("shingles").alias("sb"))
     both = pairs.join(left, "a").join(right, "b")
     common = F.size(F.array_intersect("sa", "sb"))
-    return both.select("a", "b", common.alias("i"), F.size("sa").alias("x"), F.size("sb").alias("y")).where(f"100 * i >= {per_cent} * (x + y - i)").select("a", "b")
+    return materialise(both.select("a", "b", common.alias("i"), F.size("sa").alias("x"), F.size("sb").alias("y")).where(f"100 * i >= {per_cent} * (x + y - i)").select("a", "b"), "links")
+
+
+def shared_sizes(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each set in left with each in right, by products of 0-1 matrices."""
+    sizes = [np.array([len(s) for s in side], dtype=np.int64) for side in (left, right)]
+    flat = [np.concatenate(side) for side in (left, right)]
+    vocabulary = np.intersect1d(flat[0], flat[1])
+    out = np.zeros((len(left), len(right)), dtype=np.float32)
+    cells = []
+    for values, size in zip(flat, sizes, strict=True):
+        at = np.minimum(np.searchsorted(vocabulary, values), max(len(vocabulary) - 1, 0))
+        hit = vocabulary[at] == values if len(vocabulary) else np.zeros(len(values), bool)
+        cells.append((np.repeat(np.arange(len(size)), size)[hit], at[hit]))
+    for lo in range(0, len(vocabulary), COLUMNS):
+        grids = []
+        for (row, col), size in zip(cells, sizes, strict=True):
+            here = (col >= lo) & (col < lo + COLUMNS)
+            grid = np.zeros((len(size), min(COLUMNS, len(vocabulary) - lo)), dtype=np.float32)
+            grid[row[here], col[here] - lo] = 1
+            grids.append(grid)
+        out += grids[0] @ grids[1].T
+    return out.astype(np.int64)
+
+
+def link_clusters(members: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
+    """Links (a, b), as forests, among members (v, cluster, comp) of those clusters that hold several components.
+
+    A cluster is cut into blocks; each pair of blocks is a task, which tells of links but not of pairs.
+    """
+    rows = members.join(sets, "v")
+    size = rows.groupBy("cluster").agg(F.count("*").alias("m"), F.sum(F.size("shingles")).alias("t"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 != c2")
+    size = size.select("cluster", F.ceil(F.greatest(F.col("m") / BLOCK_SETS, F.col("t") / BLOCK_SHINGLES)).cast("int").alias("of"))
+    rows = rows.join(size, "cluster").withColumn("blk", F.pmod(F.xxhash64("v"), F.col("of")).cast("int"))
+    tasks = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("of") - 1))).select("cluster", "v", "blk", "shingles", F.least("blk", "o").alias("lo"), F.greatest("blk", "o").alias("hi"))
+
+    def link(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        _, lo, hi = key
+        own = [pdf[pdf["blk"] == b] for b in (lo, hi)]
+        if len(own[0]) and len(own[1]):
+            v = [x["v"].to_numpy() for x in own]
+            sets = [list(x["shingles"]) for x in own]
+            n = [np.array([len(s) for s in x]) for x in sets]
+            i = shared_sizes(*sets)
+            a, b = np.nonzero(100 * i >= per_cent * (n[0][:, None] + n[1][None, :] - i))
+            edges = forest(zip(v[0][a].tolist(), v[1][b].tolist(), strict=True))
+        else:
+            edges = []
+        return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
+
+    return tasks.groupBy("cluster", "lo", "hi").applyInPandas(link, "a bigint, b bigint")
 
 
 def near_groups(source: DataFrame, words: int = WORDS, per_cent: int = PER_CENT) -> DataFrame:
     """__lf_rid, doc_id, n_shingles, component_id of each document (component_id: smallest doc_id reachable).
 
-    Words are what stands between ASCII white space, A-Z in lower case; a shorter text is one shingle; a text without
-    words (null and empty ones too) has no shingle and is alone.  Documents with a null doc_id take part;
-    a component whose ids are all null has a null component_id.  Rows equal in doc_id and text are one
-    document with one result each; rows that share a doc_id but not a text are documents of their own.
+    Words are what stands between ASCII white space, A-Z in lower case; a shorter text is one shingle; a
+    text without words (null and empty ones too) has no shingle and is alone.  Documents with a null
+    doc_id take part; a component whose ids are all null has a null component_id.  Rows equal in doc_id
+    and text are one document with one result each; rows that share a doc_id but not a text are
+    documents of their own.
     """
     docs = documents(source, key=True)
     light = materialise(describe(docs, words, per_cent), "prefixes")
-    classes = light.where("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("least"), F.min(RID).alias(RID), F.first("n").alias("n"), F.first("keys").alias("keys"))
-    classes = classes.where(F.size("keys") > 0)
-    postings = classes.select(F.explode("keys").alias("key"), "set_key", "n", RID)
-    lists = postings.groupBy("key").agg(F.min(F.struct("n", "set_key")).alias("head"), F.count("*").alias("m")).where("m > 1")
-    live = materialise(postings.join(lists, "key"), "postings")  # classes that meet another one somewhere
-    sets = materialise(whole_sets(docs, live.select(RID).distinct(), words).dropDuplicates(["set_key"]), "sets")
-    fits = f"least(n, n2) * 100 >= {per_cent} * greatest(n, n2)"
-    tried = live.select(F.col("set_key").alias("b"), "n", F.col("head.set_key").alias("a"), F.col("head.n").alias("n2")).where("a != b").where(fits).select("a", "b").distinct()
-    links = materialise(verify(tried, sets, per_cent), "links")
+    # One vertex for each class of equal sets: the smallest row key in it.
+    classes = light.where("n > 0").groupBy("set_key").agg(F.min(RID).alias("v"))
+    heads = light.where(F.size("keys") > 0).join(classes, "set_key").where(F.col(RID) == F.col("v")).dropDuplicates(["v"])
+    entries = heads.select("v", "n", "singles", "often", "k", F.posexplode(F.arrays_zip("keys", "places")).alias("at", "e"))
+    postings = entries.select(F.col("e.keys").alias("key"), F.col("e.places").alias("place"), (F.col("at") < F.col("singles")).cast("int").alias("single"), "v", "n", "often", "k")
+    lists = postings.groupBy("key").agg(F.min(F.struct("n", "v", "place")).alias("head"), F.count("*").alias("m")).where("m > 1")
+    live = materialise(postings.join(lists, "key"), "postings")  # entries that meet another one
+    overlap = f"-((-{per_cent} * (n + n2)) div {100 + per_cent})"  # ceil of s / (1 + s) * (n + n2)
+    fits = f"least(n, n2) * 100 >= {per_cent} * greatest(n, n2) and place < n - {overlap} + greatest(k, k2) and place2 < n2 - {overlap} + greatest(k, k2)"
+    starred = live.select("v", "n", "place", "k", F.col("k").alias("k2"), F.col("head.v").alias("v2"), F.col("head.n").alias("n2"), F.col("head.place").alias("place2"), "often")
+    starred = starred.where("v != v2").where(fits).groupBy("v", "v2").agg(F.count("*").alias("c"), F.max("often").alias("often"))
+    tried = starred.where("c >= 3 or often > 0").select(F.col("v2").alias("a"), F.col("v").alias("b"))
+    tried = materialise(tried, "pairs")
+    sets = sets_of(docs, tried, words)
+    links = verify(tried, sets, per_cent)
+    comps = connected_components(links)
+    # A head's component and all that were compared with the head are a cluster: every pair in it is tried.
+    hub = starred.where("c >= 3 or often > 0").groupBy("v").agg(F.max_by("v2", F.struct("c", "v2")).alias("hub"))
+    place = live.select("v").distinct().join(hub, "v", "left").withColumn("hub", F.coalesce("hub", "v"))
+    place = place.join(comps, "v", "left").join(comps.select(F.col("v").alias("hub"), F.col("comp").alias("cluster")), "hub", "left")
+    place = materialise(place.select("v", F.coalesce("comp", "v").alias("comp"), F.coalesce("cluster", "hub").alias("cluster")), "clusters")
+    links = links.unionByName(materialise(link_clusters(place, sets, per_cent), "links"))
     comps = connected_components(links)
-    named = live.select("key", "set_key", "n").join(comps.withColumnRenamed("v", "set_key"), "set_key", "left").withColumn("comp", F.coalesce("comp", "set_key"))
-    mixed = named.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 != c2").select("key")
+    # What is left: pairs of different clusters and components, complete, by the prefix shingles they share.
+    named = live.drop("head", "m").join(place.select("v", "cluster"), "v").join(comps, "v", "left").withColumn("comp", F.coalesce("comp", "v"))
+    mixed = named.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.min("cluster").alias("k1"), F.max("cluster").alias("k2")).where("c1 != c2 and k1 != k2").select("key")
     rest = materialise(named.join(mixed, "key", "left_semi"), "mixed")
-    other = rest.select("key", F.col("set_key").alias("b"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))
-    pairs = rest.withColumnRenamed("set_key", "a").join(other, "key").where("a < b and comp != comp2").where(fits).select("a", "b").distinct()
-    more = materialise(verify(pairs, sets, per_cent), "links")
+    other = rest.select("key", *[F.col(c).alias(f"{c}2") for c in ("v", "n", "place", "k", "often", "comp", "cluster")])
+    pairs = rest.join(other, "key").where("v < v2 and comp != comp2 and cluster != cluster2").where(fits)
+    pairs = pairs.groupBy("v", "v2").agg(F.sum("single").alias("c"), F.min(F.least("often", "often2")).alias("o"), F.min(F.least("k", "k2")).alias("k")).where("c + o >= k")
+    pairs = materialise(pairs.select(F.col("v").alias("a"), F.col("v2").alias("b")), "pairs")
+    more = verify(pairs, sets_of(docs, pairs, words), per_cent)
     if not more.isEmpty():
         comps = connected_components(links.unionByName(more))
-    found = light.select(RID, "doc_id", "n", "set_key").join(comps.withColumnRenamed("v", "set_key"), "set_key", "left").withColumn("comp", F.coalesce("comp", "set_key"))
-    least = found.where("n > 0").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    out = found.where("n > 0").join(least, "comp").select(RID, "doc_id", F.col("n").alias("n_shingles"), "component_id")
-    alone = found.where("n = 0").select(RID, "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    found = light.where("n > 0").select(RID, "doc_id", "n", "set_key").join(classes, "set_key").join(comps, "v", "left").withColumn("comp", F.coalesce("comp", "v"))
+    least = found.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    out = found.join(least, "comp").select(RID, "doc_id", F.col("n").alias("n_shingles"), "component_id")
+    alone = light.where("n = 0").select(RID, "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return out.unionByName(alone)
