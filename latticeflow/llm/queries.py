@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import arc_convert, bitplane, chunk_bpe, decontam, line_crf, pivot_index, shingle_join, toxicity
+from . import arc_convert, bitplane, bwt_dedup, chunk_bpe, decontam, line_crf, pivot_index, shingle_join, toxicity
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op4_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arc_convert.round_trip(read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bwt_dedup.digests(read(spark, sf_dir, "documents"))
+
+
 def op6_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_join.near_groups(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
