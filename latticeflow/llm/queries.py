@@ -6,13 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import arc_convert, bitplane, bwt_dedup, chunk_bpe, decontam, line_crf, pivot_index, shingle_join, toxicity
+from . import arc_convert, bitplane, bwt_dedup, chunk_bpe, decontam, line_crf, pivot_index, recurrent_lm, shingle_join, toxicity
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recurrent_lm.score(read(spark, sf_dir, "documents"))
+
+
 def op2_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_bpe.digests(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
