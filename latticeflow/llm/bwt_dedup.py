@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, RID, documents, materialise, width
+from .common import NULL_ID, RID, documents, materialise, row_key, width
 
 LENGTH = 100
 GRAM = 32
@@ -461,6 +461,30 @@ def remaining(raw: bytes, found: list) -> tuple[bytes, int, int]:
     return b"".join(kept), removed, runs
 
 
+def span_lists(docs: DataFrame) -> DataFrame:
+    """(rid, spans) of the documents that lose bytes; a task tells of each document once, with its spans joined."""
+
+    def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, list[tuple[int, int]]] = {}
+        for pdf in batches:
+            for r, a, b in zip(pdf[RID].tolist(), pdf["start"].tolist(), pdf["stop"].tolist(), strict=True):
+                held.setdefault(r, []).append((a, b))
+        rows = []
+        for r, found in held.items():
+            found.sort()
+            a, b = found[0]
+            for c, d in found[1:]:
+                if c > b:
+                    rows.append((r, a, b))
+                    a, b = c, d
+                else:
+                    b = max(b, d)
+            rows.append((r, a, b))
+        yield pd.DataFrame(rows, columns=[RID, "start", "stop"]).astype({RID: "int64", "start": "int32", "stop": "int32"})
+
+    return removal_spans(docs).mapInPandas(join, f"{RID} bigint, start int, stop int").groupBy(RID).agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+
+
 def dedup(source: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the bytes that are left) of each document.
 
@@ -469,8 +493,6 @@ def dedup(source: DataFrame) -> DataFrame:
     text.  A null doc_id comes before all others.
     """
     docs = documents(source, key=True)
-    marks = removal_spans(docs)
-    lists = marks.distinct().groupBy(RID).agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -481,7 +503,29 @@ def dedup(source: DataFrame) -> DataFrame:
                 rows.append((d, len(raw), removed, n, kept))
             yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"]).astype({"doc_id": "Int64"})
 
-    return docs.join(lists, RID, "left").select("doc_id", "text", "spans").mapInPandas(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
+    return docs.join(span_lists(docs), RID, "left").select("doc_id", "text", "spans").mapInPandas(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
+
+
+def dedup_rows(source: DataFrame) -> DataFrame:
+    """source with each text without its repeated strings; a null text stays null.
+
+    A text must stay valid: what is left of a character cut apart goes too.
+    """
+    keyed = source.withColumn(RID, row_key())
+    spec = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            texts = []
+            for t, found in zip(pdf["text"], pdf["__lf_spans"], strict=True):
+                if isinstance(t, str) and found is not None:
+                    raw = t.encode("utf-8", "surrogatepass")
+                    t = remaining(raw, [(x["start"], x["stop"]) for x in found])[0].decode("utf-8", "ignore")
+                texts.append(t)
+            yield pdf.assign(text=texts).drop(columns=["__lf_spans"])
+
+    lists = span_lists(documents(source, key=True)).withColumnRenamed("spans", "__lf_spans")
+    return keyed.join(lists, RID, "left").drop(RID).mapInPandas(run, spec)
 
 
 def digests(source: DataFrame) -> DataFrame:
