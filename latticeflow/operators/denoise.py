@@ -33,6 +33,7 @@ def total_variation(g: np.ndarray, lam: float, data: str = "l2", huber: float =
     tau = sigma = 1 / np.sqrt(8)
     for _ in range(rounds):
         r, c = forward(bar)
+        po, qo = p, q
         p, q = (p + sigma * r) / (1 + sigma * huber), (q + sigma * c) / (1 + sigma * huber)
         size = np.maximum(1, np.hypot(p, q))
         p, q = p / size, q / size
@@ -40,7 +41,7 @@ def total_variation(g: np.ndarray, lam: float, data: str = "l2", huber: float =
         v = u + tau * back_divergence(p, q)
         u = (v + tau * lam * g) / (1 + tau * lam) if data == "l2" else g + np.sign(v - g) * np.maximum(np.abs(v - g) - tau * lam, 0)
         bar = 2 * u - old
-        if np.abs(u - old).max() < tolerance:
+        if max(np.abs(u - old).max(), np.abs(p - po).max(), np.abs(q - qo).max()) < tolerance:
             break
     return u
 

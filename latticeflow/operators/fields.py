@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions import assignment
 from ..functions import vectors as V
@@ -74,7 +75,7 @@ def directions(c: Column) -> Column:
     return F.transform(c, lambda x: x["dir"])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def matched_angle(a: pd.Series, b: pd.Series) -> pd.Series:
     """Mean angle in degrees of the best matching of two sets of axes; 90 if only the second is empty, null if the first is."""
     out = []
@@ -98,7 +99,7 @@ def odf_error(truth: DataFrame, found: DataFrame) -> DataFrame:
 
 def coherence(field: DataFrame, void: float) -> DataFrame:
     """(voxel, lci): mean matched angle to the neighbours that hold something; NaN for an empty voxel, 0 without such neighbours."""
-    @F.pandas_udf("double")
+    @F.pandas_udf(DoubleType())
     def cost(a: pd.Series, b: pd.Series) -> pd.Series:
         pad = lambda x: np.vstack([*[np.asarray(v, float) for v in x[:3]], *[np.zeros(3)] * (3 - min(3, len(x)))])
         return pd.Series([assignment.match_three(pad(x), pad(y), void)[1] / max(len(x), len(y)) for x, y in zip(a, b, strict=True)], dtype="float64")
