@@ -33,8 +33,8 @@ GRAM = 32
 SPAN = LENGTH - GRAM + 1
 HALF = (LENGTH - GRAM) // 2
 SHARDS = 4
-BATCH = 1 << 20
-PACK = 1 << 19
+BATCH = 1 << 16
+PACK = 1 << 17
 BITMAP_BITS = 1 << 27
 HOT_REGIONS = 20_000
 MIX32 = np.random.default_rng(32_003).integers(0, 1 << 32, 256, dtype=np.uint32) | np.uint32(1)
@@ -210,20 +210,20 @@ def fingerprints(docs: DataFrame, known: Bitmap) -> DataFrame:
 
 
 def texts_of(docs: DataFrame, wanted: Bitmap) -> DataFrame:
-    """Rows (h, region, doc_id, rid, start) of the wanted places (and, rarely, of others)."""
+    """Rows (h, region, at, doc_id, rid, start) of the wanted places (and, rarely, of others); at: the anchor's place in the region."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for cut, raw, ends in packs(pdf):
-                h, _, s0, s1 = regions(np.frombuffer(raw, np.uint8), ends)
+                h, place, s0, s1 = regions(np.frombuffer(raw, np.uint8), ends)
                 k = np.searchsorted(ends, s0, side="right")
                 start = s0 - np.concatenate([[0], ends[:-1]])[k]
                 rid = cut[RID].to_numpy()[k]
                 keep = np.flatnonzero(wanted.has(place_key(rid, start)))
                 if len(keep):
-                    yield pd.DataFrame({"h": h[keep].view(np.int64), "region": [raw[s0[i] : s1[i] + LENGTH] for i in keep], "doc_id": cut["doc_id"].to_numpy()[k[keep]], RID: rid[keep], "start": start[keep].astype(np.int32)})
+                    yield pd.DataFrame({"h": h[keep].view(np.int64), "region": [raw[s0[i] : s1[i] + LENGTH] for i in keep], "at": (place - s0)[keep].astype(np.int32), "doc_id": cut["doc_id"].to_numpy()[k[keep]], RID: rid[keep], "start": start[keep].astype(np.int32)})
 
-    return docs.mapInPandas(run, f"h bigint, region binary, doc_id bigint, {RID} bigint, start int")
+    return docs.mapInPandas(run, f"h bigint, region binary, at int, doc_id bigint, {RID} bigint, start int")
 
 
 def single_strings(rows: DataFrame) -> DataFrame:
@@ -232,13 +232,13 @@ def single_strings(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             best: dict[bytes, tuple] = {}
-            for region, d, r, s in zip(pdf["region"], pdf["doc_id"], pdf[RID], pdf["start"], strict=True):
+            for region, at, d, r, s in zip(pdf["region"], pdf["at"], pdf["doc_id"], pdf[RID], pdf["start"], strict=True):
                 for k in range(len(region) - LENGTH + 1):
-                    best.setdefault(region[k : k + LENGTH], []).append((d, r, s + k))
+                    best.setdefault(region[k : k + LENGTH], []).append((at - k, d, r, s + k))
             out = [(xxhash.xxh3_64_intdigest(t) - (1 << 63), t, *p) for t, places in best.items() for p in places]
-            yield pd.DataFrame(out, columns=["h", "region", "doc_id", RID, "start"]).astype({"start": "int32"})
+            yield pd.DataFrame(out, columns=["h", "region", "at", "doc_id", RID, "start"]).astype({"at": "int32", "start": "int32"})
 
-    return rows.select("region", "doc_id", RID, "start").mapInPandas(run, f"h bigint, region binary, doc_id bigint, {RID} bigint, start int")
+    return rows.select("region", "at", "doc_id", RID, "start").mapInPandas(run, f"h bigint, region binary, at int, doc_id bigint, {RID} bigint, start int")
 
 
 class Rotations:
@@ -271,7 +271,10 @@ class Rotations:
     def dense(values: np.ndarray, top: int) -> np.ndarray:
         seen = np.zeros(top, dtype=bool)
         seen[values] = True
-        return (np.cumsum(seen) - 1)[values]
+        used = np.flatnonzero(seen)
+        code = np.zeros(top, dtype=np.int32)
+        code[used] = np.arange(len(used))
+        return code[values].astype(np.int64)
 
     def turn(self, by: int) -> np.ndarray:
         """For each place the place `by` symbols on, in its text's circle."""
@@ -362,32 +365,29 @@ def narrowed(group: list[tuple]) -> list[tuple]:
     """
     if len(group) < 2:
         return []
-    texts = {row[0] for row in group}
-    common = len(texts) > 1
-    left, right, at = Counter(), Counter(), {}
-    if common:
-        for t in texts:
-            d = regions(np.frombuffer(t, np.uint8), np.array([len(t)]))[1]
-            at[t] = o = int(d[0])
-            if o >= HALF:
-                left[t[o - HALF : o + GRAM]] += 1
-            if len(t) - o >= GRAM + HALF:
-                right[t[o : o + GRAM + HALF]] += 1
+    texts = {row[0]: row[1] for row in group}
+    if len(texts) < len(group):  # copies of one text
+        return [(t, d, r, s) for t, _, d, r, s in group]
+    left, right = Counter(), Counter()
+    for t, o in texts.items():
+        if o >= HALF:
+            left[t[o - HALF : o + GRAM]] += 1
+        if len(t) - o >= GRAM + HALF:
+            right[t[o : o + GRAM + HALF]] += 1
     out = []
-    for t, d, r, s in group:
-        o, lo, hi = at.get(t, 0), 0, len(t) - LENGTH
-        if common and len(group) == len(texts):
-            if not (o >= HALF and left[t[o - HALF : o + GRAM]] > 1):
-                lo = max(lo, o - HALF + 1)
-            if not (len(t) - o >= GRAM + HALF and right[t[o : o + GRAM + HALF]] > 1):
-                hi = min(hi, o - HALF)
+    for t, o, d, r, s in group:
+        lo, hi = 0, len(t) - LENGTH
+        if not (o >= HALF and left[t[o - HALF : o + GRAM]] > 1):
+            lo = max(lo, o - HALF + 1)
+        if not (len(t) - o >= GRAM + HALF and right[t[o : o + GRAM + HALF]] > 1):
+            hi = min(hi, o - HALF)
         if lo <= hi:
             out.append((t[lo : hi + LENGTH], d, r, s + lo))
     return out
 
 
 def merged_repeats(rows: DataFrame, parts: int) -> DataFrame:
-    """(rid, start, stop) of repeated strings among regions (h, region, doc_id, rid, start), by anchor."""
+    """(rid, start, stop) of repeated strings among regions (h, region, at, doc_id, rid, start), by anchor."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size, last, group = [], 0, None, []
@@ -397,7 +397,7 @@ def merged_repeats(rows: DataFrame, parts: int) -> DataFrame:
             return spans(*repeats(list(t), np.array(d, np.int64), np.array(r, np.int64), np.array(s, np.int64)))
 
         for pdf in batches:
-            for h, t, d, r, s in zip(pdf["h"].tolist(), pdf["region"], pdf["doc_id"].tolist(), pdf[RID].tolist(), pdf["start"].tolist(), strict=True):
+            for h, t, o, d, r, s in zip(pdf["h"].tolist(), pdf["region"], pdf["at"].tolist(), pdf["doc_id"].tolist(), pdf[RID].tolist(), pdf["start"].tolist(), strict=True):
                 if h != last:
                     more = narrowed(group)
                     held += more
@@ -406,7 +406,7 @@ def merged_repeats(rows: DataFrame, parts: int) -> DataFrame:
                         yield settle()
                         held, size = [], 0
                     last, group = h, []
-                group.append((bytes(t), d, r, s))
+                group.append((bytes(t), o, d, r, s))
         held += narrowed(group)
         if held:
             yield settle()
