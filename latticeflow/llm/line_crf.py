@@ -40,7 +40,18 @@ NEAR = (0, 1, 4, 5, 6, 9, 10, 12, 13, 18)
 WIDTH = OWN + 2 * len(NEAR) + 1
 
 
-def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def features(texts: list[str], at_once: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """piece_features() of all texts, made from about `at_once` characters at a time to bound the memory."""
+    parts, lo, size = [], 0, 0
+    for k, t in enumerate(texts):
+        size += len(t)
+        if size >= at_once or k + 1 == len(texts):
+            parts.append(piece_features(texts[lo : k + 1]))
+            lo, size = k + 1, 0
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def piece_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(lines x WIDTH features, line lengths in bytes, number of lines of each text); no text is without a line."""
     lines_of = [t.split("\n") for t in texts]
     counts = np.array([len(x) for x in lines_of], dtype=np.int64)
