@@ -192,14 +192,19 @@ def learn_lexicon(rows: list[tuple[str, int]], least: int = 5, share: float = 0.
 
 
 def fit(rows: list[tuple[str, int]]) -> Scorer:
-    """Lexicon from every other row, weights from the rest (so that the weights see words the lexicon hasn't learned from)."""
+    """Lexicon from every other row of each label, weights from the rest (so that they see words the lexicon hasn't learned from)."""
+    rows = sorted(rows, key=lambda r: r[1])
+    toxic = next((i for i, (_, v) in enumerate(rows) if v), len(rows))
+    half_rows, other_rows = rows[:toxic:2] + rows[toxic::2], rows[1:toxic:2] + rows[toxic + 1 :: 2]
     y = np.array([v for _, v in rows], dtype=float)
     weights = np.zeros(N_FEATURES)
     if len(set(y.tolist())) < 2:
         weights[0] = -4.0 if not len(y) or y[0] == 0 else 4.0
         return Scorer(Lexicon([], []), weights)
-    half = Scorer(learn_lexicon(rows[::2]), weights)
-    x, z = np.array([half.features(t) for t, _ in rows[1::2]]), y[1::2]
+    if len({v for _, v in other_rows}) < 2:
+        other_rows = rows
+    half = Scorer(learn_lexicon(half_rows), weights)
+    x, z = np.array([half.features(t) for t, _ in other_rows]), np.array([v for _, v in other_rows], dtype=float)
     for _ in range(40):
         p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
         q = p * (1 - p)
