@@ -23,10 +23,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, RID, documents, materialise, row_key, width
+from .common import NULL_ID, RID, Bitmap, documents, materialise, row_key, width
 
 LENGTH = 100
 GRAM = 32
@@ -35,7 +35,6 @@ HALF = (LENGTH - GRAM) // 2
 SHARDS = 4
 BATCH = 1 << 16
 PACK = 1 << 17
-BITMAP_BITS = 1 << 27
 HOT_REGIONS = 20_000
 MIX32 = np.random.default_rng(32_003).integers(0, 1 << 32, 256, dtype=np.uint32) | np.uint32(1)
 K64 = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
@@ -104,37 +103,6 @@ def packs(pdf: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, bytes, np.ndarray]]
             lo, held, size = k + 1, [], 0
 
 
-class Bitmap:
-    """A set of 64-bit hashes as a bit array of fixed size: it may say yes too often, never no."""
-
-    def __init__(self, spark: SparkSession, hashes: DataFrame, column: str):
-        block = F.col(column).bitwiseAND(F.lit(BITMAP_BITS - 1))
-        cut = hashes.select(F.shiftright(block, 12).cast("int").alias("blk"), block.bitwiseAND(F.lit(4095)).cast("int").alias("bit")).repartition(width(spark), "blk")
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            own: dict[int, np.ndarray] = {}
-            for pdf in batches:
-                for b, bits in pdf.groupby("blk")["bit"]:
-                    own.setdefault(b, np.zeros(4096, dtype=bool))[bits.to_numpy()] = True
-            yield pd.DataFrame({"blk": list(own), "bits": [np.packbits(x).tobytes() for x in own.values()]}).astype({"blk": "int32"})
-
-        table = np.zeros((BITMAP_BITS >> 12, 512), dtype=np.uint8)
-        for r in cut.mapInPandas(run, "blk int, bits binary").toLocalIterator():
-            table[r["blk"]] |= np.frombuffer(r["bits"], dtype=np.uint8)
-        self.shared = spark.sparkContext.broadcast(table.reshape(-1).tobytes())
-
-    def __getstate__(self):
-        return self.shared
-
-    def __setstate__(self, shared):
-        self.shared = shared
-
-    def has(self, h: np.ndarray) -> np.ndarray:
-        table = np.frombuffer(self.shared.value, dtype=np.uint8)
-        bit = (h & np.uint64(BITMAP_BITS - 1)).astype(np.int64)
-        return (table[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1 == 1
-
-
 def repeated_anchors(docs: DataFrame) -> DataFrame:
     """h of the anchors that stand at two places or more."""
 
@@ -201,7 +169,7 @@ def fingerprints(docs: DataFrame, known: Bitmap) -> DataFrame:
             if lost:
                 yield table(lost, None)
                 lost = []
-            if len(best) > 400_000:
+            if len(best) > 200_000:
                 yield table(list(best.values()), list(best))
                 best = {}
         yield table(list(best.values()), list(best))

@@ -11,8 +11,8 @@ within a group need to be indexed.  g is a power of two that grows with n and at
 sets that can link (k allows for the larger), so the pairs of a set stay in proportion to n.
 
 Equal sets are one class from the start.  Classes in one posting list are first compared with the list's
-head only.  What was compared with one head, or with heads that link, is a cluster: all its pairs are
-compared in blocks, as products of 0-1 matrices, unless it is one component already.  Complete pairs of
+heads only.  What links, or shares much with one head, is a cluster: all its pairs are compared in
+blocks, as products of 0-1 matrices, unless it is one component already.  Complete pairs of
 classes are made for those lists alone whose members still differ in component and in cluster.  Every
 comparison is on the whole sets.
 """
@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RID, documents, materialise
+from .common import RID, Bitmap, documents, materialise
 from .components import connected_components, forest
 
 WORDS = 3
@@ -35,6 +35,7 @@ PER_CENT = 90
 FREQUENT_IN_TASK = 3
 FREQUENT = 24
 FREQUENT_MOST = 1 << 17
+HEADS = 3
 COUNT_EVERY = 2_000_000
 WORDS_HELD = 400_000
 BROADCAST_KEYS = 1 << 20
@@ -73,8 +74,9 @@ class Shingler:
         return np.unique(out)
 
 
-def set_key(s: np.ndarray) -> bytes:
-    return xxhash.xxh3_128_digest(s.tobytes())
+def set_id(s: np.ndarray) -> int:
+    """A signed 64-bit hash of a whole set: equal sets are one vertex."""
+    return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
 
 def groups_of(n: int, per_cent: int) -> int:
@@ -148,23 +150,53 @@ def frequent_shingles(docs: DataFrame, words: int) -> np.ndarray:
 
 
 def describe(docs: DataFrame, words: int, per_cent: int) -> DataFrame:
-    """rid, doc_id, n, set_key, keys, places, singles, often, k of each document."""
+    """rid, doc_id, n, v, keys, places, singles, often, k of each document; of a task's equal sets only the first has keys."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, words))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, frequent = Shingler(words), shared.value
+        own, frequent, met = Shingler(words), shared.value, set()
+        none = keys_of(np.zeros(0, np.uint64), frequent, per_cent)
         for pdf in batches:
             for lo in range(0, len(pdf), 1000):
                 cut = pdf.iloc[lo : lo + 1000]
                 sets = [own.sets(t) for t in cut["text"]]
-                keys = [keys_of(s, frequent, per_cent) for s in sets]
-                yield pd.DataFrame({RID: cut[RID], "doc_id": cut["doc_id"], "n": [len(s) for s in sets], "set_key": [set_key(s) for s in sets], "keys": [k[0].view(np.int64) for k in keys], "places": [k[1] for k in keys], "singles": [k[2] for k in keys], "often": [k[3] for k in keys], "k": [k[4] for k in keys]})
+                ids, keys = [set_id(s) for s in sets], []
+                for v, s in zip(ids, sets, strict=True):
+                    keys.append(none if v in met else keys_of(s, frequent, per_cent))
+                    met.add(v)
+                yield pd.DataFrame({RID: cut[RID], "doc_id": cut["doc_id"], "n": [len(s) for s in sets], "v": ids, "keys": [k[0].view(np.int64) for k in keys], "places": [k[1] for k in keys], "singles": [k[2] for k in keys], "often": [k[3] for k in keys], "k": [k[4] for k in keys]})
 
-    return docs.mapInPandas(run, f"{RID} bigint, doc_id {docs.schema['doc_id'].dataType.simpleString()}, n bigint, set_key binary, keys array<bigint>, places array<int>, singles int, often int, k int")
+    return docs.mapInPandas(run, f"{RID} bigint, doc_id {docs.schema['doc_id'].dataType.simpleString()}, n bigint, v bigint, keys array<bigint>, places array<int>, singles int, often int, k int")
+
+
+def meeting_entries(light: DataFrame) -> DataFrame:
+    """(key, place, single, v, n, singles, often, k) of the keys under which several sets are indexed.
+
+    Only the keys themselves are shuffled to be counted; entries are made for those that a bitmap of the
+    repeated ones lets through, and checked exactly then.
+    """
+    keys = light.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
+    repeated = Bitmap(light.sparkSession, keys, "key")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            sizes = [len(k) for k in pdf["keys"]]
+            if not sum(sizes):
+                continue
+            at = np.repeat(np.arange(len(pdf)), sizes)
+            key = np.concatenate(pdf["keys"].to_list()).astype(np.int64)
+            place = np.concatenate(pdf["places"].to_list()).astype(np.int32)
+            order = np.arange(len(key)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            keep = np.flatnonzero(repeated.has(key.view(np.uint64)))
+            rows = pdf[["v", "n", "singles", "often", "k"]].iloc[at[keep]].reset_index(drop=True)
+            yield rows.assign(key=key[keep], place=place[keep], single=(order[keep] < rows["singles"].to_numpy()).astype(np.int32))[["key", "place", "single", "v", "n", "singles", "often", "k"]]
+
+    made = light.where("size(keys) > 0").select("v", "n", "keys", "places", "singles", "often", "k")
+    return made.mapInPandas(run, "key bigint, place int, single int, v bigint, n bigint, singles int, often int, k int").distinct()
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """v, shingles of the documents whose key is wanted; their keys are broadcast if they are few."""
+    """v, shingles of the documents whose key (rid) is wanted; the keys are broadcast if they are few."""
     wanted = wanted.distinct()
     if wanted.count() <= BROADCAST_KEYS:
         wanted = F.broadcast(wanted)
@@ -173,15 +205,17 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
         own = Shingler(words)
         for pdf in batches:
             for lo in range(0, len(pdf), 1000):
-                cut = pdf.iloc[lo : lo + 1000]
-                yield pd.DataFrame({"v": cut[RID], "shingles": [own.sets(t).view(np.int64) for t in cut["text"]]})
+                sets = [own.sets(t) for t in pdf["text"].iloc[lo : lo + 1000]]
+                yield pd.DataFrame({"v": [set_id(s) for s in sets], "shingles": [s.view(np.int64) for s in sets]})
 
-    rows = docs.join(wanted.withColumnRenamed("v", RID), RID, "left_semi").select(RID, "text")
-    return rows.mapInPandas(run, "v bigint, shingles array<bigint>").dropDuplicates(["v"])
+    return docs.join(wanted, RID, "left_semi").select("text").mapInPandas(run, "v bigint, shingles array<bigint>").dropDuplicates(["v"])
 
 
-def sets_of(docs: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
-    return materialise(whole_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("v")), words), "sets")
+def sets_of(docs: DataFrame, light: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
+    """The sets of the pairs' members, each from one document that has it."""
+    wanted = pairs.select(F.col("a").alias("v")).unionByName(pairs.select(F.col("b").alias("v"))).distinct()
+    one = light.join(wanted, "v", "left_semi").groupBy("v").agg(F.min(RID).alias(RID))
+    return materialise(whole_sets(docs, one.select(RID), words), "sets")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
@@ -220,7 +254,7 @@ def link_clusters(members: DataFrame, sets: DataFrame, per_cent: int) -> DataFra
 
     A cluster is cut into blocks; each pair of blocks is a task, which tells of links but not of pairs.
     """
-    rows = members.join(sets, "v")
+    rows = members.join(sets, "v")  # classes without a set were compared with no head and are alone
     size = rows.groupBy("cluster").agg(F.count("*").alias("m"), F.sum(F.size("shingles")).alias("t"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 != c2")
     size = size.select("cluster", F.ceil(F.greatest(F.col("m") / BLOCK_SETS, F.col("t") / BLOCK_SHINGLES)).cast("int").alias("of"))
     rows = rows.join(size, "cluster").withColumn("blk", F.pmod(F.xxhash64("v"), F.col("of")).cast("int"))
@@ -254,41 +288,40 @@ def near_groups(source: DataFrame, words: int = WORDS, per_cent: int = PER_CENT)
     """
     docs = documents(source, key=True)
     light = materialise(describe(docs, words, per_cent), "prefixes")
-    # One vertex for each class of equal sets: the smallest row key in it.
-    classes = light.where("n > 0").groupBy("set_key").agg(F.min(RID).alias("v"))
-    heads = light.where(F.size("keys") > 0).join(classes, "set_key").where(F.col(RID) == F.col("v")).dropDuplicates(["v"])
-    entries = heads.select("v", "n", "singles", "often", "k", F.posexplode(F.arrays_zip("keys", "places")).alias("at", "e"))
-    postings = entries.select(F.col("e.keys").alias("key"), F.col("e.places").alias("place"), (F.col("at") < F.col("singles")).cast("int").alias("single"), "v", "n", "often", "k")
-    lists = postings.groupBy("key").agg(F.min(F.struct("n", "v", "place")).alias("head"), F.count("*").alias("m")).where("m > 1")
-    live = materialise(postings.join(lists, "key"), "postings")  # entries that meet another one
-    overlap = f"-((-{per_cent} * (n + n2)) div {100 + per_cent})"  # ceil of s / (1 + s) * (n + n2)
+    entries = materialise(meeting_entries(light), "entries")
+    # The head has the fewest shingles of its own: it is the likeliest to link with the others.
+    lists = entries.groupBy("key").agg(F.min(F.struct("singles", "n", "v", "place")).alias("head"), F.min("v").alias("v1"), F.max("v").alias("v2")).where("v1 != v2").select("key", "head")
+    live = materialise(entries.join(lists, "key"), "postings")  # entries that meet another one
+    overlap = f"(({per_cent} * (n + n2) + {99 + per_cent}) div {100 + per_cent})"  # ceil of s / (1 + s) * (n + n2)
     fits = f"least(n, n2) * 100 >= {per_cent} * greatest(n, n2) and place < n - {overlap} + greatest(k, k2) and place2 < n2 - {overlap} + greatest(k, k2)"
     starred = live.select("v", "n", "place", "k", F.col("k").alias("k2"), F.col("head.v").alias("v2"), F.col("head.n").alias("n2"), F.col("head.place").alias("place2"), "often")
     starred = starred.where("v != v2").where(fits).groupBy("v", "v2").agg(F.count("*").alias("c"), F.max("often").alias("often"))
-    tried = starred.where("c >= 3 or often > 0").select(F.col("v2").alias("a"), F.col("v").alias("b"))
-    tried = materialise(tried, "pairs")
-    sets = sets_of(docs, tried, words)
+    # The HEADS that a class shares most with are enough here: what this leaves out is tried below.
+    best = F.slice(F.sort_array(F.collect_list(F.struct("c", "v2")), asc=False), 1, HEADS)
+    tried = starred.where("c >= 3 or often > 0").groupBy("v").agg(best.alias("best")).select("v", F.explode("best").alias("e"))
+    tried = materialise(tried.select(F.col("e.v2").alias("a"), F.col("v").alias("b")), "pairs")
+    sets = sets_of(docs, light, tried, words)
     links = verify(tried, sets, per_cent)
     comps = connected_components(links)
-    # A head's component and all that were compared with the head are a cluster: every pair in it is tried.
-    hub = starred.where("c >= 3 or often > 0").groupBy("v").agg(F.max_by("v2", F.struct("c", "v2")).alias("hub"))
-    place = live.select("v").distinct().join(hub, "v", "left").withColumn("hub", F.coalesce("hub", "v"))
-    place = place.join(comps, "v", "left").join(comps.select(F.col("v").alias("hub"), F.col("comp").alias("cluster")), "hub", "left")
-    place = materialise(place.select("v", F.coalesce("comp", "v").alias("comp"), F.coalesce("cluster", "hub").alias("cluster")), "clusters")
+    # Classes that link, or share much with one head, are a cluster: every pair in it is tried.
+    hub = starred.where("c >= 3 or often > 0").groupBy("v").agg(F.max_by("v2", F.struct("c", "v2")).alias("hub"), F.max("c").alias("c")).where("c >= 3")
+    near = connected_components(links.unionByName(hub.select(F.col("v").alias("a"), F.col("hub").alias("b"))))
+    place = live.select("v").distinct().join(comps, "v", "left").join(near.withColumnRenamed("comp", "cluster"), "v", "left")
+    place = materialise(place.select("v", F.coalesce("comp", "v").alias("comp"), F.coalesce("cluster", "v").alias("cluster")), "clusters")
     links = links.unionByName(materialise(link_clusters(place, sets, per_cent), "links"))
     comps = connected_components(links)
     # What is left: pairs of different clusters and components, complete, by the prefix shingles they share.
-    named = live.drop("head", "m").join(place.select("v", "cluster"), "v").join(comps, "v", "left").withColumn("comp", F.coalesce("comp", "v"))
+    named = live.drop("head", "singles").join(place.select("v", "cluster"), "v").join(comps, "v", "left").withColumn("comp", F.coalesce("comp", "v"))
     mixed = named.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.min("cluster").alias("k1"), F.max("cluster").alias("k2")).where("c1 != c2 and k1 != k2").select("key")
     rest = materialise(named.join(mixed, "key", "left_semi"), "mixed")
     other = rest.select("key", *[F.col(c).alias(f"{c}2") for c in ("v", "n", "place", "k", "often", "comp", "cluster")])
     pairs = rest.join(other, "key").where("v < v2 and comp != comp2 and cluster != cluster2").where(fits)
     pairs = pairs.groupBy("v", "v2").agg(F.sum("single").alias("c"), F.min(F.least("often", "often2")).alias("o"), F.min(F.least("k", "k2")).alias("k")).where("c + o >= k")
     pairs = materialise(pairs.select(F.col("v").alias("a"), F.col("v2").alias("b")), "pairs")
-    more = verify(pairs, sets_of(docs, pairs, words), per_cent)
+    more = verify(pairs, sets_of(docs, light, pairs, words), per_cent)
     if not more.isEmpty():
         comps = connected_components(links.unionByName(more))
-    found = light.where("n > 0").select(RID, "doc_id", "n", "set_key").join(classes, "set_key").join(comps, "v", "left").withColumn("comp", F.coalesce("comp", "v"))
+    found = light.where("n > 0").select(RID, "doc_id", "n", "v").join(comps, "v", "left").withColumn("comp", F.coalesce("comp", "v"))
     least = found.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     out = found.join(least, "comp").select(RID, "doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = light.where("n = 0").select(RID, "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
