@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 WINDOW = 16
 CHUNK_BITS = 9
 MAX_CHUNK = 1 << 14
-TABLE_BYTES = 96 << 20
+TABLE_BYTES = 48 << 20
 # The pre-token pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 UNUSUAL = re.compile("[^\\t\\n\\r\\x20-\\x7eÀ-ÖØ-öø-ſ]")
@@ -95,6 +95,11 @@ class ChunkCodec:
         self.held = 0
         self.reused = self.seen = 0
 
+    def clear(self) -> None:
+        self.chunks.clear()
+        self.joins.clear()
+        self.held = 0
+
     def encode_text(self, text: str) -> list[int]:
         if UNUSUAL.search(text):
             return self.plain.encode(text, add_special_tokens=False).ids
@@ -126,9 +131,7 @@ class ChunkCodec:
             ids = self.plain.encode(text, add_special_tokens=False).ids
             return ",".join(map(str, ids)), len(ids), self.decode(ids)
         if self.held > TABLE_BYTES:
-            self.chunks.clear()
-            self.joins.clear()
-            self.held = 0
+            self.clear()
         raw = text.encode("utf-8")
         data = np.frombuffer(raw, dtype=np.uint8)
         parts, pending, start = [], b"", 0
@@ -168,7 +171,7 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", bits: int =
 
     path names a byte-level BPE vocabulary in the tokenizers library's JSON format.  A null text is
     the empty text: no ids, digests of the empty string.  Columns of docs named like a result give way
-    to it.  No shuffle; a task holds one Arrow batch and a chunk table of at most about 100 MB.
+    to it.  No shuffle; a task holds one Arrow batch and a chunk table of at most about 50 MB.
     """
     added = "n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
     base = docs.drop("n_tokens", "ids_sha256", "decoded_sha256", "ids")
@@ -176,15 +179,18 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", bits: int =
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = codec(path, bits)
         for pdf in batches:
-            rows = [own.encode(t if isinstance(t, str) else "") for t in pdf[text]]
-            out = pdf.assign(
-                n_tokens=np.array([r[1] for r in rows], dtype=np.int64),
-                ids_sha256=[hashlib.sha256(r[0].encode()).hexdigest() for r in rows],
-                decoded_sha256=[hashlib.sha256(r[2].encode("utf-8")).hexdigest() for r in rows],
-            )
-            if keep_ids:
-                out["ids"] = [np.array(r[0].split(","), dtype=np.int32) if r[0] else np.zeros(0, np.int32) for r in rows]
-            yield out
+            for lo in range(0, len(pdf), 500):
+                cut = pdf.iloc[lo : lo + 500]
+                rows = [own.encode(t if isinstance(t, str) else "") for t in cut[text]]
+                out = cut.assign(
+                    n_tokens=np.array([r[1] for r in rows], dtype=np.int64),
+                    ids_sha256=[hashlib.sha256(r[0].encode()).hexdigest() for r in rows],
+                    decoded_sha256=[hashlib.sha256(r[2].encode("utf-8")).hexdigest() for r in rows],
+                )
+                if keep_ids:
+                    out["ids"] = [np.array(r[0].split(","), dtype=np.int32) if r[0] else np.zeros(0, np.int32) for r in rows]
+                yield out
+        own.clear()  # a worker lives on after the task
 
     spec = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
     return base.mapInPandas(run, f"{spec}, {added}")
