@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, RID, Bitmap, documents, materialise, row_key, width
+from .common import Bitmap, NULL_ID, RID, documents, materialise, row_key, tidy, width
 
 LENGTH = 100
 GRAM = 32
@@ -123,7 +123,7 @@ def repeated_anchors(docs: DataFrame) -> DataFrame:
         if held:
             yield flush()
 
-    return docs.select("text").mapInPandas(run, "h bigint, c tinyint").groupBy("h").agg(F.sum("c").alias("c")).where("c > 1").select("h")
+    return docs.select("text").mapInPandas(tidy(run), "h bigint, c tinyint").groupBy("h").agg(F.sum("c").alias("c")).where("c > 1").select("h")
 
 
 def place_key(rid: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -174,7 +174,7 @@ def fingerprints(docs: DataFrame, known: Bitmap) -> DataFrame:
                 best = {}
         yield table(list(best.values()), list(best))
 
-    return docs.mapInPandas(run, f"h bigint, th bigint, doc_id bigint, {RID} bigint, start int, n int")
+    return docs.mapInPandas(tidy(run), f"h bigint, th bigint, doc_id bigint, {RID} bigint, start int, n int")
 
 
 def texts_of(docs: DataFrame, wanted: Bitmap) -> DataFrame:
@@ -191,7 +191,7 @@ def texts_of(docs: DataFrame, wanted: Bitmap) -> DataFrame:
                 if len(keep):
                     yield pd.DataFrame({"h": h[keep].view(np.int64), "region": [raw[s0[i] : s1[i] + LENGTH] for i in keep], "at": (place - s0)[keep].astype(np.int32), "doc_id": cut["doc_id"].to_numpy()[k[keep]], RID: rid[keep], "start": start[keep].astype(np.int32)})
 
-    return docs.mapInPandas(run, f"h bigint, region binary, at int, doc_id bigint, {RID} bigint, start int")
+    return docs.mapInPandas(tidy(run), f"h bigint, region binary, at int, doc_id bigint, {RID} bigint, start int")
 
 
 def single_strings(rows: DataFrame) -> DataFrame:
@@ -206,7 +206,7 @@ def single_strings(rows: DataFrame) -> DataFrame:
             out = [(xxhash.xxh3_64_intdigest(t) - (1 << 63), t, *p) for t, places in best.items() for p in places]
             yield pd.DataFrame(out, columns=["h", "region", "at", "doc_id", RID, "start"]).astype({"at": "int32", "start": "int32"})
 
-    return rows.select("region", "at", "doc_id", RID, "start").mapInPandas(run, f"h bigint, region binary, at int, doc_id bigint, {RID} bigint, start int")
+    return rows.select("region", "at", "doc_id", RID, "start").mapInPandas(tidy(run), f"h bigint, region binary, at int, doc_id bigint, {RID} bigint, start int")
 
 
 class Rotations:
@@ -379,7 +379,7 @@ def merged_repeats(rows: DataFrame, parts: int) -> DataFrame:
         if held:
             yield settle()
 
-    return rows.repartition(parts, "h").sortWithinPartitions("h").mapInPandas(run, f"{RID} bigint, start int, stop int")
+    return rows.repartition(parts, "h").sortWithinPartitions("h").mapInPandas(tidy(run), f"{RID} bigint, start int, stop int")
 
 
 def removal_spans(docs: DataFrame) -> DataFrame:
@@ -404,7 +404,7 @@ def removal_spans(docs: DataFrame) -> DataFrame:
         for pdf in batches:
             yield pd.DataFrame({"k": place_key(pdf[RID].to_numpy(), pdf["start"].to_numpy()).view(np.int64)})
 
-    wanted = Bitmap(spark, judged.where("kept").select(RID, "start").mapInPandas(keys, "k bigint"), "k")
+    wanted = Bitmap(spark, judged.where("kept").select(RID, "start").mapInPandas(tidy(keys), "k bigint"), "k")
     texts = materialise(texts_of(docs, wanted), "regions")
     hot = texts.groupBy("h").agg(F.count("*").alias("m")).where(F.col("m") > HOT_REGIONS).select("h")
     if hot.isEmpty():
@@ -450,7 +450,7 @@ def span_lists(docs: DataFrame) -> DataFrame:
             rows.append((r, a, b))
         yield pd.DataFrame(rows, columns=[RID, "start", "stop"]).astype({RID: "int64", "start": "int32", "stop": "int32"})
 
-    return removal_spans(docs).mapInPandas(join, f"{RID} bigint, start int, stop int").groupBy(RID).agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    return removal_spans(docs).mapInPandas(tidy(join), f"{RID} bigint, start int, stop int").groupBy(RID).agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
 
 def dedup(source: DataFrame) -> DataFrame:
@@ -471,7 +471,7 @@ def dedup(source: DataFrame) -> DataFrame:
                 rows.append((d, len(raw), removed, n, kept))
             yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"]).astype({"doc_id": "Int64"})
 
-    return docs.join(span_lists(docs), RID, "left").select("doc_id", "text", "spans").mapInPandas(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
+    return docs.join(span_lists(docs), RID, "left").select("doc_id", "text", "spans").mapInPandas(tidy(run), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
 
 
 def dedup_rows(source: DataFrame) -> DataFrame:
@@ -493,7 +493,7 @@ def dedup_rows(source: DataFrame) -> DataFrame:
             yield pdf.assign(text=texts).drop(columns=["__lf_spans"])
 
     lists = span_lists(documents(source, key=True)).withColumnRenamed("spans", "__lf_spans")
-    return keyed.join(lists, RID, "left").drop(RID).mapInPandas(run, spec)
+    return keyed.join(lists, RID, "left").drop(RID).mapInPandas(tidy(run), spec)
 
 
 def digests(source: DataFrame) -> DataFrame:

@@ -25,6 +25,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from .common import tidy
+
 WINDOW = 16
 CHUNK_BITS = 9
 MAX_CHUNK = 1 << 14
@@ -190,10 +192,10 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", bits: int =
                 if keep_ids:
                     out["ids"] = [np.array(r[0].split(","), dtype=np.int32) if r[0] else np.zeros(0, np.int32) for r in rows]
                 yield out
-        own.clear()  # a worker lives on after the task
+        codec.cache_clear()  # a worker lives on after the task
 
     spec = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
-    return base.mapInPandas(run, f"{spec}, {added}")
+    return base.mapInPandas(tidy(run), f"{spec}, {added}")
 
 
 def digests(docs: DataFrame, path: str, bits: int = CHUNK_BITS) -> DataFrame:

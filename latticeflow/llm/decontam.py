@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 RATE = 0.1
 LEAST = 24
 PIECE = 8
@@ -176,7 +178,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, least: in
                 out = pd.DataFrame(found, columns=["doc_id", "item_id", "distance", "start", "end"])
                 yield out.astype({"doc_id": "Int64", "item_id": "Int64"})
 
-        part = rows.mapInPandas(run, "doc_id bigint, item_id bigint, distance int, start bigint, end bigint")
+        part = rows.mapInPandas(tidy(run), "doc_id bigint, item_id bigint, distance int, start bigint, end bigint")
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import labelled
+from .common import tidy
 
 FOLDS, HELD = 4, 2
 THRESHOLD = 0.7
@@ -230,7 +231,7 @@ def score_documents(docs: DataFrame, model: LineField, text: str = "text") -> Da
                 cut = pdf.iloc[lo : lo + 1000]
                 yield cut.assign(quality_score=model.score([t if isinstance(t, str) else "" for t in cut[text]]))
 
-    return base.mapInPandas(run, f"{spec}, quality_score double")
+    return base.mapInPandas(tidy(run), f"{spec}, quality_score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

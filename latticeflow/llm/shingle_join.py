@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RID, Bitmap, documents, materialise
+from .common import Bitmap, RID, documents, materialise, tidy
 from .components import connected_components, forest
 
 WORDS = 3
@@ -37,7 +37,7 @@ FREQUENT = 24
 FREQUENT_MOST = 1 << 17
 HEADS = 3
 COUNT_EVERY = 2_000_000
-WORDS_HELD = 400_000
+WORDS_HELD = 200_000
 BROADCAST_KEYS = 1 << 20
 BLOCK_SETS, BLOCK_SHINGLES, COLUMNS = 512, 1 << 20, 8192
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -145,7 +145,7 @@ def frequent_shingles(docs: DataFrame, words: int) -> np.ndarray:
         if held:
             yield flush()
 
-    rows = docs.select("text").mapInPandas(run, "t bigint, c bigint").groupBy("t").agg(F.sum("c").alias("c")).where(F.col("c") >= FREQUENT).orderBy(F.desc("c"), "t").limit(FREQUENT_MOST).select("t").collect()
+    rows = docs.select("text").mapInPandas(tidy(run), "t bigint, c bigint").groupBy("t").agg(F.sum("c").alias("c")).where(F.col("c") >= FREQUENT).orderBy(F.desc("c"), "t").limit(FREQUENT_MOST).select("t").collect()
     return np.sort(np.array([r[0] for r in rows], dtype=np.int64).view(np.uint64))
 
 
@@ -166,7 +166,7 @@ def describe(docs: DataFrame, words: int, per_cent: int) -> DataFrame:
                     met.add(v)
                 yield pd.DataFrame({RID: cut[RID], "doc_id": cut["doc_id"], "n": [len(s) for s in sets], "v": ids, "keys": [k[0].view(np.int64) for k in keys], "places": [k[1] for k in keys], "singles": [k[2] for k in keys], "often": [k[3] for k in keys], "k": [k[4] for k in keys]})
 
-    return docs.mapInPandas(run, f"{RID} bigint, doc_id {docs.schema['doc_id'].dataType.simpleString()}, n bigint, v bigint, keys array<bigint>, places array<int>, singles int, often int, k int")
+    return docs.mapInPandas(tidy(run), f"{RID} bigint, doc_id {docs.schema['doc_id'].dataType.simpleString()}, n bigint, v bigint, keys array<bigint>, places array<int>, singles int, often int, k int")
 
 
 def meeting_entries(light: DataFrame) -> DataFrame:
@@ -192,7 +192,7 @@ def meeting_entries(light: DataFrame) -> DataFrame:
             yield rows.assign(key=key[keep], place=place[keep], single=(order[keep] < rows["singles"].to_numpy()).astype(np.int32))[["key", "place", "single", "v", "n", "singles", "often", "k"]]
 
     made = light.where("size(keys) > 0").select("v", "n", "keys", "places", "singles", "often", "k")
-    return made.mapInPandas(run, "key bigint, place int, single int, v bigint, n bigint, singles int, often int, k int").distinct()
+    return made.mapInPandas(tidy(run), "key bigint, place int, single int, v bigint, n bigint, singles int, often int, k int").distinct()
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -208,7 +208,7 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                 sets = [own.sets(t) for t in pdf["text"].iloc[lo : lo + 1000]]
                 yield pd.DataFrame({"v": [set_id(s) for s in sets], "shingles": [s.view(np.int64) for s in sets]})
 
-    return docs.join(wanted, RID, "left_semi").select("text").mapInPandas(run, "v bigint, shingles array<bigint>").dropDuplicates(["v"])
+    return docs.join(wanted, RID, "left_semi").select("text").mapInPandas(tidy(run), "v bigint, shingles array<bigint>").dropDuplicates(["v"])
 
 
 def sets_of(docs: DataFrame, light: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
