@@ -7,9 +7,8 @@ its count over all training documents, and one part in the Good-Turing share sta
 are one event, as in the base.  The end of a text is a core word.
 
 Counts come from every training token.  The weights start from a bounded sample on the driver
-(START_DOCUMENTS) and then every task trains on all windows of its training documents by truncated
-backpropagation: the state goes on through every window, and every GRADIENT_EVERY-th one is propagated
-back.  The tasks' weights are averaged by tokens.
+(START_DOCUMENTS) and then every task trains on its training documents by truncated backpropagation: the
+state goes on through the windows, and each of them is propagated back.  The tasks' weights are averaged by tokens.
 Scoring runs many documents in step, longest first, and carries each one's state over all its windows.
 
 Words beyond the HEAD commonest are looked up by a join, so nothing that is broadcast grows with the corpus.
@@ -31,7 +30,7 @@ from .labelled import fold
 
 FOLDS, HELD = 7, 2
 CORE, CLASS_SIZE, SHAPES = 1024, 32, 32
-HIDDEN = 16
+HIDDEN = 24
 HIGHEST = np.float32(60)  # a logit's ceiling: its exponential still fits single precision
 ONES = np.ones(4096, np.float32)
 HEAD = 1 << 17
@@ -40,7 +39,6 @@ TOGETHER = 256
 SLAB_TOKENS = 1_000_000
 COUNTED = 1_000_000
 WORDS_HELD = 300_000
-GRADIENT_EVERY = 4
 START_DOCUMENTS, START_PASSES = 1200, 3
 START_RATE, RATE = 0.01, 0.002
 SHAPE_OF = [xxhash.xxh32_intdigest(bytes(divmod(k, 256))) % SHAPES for k in range(1 << 16)]
@@ -321,22 +319,13 @@ class Trainer:
             a = getattr(self.net, n)
             a -= np.clip(c * m / (np.sqrt(v) + np.float32(1e-7)), -0.05, 0.05)
 
-    def run(self, sequences: list[np.ndarray], every: int = 1) -> float:
-        """One pass over every window of the sequences; returns the mean loss of a token.
-
-        The state runs through all windows; one in `every`, in turn, is propagated back.
-        """
-        total, seen, turn = 0.0, 0, 0
+    def run(self, sequences: list[np.ndarray]) -> float:
+        """One pass over the sequences, the state carried on and every window propagated back; returns the mean loss of a token."""
+        total, seen = 0.0, 0
         for rows in batches_of(sequences):
             h = np.zeros((len(rows), HIDDEN), np.float32)
             for x, y, live in windows([sequences[i] for i in rows]):
                 h = h[: live[0]]
-                turn += 1
-                if turn % every:
-                    for t, m in enumerate(live):
-                        new = self.net.step(x[t, :m], h[:m])[0]
-                        h = new if m == len(h) else np.concatenate([new, h[m:]])
-                    continue
                 g, h, loss, n = self.net.gradients(x, y, live, h)
                 self.update(g, n)
                 total, seen = total + loss, seen + n
@@ -415,6 +404,14 @@ def train(docs: DataFrame, vocabulary: Vocabulary) -> Network:
     trainer = Trainer(net, START_RATE)
     for _ in range(START_PASSES):
         trainer.run(first)
+    trained = task_weights(docs, vocabulary, net)
+    values = trained.select("tokens", F.posexplode("w").alias("i", "w")).groupBy("i").agg((F.sum(F.col("w") * F.col("tokens")) / F.sum("tokens")).alias("w"))
+    got = materialise(values, "weights").orderBy("i").select("w").toPandas()["w"].to_numpy()
+    return net.load(got) if len(got) else net
+
+
+def task_weights(docs: DataFrame, vocabulary: Vocabulary, net: Network) -> DataFrame:
+    """(w, tokens) of each task: the weights after its documents, from those of net, and the tokens that were propagated back."""
     shared, key = docs.sparkSession.sparkContext.broadcast((vocabulary, net.flat())), uuid.uuid4().int
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -425,17 +422,14 @@ def train(docs: DataFrame, vocabulary: Vocabulary) -> Network:
                 held.append(sequence(known, *words.read(text)))
                 n += len(held[-1])
                 if n >= SLAB_TOKENS:
-                    trainer.run(held, GRADIENT_EVERY)
+                    trainer.run(held)
                     held, n = [], 0
         if held:
-            trainer.run(held, GRADIENT_EVERY)
+            trainer.run(held)
         if trainer.tokens:
             yield pd.DataFrame({"w": [trainer.net.flat()], "tokens": [trainer.tokens]})
 
-    trained = docs.select("text").mapInPandas(tidy(run), "w array<float>, tokens bigint")
-    values = trained.select("tokens", F.posexplode("w").alias("i", "w")).groupBy("i").agg((F.sum(F.col("w") * F.col("tokens")) / F.sum("tokens")).alias("w"))
-    got = materialise(values, "weights").orderBy("i").select("w").toPandas()["w"].to_numpy()
-    return net.load(got) if len(got) else net
+    return docs.select("text").mapInPandas(tidy(run), "w array<float>, tokens bigint")
 
 
 def score(source: DataFrame) -> DataFrame:

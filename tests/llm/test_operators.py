@@ -183,6 +183,15 @@ def test_language_model(docs, rows, empty):
     assert recurrent_lm.score(empty).count() == 0
 
 
+def test_language_model_learns_from_every_token(spark):
+    r = random.Random(5)
+    texts = [" ".join(r.choices(["w%d" % k for k in range(50)], k=r.choice([3, 40, 200, 900]))) for _ in range(40)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    vocabulary = recurrent_lm.learn_vocabulary(recurrent_lm.word_counts(docs))
+    got = recurrent_lm.task_weights(docs, vocabulary, recurrent_lm.Network(vocabulary.core)).collect()
+    assert sum(w["tokens"] for w in got) == sum(len(t.split()) + 1 for t in texts)
+
+
 def test_archives(spark):
     html = ["<p>same</p>", "<p>same</p>", None, "", "é\r\n\r\nWARC/1.0", "x" * 300_000, "<p>same</p>"]
     rows = [(i, f"http://a/{i}" if i != 3 else None, h, "z") for i, h in enumerate(html)] + [(4, "http://a/4", html[4], "z"), (None, "u v\n", "solo", "z")]
