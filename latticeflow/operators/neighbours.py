@@ -6,46 +6,140 @@ voxel and joining on the key, which costs 26 rows a voxel and never compares all
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import product
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from . import graph
 
 KEY = ["slice", "row", "col"]
 OFFSETS26 = [o for o in product((-1, 0, 1), repeat=3) if o != (0, 0, 0)]
 OFFSETS6 = [(-1, 0, 0), (1, 0, 0), (0, -1, 0), (0, 1, 0), (0, 0, -1), (0, 0, 1)]
 PASS_BYTES = 32 << 20
+TILE = 1 << 17  # pairs compared at once
 
 
-def blocks(df: DataFrame, columns: dict, limit: int = PASS_BYTES) -> DataFrame:
-    """df in one row of an array `__all`, after a check of its size; for a side that every row is compared with."""
-    rows = df.select(*[c.alias(n) for n, c in columns.items()])
-    wide = rows.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).first()
-    if wide["n"] * ((wide["d"] or 0) + 2) * 8 > limit:
-        raise ValueError(f"{wide['n']} rows are too many to compare every row with; pass a query set of at most {limit} bytes")
-    return rows.agg(F.collect_list(F.struct(*columns)).alias("__all"))
+def keyed(df: DataFrame, key: str, vector: str) -> DataFrame:
+    return df.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).alias("id"), V.doubles(vector).alias("v"))
+
+
+def blocks(queries: DataFrame, key: str, vector: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(keys, vectors) of all query rows, in blocks of at most about PASS_BYTES."""
+    keys, rows, size = [], [], 0
+    for k, x in keyed(queries, key, vector).toLocalIterator():
+        keys.append(k)
+        rows.append(np.array(x, dtype=float))
+        size += 8 * (len(x) + 2)
+        if size >= PASS_BYTES:
+            yield pd.Series(keys).to_numpy(), np.stack(rows)
+            keys, rows, size = [], [], 0
+    if keys:
+        yield pd.Series(keys).to_numpy(), np.stack(rows)
+
+
+def compared(queries: DataFrame, base: DataFrame, key: str, vector: str, spec: str, run: Callable, finish: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """finish(rows of `spec` from run(keys, vectors, batches of base)) for each block of queries.
+
+    The base stays distributed and may have any size; one block at a time is sent to its tasks, and a pass
+    is settled before the next begins.  Rows without a key or a vector have no part in it.
+    """
+    rows = keyed(base, key, vector)
+    parts, sent = [], None
+    for block in blocks(queries, key, vector):
+        if parts:
+            parts[-1] = graph.settle(parts[-1])
+            sent.unpersist()
+        sent = base.sparkSession.sparkContext.broadcast(block)
+        parts.append(finish(rows.mapInPandas(lambda it, s=sent: run(*s.value, it), spec)))
+    if not parts:
+        return finish(base.sparkSession.createDataFrame([], spec))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def tiles(q: np.ndarray, batches: Iterator[pd.DataFrame], term: Callable, prepare: Callable = np.asarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(lo, hi, ids, sums): term summed over the places, for the queries [lo, hi) and a batch of base rows.
+
+    Places are added from first to last, as V.total does, so equal vectors have equal sums wherever they stand.
+    """
+    q = prepare(q)
+    for pdf in batches:
+        if len(pdf):
+            ids, x = pdf["id"].to_numpy(), np.ascontiguousarray(prepare(np.stack(pdf["v"].to_numpy()).astype(float)).T)
+            step = max(1, TILE // len(ids))
+            for lo in range(0, len(q), step):
+                own = q[lo : lo + step]
+                sums = np.zeros((len(own), len(ids)))
+                for a, b in zip(own.T, x, strict=True):
+                    sums += term(a[:, None], b)
+                yield lo, lo + len(own), ids, sums
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1, as V.normalize gives them; zero rows stay as they are."""
+    n = np.zeros(len(x))
+    for a in x.T:
+        n += a * a
+    n = np.sqrt(n)[:, None]
+    return np.divide(x, n, out=x.copy(), where=n != 0)
+
+
+def axial(q: np.ndarray, batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    for lo, hi, ids, dots in tiles(q, batches, np.multiply, unit):
+        yield lo, hi, ids, np.arccos(np.fmin(1.0, np.abs(dots)))
+
+
+def first_k(q: np.ndarray, angle: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    order = np.lexsort((ids, angle, q))
+    q, angle, ids = q[order], angle[order], ids[order]
+    keep = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return q[keep], angle[keep], ids[keep]
 
 
 def nearest_axes(queries: DataFrame, base: DataFrame, key: str, vector: str, k: int, itself: bool = False) -> DataFrame:
     """(key, rank, neighbour, angle): the k base axes nearest to each query, ties to the smaller key.
 
-    base is a direction set or another side of a checked size.
+    A task keeps the k nearest of its own base rows for each query; only those are shuffled.
     """
-    table = blocks(base, {"id": F.col(key), "v": V.normalize(V.doubles(vector))})
-    v = V.normalize(V.doubles(vector))
-    near = F.transform(F.filter("__all", lambda b: F.lit(itself) | (b["id"] != F.col(key))), lambda b: F.struct(F.round(F.acos(F.least(F.lit(1.0), F.abs(V.dot(F.col("__v"), b["v"])))), 9).alias("angle"), b["id"].alias("neighbour")))
-    rows = queries.withColumn("__v", v).join(F.broadcast(table)).select(key, F.posexplode(F.slice(F.array_sort(near), 1, k)).alias("rank", "e"))
-    return rows.select(key, "rank", F.col("e.neighbour").alias("neighbour"), F.col("e.angle").alias("angle"))
+    kind = base.schema[key].dataType.simpleString()
+
+    def run(keys: np.ndarray, q: np.ndarray, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best, fresh = None, []
+        for lo, hi, ids, angle in axial(q, batches):
+            angle = np.round(angle, 9)
+            if not itself:
+                angle[keys[lo:hi, None] == ids] = np.inf
+            kth = np.partition(angle, k - 1, axis=1)[:, k - 1 : k] if k < len(ids) else np.inf
+            i, j = np.nonzero((angle <= kth) & (angle < np.inf))
+            fresh.append(first_k(i + lo, angle[i, j], ids[j], k))
+            if hi == len(q):
+                best = first_k(*[np.concatenate(x) for x in zip(*([best] if best else []), *fresh, strict=True)], k)
+                fresh = []
+        if best:
+            yield pd.DataFrame({"q": best[0], key: keys[best[0]], "angle": best[1], "neighbour": best[2]})
+
+    def finish(rows: DataFrame) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy("q").orderBy("angle", "neighbour")) - 1
+        return rows.withColumn("rank", rank).where(F.col("rank") < k).select(key, "rank", "neighbour", "angle")
+
+    return compared(queries, base, key, vector, f"q bigint, {key} {kind}, angle double, neighbour {kind}", run, finish)
 
 
 def axes_within(queries: DataFrame, base: DataFrame, key: str, vector: str, most: float) -> DataFrame:
     """(key, neighbour, angle) of base axes at most `most` radians from each query, itself left out."""
-    table = blocks(base, {"id": F.col(key), "v": V.normalize(V.doubles(vector))})
-    rows = queries.withColumn("__v", V.normalize(V.doubles(vector))).join(F.broadcast(table)).select(key, "__v", F.explode("__all").alias("b"))
-    angle = F.acos(F.least(F.lit(1.0), F.abs(V.dot(F.col("__v"), F.col("b.v")))))
-    return rows.where(F.col("b.id") != F.col(key)).select(key, F.col("b.id").alias("neighbour"), angle.alias("angle")).where(F.col("angle") <= most)
+    kind = base.schema[key].dataType.simpleString()
+
+    def run(keys: np.ndarray, q: np.ndarray, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for lo, hi, ids, angle in axial(q, batches):
+            i, j = np.nonzero((angle <= most) & (keys[lo:hi, None] != ids))
+            yield pd.DataFrame({key: keys[lo:hi][i], "neighbour": ids[j], "angle": angle[i, j]})
+
+    return compared(queries, base, key, vector, f"{key} {kind}, neighbour {kind}, angle double", run, lambda rows: rows)
 
 
 def codify(queries: DataFrame, base: DataFrame, key: str, vector: str, k: int) -> DataFrame:
@@ -56,9 +150,14 @@ def codify(queries: DataFrame, base: DataFrame, key: str, vector: str, k: int) -
 
 def pair_sqr_distances(queries: DataFrame, base: DataFrame, key: str, vector: str) -> DataFrame:
     """(i, j, d) with i < j: squared distance of each query to the base rows after it."""
-    table = blocks(base, {"id": F.col(key), "v": V.doubles(vector)})
-    rows = queries.join(F.broadcast(table)).select(F.col(key).alias("i"), V.doubles(vector).alias("v"), F.explode("__all").alias("b"))
-    return rows.where(F.col("i") < F.col("b.id")).select("i", F.col("b.id").alias("j"), V.sqr_distance(F.col("v"), F.col("b.v")).alias("d"))
+    kind = base.schema[key].dataType.simpleString()
+
+    def run(keys: np.ndarray, q: np.ndarray, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for lo, hi, ids, d in tiles(q, batches, lambda a, b: (a - b) ** 2):
+            i, j = np.nonzero(keys[lo:hi, None] < ids)
+            yield pd.DataFrame({"i": keys[lo:hi][i], "j": ids[j], "d": d[i, j]})
+
+    return compared(queries, base, key, vector, f"i {kind}, j {kind}, d double", run, lambda rows: rows)
 
 
 def shifted(voxels: DataFrame, values: list[str], offsets: list[tuple[int, int, int]]) -> DataFrame:
