@@ -163,24 +163,21 @@ def largest_eigenpairs(m: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return values[::-1][:k], vectors[:, ::-1][:, :k]
 
 
-LANDMARKS = 512
+def euclidean_scaling(df: DataFrame, key: str, vector: str, k: int) -> DataFrame:
+    """(key, x): classical scaling of the Euclidean distances between all rows of a table of any size.
 
-
-def landmark_scaling(df: DataFrame, key: str, vector: str, k: int) -> DataFrame:
-    """(key, x): scaling of a table of any size through at most LANDMARKS rows, chosen by a hash, and each row's distances to them."""
-    marks = df.select(V.doubles(vector).alias("v")).orderBy(F.xxhash64(key), key).limit(LANDMARKS).collect()
-    m = np.array([r[0] for r in marks])
-    d2 = ((m[:, None] - m[None]) ** 2).sum(2)
-    j = linalg.centring(len(m))
-    values, vectors = linalg.symmetric_eigen(-0.5 * j @ d2 @ j)
-    keep = np.flatnonzero(values > 1e-9)[::-1][:k]
-    pinv, mean = vectors[:, keep] / np.sqrt(values[keep]), d2.mean(0)
+    The doubly centred squares are the products of the centred rows, so the axes are the leading eigenvectors of
+    their d x d scatter, and a row's place is its projection on them.
+    """
+    total, per = scatter(df, vector)
+    n, mean = per[0]
+    values, vectors = linalg.symmetric_eigen(total - n * np.outer(mean, mean))
+    axes = vectors[:, np.flatnonzero(values > 1e-9)[::-1][:k]]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             v = np.stack(pdf["v"].to_numpy())
-            d = ((v[:, None] - m[None]) ** 2).sum(2)
-            yield pd.DataFrame({key: pdf[key], "x": list(-0.5 * (d - mean) @ pinv)})
+            yield pd.DataFrame({key: pdf[key], "x": list((v - mean) @ axes)})
 
     return df.select(key, V.doubles(vector).alias("v")).mapInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, x array<double>")
 

@@ -137,7 +137,7 @@ def lda_cross_validation(spark, sf):
 
 @query
 def mds(spark, sf):
-    return clustering.landmark_scaling(read(spark, sf, "embeddings"), "vec_id", "embedding", 3)
+    return clustering.euclidean_scaling(read(spark, sf, "embeddings"), "vec_id", "embedding", 3)
 
 
 @query
