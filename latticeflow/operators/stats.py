@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,20 +101,37 @@ def nearest_centroid(df: DataFrame, centres: DataFrame, vector: str, label: str,
     return df.join(F.broadcast(table)).withColumn("best", best).select(*keep, F.col("best.label").alias("predicted"), F.col("best.dist").alias("dist"))
 
 
-def raw_second_moment(df: DataFrame, vector: str, places: int) -> DataFrame:
-    """(i, j, s): sum of products over n - 1, not centred, for the first `places` places."""
-    v = F.slice(V.doubles(vector), 1, places)
-    pairs = F.explode(F.flatten(F.transform(v, lambda x, i: F.transform(v, lambda y, j: F.struct(i.alias("i"), j.alias("j"), (x * y).alias("p"))))))
-    n = df.where(F.col(vector).isNotNull()).agg(F.count("*").alias("n"))
-    sums = df.select(pairs.alias("e")).groupBy(F.col("e.i").alias("i"), F.col("e.j").alias("j")).agg(F.sum("e.p").alias("s"))
-    return sums.join(F.broadcast(n)).select("i", "j", (F.col("s") / (F.col("n") - 1)).alias("s"))
+def products(df: DataFrame, vector: str, origin: np.ndarray | float = 0.0) -> DataFrame:
+    """(i, j, n, p, si, sj): rows, and sums of x_i x_j, x_i and x_j from an origin, for every two places; one d x d part a task."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, s, p = 0, 0.0, 0.0
+        for pdf in batches:
+            if len(pdf):
+                x = np.stack(pdf["v"].to_numpy()) - origin
+                n, s, p = n + len(x), s + x.sum(0), p + x.T @ x
+        if n:
+            i, j = np.divmod(np.arange(p.size), len(p))
+            yield pd.DataFrame({"i": i, "j": j, "n": n, "p": p.reshape(-1), "si": s[i], "sj": s[j]})
+
+    rows = df.select(V.doubles(vector).alias("v")).where("v is not null")
+    parts = rows.mapInPandas(run, "i int, j int, n bigint, p double, si double, sj double")
+    return parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "p", "si", "sj")])
+
 
+def raw_second_moment(df: DataFrame, vector: str) -> DataFrame:
+    """(i, j, s): sum of products over n - 1, not centred, for every two places; null of a single row."""
+    return products(df, vector).select("i", "j", F.when(F.col("n") > 1, F.col("p") / (F.col("n") - 1)).alias("s"))
 
-def centred_covariance(df: DataFrame, vector: str, places: int) -> DataFrame:
-    """(i, j, s): the sample covariance of the first `places` places, in one pass."""
-    v = F.slice(V.doubles(vector), 1, places)
-    pairs = F.explode(F.flatten(F.transform(v, lambda x, i: F.transform(v, lambda y, j: F.struct(i.alias("i"), j.alias("j"), x.alias("x"), y.alias("y"))))))
-    return df.select(pairs.alias("e")).groupBy(F.col("e.i").alias("i"), F.col("e.j").alias("j")).agg(F.covar_samp("e.x", "e.y").alias("s"))
+
+def centred_covariance(df: DataFrame, vector: str) -> DataFrame:
+    """(i, j, s): the sample covariance of every two places, in one pass; null of a single row.
+
+    Sums run from one of the rows, so a mean that is far from 0 costs no digits.
+    """
+    first = df.select(V.doubles(vector).alias("v")).where("v is not null").first()
+    sums = products(df, vector, np.array(first["v"]) if first else 0.0)
+    return sums.select("i", "j", F.when(F.col("n") > 1, (F.col("p") - F.col("si") * F.col("sj") / F.col("n")) / (F.col("n") - 1)).alias("s"))
 
 
 def entropy(df: DataFrame, category: str) -> DataFrame:
