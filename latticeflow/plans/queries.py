@@ -290,15 +290,24 @@ def graph_asymmetry(spark, sf):
     return rounded(graph.asymmetry(knn_graph(spark, sf).withColumn("w", F.col("w") + F.col("src") % 3)), "asymmetry")
 
 
-def bright(spark, sf) -> tuple[DataFrame, DataFrame]:
-    v = lattice(spark, sf).where("id * 7919 % 100 < 40")
+def bright(spark, sf, mask) -> tuple[DataFrame, DataFrame]:
+    v = lattice(spark, sf).where(mask)
     e = neighbours.neighbours(v.select("slice", "row", "col", "id"), ["id"], neighbours.OFFSETS6)
     return v.select("id"), e.select(F.col("id").alias("src"), F.col("n_id").alias("dst"))
 
 
 @query(f"WITH RECURSIVE {LATTICE_SQL}, b AS (SELECT * FROM lat WHERE id * 7919 % 100 < 40), ed AS (SELECT p.id AS src, q.id AS dst FROM b p JOIN b q ON abs(p.slice - q.slice) + abs(p.row_ - q.row_) + abs(p.col_ - q.col_) = 1), reach AS (SELECT id AS src, id AS dst FROM b UNION SELECT reach.src, ed.dst FROM reach JOIN ed ON ed.src = reach.dst), comp AS (SELECT src AS id, min(dst) AS c FROM reach GROUP BY src), best AS (SELECT c FROM comp GROUP BY c ORDER BY count(*) DESC, c LIMIT 1) SELECT id FROM comp WHERE c IN (SELECT c FROM best)")
 def largest_component(spark, sf):
-    vertices, edges = bright(spark, sf)
+    """Of the voxels that its SQL takes by their ids; largest_bright_component goes by the value."""
+    vertices, edges = bright(spark, sf, "id * 7919 % 100 < 40")
+    return graph.largest_component(vertices, edges)
+
+
+@query()
+def largest_bright_component(spark, sf):
+    """Of all voxels whose value is over the mean value."""
+    mean = lattice(spark, sf).agg(F.avg("v")).first()[0]
+    vertices, edges = bright(spark, sf, F.col("v") > F.lit(mean))
     return graph.largest_component(vertices, edges)
 
 
