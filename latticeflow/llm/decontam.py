@@ -6,6 +6,9 @@ each possible place.  The same argument holds for every group of neighbouring pi
 edits), so a hit is verified up the tree of halves: two pieces with one edit, four with three, and at
 last the whole item with k, each with Myers' bit-parallel distance over a short window.
 
+Items of fewer than LEAST characters must stand whole and unedited, from one blank or end of the text to
+another: a piece of so short an item stands in too many texts by chance.
+
 Texts and items are compared in lower case with everything but letters and digits made one blank.
 """
 
@@ -24,7 +27,6 @@ from .common import tidy
 
 RATE = 0.1
 LEAST = 24
-PIECE = 8
 BLOCK_CHARS = 4_000_000
 OTHERS = re.compile(r"[\W_]+")
 
@@ -75,6 +77,7 @@ class Node:
     parent: int = -1
     text: str = ""
     peq: dict = field(default_factory=dict)
+    whole: bool = False  # counts only between blanks or ends of the text
 
 
 class ItemIndex:
@@ -83,13 +86,15 @@ class ItemIndex:
     def __init__(self, items: list[tuple[int, str]], rate: float = RATE, least: int = LEAST):
         import ahocorasick
 
-        self.items = [(i, t) for i, raw in items if len(t := normalise(raw)) >= least]
+        self.items = [(i, t) for i, raw in items if (t := normalise(raw))]
         self.nodes: list[Node] = []
         pieces: dict[str, list[int]] = defaultdict(list)
         for n, (_, text) in enumerate(self.items):
-            k = max(0, min(int(rate * len(text)), len(text) // PIECE - 1))
+            k = min(int(rate * len(text)), len(text) - 1) if len(text) >= least else 0
             cuts = [len(text) * j // (k + 1) for j in range(k + 2)]
+            top = len(self.nodes)
             self._grow(n, text, cuts, 0, k + 1, -1, pieces)
+            self.nodes[top].whole = len(text) < least
         self.automaton = ahocorasick.Automaton()
         for piece, leaves in pieces.items():
             self.automaton.add_word(piece, (len(piece), tuple(leaves)))
@@ -114,7 +119,7 @@ class ItemIndex:
         Places count in characters of the normalised text; the leftmost of the least distance is given.
         """
         text = normalise(raw)
-        if self.empty or len(text) < LEAST // 2:
+        if self.empty or not text:
             return []
         best: dict[int, tuple[int, int, int]] = {}
         tried: set[tuple[int, int]] = set()
@@ -122,6 +127,8 @@ class ItemIndex:
             at = end - size + 1
             for leaf in leaves:
                 node = self.nodes[leaf]
+                if node.whole and not (text[at - 1 : at] in ("", " ") and text[end + 1 : end + 2] in ("", " ")):
+                    continue
                 base = at - node.start
                 up, passed = node.parent, True
                 # Drift between the hit and the rest is at most the budget of what is compared.
@@ -159,7 +166,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, least: in
 
     The items go to the tasks in blocks of at most about `block_chars` characters, one pass over the
     documents for each block, so nothing that is broadcast grows with the inputs.  Items of fewer than
-    `least` characters after normalising, null items and null or empty texts match nothing.  Items that
+    `least` characters after normalising match where they stand whole and unedited between blanks; null and
+    empty items (after normalising) and null or empty texts match nothing.  Items that
     repeat under other ids each match; rows that repeat a document each have their rows.
     """
     items = benchmark.where(F.col("text").isNotNull()).select("item_id", "text").distinct()
