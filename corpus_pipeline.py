@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latticeflow.llm import bwt_dedup, chunk_bpe, decontam, line_crf, shingle_join
-from latticeflow.llm.common import RID, fresh_path, row_key
+from latticeflow.llm.common import RID, fresh_path, materialise, row_key
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -24,14 +24,20 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component, that with the smallest doc_id (five words to a shingle, similarity 0.8).
+    """One row of each component, that with the smallest doc_id (five words to a shingle, similarity 0.8).
 
-    Texts without words are no copies of one another and stay.  Rows that repeat a doc_id and text stay
-    or go together, as one document.
+    A null doc_id comes after all others; texts that share the smallest doc_id go by __lf_rid, and rows that
+    repeat a doc_id and text by all their columns.  Texts without words are no copies of one another and stay.
     """
     groups = shingle_join.near_groups(docs, words=5, per_cent=80)
-    keep = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(RID).distinct()
-    return docs.withColumn(RID, row_key()).join(keep, RID, "left_semi").select(*docs.columns)
+    alone = groups.where("comp is null").select(RID, F.lit(False).alias("repeated")).distinct()
+    each = groups.where("comp is not null").groupBy("comp", RID).agg(F.min("doc_id").alias("doc_id"), (F.count("*") > 1).alias("repeated"))
+    first = each.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", RID, "repeated")).alias("e"))
+    keep = materialise(first.select(f"e.{RID}", "e.repeated").unionByName(alone), "kept")
+    rows = docs.withColumn(RID, row_key())
+    once = rows.join(keep.where("not repeated"), RID, "left_semi").select(*docs.columns)
+    more = rows.join(keep.where("repeated"), RID, "left_semi").groupBy(RID).agg(F.min(F.struct(*docs.columns)).alias("e"))
+    return once.unionByName(more.select("e.*"))
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

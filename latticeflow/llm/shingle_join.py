@@ -278,13 +278,13 @@ def link_clusters(members: DataFrame, sets: DataFrame, per_cent: int) -> DataFra
 
 
 def near_groups(source: DataFrame, words: int = WORDS, per_cent: int = PER_CENT) -> DataFrame:
-    """__lf_rid, doc_id, n_shingles, component_id of each document (component_id: smallest doc_id reachable).
+    """__lf_rid, doc_id, n_shingles, component_id, comp of each document (component_id: smallest doc_id reachable).
 
     Words are what stands between ASCII white space, A-Z in lower case; a shorter text is one shingle; a
     text without words (null and empty ones too) has no shingle and is alone.  Documents with a null
     doc_id take part; a component whose ids are all null has a null component_id.  Rows equal in doc_id
     and text are one document with one result each; rows that share a doc_id but not a text are
-    documents of their own.
+    documents of their own.  comp tells components apart that share a component_id; a text without words has none.
     """
     docs = documents(source, key=True)
     light = materialise(describe(docs, words, per_cent), "prefixes")
@@ -323,6 +323,6 @@ def near_groups(source: DataFrame, words: int = WORDS, per_cent: int = PER_CENT)
         comps = connected_components(links.unionByName(more))
     found = light.where("n > 0").select(RID, "doc_id", "n", "v").join(comps, "v", "left").withColumn("comp", F.coalesce("comp", "v"))
     least = found.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    out = found.join(least, "comp").select(RID, "doc_id", F.col("n").alias("n_shingles"), "component_id")
-    alone = light.where("n = 0").select(RID, "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    out = found.join(least, "comp").select(RID, "doc_id", F.col("n").alias("n_shingles"), "component_id", "comp")
+    alone = light.where("n = 0").select(RID, "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("bigint").alias("comp"))
     return out.unionByName(alone)
