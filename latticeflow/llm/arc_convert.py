@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path
+from .common import fresh_path, tidy
 
 # The field lists of the two versions of the format.
 FIELDS = {
@@ -175,18 +175,20 @@ def convert(pages: DataFrame, out: str) -> DataFrame:
                     arc.append(arc_header(f"part-{turn}.arc", version))
                     size = len(arc[0])
                 payload = html.encode("utf-8")
-                own = "" if pd.isna(page) else str(int(page))
+                own = "" if page is None else page
                 head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Page-Id: {own}\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
                 arc.append(arc_record(version, url if isinstance(url, str) else "-", head + payload, offset=size))
                 size += len(arc[-1])
-                refers.append(None if pd.isna(ref) else str(int(ref)))
+                refers.append(ref)
                 if size >= FILE_BYTES:
                     yield flush()
                     arc, size, refers = [], 0, []
             if refers:
                 yield flush()
 
-    with_roles(pages).mapInPandas(run, "n_records int, content binary").write.option("compression", "zstd").parquet(out)
+    # Ids go as texts: a whole number beside a null would lose its last digits on the way.
+    rows = with_roles(pages).withColumns({c: F.col(c).cast("string") for c in ("page_id", "refers_to")})
+    rows.mapInPandas(tidy(run), "n_records int, content binary").write.option("compression", "zstd").parquet(out)
     return pages.sparkSession.read.parquet(out)
 
 
@@ -208,10 +210,11 @@ def read_back(files: DataFrame) -> DataFrame:
                     page = http.get("x-page-id", "")
                     ref = fields.get("X-Refers-To-Page")
                     rows.append((int(page) if page else None, size, digest, fields["WARC-Type"], int(ref) if ref else None, fields["WARC-Record-ID"], fields["WARC-Target-URI"]))
-                out = pd.DataFrame(rows, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "warc_record_id", "url"])
-                yield out.astype({"page_id": "Int64", "refers_to": "Int64"})
+                names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "warc_record_id", "url"]
+                out = dict(zip(names, zip(*rows, strict=True), strict=True)) if rows else {n: [] for n in names}
+                yield pd.DataFrame({n: pd.array(list(out[n]), dtype="Int64") if n in ("page_id", "refers_to") else list(out[n]) for n in names})
 
-    return files.select("content").mapInPandas(run, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, warc_record_id string, url string")
+    return files.select("content").mapInPandas(tidy(run), "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, warc_record_id string, url string")
 
 
 def round_trip(pages: DataFrame) -> DataFrame:

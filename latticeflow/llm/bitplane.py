@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunk_bpe import byte_alphabet
-from .common import documents, fresh_path, width
+from .common import documents, fresh_path, tidy, width
 
 MAGIC = b"LFPLANE1"
 BLOCK = 1 << 16
@@ -221,14 +221,15 @@ def write_planes(docs: DataFrame, path: str, out: str, planes: str = "byte", blo
                 ids, lengths = own.encode(cut["text"].tolist(), end_id)
                 held.append(ids)
                 sizes += lengths.tolist()
-                names += [None if pd.isna(d) else int(d) for d in cut["doc_id"]]
+                names += [None if d is None else int(d) for d in cut["doc_id"]]
                 total += len(ids)
                 if total >= FILE_IDS:
                     yield flush()
         if held:
             yield flush()
 
-    rows.mapInPandas(run, "part int, seq int, first bigint, n_ids bigint, content binary").write.option("compression", "uncompressed").parquet(out)
+    rows = rows.withColumn("doc_id", F.col("doc_id").cast("string"))  # a whole number beside a null would lose its last digits
+    rows.mapInPandas(tidy(run), "part int, seq int, first bigint, n_ids bigint, content binary").write.option("compression", "uncompressed").parquet(out)
     return spark.read.parquet(out)
 
 
@@ -256,7 +257,7 @@ def read_planes(files: DataFrame) -> DataFrame:
                     "ids_crc32": np.array([zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], dtype=np.int64),
                 })
 
-    return files.select("part", "first", "content").mapInPandas(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return files.select("part", "first", "content").mapInPandas(tidy(run), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def plane_digests(docs: DataFrame, path: str, planes: str = "byte") -> DataFrame:

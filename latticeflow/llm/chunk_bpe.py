@@ -18,14 +18,14 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import tidy
+from .common import each_text
 
 WINDOW = 16
 CHUNK_BITS = 9
@@ -175,27 +175,24 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", bits: int =
     the empty text: no ids, digests of the empty string.  Columns of docs named like a result give way
     to it.  No shuffle; a task holds one Arrow batch and a chunk table of at most about 50 MB.
     """
-    added = "n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
+    kind = "n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
     base = docs.drop("n_tokens", "ids_sha256", "decoded_sha256", "ids")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(texts: list[str]) -> pd.DataFrame:
         own = codec(path, bits)
-        for pdf in batches:
-            for lo in range(0, len(pdf), 500):
-                cut = pdf.iloc[lo : lo + 500]
-                rows = [own.encode(t if isinstance(t, str) else "") for t in cut[text]]
-                out = cut.assign(
-                    n_tokens=np.array([r[1] for r in rows], dtype=np.int64),
-                    ids_sha256=[hashlib.sha256(r[0].encode()).hexdigest() for r in rows],
-                    decoded_sha256=[hashlib.sha256(r[2].encode("utf-8")).hexdigest() for r in rows],
-                )
-                if keep_ids:
-                    out["ids"] = [np.array(r[0].split(","), dtype=np.int32) if r[0] else np.zeros(0, np.int32) for r in rows]
-                yield out
-        codec.cache_clear()  # a worker lives on after the task
-
-    spec = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
-    return base.mapInPandas(tidy(run), f"{spec}, {added}")
+        rows = [own.encode(t) for t in texts]
+        out = pd.DataFrame({
+            "n_tokens": np.array([r[1] for r in rows], dtype=np.int64),
+            "ids_sha256": [hashlib.sha256(r[0].encode()).hexdigest() for r in rows],
+            "decoded_sha256": [hashlib.sha256(r[2].encode("utf-8")).hexdigest() for r in rows],
+        })
+        if keep_ids:
+            out["ids"] = [np.array(r[0].split(","), dtype=np.int32) if r[0] else np.zeros(0, np.int32) for r in rows]
+        return out
+
+    made = base.withColumn("__lf_bpe", each_text(run, kind, text, close=codec.cache_clear))  # a worker lives on after the task
+    names = ["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * keep_ids
+    return made.select(*[F.col(f"`{c}`") for c in base.columns], *[F.col(f"__lf_bpe.{n}").alias(n) for n in names])
 
 
 def digests(docs: DataFrame, path: str, bits: int = CHUNK_BITS) -> DataFrame:

@@ -6,27 +6,33 @@ import ctypes
 import functools
 import gc
 import platform
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RID = "__lf_rid"
 NULL_ID = -(1 << 63)
 BITMAP_BITS = 1 << 27
+AT_ONCE = 500
+SALT = 16
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Only where the session has none (a local test) is a temporary folder made and kept for its life.
+    Only a local session that has none gets a temporary folder, kept for its life; on a cluster it is an error.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="latticeflow-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -62,6 +68,15 @@ def width(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
 
 
+def spread_join(rows: DataFrame, few: DataFrame, key: str, own: str) -> DataFrame:
+    """rows left-joined with few (one row for each of its keys), each key of rows dealt over SALT tasks by a hash of own.
+
+    However many rows share one key, no task reads more than a SALT-th of them.
+    """
+    few = few.withColumn("__lf_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return rows.withColumn("__lf_salt", F.pmod(F.xxhash64(own), F.lit(SALT)).cast("int")).join(few, [key, "__lf_salt"], "left").drop("__lf_salt")
+
+
 class Bitmap:
     """A set of 64-bit hashes as a bit array of fixed size: it may say yes too often, never no."""
 
@@ -77,7 +92,7 @@ class Bitmap:
             yield pd.DataFrame({"blk": list(own), "bits": [np.packbits(x).tobytes() for x in own.values()]}).astype({"blk": "int32"})
 
         table = np.zeros((BITMAP_BITS >> 12, 512), dtype=np.uint8)
-        for r in cut.mapInPandas(run, "blk int, bits binary").toLocalIterator():
+        for r in cut.mapInPandas(tidy(run), "blk int, bits binary").collect():  # at most BITMAP_BITS in all
             table[r["blk"]] |= np.frombuffer(r["bits"], dtype=np.uint8)
         self.shared = spark.sparkContext.broadcast(table.reshape(-1).tobytes())
 
@@ -93,14 +108,36 @@ class Bitmap:
         return (table[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1 == 1
 
 
-def tidy(run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """run, giving its memory back at the end of a task: workers live on, and glibc keeps what is freed."""
+def give_back() -> None:
+    """Return what is free to the system: workers live on after a task, and both allocators keep what is freed."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if platform.libc_ver()[0] == "glibc":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, giving its memory back at the end of a task."""
 
     @functools.wraps(run)
-    def wrapped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def wrapped(batches: Iterator) -> Iterator:
         yield from run(batches)
-        gc.collect()
-        if platform.libc_ver()[0] == "glibc":
-            ctypes.CDLL(None).malloc_trim(0)
+        give_back()
 
     return wrapped
+
+
+def each_text(run: Callable[[list[str]], pd.DataFrame], kind: str, text: str = "text", close: Callable[[], None] = lambda: None) -> Column:
+    """A struct column made from the text column alone (null: empty), some hundred texts at a time.
+
+    Only the texts cross to Python; all other columns stay in the JVM as they are, whatever their types.
+    """
+
+    def texts(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            own = batch.to_numpy()
+            made = [run(own[lo : lo + AT_ONCE].tolist()) for lo in range(0, len(own), AT_ONCE)]
+            yield pd.concat(made, ignore_index=True) if len(made) != 1 else made[0]
+        close()
+
+    return F.pandas_udf(tidy(texts), kind)(F.coalesce(F.col(text), F.lit("")))

@@ -41,7 +41,7 @@ def contract(edges: DataFrame) -> DataFrame:
     return edges.mapInPandas(run, f"a {kind}, b {kind}")
 
 
-def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(v, comp): comp is the smallest vertex reachable from v; only vertices with an edge to another appear.
 
     edges has columns a and b of one orderable type, in either direction, repeated or not; self-loops
@@ -51,7 +51,7 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     now = edges.select("a", "b").where("a is not null and b is not null and a != b")
     now = materialise(contract(now).distinct(), "edges")
     last = None
-    for _ in range(most_rounds):
+    while True:
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if seen == last or not seen[0]:
             break

@@ -19,6 +19,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -173,7 +174,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, least: in
     items = benchmark.where(F.col("text").isNotNull()).select("item_id", "text").distinct()
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-int(total) // block_chars))
-    rows = docs.select("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")  # a whole number beside a null would lose its last digits
     out = None
     for b in range(blocks):
         own = [(r["item_id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()]
@@ -183,12 +184,15 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, least: in
             index = ItemIndex(shared.value, rate, least)
             for pdf in batches:
                 found = [(d, *m) for d, t in zip(pdf["doc_id"], pdf["text"], strict=True) if isinstance(t, str) for m in index.find(t)]
-                out = pd.DataFrame(found, columns=["doc_id", "item_id", "distance", "start", "end"])
-                yield out.astype({"doc_id": "Int64", "item_id": "Int64"})
+                columns = list(zip(*found, strict=True)) if found else [()] * 5
+                yield pd.DataFrame({
+                    "doc_id": pd.array(columns[0], dtype="string"), "item_id": pd.array(columns[1], dtype="Int64"),
+                    "distance": np.array(columns[2], np.int32), "start": np.array(columns[3], np.int64), "end": np.array(columns[4], np.int64),
+                })
 
-        part = rows.mapInPandas(tidy(run), "doc_id bigint, item_id bigint, distance int, start bigint, end bigint")
+        part = rows.mapInPandas(tidy(run), "doc_id string, item_id bigint, distance int, start bigint, end bigint")
         out = part if out is None else out.unionByName(part)
-    return out
+    return out.withColumn("doc_id", F.col("doc_id").cast("bigint"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:

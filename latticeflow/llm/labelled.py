@@ -18,12 +18,14 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int
     """(text, label) of at most `limit` labelled documents outside the held-out fold, in the order of a hash of doc_id.
 
     The bounds are parameters of the fit alone: whole texts are taken until they exceed `most_bytes` in
-    all (the first is always taken).  A doc_id labelled twice has the smaller label; null labels, null
-    ids and labels without a document don't count.
+    all (the first is always taken).  A doc_id labelled twice has the smaller label, and one with several
+    texts the least of them; null labels, null ids and labels without a document don't count.
     """
     chosen = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).where(fold("doc_id", folds) != held)
-    chosen = chosen.groupBy("doc_id").agg(F.min(label).cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    chosen = chosen.groupBy("doc_id").agg(F.min(label).cast("int").alias("y")).join(docs.select("doc_id"), "doc_id", "left_semi")
+    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.min("y").alias("y"), F.min("text").alias("text"))
     sizes = sorted((r["h"], r["doc_id"], r["n"]) for r in rows.select(F.xxhash64("doc_id").alias("h"), "doc_id", F.octet_length("text").alias("n")).collect())
     total, last = 0, 0
     for k, (_, _, n) in enumerate(sizes):
@@ -33,4 +35,4 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int
         last = k + 1
     if last < len(sizes):
         rows = rows.where(F.col("doc_id").isin([d for _, d, _ in sizes[:last]]))
-    return [(r["text"], r["y"]) for r in sorted(rows.collect(), key=lambda r: (r["doc_id"], r["text"]))]
+    return [(r["text"], r["y"]) for r in sorted(rows.collect(), key=lambda r: r["doc_id"])]

@@ -11,15 +11,13 @@ least its worst line) and fits again.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import labelled
-from .common import tidy
+from .common import each_text
 
 FOLDS, HELD = 4, 2
 THRESHOLD = 0.7
@@ -217,25 +215,25 @@ def fit_on(docs: DataFrame, labels: DataFrame, limit: int = labelled.FIT_DOCUMEN
     return fit(labelled.sample(docs, labels, "quality", FOLDS, HELD, limit))
 
 
+def quality_score(model: LineField, text: str = "text") -> Column:
+    """The model's score of the text column: a null or empty text is one empty line and scores as the model says for that."""
+    return each_text(lambda texts: pd.DataFrame({"p": model.score(texts)}), "p double", text)["p"]
+
+
 def score_documents(docs: DataFrame, model: LineField, text: str = "text") -> DataFrame:
-    """docs' columns and `quality_score`: a null or empty text is one empty line and scores as the model says for that.
+    """docs' columns and quality_score().
 
     No shuffle; the model is a few hundred numbers.
     """
-    base = docs.drop("quality_score")
-    spec = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for lo in range(0, len(pdf), 1000):
-                cut = pdf.iloc[lo : lo + 1000]
-                yield cut.assign(quality_score=model.score([t if isinstance(t, str) else "" for t in cut[text]]))
-
-    return base.mapInPandas(tidy(run), f"{spec}, quality_score double")
+    return docs.drop("quality_score").withColumn("quality_score", quality_score(model, text))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted of every document."""
+    """doc_id, held_out, score, predicted of every document.
+
+    Null and empty texts score as score_documents() says, a null doc_id falls in the fold of the empty text, and
+    each of several rows of one doc_id has its own score.
+    """
     scored = score_documents(docs.select("doc_id", "text"), fit_on(docs, labels))
     score = F.col("quality_score")
     return scored.select("doc_id", (labelled.fold("doc_id", FOLDS) == HELD).alias("held_out"), score.alias("score"), (score >= THRESHOLD).cast("int").alias("predicted"))

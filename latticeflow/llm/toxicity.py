@@ -12,7 +12,6 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -20,10 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import labelled
+from .common import each_text
 
 FOLDS, HELD = 5, 0
 WINDOW = 6
 WORDS_HELD = 400_000
+STATES_HELD = 50_000
 STEM = range(3, 9)
 WORD = re.compile(r"[^\W_]+(?:[0-9@$][^\W_]+)*")
 QUOTE = re.compile("[\"“”„«»‘]")
@@ -48,6 +49,10 @@ class Lexicon:
         for term in self.stems:
             self.stem[self._node(term)] = 1 if len(term) >= 6 else 0
         self.most = max([0, *self.whole.values(), *self.stem.values()])
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop the states made so far; they are made again as words ask for them."""
         self.states: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.out: list[int] = []
@@ -103,6 +108,8 @@ class Lexicon:
 
     def read(self, word: str) -> int:
         """0 if no term is near enough, else 1 + the fewest errors."""
+        if len(self.sets) > STATES_HELD:
+            self.forget()
         at = self.start
         for c in word:
             to = self.moves[at].get(c)
@@ -222,21 +229,21 @@ def score_documents(docs: DataFrame, model: Scorer, text: str = "text") -> DataF
 
     Null and empty texts have no match and score as a text without any.  No shuffle.
     """
-    base = docs.drop("toxicity", "toxic_matches")
-    spec = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts = [t if isinstance(t, str) else "" for t in pdf[text]]
-            rows = [model.features(t) for t in texts]
-            x = np.array(rows).reshape(len(rows), N_FEATURES)
-            yield pdf.assign(toxicity=1 / (1 + np.exp(-np.clip(x @ model.weights, -30, 30))), toxic_matches=np.round(np.expm1(x[:, 1]) + np.expm1(x[:, 4])).astype(np.int64))
+    def run(texts: list[str]) -> pd.DataFrame:
+        x = np.array([model.features(t) for t in texts]).reshape(len(texts), N_FEATURES)
+        return pd.DataFrame({"p": 1 / (1 + np.exp(-np.clip(x @ model.weights, -30, 30))), "m": np.round(np.expm1(x[:, 1]) + np.expm1(x[:, 4])).astype(np.int64)})
 
-    return base.mapInPandas(run, f"{spec}, toxicity double, toxic_matches bigint")
+    made = docs.drop("toxicity", "toxic_matches").withColumn("__lf_tox", each_text(run, "p double, m bigint", text))
+    return made.select("*", F.col("__lf_tox.p").alias("toxicity"), F.col("__lf_tox.m").alias("toxic_matches")).drop("__lf_tox")
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted, toxic_matches of every document."""
+    """doc_id, held_out, score, predicted, toxic_matches of every document.
+
+    Null and empty texts score as score_documents() says, a null doc_id falls in the fold of the empty text, and
+    each of several rows of one doc_id has its own score.
+    """
     scored = score_documents(docs.select("doc_id", "text"), fit_on(docs, labels))
     score = F.col("toxicity")
     return scored.select("doc_id", (labelled.fold("doc_id", FOLDS) == HELD).alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"), "toxic_matches")
