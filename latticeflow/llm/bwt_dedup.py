@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Bitmap, NULL_ID, RID, documents, materialise, row_key, tidy, width
@@ -195,16 +195,32 @@ def texts_of(docs: DataFrame, wanted: Bitmap) -> DataFrame:
 
 
 def single_strings(rows: DataFrame) -> DataFrame:
-    """Regions cut into their strings, each with its own hash for an anchor: equal strings still meet."""
+    """Regions cut into their strings, each with its own hash for an anchor: equal strings still meet.
+
+    Of a task's equal strings only the earliest keeps its text; the others are repeats already.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best: dict[bytes, tuple] = {}
         for pdf in batches:
-            best: dict[bytes, tuple] = {}
-            for region, at, d, r, s in zip(pdf["region"], pdf["at"], pdf["doc_id"], pdf[RID], pdf["start"], strict=True):
+            lost = []
+            for region, at, d, r, s in zip(pdf["region"], pdf["at"].tolist(), pdf["doc_id"].tolist(), pdf[RID].tolist(), pdf["start"].tolist(), strict=True):
                 for k in range(len(region) - LENGTH + 1):
-                    best.setdefault(region[k : k + LENGTH], []).append((at - k, d, r, s + k))
-            out = [(xxhash.xxh3_64_intdigest(t) - (1 << 63), t, *p) for t, places in best.items() for p in places]
-            yield pd.DataFrame(out, columns=["h", "region", "at", "doc_id", RID, "start"]).astype({"at": "int32", "start": "int32"})
+                    t, row = bytes(region[k : k + LENGTH]), (d, r, s + k, at - k)
+                    old = best.setdefault(t, row)
+                    if old is not row:
+                        best[t] = min(old, row)
+                        lost.append(max(old, row))
+            if lost:
+                yield frame([(0, None, *x) for x in lost])
+            if len(best) > 200_000:
+                yield frame([(xxhash.xxh3_64_intdigest(t) - (1 << 63), t, *x) for t, x in best.items()])
+                best = {}
+        yield frame([(xxhash.xxh3_64_intdigest(t) - (1 << 63), t, *x) for t, x in best.items()])
+
+    def frame(found: list[tuple]) -> pd.DataFrame:
+        out = pd.DataFrame(found, columns=["h", "region", "doc_id", RID, "start", "at"]).astype({"h": "int64", "doc_id": "int64", RID: "int64", "at": "int32", "start": "int32"})
+        return out[["h", "region", "at", "doc_id", RID, "start"]]
 
     return rows.select("region", "at", "doc_id", RID, "start").mapInPandas(tidy(run), f"h bigint, region binary, at int, doc_id bigint, {RID} bigint, start int")
 
@@ -333,11 +349,8 @@ def narrowed(group: list[tuple]) -> list[tuple]:
     """
     if len(group) < 2:
         return []
-    texts = {row[0]: row[1] for row in group}
-    if len(texts) < len(group):  # copies of one text
-        return [(t, d, r, s) for t, _, d, r, s in group]
     left, right = Counter(), Counter()
-    for t, o in texts.items():
+    for t, o, *_ in group:
         if o >= HALF:
             left[t[o - HALF : o + GRAM]] += 1
         if len(t) - o >= GRAM + HALF:
@@ -358,24 +371,36 @@ def merged_repeats(rows: DataFrame, parts: int) -> DataFrame:
     """(rid, start, stop) of repeated strings among regions (h, region, at, doc_id, rid, start), by anchor."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, size, last, group = [], 0, None, []
+        held, size, last, group = [], 0, None, {}
+        again: list[tuple[int, int, int]] = []
 
         def settle():
             t, d, r, s = zip(*held, strict=True)
             return spans(*repeats(list(t), np.array(d, np.int64), np.array(r, np.int64), np.array(s, np.int64)))
 
+        def rows_of(group: dict) -> list[tuple]:
+            return narrowed([(t, o, d, r, s) for t, (d, r, s, o) in group.items()])
+
         for pdf in batches:
             for h, t, o, d, r, s in zip(pdf["h"].tolist(), pdf["region"], pdf["at"].tolist(), pdf["doc_id"].tolist(), pdf[RID].tolist(), pdf["start"].tolist(), strict=True):
                 if h != last:
-                    more = narrowed(group)
+                    more = rows_of(group)
                     held += more
                     size += sum(len(x[0]) for x in more)
                     if size >= BATCH:
                         yield settle()
                         held, size = [], 0
-                    last, group = h, []
-                group.append((bytes(t), o, d, r, s))
-        held += narrowed(group)
+                    last, group = h, {}
+                t, row = bytes(t), (d, r, s, o)
+                old = group.setdefault(t, row)
+                if old is not row:  # copies of one text: all but the earliest are repeats as a whole
+                    group[t] = min(old, row)
+                    _, r, s, _ = max(old, row)
+                    again.append((r, s, s + len(t)))
+            if again:
+                yield pd.DataFrame(again, columns=[RID, "start", "stop"]).astype({RID: "int64", "start": "int32", "stop": "int32"})
+                again = []
+        held += rows_of(group)
         if held:
             yield settle()
 
@@ -393,25 +418,27 @@ def removal_spans(docs: DataFrame) -> DataFrame:
     known = Bitmap(spark, repeated_anchors(docs), "h")
     prints = materialise(fingerprints(docs, known), "prints")
     done = prints.where("h is null").select(RID, "start", (F.col("start") + F.col("n") + LENGTH - 1).alias("stop"))
-    by_text, by_anchor = Window.partitionBy("h", "th"), Window.partitionBy("h")
     place = F.struct("doc_id", RID, "start")
-    judged = prints.where("h is not null").repartition(parts, "h").withColumns({"first": F.min(place).over(by_text), "same": F.min("th").over(by_anchor) == F.max("th").over(by_anchor)})
-    judged = judged.withColumn("kept", place == F.col("first")).where("not kept or not same")
-    judged = materialise(judged.select(RID, "start", "n", "kept"), "judged")
+    judged = prints.where("h is not null").repartition(parts, "h", "th").withColumn("kept", place == F.min(place).over(Window.partitionBy("h", "th")))
+    judged = materialise(judged.select("h", RID, "start", "n", "kept"), "judged")
     whole = judged.where("not kept").select(RID, "start", (F.col("start") + F.col("n") + LENGTH - 1).alias("stop"))
+    # Anchors with several texts go by a bitmap and not by a join, so that a common anchor's regions stay dealt out.
+    mixed = Bitmap(spark, judged.where("kept").groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h"), "h")
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"k": place_key(pdf[RID].to_numpy(), pdf["start"].to_numpy()).view(np.int64)})
+            own = pdf[mixed.has(pdf["h"].to_numpy().view(np.uint64))]
+            yield pd.DataFrame({"k": place_key(own[RID].to_numpy(), own["start"].to_numpy()).view(np.int64)})
 
-    wanted = Bitmap(spark, judged.where("kept").select(RID, "start").mapInPandas(tidy(keys), "k bigint"), "k")
+    wanted = Bitmap(spark, judged.where("kept").select("h", RID, "start").mapInPandas(tidy(keys), "k bigint"), "k")
     texts = materialise(texts_of(docs, wanted), "regions")
     hot = texts.groupBy("h").agg(F.count("*").alias("m")).where(F.col("m") > HOT_REGIONS).select("h")
     if hot.isEmpty():
         found = merged_repeats(texts, parts)
     else:
-        split = single_strings(texts.join(hot, "h", "left_semi"))
-        found = merged_repeats(texts.join(hot, "h", "left_anti").unionByName(split), parts)
+        split = materialise(single_strings(texts.join(hot, "h", "left_semi")), "strings")
+        done = done.unionByName(split.where("region is null").select(RID, "start", (F.col("start") + LENGTH).alias("stop")))
+        found = merged_repeats(texts.join(hot, "h", "left_anti").unionByName(split.where("region is not null")), parts)
     return done.unionByName(whole).unionByName(materialise(found, "spans"))
 
 
@@ -430,7 +457,7 @@ def remaining(raw: bytes, found: list) -> tuple[bytes, int, int]:
 
 
 def span_lists(docs: DataFrame) -> DataFrame:
-    """(rid, spans) of the documents that lose bytes; a task tells of each document once, with its spans joined."""
+    """(rid, starts, stops) of the documents that lose bytes; a task tells of each document once, with its spans joined."""
 
     def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[int, list[tuple[int, int]]] = {}
@@ -450,7 +477,28 @@ def span_lists(docs: DataFrame) -> DataFrame:
             rows.append((r, a, b))
         yield pd.DataFrame(rows, columns=[RID, "start", "stop"]).astype({RID: "int64", "start": "int32", "stop": "int32"})
 
-    return removal_spans(docs).mapInPandas(tidy(join), f"{RID} bigint, start int, stop int").groupBy(RID).agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    lists = removal_spans(docs).mapInPandas(tidy(join), f"{RID} bigint, start int, stop int").groupBy(RID).agg(F.collect_list(F.struct("start", "stop")).alias("s"))
+    return lists.select(RID, F.col("s.start").alias("starts"), F.col("s.stop").alias("stops"))
+
+
+def cut_text(keep: str) -> Column:
+    """(n_removed, n_spans, kept) by the spans beside the text column `keep`; only texts that lose bytes cross to Python."""
+
+    def cut(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for texts, starts, stops in batches:
+            made = []
+            for t, a, b in zip(texts, starts, stops, strict=True):
+                made.append((b"", 0, 0) if t is None else remaining(t.encode("utf-8", "surrogatepass"), list(zip(a.tolist(), b.tolist(), strict=True))))
+            yield pd.DataFrame({"kept": [x[0] for x in made], "n_removed": [x[1] for x in made], "n_spans": [x[2] for x in made]})
+
+    some = F.col("__lf_starts").isNotNull()
+    made = F.pandas_udf(tidy(cut), "kept binary, n_removed bigint, n_spans bigint")(F.when(some, F.col(keep)), "__lf_starts", "__lf_stops")
+    return F.when(some, made)
+
+
+def with_spans(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    lists = span_lists(docs).select(F.col(RID).alias("__lf_key"), F.col("starts").alias("__lf_starts"), F.col("stops").alias("__lf_stops"))
+    return rows.join(lists, row_key() == F.col("__lf_key"), "left").drop("__lf_key")
 
 
 def dedup(source: DataFrame) -> DataFrame:
@@ -460,18 +508,12 @@ def dedup(source: DataFrame) -> DataFrame:
     text are one document; rows that share a doc_id but not a text stand in the order of a hash of the
     text.  A null doc_id comes before all others.
     """
-    docs = documents(source, key=True)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for d, t, found in zip(pdf["doc_id"], pdf["text"], pdf["spans"], strict=True):
-                raw = t.encode("utf-8", "surrogatepass")
-                kept, removed, n = remaining(raw, [(x["start"], x["stop"]) for x in found] if found is not None else [])
-                rows.append((d, len(raw), removed, n, kept))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"]).astype({"doc_id": "Int64"})
-
-    return docs.join(span_lists(docs), RID, "left").select("doc_id", "text", "spans").mapInPandas(tidy(run), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
+    made = with_spans(documents(source), documents(source, key=True)).withColumn("__lf_cut", cut_text("text"))
+    zero, cut = F.lit(0).cast("bigint"), F.col("__lf_cut")
+    return made.select(
+        "doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), F.coalesce(cut["n_removed"], zero).alias("n_removed"), F.coalesce(cut["n_spans"], zero).alias("n_spans"),
+        F.coalesce(cut["kept"], F.col("text").cast("binary")).alias("kept"),
+    )
 
 
 def dedup_rows(source: DataFrame) -> DataFrame:
@@ -479,21 +521,16 @@ def dedup_rows(source: DataFrame) -> DataFrame:
 
     A text must stay valid: what is left of a character cut apart goes too.
     """
-    keyed = source.withColumn(RID, row_key())
-    spec = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields)
+    made = with_spans(source, documents(source, key=True)).withColumn("__lf_cut", cut_text("text"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts = []
-            for t, found in zip(pdf["text"], pdf["__lf_spans"], strict=True):
-                if isinstance(t, str) and found is not None:
-                    raw = t.encode("utf-8", "surrogatepass")
-                    t = remaining(raw, [(x["start"], x["stop"]) for x in found])[0].decode("utf-8", "ignore")
-                texts.append(t)
-            yield pdf.assign(text=texts).drop(columns=["__lf_spans"])
-
-    lists = span_lists(documents(source, key=True)).withColumnRenamed("spans", "__lf_spans")
-    return keyed.join(lists, RID, "left").drop(RID).mapInPandas(tidy(run), spec)
+    def valid(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([None if t is None else t.decode("utf-8", "ignore") for t in batch], dtype=object)
+
+    kept = F.col("__lf_cut")["kept"]
+    whole = F.when(F.try_validate_utf8(kept.cast("string")).isNotNull(), kept.cast("string"))
+    broken = F.pandas_udf(tidy(valid), "string")(F.when(whole.isNull(), kept))
+    return made.withColumn("text", F.coalesce(whole, broken, F.col("text"))).select(*[F.col(f"`{c}`") for c in source.columns])
 
 
 def digests(source: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, spread_join, tidy
 from .components import connected_components, forest
 
 COSINE = 0.9
@@ -89,7 +89,7 @@ def links_of(classes: DataFrame, dim: int, least: float, prefix: int, shared: in
             near = nearest(unit(pdf["embedding"]), shared_pivots.value, k) if len(pdf) else []
             yield pdf.assign(near=list(np.asarray(near, dtype=np.int32)))
 
-    described = materialise(own.select("v", "size", "embedding").mapInPandas(describe, "v bigint, size bigint, embedding array<double>, near array<int>"), "permutations")
+    described = materialise(own.select("v", "size", "embedding").mapInPandas(tidy(describe), "v bigint, size bigint, embedding array<double>, near array<int>"), "permutations")
     lengths = {r["p"]: r["m"] for r in described.select(F.explode("near").alias("p")).groupBy("p").agg(F.count("*").alias("m")).collect()}
     blocks = np.ones(len(pivots), dtype=np.int32)
     for p, m in lengths.items():
@@ -149,7 +149,8 @@ def near_vectors(source: DataFrame, least: float = COSINE, prefix: int = PREFIX,
     else:
         classes = classes.withColumn("w", F.lit(0)).withColumn("comp", F.col("v"))
     classes = classes.select("v", "size", "least", F.coalesce("w", F.lit(0)).alias("w"), F.coalesce("comp", "v").alias("comp"))
-    classes = materialise(classes.join(classes.groupBy("comp").agg(F.min("least").alias("component_id")), "comp"), "classes")
-    named = good.select("vec_id", "v").join(classes, "v").select("vec_id", (F.col("size") - 1 + F.col("w")).cast("bigint").alias("n_links"), "component_id")
+    several = classes.groupBy("comp").agg(F.min("least").alias("component_id"), F.count("*").alias("m")).where("m > 1").drop("m")
+    classes = materialise(spread_join(classes, several, "comp", "v").withColumn("component_id", F.coalesce("component_id", "least")), "classes")
+    named = spread_join(good.select("vec_id", "v"), classes, "v", "vec_id").select("vec_id", (F.col("size") - 1 + F.col("w")).cast("bigint").alias("n_links"), "component_id")
     alone = rows.where("not fine").select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
     return named.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

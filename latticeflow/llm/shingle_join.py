@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bitmap, RID, documents, materialise, tidy
+from .common import Bitmap, RID, documents, materialise, spread_join, tidy
 from .components import connected_components, forest
 
 WORDS = 3
@@ -152,6 +152,8 @@ def frequent_shingles(docs: DataFrame, words: int) -> np.ndarray:
 def describe(docs: DataFrame, words: int, per_cent: int) -> DataFrame:
     """rid, doc_id, n, v, keys, places, singles, often, k of each document; of a task's equal sets only the first has keys."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, words))
+    kind = docs.schema["doc_id"].dataType
+    docs = docs.withColumn("doc_id", F.col("doc_id").cast("string"))  # a whole number beside a null would lose its last digits
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own, frequent, met = Shingler(words), shared.value, set()
@@ -166,7 +168,8 @@ def describe(docs: DataFrame, words: int, per_cent: int) -> DataFrame:
                     met.add(v)
                 yield pd.DataFrame({RID: cut[RID], "doc_id": cut["doc_id"], "n": [len(s) for s in sets], "v": ids, "keys": [k[0].view(np.int64) for k in keys], "places": [k[1] for k in keys], "singles": [k[2] for k in keys], "often": [k[3] for k in keys], "k": [k[4] for k in keys]})
 
-    return docs.mapInPandas(tidy(run), f"{RID} bigint, doc_id {docs.schema['doc_id'].dataType.simpleString()}, n bigint, v bigint, keys array<bigint>, places array<int>, singles int, often int, k int")
+    out = docs.mapInPandas(tidy(run), f"{RID} bigint, doc_id string, n bigint, v bigint, keys array<bigint>, places array<int>, singles int, often int, k int")
+    return out.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def meeting_entries(light: DataFrame) -> DataFrame:
@@ -321,8 +324,8 @@ def near_groups(source: DataFrame, words: int = WORDS, per_cent: int = PER_CENT)
     more = verify(pairs, sets_of(docs, light, pairs, words), per_cent)
     if not more.isEmpty():
         comps = connected_components(links.unionByName(more))
-    found = light.where("n > 0").select(RID, "doc_id", "n", "v").join(comps, "v", "left").withColumn("comp", F.coalesce("comp", "v"))
-    least = found.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    out = found.join(least, "comp").select(RID, "doc_id", F.col("n").alias("n_shingles"), "component_id", "comp")
+    found = spread_join(light.where("n > 0").select(RID, "doc_id", "n", "v"), comps, "v", RID).withColumn("comp", F.coalesce("comp", "v"))
+    least = found.groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("m")).where("m > 1").drop("m")
+    out = spread_join(found, least, "comp", RID).select(RID, "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "comp")
     alone = light.where("n = 0").select(RID, "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("bigint").alias("comp"))
     return out.unionByName(alone)
