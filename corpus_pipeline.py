@@ -19,8 +19,8 @@ VOCABULARY = "byte_bpe_50k.json"
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line classifier takes for good (score of at least its threshold)."""
     model = line_crf.fit_on(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = line_crf.score_documents(docs.withColumn("__lf_text", F.col("text")), model, text="__lf_text")
-    return scored.where(F.col("quality_score") >= line_crf.THRESHOLD).select(*docs.columns)
+    scored = docs.withColumn("__lf_quality", line_crf.quality_score(model))
+    return scored.where(F.col("__lf_quality") >= line_crf.THRESHOLD).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
