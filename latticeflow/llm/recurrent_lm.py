@@ -11,13 +11,16 @@ Counts come from every training token.  The weights start from a bounded sample
 state goes on through the windows, and each of them is propagated back.  The tasks' weights are averaged by tokens.
 Scoring runs many documents in step, longest first, and carries each one's state over all its windows.
 
+Texts are split into words once: a table of blocks keeps the numbers of their words, and counting, training
+and scoring read that.
+
 Words beyond the HEAD commonest are looked up by a join, so nothing that is broadcast grows with the corpus.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -36,10 +39,10 @@ ONES = np.ones(4096, np.float32)
 HEAD = 1 << 17
 WINDOW = 32
 TOGETHER = 256
-SLAB_TOKENS = 1_000_000
+BLOCK_TOKENS = 1 << 19
 COUNTED = 1_000_000
 WORDS_HELD = 300_000
-START_DOCUMENTS, START_PASSES = 1200, 3
+START_DOCUMENTS, START_BYTES, START_PASSES = 1200, 8 << 20, 3
 START_RATE, RATE = 0.01, 0.002
 SHAPE_OF = [xxhash.xxh32_intdigest(bytes(divmod(k, 256))) % SHAPES for k in range(1 << 16)]
 END = -0x4C4F4F50  # stands for the end of a text among the word hashes
@@ -47,24 +50,19 @@ LN10 = np.log(10.0)
 
 
 class Words:
-    """Numbers of the words met, in a bounded table; their hashes (the low bits are the shape) and places in a head."""
+    """Numbers of the words met, in a bounded table, and their hashes (the low bits are the shape)."""
 
-    def __init__(self, head: Vocabulary | None = None):
-        self.head = head.slots if head else {}
+    def __init__(self):
         self.clear()
 
     def clear(self) -> None:
         self.number: dict[bytes, int] = {}
-        self.h, self.slot = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        self.used = 0
+        self.h, self.used = np.zeros(1 << 16, np.int64), 0
 
-    def read(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """(hash, place in the head or -1) of each word: A-Z in lower case, between ASCII white space."""
+    def read(self, text: str) -> np.ndarray:
+        """The number of each word: A-Z in lower case, between ASCII white space."""
         tokens = text.encode("utf-8", "surrogatepass").lower().split()
         number = self.number
-        if len(number) > WORDS_HELD:
-            self.clear()
-            number = self.number
         found, fresh, at = list(map(number.get, tokens)), [], -1
         for _ in range(found.count(None)):
             at = found.index(None, at + 1)
@@ -78,43 +76,106 @@ class Words:
         if fresh:
             to = self.used + len(fresh)
             while to > len(self.h):
-                self.h, self.slot = np.concatenate([self.h, self.h]), np.concatenate([self.slot, self.slot])
+                self.h = np.concatenate([self.h, self.h])
             self.h[self.used : to] = fresh
-            self.slot[self.used : to] = [self.head.get(h, -1) for h in fresh] if self.head else -1
             self.used = to
-        n = np.array(found, dtype=np.int64)
-        return self.h[n], self.slot[n]
+        return np.array(found, dtype=np.int32)
+
+
+@dataclass
+class Block:
+    """Documents as runs of numbers: of token i the word's hash is words[at[i]]; sizes count each one's tokens, its end left out."""
+
+    rid: np.ndarray
+    held: np.ndarray
+    sizes: np.ndarray
+    words: np.ndarray
+    at: np.ndarray
+
+    KINDS = {"rid": np.int64, "held": np.bool_, "sizes": np.int64, "words": np.int64, "at": np.int32}
+
+    @classmethod
+    def of(cls, words: Words, numbers: list[np.ndarray], rid: list[int], held: list[bool]) -> Block:
+        n = np.concatenate(numbers) if numbers else np.zeros(0, np.int32)
+        used = np.flatnonzero(np.bincount(n, minlength=1))
+        used = used if len(n) else used[:0]
+        local = np.zeros(words.used + 1, np.int32)
+        local[used] = np.arange(len(used), dtype=np.int32)
+        return cls(np.array(rid, np.int64), np.array(held, np.bool_), np.array([len(x) for x in numbers], np.int64), words.h[used], local[n])
+
+    @classmethod
+    def read(cls, row) -> Block:
+        return cls(*[np.frombuffer(row[k], dtype=kind) for k, kind in cls.KINDS.items()])
+
+    def row(self) -> dict:
+        return {k: getattr(self, k).astype(kind).tobytes() for k, kind in self.KINDS.items()}
+
+    @property
+    def doc(self) -> np.ndarray:
+        """The document of each token."""
+        return np.repeat(np.arange(len(self.sizes)), self.sizes)
+
+    def sequences(self, vocabulary: Vocabulary, slots: np.ndarray) -> list[np.ndarray]:
+        """Network symbols of each document: core words by rank, others by shape, the end last."""
+        core = vocabulary.core
+        symbol = np.where((slots >= 0) & (slots < core), slots, core + shape_of(self.words))
+        flat = np.insert(symbol[self.at], np.cumsum(self.sizes), 0).astype(np.int64)  # the end is the first core word
+        return np.split(flat, np.cumsum(self.sizes + 1)[:-1])
 
 
-KEPT: dict[int, Words] = {}
+def read_blocks(docs: DataFrame) -> DataFrame:
+    """docs (rid, doc_id, text, held_out) as a table of blocks: (doc_id array, rid, held, sizes, words, at)."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words = Words()
+        numbers, rids, ids, held, n = [], [], [], [], 0
+
+        def flush():
+            out = pd.DataFrame([{"doc_id": list(ids)} | Block.of(words, numbers, rids, held).row()])
+            if len(words.number) > WORDS_HELD:
+                words.clear()
+            for x in (numbers, rids, ids, held):
+                x.clear()
+            return out
 
-def words_of(key: int, head: Vocabulary | None = None) -> Words:
-    """The worker's word table for one broadcast; the one before is let go."""
-    if key not in KEPT:
-        KEPT.clear()
-        KEPT[key] = Words(head)
-    return KEPT[key]
+        for pdf in batches:
+            for rid, doc, text, out in zip(pdf[RID].tolist(), pdf["doc_id"], pdf["text"], pdf["held_out"].tolist(), strict=True):
+                numbers.append(words.read(text))
+                rids.append(rid)
+                ids.append(doc)
+                held.append(out)
+                n += len(numbers[-1]) + 1
+                if n >= BLOCK_TOKENS:
+                    yield flush()
+                    n = 0
+        if rids:
+            yield flush()
+
+    rows = docs.select(RID, F.col("doc_id").cast("string").alias("doc_id"), "text", "held_out")  # a whole number beside a null would lose its last digits
+    return materialise(rows.mapInPandas(tidy(run), "doc_id array<string>, rid binary, held binary, sizes binary, words binary, at binary"), "words")
 
 
 def shape_of(h: np.ndarray) -> np.ndarray:
     return (h.view(np.uint64) % np.uint64(SHAPES)).astype(np.int64)
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
+def word_counts(blocks: DataFrame) -> DataFrame:
     """(h, c): tokens of the training documents, ends included."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, held, n, ends = words_of(-1), [], 0, 0
+        held, n, ends = [], 0, 0
 
         def flush():
-            h, c = np.unique(np.concatenate(held), return_counts=True)
-            return pd.DataFrame({"h": h, "c": c.astype(np.int64)})
+            h, at = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
+            return pd.DataFrame({"h": h, "c": np.bincount(at, weights=np.concatenate([x for _, x in held])).astype(np.int64)})
 
         for pdf in batches:
-            for text in pdf["text"]:
-                held.append(own.read(text)[0])
-                ends, n = ends + 1, n + len(held[-1])
+            for row in pdf.to_dict("records"):
+                b = Block.read(row)
+                c = np.bincount(b.at[~np.repeat(b.held, b.sizes)], minlength=len(b.words))
+                ends += int((~b.held).sum())
+                held.append((b.words[c > 0], c[c > 0]))
+                n += len(held[-1][0])
                 if n >= COUNTED:
                     yield flush()
                     held, n = [], 0
@@ -122,7 +183,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
             yield flush()
         yield pd.DataFrame({"h": [END], "c": [ends]})
 
-    return docs.select("text").mapInPandas(tidy(run), "h bigint, c bigint").where("c > 0").groupBy("h").agg(F.sum("c").alias("c"))
+    return blocks.drop("doc_id").mapInPandas(tidy(run), "h bigint, c bigint").where("c > 0").groupBy("h").agg(F.sum("c").alias("c"))
 
 
 class Vocabulary:
@@ -138,16 +199,13 @@ class Vocabulary:
         np.add.at(core, shape_of(self.h[: self.core][self.h[: self.core] != END]), self.c[: self.core][self.h[: self.core] != END])
         self.shape_tokens = np.maximum(shape_tokens - core, 0)
         self.unknown = np.clip((shape_once + 1) / (self.shape_tokens + 2), 1e-6, 0.5)
-        self._slots: dict[int, int] | None = None
-
-    def __getstate__(self):
-        return self.__dict__ | {"_slots": None}
+        self.by = np.argsort(self.h)
+        self.sorted = self.h[self.by]
 
-    @property
-    def slots(self) -> dict[int, int]:
-        if self._slots is None:
-            self._slots = dict(zip(self.h.tolist(), range(len(self.h)), strict=True))
-        return self._slots
+    def slots(self, h: np.ndarray) -> np.ndarray:
+        """The place of each word hash in the head, or -1."""
+        at = np.minimum(np.searchsorted(self.sorted, h), len(self.h) - 1)
+        return np.where(self.sorted[at] == h, self.by[at], -1)
 
     def tail_log10(self, c: np.ndarray, shape: np.ndarray) -> np.ndarray:
         """log10 probability, within its shape, of a word outside the core with count c (0: unknown)."""
@@ -202,14 +260,20 @@ class Network:
             at += a.size
         return self
 
-    def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+    def gates(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(update and reset gates, new content, its recurrent part) for inputs x after the states h."""
         g = self.wx[x]
         a = h @ self.u
-        zr = sigmoid(g[:, : 2 * HIDDEN] + a[:, : 2 * HIDDEN])
-        z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-        an = a[:, 2 * HIDDEN :]
-        n = np.tanh(g[:, 2 * HIDDEN :] + r * an)
-        return n + z * (h - n), z, r, n, an
+        g[:, : 2 * HIDDEN] += a[:, : 2 * HIDDEN]
+        zr, an = sigmoid(g[:, : 2 * HIDDEN]), a[:, 2 * HIDDEN :]
+        n = zr[:, HIDDEN:] * an
+        n += g[:, 2 * HIDDEN :]
+        return zr, np.tanh(n, out=n), an
+
+    def step(self, x: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """The states after inputs x."""
+        zr, n, _ = self.gates(x, h)
+        return n + zr[:, :HIDDEN] * (h - n)
 
     def class_of(self, y: np.ndarray) -> np.ndarray:
         return np.where(y < self.core, y // CLASS_SIZE, self.classes + y - self.core)
@@ -218,82 +282,100 @@ class Network:
         """Natural log probability of the targets y after the states h."""
         logits = h @ self.wc + self.bc
         cls = self.class_of(y)
-        rows = np.arange(len(y))
         np.minimum(logits, HIGHEST, out=logits)
-        picked = logits[rows, cls]
+        picked = logits[np.arange(len(y)), cls]
         out = picked - np.log(np.exp(logits, out=logits) @ ONES[: logits.shape[1]])
+        by, edge = self.by_class(cls)
+        w, k = self.word_logits(h[by], edge), y[by] % CLASS_SIZE
+        p = w[np.arange(len(by)), k]
+        out[by] += p - np.log(np.exp(w, out=w) @ ONES[:CLASS_SIZE])
+        return out
+
+    def by_class(self, cls: np.ndarray) -> tuple[np.ndarray, list[int]]:
+        """(rows whose target is a core word, by class; the edges of the classes among them)."""
         by = np.argsort(cls.astype(np.int16), kind="stable")
-        edge = np.searchsorted(cls[by], np.arange(self.classes + 1))
+        edge = np.searchsorted(cls[by], np.arange(self.classes + 1)).tolist()
+        return by[: edge[-1]], edge
+
+    def word_logits(self, h: np.ndarray, edge: list[int]) -> np.ndarray:
+        """Logits within the class of each state; the states are in order of class."""
+        w = np.empty((len(h), CLASS_SIZE), h.dtype)
         for c in range(self.classes):
-            own = by[edge[c] : edge[c + 1]]
-            if len(own):
-                w = np.minimum(h[own] @ self.ww[c] + self.bw[c], HIGHEST)
-                p = w[np.arange(len(own)), y[own] % CLASS_SIZE]
-                out[own] += p - np.log(np.exp(w, out=w) @ ONES[:CLASS_SIZE])
-        return out
+            a, b = edge[c], edge[c + 1]
+            if b > a:
+                np.matmul(h[a:b], self.ww[c], out=w[a:b])
+                w[a:b] += self.bw[c]
+        return np.minimum(w, HIGHEST, out=w)
 
     def gradients(self, x: np.ndarray, y: np.ndarray, live: list[int], h0: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, float, int]:
         """(gradients of the summed log loss, last states, loss, tokens) of one window.
 
         x and y are (steps, rows); at step t the first live[t] rows count.
         """
-        steps, kept, h = len(live), [], h0
-        for t in range(steps):
-            m = live[t]
-            new, z, r, n, an = self.step(x[t, :m], h[:m])
-            kept.append((h[:m], z, r, n, an))
+        ends = np.cumsum(live)
+        cuts = [slice(e - m, e) for e, m in zip(ends.tolist(), live, strict=True)]
+        size, kind = int(ends[-1]), self.u.dtype
+        before, states, content, inner = (np.empty((size, HIDDEN), kind) for _ in range(4))
+        gate = np.empty((size, 2 * HIDDEN), kind)
+        h = h0
+        for t, (m, cut) in enumerate(zip(live, cuts, strict=True)):
+            old = h[:m]
+            zr, n, an = self.gates(x[t, :m], old)
+            new = n + zr[:, :HIDDEN] * (old - n)
+            before[cut], gate[cut], content[cut], inner[cut], states[cut] = old, zr, n, an, new
             h = new if m == len(h) else np.concatenate([new, h[m:]])
-        states = [kept[t + 1][0][: live[t]] if t + 1 < steps and live[t + 1] == live[t] else None for t in range(steps)]
-        for t in range(steps):
-            if states[t] is None:
-                hh, z, r, n, an = kept[t]
-                states[t] = n + z * (hh - n)
-        hs = np.concatenate(states)
-        ys = np.concatenate([y[t, : live[t]] for t in range(steps)])
-        xs = np.concatenate([x[t, : live[t]] for t in range(steps)])
-        cls, rows = self.class_of(ys), np.arange(len(ys))
-        p = hs @ self.wc + self.bc
+        ys = np.concatenate([y[t, :m] for t, m in enumerate(live)])
+        xs = np.concatenate([x[t, :m] for t, m in enumerate(live)])
+        cls, rows = self.class_of(ys), np.arange(size)
+        p = states @ self.wc
+        p += self.bc
         np.exp(np.minimum(p, HIGHEST, out=p), out=p)
-        p /= (p @ ONES[: p.shape[1]])[:, None]
+        p *= (1 / (p @ ONES[: p.shape[1]]))[:, None]
         loss = -np.log(p[rows, cls] + 1e-30).sum()
         p[rows, cls] -= 1
-        g = {"wc": hs.T @ p, "bc": p.sum(0), "ww": np.zeros_like(self.ww), "bw": np.zeros_like(self.bw)}
+        g = {"wc": states.T @ p, "bc": p.sum(0), "ww": np.zeros_like(self.ww), "bw": np.zeros_like(self.bw)}
         dh = p @ self.wc.T
-        by = np.argsort(cls.astype(np.int16), kind="stable")
-        edge = np.searchsorted(cls[by], np.arange(self.classes + 1))
-        for c in range(self.classes):
-            own = by[edge[c] : edge[c + 1]]
-            if len(own):
-                hc = hs[own]
-                w = hc @ self.ww[c] + self.bw[c]
-                np.exp(np.minimum(w, HIGHEST, out=w), out=w)
-                w /= (w @ ONES[:CLASS_SIZE])[:, None]
-                k = np.arange(len(own))
-                loss -= np.log(w[k, ys[own] % CLASS_SIZE] + 1e-30).sum()
-                w[k, ys[own] % CLASS_SIZE] -= 1
-                g["ww"][c], g["bw"][c] = hc.T @ w, w.sum(0)
-                dh[own] += w @ self.ww[c].T
-        ends = np.cumsum(live)
-        da_all, dg_all = [None] * steps, [None] * steps
-        carry = np.zeros((0, HIDDEN), np.float32)
-        for t in range(steps - 1, -1, -1):
-            m = live[t]
-            hh, z, r, n, an = kept[t]
-            d = dh[ends[t] - m : ends[t]]
+        by, edge = self.by_class(cls)
+        if len(by):
+            hs, k = states[by], ys[by] % CLASS_SIZE
+            w = self.word_logits(hs, edge)
+            np.exp(w, out=w)
+            w *= (1 / (w @ ONES[:CLASS_SIZE]))[:, None]
+            own = np.arange(len(by))
+            loss -= np.log(w[own, k] + 1e-30).sum()
+            w[own, k] -= 1
+            more = np.empty_like(hs)
+            for c in range(self.classes):
+                a, b = edge[c], edge[c + 1]
+                if b > a:
+                    g["ww"][c], g["bw"][c] = hs[a:b].T @ w[a:b], w[a:b].sum(0)
+                    np.matmul(w[a:b], self.ww[c].T, out=more[a:b])
+            dh[by] += more
+        z, r = gate[:, :HIDDEN], gate[:, HIDDEN:]
+        to_content = (1 - z) * (1 - content * content)
+        to_update = (before - content) * z * (1 - z)
+        to_reset = inner * r * (1 - r)
+        dg, dr = np.empty((size, 3 * HIDDEN), kind), np.empty((size, HIDDEN), kind)  # of the gates' inputs; of the content's recurrent part
+        u_gates, u_content = np.ascontiguousarray(self.u[:, : 2 * HIDDEN].T), np.ascontiguousarray(self.u[:, 2 * HIDDEN :].T)
+        carry = np.zeros((0, HIDDEN), kind)
+        for cut in reversed(cuts):
+            d = dh[cut]
             d[: len(carry)] += carry
-            dn = d * (1 - z) * (1 - n * n)
-            dz = d * (hh - n) * z * (1 - z)
-            dr = dn * an * r * (1 - r)
-            da = np.concatenate([dz, dr, dn * r], axis=1)
-            da_all[t], dg_all[t] = da, np.concatenate([dz, dr, dn], axis=1)
-            carry = d * z + da @ self.u.T
-        g["u"] = np.concatenate([k[0] for k in kept]).T @ np.concatenate(da_all)
-        dg = np.concatenate(dg_all)
-        by = np.argsort(xs.astype(np.int16), kind="stable")
-        first = np.flatnonzero(np.concatenate([[True], xs[by][1:] != xs[by][:-1]]))
+            dn = d * to_content[cut]
+            out = dg[cut]
+            out[:, 2 * HIDDEN :] = dn
+            np.multiply(d, to_update[cut], out=out[:, :HIDDEN])
+            np.multiply(dn, to_reset[cut], out=out[:, HIDDEN : 2 * HIDDEN])
+            np.multiply(dn, r[cut], out=dr[cut])
+            carry = d * z[cut]
+            carry += out[:, : 2 * HIDDEN] @ u_gates
+            carry += dr[cut] @ u_content
+        g["u"] = np.concatenate([before.T @ dg[:, : 2 * HIDDEN], before.T @ dr], axis=1)
+        order = np.argsort(xs.astype(np.int16), kind="stable")
+        first = np.flatnonzero(np.concatenate([[True], xs[order][1:] != xs[order][:-1]]))
         g["wx"] = np.zeros_like(self.wx)
-        g["wx"][xs[by][first]] = np.add.reduceat(dg[by], first, axis=0)
-        return g, h, float(loss), len(ys)
+        g["wx"][xs[order][first]] = np.add.reduceat(dg[order], first, axis=0)
+        return g, h, float(loss), size
 
 
 class Trainer:
@@ -364,7 +446,7 @@ def score_sequences(net: Network, sequences: list[np.ndarray]) -> np.ndarray:
             h = h[: live[0]]
             states = []
             for t, m in enumerate(live):
-                h = net.step(x[t, :m], h[:m])[0]
+                h = net.step(x[t, :m], h[:m])
                 states.append(h)
             which = np.concatenate([np.arange(m) for m in live])
             lp = net.log_prob(np.concatenate(states), np.concatenate([y[t, :m] for t, m in enumerate(live)]))
@@ -373,13 +455,6 @@ def score_sequences(net: Network, sequences: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def sequence(vocabulary: Vocabulary, hashes: np.ndarray, slots: np.ndarray) -> np.ndarray:
-    """Network symbols of a text: core words by rank, others by shape, the end last."""
-    core = vocabulary.core
-    out = np.where((slots >= 0) & (slots < core), slots, core + shape_of(hashes))
-    return np.append(out, vocabulary.slots[END]).astype(np.int64)
-
-
 def learn_vocabulary(counts: DataFrame) -> Vocabulary:
     shape = F.col("h").bitwiseAND(F.lit(SHAPES - 1)).cast("int")
     words = counts.where(F.col("h") != END).groupBy(shape.alias("s")).agg(F.sum("c").alias("c"), F.sum((F.col("c") == 1).cast("int")).alias("once"), F.count("*").alias("v")).collect()
@@ -387,49 +462,77 @@ def learn_vocabulary(counts: DataFrame) -> Vocabulary:
     tokens, once = np.zeros(SHAPES, np.int64), np.zeros(SHAPES, np.int64)
     for r in words:
         tokens[r["s"]], once[r["s"]] = r["c"], r["once"]
-    head = [(r["h"], r["c"]) for r in counts.where(F.col("h") != END).orderBy(F.desc("c"), "h").limit(HEAD - 1).collect()]
+    # The head is all words above a count that fits, found from a histogram of counts: a sort would send every task's best to the driver.
+    step = F.floor(F.log2("c") * 16)
+    many = sorted(((r["b"], r["n"]) for r in counts.where(F.col("h") != END).groupBy(step.alias("b")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    least, room = None, HEAD - 1
+    for b, n in many:
+        room -= n
+        if room < 0:
+            break
+        least = b
+    if least is not None:
+        rows = counts.where(F.col("h") != END).where(step >= least).collect()
+    else:  # more words of one count than fit, and none above them
+        rows = counts.where(F.col("h") != END).orderBy(F.desc("c"), "h").limit(CORE).collect()
+    head = sorted(((r["h"], r["c"]) for r in rows), key=lambda r: (-r[1], r[0]))
     distinct = sum(r["v"] for r in words) + (ends > 0)
     return Vocabulary([(END, ends), *head], int(tokens.sum()) + ends, distinct, tokens, once)
 
 
-def train(docs: DataFrame, vocabulary: Vocabulary) -> Network:
-    """docs: training documents, text alone."""
+def start_texts(docs: DataFrame, many: int) -> list[str]:
+    """At most START_DOCUMENTS texts in the order of a hash, as many as START_BYTES hold; many: documents in all.
+
+    Rows far down that order are left out before the sort, so that a task sends the driver its share only.
+    """
+    h = F.xxhash64("text")
+    share = min(1.0, 2 * (START_DOCUMENTS + 50) / max(many, 1))
+    near = docs.select("text", h.alias("h"), F.octet_length("text").alias("n")).where(F.col("h") < int(-(1 << 63) + share * ((1 << 64) - 2048)))
+    first = near.select("h", "n").orderBy("h").limit(START_DOCUMENTS).collect()
+    total, last = 0, None
+    for r in sorted(first, key=lambda r: r["h"]):
+        total += r["n"]
+        if total > START_BYTES and last is not None:
+            break
+        last = r["h"]
+    if last is None:
+        return []
+    return [r["text"] for r in sorted(near.where(F.col("h") <= last).dropDuplicates(["h"]).collect(), key=lambda r: r["h"])]
+
+
+def train(docs: DataFrame, blocks: DataFrame, vocabulary: Vocabulary) -> Network:
+    """docs: training documents, text alone; blocks: theirs and the held-out ones'."""
     net = Network(vocabulary.core)
     net.start(vocabulary.c, vocabulary.shape_tokens)
-    own = Words(vocabulary)
-    seen = docs.orderBy(F.xxhash64("text"), "text").limit(START_DOCUMENTS).collect() if START_DOCUMENTS else []
-    first = []
-    for r in seen:
-        first.append(sequence(vocabulary, *own.read(r["text"])))
+    texts, own = start_texts(docs, int(vocabulary.c[0])), Words()
+    numbers = [own.read(t) for t in texts]
+    first = Block.of(own, numbers, [0] * len(texts), [False] * len(texts))
+    sequences = first.sequences(vocabulary, vocabulary.slots(first.words)) if texts else []
     trainer = Trainer(net, START_RATE)
     for _ in range(START_PASSES):
-        trainer.run(first)
-    trained = task_weights(docs, vocabulary, net)
+        trainer.run(sequences)
+    trained = task_weights(blocks, vocabulary, net)
     values = trained.select("tokens", F.posexplode("w").alias("i", "w")).groupBy("i").agg((F.sum(F.col("w") * F.col("tokens")) / F.sum("tokens")).alias("w"))
-    got = materialise(values, "weights").orderBy("i").select("w").toPandas()["w"].to_numpy()
+    got = np.array([r["w"] for r in materialise(values, "weights").orderBy("i").collect()], dtype=np.float32)
     return net.load(got) if len(got) else net
 
 
-def task_weights(docs: DataFrame, vocabulary: Vocabulary, net: Network) -> DataFrame:
+def task_weights(blocks: DataFrame, vocabulary: Vocabulary, net: Network) -> DataFrame:
     """(w, tokens) of each task: the weights after its documents, from those of net, and the tokens that were propagated back."""
-    shared, key = docs.sparkSession.sparkContext.broadcast((vocabulary, net.flat())), uuid.uuid4().int
+    shared = blocks.sparkSession.sparkContext.broadcast((vocabulary, net.flat()))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, start = shared.value
-        trainer, words, held, n = Trainer(Network(known.core).load(start), RATE), words_of(key, known), [], 0
+        trainer = Trainer(Network(known.core).load(start), RATE)
         for pdf in batches:
-            for text in pdf["text"]:
-                held.append(sequence(known, *words.read(text)))
-                n += len(held[-1])
-                if n >= SLAB_TOKENS:
-                    trainer.run(held)
-                    held, n = [], 0
-        if held:
-            trainer.run(held)
+            for row in pdf.to_dict("records"):
+                b = Block.read(row)
+                own = b.sequences(known, known.slots(b.words))
+                trainer.run([own[i] for i in np.flatnonzero(~b.held)])
         if trainer.tokens:
             yield pd.DataFrame({"w": [trainer.net.flat()], "tokens": [trainer.tokens]})
 
-    return docs.select("text").mapInPandas(tidy(run), "w array<float>, tokens bigint")
+    return blocks.drop("doc_id").mapInPandas(tidy(run), "w array<float>, tokens bigint")
 
 
 def score(source: DataFrame) -> DataFrame:
@@ -440,44 +543,38 @@ def score(source: DataFrame) -> DataFrame:
     doc_id and text are one document with a result each.
     """
     docs = documents(source, key=True).withColumn("held_out", fold("doc_id", FOLDS) == HELD)
-    learning = docs.where("not held_out").select("text")
-    counts = materialise(word_counts(learning), "counts")
+    blocks = read_blocks(docs)
+    counts = materialise(word_counts(blocks), "counts")
     vocabulary = learn_vocabulary(counts)
-    net = train(learning, vocabulary)
-    shared, key = docs.sparkSession.sparkContext.broadcast((vocabulary, net.flat())), uuid.uuid4().int
+    net = train(docs.where("not held_out").select("text"), blocks, vocabulary)
+    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, net.flat()))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, flat = shared.value
-        net, words = Network(known.core).load(flat), words_of(key, known)
-        held: list[tuple] = []
-        n = 0
-
-        def flush():
-            lp = score_sequences(net, [s for *_, s in held]) / LN10
-            rows = []
-            for (rid, doc, out, h, slots, _), net_score in zip(held, lp.tolist(), strict=True):
-                head = slots >= 0
-                c = known.c[slots[head]]
-                rest = slots[head] >= known.core
-                base = known.base_log10(c).sum() + known.base_log10(known.c[:1]).sum()
-                own = net_score + known.tail_log10(c[rest], shape_of(h[head][rest])).sum()
-                tail, many = np.unique(h[~head], return_counts=True)
-                rows.append((rid, doc, out, len(h) + 1, int((c > 0).sum()) + int(known.c[0] > 0), base, own, tail, many.astype(np.int32)))
-            return pd.DataFrame(rows, columns=[RID, "doc_id", "held_out", "n_tokens", "known", "base", "own", "tail", "many"]).astype({"doc_id": "Int64"})
-
+        net = Network(known.core).load(flat)
+        end_base, end_known = float(known.base_log10(known.c[:1])[0]), int(known.c[0] > 0)
         for pdf in batches:
-            for rid, doc, text, out in zip(pdf[RID], pdf["doc_id"], pdf["text"], pdf["held_out"], strict=True):
-                h, slots = words.read(text)
-                held.append((rid, doc, out, h, slots, sequence(known, h, slots)))
-                n += len(h)
-                if n >= SLAB_TOKENS:
-                    yield flush()
-                    held, n = [], 0
-        if held:
-            yield flush()
-
-    spec = f"{RID} bigint, doc_id bigint, held_out boolean, n_tokens bigint, known bigint, base double, own double, tail array<bigint>, many array<int>"
-    scored = materialise(docs.mapInPandas(tidy(run), spec), "scored")
+            for row in pdf.to_dict("records"):
+                b = Block.read(row)
+                slots, doc, many = known.slots(b.words), b.doc, len(b.sizes)
+                lp = score_sequences(net, b.sequences(known, slots)) / LN10
+                c = np.where(slots >= 0, known.c[slots], 0)
+                rest = slots >= known.core
+                inside = np.zeros(len(slots))
+                inside[rest] = known.tail_log10(c[rest], shape_of(b.words[rest]))
+                plain = np.where(slots >= 0, known.base_log10(c), 0.0)
+                total = lambda x: np.bincount(doc, weights=x[b.at], minlength=many)  # noqa: B023, E731
+                far = np.flatnonzero(slots[b.at] < 0)
+                pair, times = np.unique(doc[far] * len(b.words) + b.at[far], return_counts=True) if len(far) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+                cut = np.searchsorted(pair, np.arange(1, many) * len(b.words))
+                yield pd.DataFrame({
+                    RID: b.rid, "doc_id": list(row["doc_id"]), "held_out": b.held, "n_tokens": b.sizes + 1, "known": total((c > 0).astype(float)).astype(np.int64) + end_known,
+                    "base": total(plain) + end_base, "own": lp + total(inside),
+                    "tail": np.split(b.words[pair % max(len(b.words), 1)], cut), "many": np.split(times.astype(np.int32), cut),
+                })
+
+    spec = f"{RID} bigint, doc_id string, held_out boolean, n_tokens bigint, known bigint, base double, own double, tail array<bigint>, many array<int>"
+    scored = materialise(blocks.mapInPandas(tidy(run), spec).withColumn("doc_id", F.col("doc_id").cast("bigint")), "scored")
     # The rest of the words: counts by a join, then the within-shape and base terms, all in the JVM.
     words = scored.where(F.size("tail") > 0).dropDuplicates([RID]).select(RID, F.explode(F.arrays_zip("tail", "many")).alias("e")).select(RID, F.col("e.tail").alias("h"), F.col("e.many").alias("m"))
     words = words.join(counts, "h", "left").withColumn("c", F.coalesce("c", F.lit(0)))

@@ -186,12 +186,54 @@ def test_language_model(docs, rows, empty):
 def test_language_model_learns_from_every_token(spark):
     r = random.Random(5)
     texts = [" ".join(r.choices(["w%d" % k for k in range(50)], k=r.choice([3, 40, 200, 900]))) for _ in range(40)]
-    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
-    vocabulary = recurrent_lm.learn_vocabulary(recurrent_lm.word_counts(docs))
-    got = recurrent_lm.task_weights(docs, vocabulary, recurrent_lm.Network(vocabulary.core)).collect()
+    docs = spark.createDataFrame([(i, i, t, False) for i, t in enumerate(texts)], "__lf_rid long, doc_id long, text string, held_out boolean").repartition(3)
+    blocks = recurrent_lm.read_blocks(docs)
+    vocabulary = recurrent_lm.learn_vocabulary(recurrent_lm.word_counts(blocks))
+    got = recurrent_lm.task_weights(blocks, vocabulary, recurrent_lm.Network(vocabulary.core)).collect()
     assert sum(w["tokens"] for w in got) == sum(len(t.split()) + 1 for t in texts)
 
 
+def test_language_model_score_in_plain_numpy(spark, docs, rows, monkeypatch):
+    """The score of each text, word by word, from the same counts and weights but no batches, blocks or joins."""
+    monkeypatch.setattr(recurrent_lm, "HEAD", 300)  # most words of the table come by the join
+    monkeypatch.setattr(recurrent_lm, "CORE", 96)
+    kept = []
+    train = recurrent_lm.train
+    monkeypatch.setattr(recurrent_lm, "train", lambda *a: kept.append((a[2], train(*a))) or kept[0][1])
+    got = {(r["doc_id"], r["n_tokens"], round(r["base_score"], 4)): r["score"] for r in recurrent_lm.score(docs).collect()}
+    vocabulary, net = kept[0]
+    tokens = lambda t: re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOW))
+    held = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 7 == 2
+    counts = Counter(w for i, t in rows if not held(i) for w in [*tokens(t), None])
+    n, v = sum(counts.values()), len(counts)
+    own = recurrent_lm.Words()
+    for i, t in {(i, t) for i, t in rows if (t or "").count(" ") < 300}:
+        h, last, score = np.zeros((1, recurrent_lm.HIDDEN), np.float32), 0, 0.0
+        for w in [*tokens(t), None]:
+            if w is None:
+                symbol, place, shape = 0, 0, 0
+            else:
+                word = own.h[own.read(w)]
+                place, shape = int(vocabulary.slots(word)[0]), int(recurrent_lm.shape_of(word)[0])
+                symbol = place if 0 <= place < vocabulary.core else vocabulary.core + shape
+            h = net.step(np.array([last]), h)
+            score += net.log_prob(h, np.array([symbol]))[0] / np.log(10)
+            if symbol >= vocabulary.core:
+                score += vocabulary.tail_log10(np.array([counts[w]]), np.array([shape]))[0]
+            last = symbol
+        base = sum(np.log10((counts[w] + 1) / (n + v + 1)) for w in [*tokens(t), None])
+        assert got[i, len(tokens(t)) + 1, round(base, 4)] == pytest.approx(score, rel=2e-4, abs=1e-3)
+
+
+def test_start_texts_are_bounded(docs, rows, monkeypatch):
+    every = sorted({t or "" for _, t in rows})
+    texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
+    assert sorted(recurrent_lm.start_texts(texts, len(rows))) == every
+    monkeypatch.setattr(recurrent_lm, "START_BYTES", 3000)
+    some = recurrent_lm.start_texts(texts, len(rows))
+    assert 0 < len(some) < len(every) and sum(len(t.encode()) for t in some[:-1]) <= 3000
+
+
 def test_archives(spark):
     html = ["<p>same</p>", "<p>same</p>", None, "", "é\r\n\r\nWARC/1.0", "x" * 300_000, "<p>same</p>"]
     rows = [(i, f"http://a/{i}" if i != 3 else None, h, "z") for i, h in enumerate(html)] + [(4, "http://a/4", html[4], "z"), (None, "u v\n", "solo", "z")]
