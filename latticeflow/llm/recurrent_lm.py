@@ -216,38 +216,37 @@ class Vocabulary:
         return np.log10((c + 1) / (self.total + self.distinct + 1))
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    np.negative(x, out=x)
-    np.exp(np.minimum(x, 60, out=x), out=x)
-    x += 1
-    return np.reciprocal(x, out=x)
-
-
 class Network:
-    """Gated recurrent units; classes of core words and shapes share one softmax, words of a class another."""
+    """Gated recurrent units; classes of core words and shapes share one softmax, words of a class another.
+
+    xg and xc are the input weights of the gates and of the content, one row for each symbol, ug and uc the
+    recurrent ones; a gate is 1 / (1 + exp(p)).  The last row of wc and of each class in ww is the bias.
+    """
 
-    NAMES = ("wx", "u", "wc", "bc", "ww", "bw")
+    NAMES = ("xg", "xc", "ug", "uc", "wc", "ww")
 
     def __init__(self, core: int, seed: int = 17):
         r = np.random.default_rng(seed)
         self.core, self.classes = core, -(-core // CLASS_SIZE)
         wide = self.classes + SHAPES
         normal = lambda *s, scale: (scale * r.standard_normal(s)).astype(np.float32)
-        self.wx = normal(core + SHAPES, 3 * HIDDEN, scale=0.1)  # input weights, one row for each word or shape
-        self.u = normal(HIDDEN, 3 * HIDDEN, scale=1 / np.sqrt(HIDDEN))
-        self.wc, self.bc = normal(HIDDEN, wide, scale=0.1), np.zeros(wide, np.float32)
-        self.ww, self.bw = normal(self.classes, HIDDEN, CLASS_SIZE, scale=0.1), np.zeros((self.classes, CLASS_SIZE), np.float32)
-        self.bw.reshape(-1)[core:] = -1e4  # places past the last core word
+        self.xg, self.xc = normal(core + SHAPES, 2 * HIDDEN, scale=0.1), normal(core + SHAPES, HIDDEN, scale=0.1)
+        self.ug, self.uc = normal(HIDDEN, 2 * HIDDEN, scale=1 / np.sqrt(HIDDEN)), normal(HIDDEN, HIDDEN, scale=1 / np.sqrt(HIDDEN))
+        self.wc, self.ww = normal(HIDDEN + 1, wide, scale=0.1), normal(self.classes, HIDDEN + 1, CLASS_SIZE, scale=0.1)
+        self.wc[-1], self.ww[:, -1] = 0, 0
+        past = np.arange(self.classes * CLASS_SIZE).reshape(self.classes, CLASS_SIZE) >= core
+        self.ww[:, -1][past] = -1e4  # places past the last core word
 
     def start(self, counts: np.ndarray, shape_tokens: np.ndarray) -> None:
         """Biases at the corpus's own frequencies."""
         padded = np.zeros(self.classes * CLASS_SIZE)
         padded[: self.core] = counts[: self.core]
         by = padded.reshape(self.classes, CLASS_SIZE)
-        self.bc[:] = np.log(np.concatenate([by.sum(1), shape_tokens]) + 1)
-        self.bw.reshape(-1)[: self.core] = np.log(padded[: self.core] + 1)
-        self.bc -= self.bc.max()
-        self.bw[:] = np.where(self.bw > -1e3, self.bw - self.bw.max(1, keepdims=True), self.bw)
+        first = np.log(np.concatenate([by.sum(1), shape_tokens]) + 1)
+        self.wc[-1] = first - first.max()
+        second = np.where(np.arange(padded.size).reshape(by.shape) < self.core, np.log(by + 1), -np.inf)
+        second = second - second.max(1, keepdims=True)
+        self.ww[:, -1] = np.where(np.isfinite(second), second, -1e4)
 
     def flat(self) -> np.ndarray:
         return np.concatenate([getattr(self, n).reshape(-1) for n in self.NAMES])
@@ -260,28 +259,53 @@ class Network:
             at += a.size
         return self
 
-    def gates(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(update and reset gates, new content, its recurrent part) for inputs x after the states h."""
-        g = self.wx[x]
-        a = h @ self.u
-        g[:, : 2 * HIDDEN] += a[:, : 2 * HIDDEN]
-        zr, an = sigmoid(g[:, : 2 * HIDDEN]), a[:, 2 * HIDDEN :]
-        n = zr[:, HIDDEN:] * an
-        n += g[:, 2 * HIDDEN :]
-        return zr, np.tanh(n, out=n), an
-
-    def step(self, x: np.ndarray, h: np.ndarray) -> np.ndarray:
-        """The states after inputs x."""
-        zr, n, _ = self.gates(x, h)
-        return n + zr[:, :HIDDEN] * (h - n)
+    def step(self, x: np.ndarray, h: np.ndarray, gate: np.ndarray, content: np.ndarray, inner: np.ndarray, out: np.ndarray) -> np.ndarray:
+        """The states after inputs x and states h, in out; both gates, the content and its recurrent part in the others."""
+        np.take(self.xg, x, axis=0, out=gate, mode="clip")
+        gate += h @ self.ug
+        np.exp(gate, out=gate)
+        gate += 1
+        np.reciprocal(gate, out=gate)
+        np.take(self.xc, x, axis=0, out=content, mode="clip")
+        np.matmul(h, self.uc, out=inner)
+        content += np.multiply(gate[:, HIDDEN:], inner, out=out)
+        np.tanh(content, out=content)
+        np.subtract(h, content, out=out)
+        out *= gate[:, :HIDDEN]
+        out += content
+        return out
+
+    def run(self, x: np.ndarray, live: list[int], h: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(states, gates, contents, their recurrent parts, states before, last states) of one window, step after step.
+
+        x is (steps, rows); at step t the first live[t] rows count.
+        """
+        size, kind = sum(live), self.ug.dtype
+        gate = np.empty((size, 2 * HIDDEN), kind)
+        states, content, inner = (np.empty((size, HIDDEN), kind) for _ in range(3))
+        before, at = [], 0
+        with np.errstate(over="ignore"):  # a gate's exponential may be infinite: the gate is 0 then
+            for t, m in enumerate(live):
+                cut = slice(at, at + m)
+                before.append(h[:m])
+                new = self.step(x[t, :m], h[:m], gate[cut], content[cut], inner[cut], states[cut])
+                h = new if m == len(h) else np.concatenate([new, h[m:]])
+                at += m
+        return states, gate, content, inner, before, h
+
+    @staticmethod
+    def with_one(states: np.ndarray) -> np.ndarray:
+        out = np.empty((len(states), HIDDEN + 1), states.dtype)
+        out[:, :HIDDEN], out[:, HIDDEN] = states, 1
+        return out
 
     def class_of(self, y: np.ndarray) -> np.ndarray:
         return np.where(y < self.core, y // CLASS_SIZE, self.classes + y - self.core)
 
     def log_prob(self, h: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Natural log probability of the targets y after the states h."""
-        logits = h @ self.wc + self.bc
-        cls = self.class_of(y)
+        h, cls = self.with_one(h), self.class_of(y)
+        logits = h @ self.wc
         np.minimum(logits, HIGHEST, out=logits)
         picked = logits[np.arange(len(y)), cls]
         out = picked - np.log(np.exp(logits, out=logits) @ ONES[: logits.shape[1]])
@@ -298,83 +322,76 @@ class Network:
         return by[: edge[-1]], edge
 
     def word_logits(self, h: np.ndarray, edge: list[int]) -> np.ndarray:
-        """Logits within the class of each state; the states are in order of class."""
+        """Logits within the class of each state (with its 1); the states are in order of class."""
         w = np.empty((len(h), CLASS_SIZE), h.dtype)
         for c in range(self.classes):
             a, b = edge[c], edge[c + 1]
             if b > a:
                 np.matmul(h[a:b], self.ww[c], out=w[a:b])
-                w[a:b] += self.bw[c]
         return np.minimum(w, HIGHEST, out=w)
 
     def gradients(self, x: np.ndarray, y: np.ndarray, live: list[int], h0: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, float, int]:
-        """(gradients of the summed log loss, last states, loss, tokens) of one window.
-
-        x and y are (steps, rows); at step t the first live[t] rows count.
-        """
-        ends = np.cumsum(live)
-        cuts = [slice(e - m, e) for e, m in zip(ends.tolist(), live, strict=True)]
-        size, kind = int(ends[-1]), self.u.dtype
-        before, states, content, inner = (np.empty((size, HIDDEN), kind) for _ in range(4))
-        gate = np.empty((size, 2 * HIDDEN), kind)
-        h = h0
-        for t, (m, cut) in enumerate(zip(live, cuts, strict=True)):
-            old = h[:m]
-            zr, n, an = self.gates(x[t, :m], old)
-            new = n + zr[:, :HIDDEN] * (old - n)
-            before[cut], gate[cut], content[cut], inner[cut], states[cut] = old, zr, n, an, new
-            h = new if m == len(h) else np.concatenate([new, h[m:]])
+        """(gradients of the summed log loss, last states, loss, tokens) of one window of run(), with targets y like x."""
+        states, gate, content, inner, kept, h = self.run(x, live, h0)
+        size, kind = len(states), states.dtype
         ys = np.concatenate([y[t, :m] for t, m in enumerate(live)])
         xs = np.concatenate([x[t, :m] for t, m in enumerate(live)])
-        cls, rows = self.class_of(ys), np.arange(size)
-        p = states @ self.wc
-        p += self.bc
+        cls, rows, one = self.class_of(ys), np.arange(size), self.with_one(states)
+        p = one @ self.wc
         np.exp(np.minimum(p, HIGHEST, out=p), out=p)
         p *= (1 / (p @ ONES[: p.shape[1]]))[:, None]
         loss = -np.log(p[rows, cls] + 1e-30).sum()
         p[rows, cls] -= 1
-        g = {"wc": states.T @ p, "bc": p.sum(0), "ww": np.zeros_like(self.ww), "bw": np.zeros_like(self.bw)}
-        dh = p @ self.wc.T
+        g = {"wc": one.T @ p, "ww": np.zeros_like(self.ww)}
+        dh = p @ self.wc[:HIDDEN].T
         by, edge = self.by_class(cls)
         if len(by):
-            hs, k = states[by], ys[by] % CLASS_SIZE
+            hs, k = one[by], ys[by] % CLASS_SIZE
             w = self.word_logits(hs, edge)
             np.exp(w, out=w)
             w *= (1 / (w @ ONES[:CLASS_SIZE]))[:, None]
             own = np.arange(len(by))
             loss -= np.log(w[own, k] + 1e-30).sum()
             w[own, k] -= 1
-            more = np.empty_like(hs)
+            more = np.empty((len(by), HIDDEN), kind)
             for c in range(self.classes):
                 a, b = edge[c], edge[c + 1]
                 if b > a:
-                    g["ww"][c], g["bw"][c] = hs[a:b].T @ w[a:b], w[a:b].sum(0)
-                    np.matmul(w[a:b], self.ww[c].T, out=more[a:b])
+                    np.matmul(hs[a:b].T, w[a:b], out=g["ww"][c])
+                    np.matmul(w[a:b], self.ww[c, :HIDDEN].T, out=more[a:b])
             dh[by] += more
-        z, r = gate[:, :HIDDEN], gate[:, HIDDEN:]
-        to_content = (1 - z) * (1 - content * content)
-        to_update = (before - content) * z * (1 - z)
-        to_reset = inner * r * (1 - r)
-        dg, dr = np.empty((size, 3 * HIDDEN), kind), np.empty((size, HIDDEN), kind)  # of the gates' inputs; of the content's recurrent part
-        u_gates, u_content = np.ascontiguousarray(self.u[:, : 2 * HIDDEN].T), np.ascontiguousarray(self.u[:, 2 * HIDDEN :].T)
-        carry = np.zeros((0, HIDDEN), kind)
-        for cut in reversed(cuts):
+        before = np.concatenate(kept)
+        z = gate[:, :HIDDEN]
+        bend = gate - 1
+        bend *= gate  # a gate's derivative
+        to_update = before - content
+        to_update *= bend[:, :HIDDEN]
+        to_reset = inner * bend[:, HIDDEN:]
+        to_content = content * content
+        to_content -= 1
+        to_content *= z - 1
+        dg, dc, dr = np.empty((size, 2 * HIDDEN), kind), np.empty((size, HIDDEN), kind), np.empty((size, HIDDEN), kind)
+        ug, uc = np.ascontiguousarray(self.ug.T), np.ascontiguousarray(self.uc.T)
+        carry, end = np.zeros((0, HIDDEN), kind), size
+        for m in reversed(live):
+            cut, end = slice(end - m, end), end - m
             d = dh[cut]
             d[: len(carry)] += carry
-            dn = d * to_content[cut]
+            dn = np.multiply(d, to_content[cut], out=dc[cut])
             out = dg[cut]
-            out[:, 2 * HIDDEN :] = dn
             np.multiply(d, to_update[cut], out=out[:, :HIDDEN])
-            np.multiply(dn, to_reset[cut], out=out[:, HIDDEN : 2 * HIDDEN])
-            np.multiply(dn, r[cut], out=dr[cut])
+            np.multiply(dn, to_reset[cut], out=out[:, HIDDEN:])
+            np.multiply(dn, gate[cut, HIDDEN:], out=dr[cut])
             carry = d * z[cut]
-            carry += out[:, : 2 * HIDDEN] @ u_gates
-            carry += dr[cut] @ u_content
-        g["u"] = np.concatenate([before.T @ dg[:, : 2 * HIDDEN], before.T @ dr], axis=1)
+            carry += out @ ug
+            carry += dr[cut] @ uc
+        g["ug"], g["uc"] = before.T @ dg, before.T @ dr
         order = np.argsort(xs.astype(np.int16), kind="stable")
-        first = np.flatnonzero(np.concatenate([[True], xs[order][1:] != xs[order][:-1]]))
-        g["wx"] = np.zeros_like(self.wx)
-        g["wx"][xs[order][first]] = np.add.reduceat(dg[order], first, axis=0)
+        seen = xs[order]
+        first = np.flatnonzero(np.concatenate([[True], seen[1:] != seen[:-1]]))
+        for name, d in (("xg", dg), ("xc", dc)):
+            g[name] = np.zeros_like(getattr(self, name))
+            g[name][seen[first]] = np.add.reduceat(d[order], first, axis=0)
         return g, h, float(loss), size
 
 
@@ -443,13 +460,9 @@ def score_sequences(net: Network, sequences: list[np.ndarray]) -> np.ndarray:
         own = np.zeros(len(rows))
         h = np.zeros((len(rows), HIDDEN), np.float32)
         for x, y, live in windows([sequences[i] for i in rows]):
-            h = h[: live[0]]
-            states = []
-            for t, m in enumerate(live):
-                h = net.step(x[t, :m], h[:m])
-                states.append(h)
+            states, *_, h = net.run(x, live, h[: live[0]])
             which = np.concatenate([np.arange(m) for m in live])
-            lp = net.log_prob(np.concatenate(states), np.concatenate([y[t, :m] for t, m in enumerate(live)]))
+            lp = net.log_prob(states, np.concatenate([y[t, :m] for t, m in enumerate(live)]))
             own += np.bincount(which, weights=lp, minlength=len(own))
         out[rows] = own
     return out

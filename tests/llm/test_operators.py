@@ -216,7 +216,7 @@ def test_language_model_score_in_plain_numpy(spark, docs, rows, monkeypatch):
                 word = own.h[own.read(w)]
                 place, shape = int(vocabulary.slots(word)[0]), int(recurrent_lm.shape_of(word)[0])
                 symbol = place if 0 <= place < vocabulary.core else vocabulary.core + shape
-            h = net.step(np.array([last]), h)
+            h = net.run(np.array([[last]]), [1], h)[0]
             score += net.log_prob(h, np.array([symbol]))[0] / np.log(10)
             if symbol >= vocabulary.core:
                 score += vocabulary.tail_log10(np.array([counts[w]]), np.array([shape]))[0]
