@@ -40,6 +40,7 @@ HEAD = 1 << 17
 WINDOW = 32
 TOGETHER = 256
 BLOCK_TOKENS = 1 << 19
+SLAB_TOKENS = 1 << 22
 COUNTED = 1_000_000
 WORDS_HELD = 300_000
 START_DOCUMENTS, START_BYTES, START_PASSES = 1200, 8 << 20, 3
@@ -119,7 +120,7 @@ class Block:
         """Network symbols of each document: core words by rank, others by shape, the end last."""
         core = vocabulary.core
         symbol = np.where((slots >= 0) & (slots < core), slots, core + shape_of(self.words))
-        flat = np.insert(symbol[self.at], np.cumsum(self.sizes), 0).astype(np.int64)  # the end is the first core word
+        flat = np.insert(symbol.astype(np.int16)[self.at], np.cumsum(self.sizes), 0)  # the end is the first core word
         return np.split(flat, np.cumsum(self.sizes + 1)[:-1])
 
 
@@ -420,51 +421,63 @@ class Trainer:
 
     def run(self, sequences: list[np.ndarray]) -> float:
         """One pass over the sequences, the state carried on and every window propagated back; returns the mean loss of a token."""
-        total, seen = 0.0, 0
-        for rows in batches_of(sequences):
-            h = np.zeros((len(rows), HIDDEN), np.float32)
-            for x, y, live in windows([sequences[i] for i in rows]):
-                h = h[: live[0]]
-                g, h, loss, n = self.net.gradients(x, y, live, h)
-                self.update(g, n)
-                total, seen = total + loss, seen + n
+        total, seen, h = 0.0, 0, None
+        for x, y, live, _, carry in windows(sequences):
+            g, h, loss, n = self.net.gradients(x, y, live, carried(h, carry))
+            self.update(g, n)
+            total, seen = total + loss, seen + n
         return total / max(seen, 1)
 
 
-def batches_of(sequences: list[np.ndarray]) -> Iterator[list[int]]:
-    by = sorted(range(len(sequences)), key=lambda i: -len(sequences[i]))
-    for k in range(0, len(by), TOGETHER):
-        yield by[k : k + TOGETHER]
+def windows(sequences: list[np.ndarray], bos: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray, list[int], np.ndarray, np.ndarray]]:
+    """(inputs, targets, rows alive at each step, the sequence of each row, its row in the window before or -1) of windows over all sequences.
 
-
-def windows(rows: list[np.ndarray], bos: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray, list[int]]]:
-    """(inputs, targets, rows alive at each step) of each window; rows are in order of falling length."""
-    sizes = np.array([len(r) for r in rows])
-    last = np.full(len(rows), bos, dtype=np.int64)
-    for at in range(0, int(sizes[0]), WINDOW):
-        alive = int((sizes > at).sum())
-        steps = min(WINDOW, int(sizes[0]) - at)
-        y = np.zeros((steps, alive), dtype=np.int64)
-        for i in range(alive):
-            cut = rows[i][at : at + steps]
-            y[: len(cut), i] = cut
-        x = np.concatenate([last[None, :alive], y[:-1]])
-        last = y[-1].copy()
-        yield x, y, [int((sizes > at + t).sum()) for t in range(steps)]
+    TOGETHER sequences run in step, the longest first; one that ends gives its row to the next one, so that
+    the rows stay full until the last have begun.
+    """
+    size = np.array([len(s) for s in sequences], dtype=np.int64)
+    if not size.sum():
+        return
+    flat = np.concatenate(sequences)
+    begin = np.cumsum(size) - size
+    before = np.concatenate([[bos], flat[:-1]]).astype(flat.dtype)
+    before[begin[size > 0]] = bos
+    queue = np.argsort(-size, kind="stable")
+    queue = queue[: int((size > 0).sum())]
+    rows, next_ = queue[:TOGETHER], TOGETHER
+    at, left, carry = begin[rows], size[rows], np.full(len(rows), -1)
+    while len(rows):
+        n = np.minimum(left, WINDOW)
+        by = np.argsort(-n, kind="stable")
+        rows, at, left, carry, n = rows[by], at[by], left[by], carry[by], n[by]
+        steps = np.arange(int(n[0]))
+        place = np.minimum(at + steps[:, None], len(flat) - 1)
+        yield before[place], flat[place], np.searchsorted(-n, -steps - 1, side="right").tolist(), rows, carry
+        at, left = at + n, left - n
+        kept = np.flatnonzero(left)
+        new = queue[next_ : next_ + TOGETHER - len(kept)]
+        next_ += len(new)
+        rows, carry = np.concatenate([rows[kept], new]), np.concatenate([kept, np.full(len(new), -1)])
+        at, left = np.concatenate([at[kept], begin[new]]), np.concatenate([left[kept], size[new]])
+
+
+def carried(h: np.ndarray | None, carry: np.ndarray) -> np.ndarray:
+    """The states that rows begin a window with: those of their rows in the window before, or none."""
+    out = np.zeros((len(carry), HIDDEN), np.float32 if h is None else h.dtype)
+    old = carry >= 0
+    if old.any():
+        out[old] = h[carry[old]]
+    return out
 
 
 def score_sequences(net: Network, sequences: list[np.ndarray]) -> np.ndarray:
     """Natural log probability of each sequence (of core words and shapes), from its first token to its last."""
-    out = np.zeros(len(sequences))
-    for rows in batches_of(sequences):
-        own = np.zeros(len(rows))
-        h = np.zeros((len(rows), HIDDEN), np.float32)
-        for x, y, live in windows([sequences[i] for i in rows]):
-            states, *_, h = net.run(x, live, h[: live[0]])
-            which = np.concatenate([np.arange(m) for m in live])
-            lp = net.log_prob(states, np.concatenate([y[t, :m] for t, m in enumerate(live)]))
-            own += np.bincount(which, weights=lp, minlength=len(own))
-        out[rows] = own
+    out, h = np.zeros(len(sequences)), None
+    for x, y, live, rows, carry in windows(sequences):
+        states, *_, h = net.run(x, live, carried(h, carry))
+        which = np.concatenate([np.arange(m) for m in live])
+        lp = net.log_prob(states, np.concatenate([y[t, :m] for t, m in enumerate(live)]))
+        out[rows] += np.bincount(which, weights=lp, minlength=len(rows))
     return out
 
 
@@ -536,12 +549,17 @@ def task_weights(blocks: DataFrame, vocabulary: Vocabulary, net: Network) -> Dat
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, start = shared.value
-        trainer = Trainer(Network(known.core).load(start), RATE)
+        trainer, held, n = Trainer(Network(known.core).load(start), RATE), [], 0
         for pdf in batches:
             for row in pdf.to_dict("records"):
                 b = Block.read(row)
                 own = b.sequences(known, known.slots(b.words))
-                trainer.run([own[i] for i in np.flatnonzero(~b.held)])
+                held += [own[i] for i in np.flatnonzero(~b.held)]
+                n += len(b.at)
+                if n >= SLAB_TOKENS:
+                    trainer.run(held)
+                    held, n = [], 0
+        trainer.run(held)
         if trainer.tokens:
             yield pd.DataFrame({"w": [trainer.net.flat()], "tokens": [trainer.tokens]})
 
@@ -566,25 +584,40 @@ def score(source: DataFrame) -> DataFrame:
         known, flat = shared.value
         net = Network(known.core).load(flat)
         end_base, end_known = float(known.base_log10(known.c[:1])[0]), int(known.c[0] > 0)
+        def finish(b: Block, slots: np.ndarray, ids: list, lp: np.ndarray) -> pd.DataFrame:
+            doc, many = b.doc, len(b.sizes)
+            c = np.where(slots >= 0, known.c[slots], 0)
+            rest = slots >= known.core
+            inside = np.zeros(len(slots))
+            inside[rest] = known.tail_log10(c[rest], shape_of(b.words[rest]))
+            plain = np.where(slots >= 0, known.base_log10(c), 0.0)
+            total = lambda x: np.bincount(doc, weights=x[b.at], minlength=many)
+            far = np.flatnonzero(slots[b.at] < 0)
+            pair, times = np.unique(doc[far] * len(b.words) + b.at[far], return_counts=True) if len(far) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            cut = np.searchsorted(pair, np.arange(1, many) * len(b.words))
+            return pd.DataFrame({
+                RID: b.rid, "doc_id": ids, "held_out": b.held, "n_tokens": b.sizes + 1, "known": total((c > 0).astype(float)).astype(np.int64) + end_known,
+                "base": total(plain) + end_base, "own": lp / LN10 + total(inside),
+                "tail": np.split(b.words[pair % max(len(b.words), 1)], cut), "many": np.split(times.astype(np.int32), cut),
+            })
+
+        def flush() -> Iterator[pd.DataFrame]:
+            lp = score_sequences(net, [s for *_, own in held for s in own])
+            ends = np.cumsum([len(own) for *_, own in held])
+            for (b, slots, ids, _), part in zip(held, np.split(lp, ends[:-1]), strict=True):
+                yield finish(b, slots, ids, part)
+            held.clear()
+
+        held: list[tuple] = []
         for pdf in batches:
             for row in pdf.to_dict("records"):
                 b = Block.read(row)
-                slots, doc, many = known.slots(b.words), b.doc, len(b.sizes)
-                lp = score_sequences(net, b.sequences(known, slots)) / LN10
-                c = np.where(slots >= 0, known.c[slots], 0)
-                rest = slots >= known.core
-                inside = np.zeros(len(slots))
-                inside[rest] = known.tail_log10(c[rest], shape_of(b.words[rest]))
-                plain = np.where(slots >= 0, known.base_log10(c), 0.0)
-                total = lambda x: np.bincount(doc, weights=x[b.at], minlength=many)  # noqa: B023, E731
-                far = np.flatnonzero(slots[b.at] < 0)
-                pair, times = np.unique(doc[far] * len(b.words) + b.at[far], return_counts=True) if len(far) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-                cut = np.searchsorted(pair, np.arange(1, many) * len(b.words))
-                yield pd.DataFrame({
-                    RID: b.rid, "doc_id": list(row["doc_id"]), "held_out": b.held, "n_tokens": b.sizes + 1, "known": total((c > 0).astype(float)).astype(np.int64) + end_known,
-                    "base": total(plain) + end_base, "own": lp + total(inside),
-                    "tail": np.split(b.words[pair % max(len(b.words), 1)], cut), "many": np.split(times.astype(np.int32), cut),
-                })
+                slots = known.slots(b.words)
+                held.append((b, slots, list(row["doc_id"]), b.sequences(known, slots)))
+                if sum(len(x[0].at) for x in held) >= SLAB_TOKENS:
+                    yield from flush()
+        if held:
+            yield from flush()
 
     spec = f"{RID} bigint, doc_id string, held_out boolean, n_tokens bigint, known bigint, base double, own double, tail array<bigint>, many array<int>"
     scored = materialise(blocks.mapInPandas(tidy(run), spec).withColumn("doc_id", F.col("doc_id").cast("bigint")), "scored")
