@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Bitmap, NULL_ID, RID, documents, materialise, row_key, tidy, width
+from .common import Bitmap, NULL_ID, RID, discard, documents, materialise, row_key, tidy, width
 
 LENGTH = 100
 GRAM = 32
@@ -439,7 +439,9 @@ def removal_spans(docs: DataFrame) -> DataFrame:
         split = materialise(single_strings(texts.join(hot, "h", "left_semi")), "strings")
         done = done.unionByName(split.where("region is null").select(RID, "start", (F.col("start") + LENGTH).alias("stop")))
         found = merged_repeats(texts.join(hot, "h", "left_anti").unionByName(split.where("region is not null")), parts)
-    return done.unionByName(whole).unionByName(materialise(found, "spans"))
+    found = materialise(found, "spans")
+    discard(texts)
+    return done.unionByName(whole).unionByName(found)
 
 
 def remaining(raw: bytes, found: list) -> tuple[bytes, int, int]:

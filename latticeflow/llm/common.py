@@ -46,7 +46,16 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
     path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.lattice_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of materialise() that nothing reads any more: what was made of them is written itself."""
+    for t in tables:
+        at = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.lattice_path)
+        at.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:

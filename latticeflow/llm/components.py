@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 
 def forest(pairs: Iterator[tuple]) -> list[tuple]:
@@ -63,6 +63,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         # Small star: a vertex and its lower neighbours turn to the least of these.
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
-        now = materialise(small.where("a != b").distinct(), "edges")
+        old, now = now, materialise(small.where("a != b").distinct(), "edges")
+        discard(old)
     roots = now.select(F.col("b").alias("v"), F.col("b").alias("comp")).distinct()
     return now.select(F.col("a").alias("v"), F.col("b").alias("comp")).unionByName(roots)

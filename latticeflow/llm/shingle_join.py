@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bitmap, RID, documents, materialise, spread_join, tidy
+from .common import Bitmap, RID, discard, documents, materialise, spread_join, tidy
 from .components import connected_components, forest
 
 WORDS = 3
@@ -290,11 +290,14 @@ def near_groups(source: DataFrame, words: int = WORDS, per_cent: int = PER_CENT)
     documents of their own.  comp tells components apart that share a component_id; a text without words has none.
     """
     docs = documents(source, key=True)
-    light = materialise(describe(docs, words, per_cent), "prefixes")
-    entries = materialise(meeting_entries(light), "entries")
+    described = materialise(describe(docs, words, per_cent), "prefixes")
+    entries = materialise(meeting_entries(described), "entries")
+    light = materialise(described.select(RID, "doc_id", "n", "v"), "members")
+    discard(described)
     # The head has the fewest shingles of its own: it is the likeliest to link with the others.
     lists = entries.groupBy("key").agg(F.min(F.struct("singles", "n", "v", "place")).alias("head"), F.min("v").alias("v1"), F.max("v").alias("v2")).where("v1 != v2").select("key", "head")
     live = materialise(entries.join(lists, "key"), "postings")  # entries that meet another one
+    discard(entries)
     overlap = f"(({per_cent} * (n + n2) + {99 + per_cent}) div {100 + per_cent})"  # ceil of s / (1 + s) * (n + n2)
     fits = f"least(n, n2) * 100 >= {per_cent} * greatest(n, n2) and place < n - {overlap} + greatest(k, k2) and place2 < n2 - {overlap} + greatest(k, k2)"
     starred = live.select("v", "n", "place", "k", F.col("k").alias("k2"), F.col("head.v").alias("v2"), F.col("head.n").alias("n2"), F.col("head.place").alias("place2"), "often")
@@ -312,16 +315,20 @@ def near_groups(source: DataFrame, words: int = WORDS, per_cent: int = PER_CENT)
     place = live.select("v").distinct().join(comps, "v", "left").join(near.withColumnRenamed("comp", "cluster"), "v", "left")
     place = materialise(place.select("v", F.coalesce("comp", "v").alias("comp"), F.coalesce("cluster", "v").alias("cluster")), "clusters")
     links = links.unionByName(materialise(link_clusters(place, sets, per_cent), "links"))
+    discard(tried, sets)
     comps = connected_components(links)
     # What is left: pairs of different clusters and components, complete, by the prefix shingles they share.
     named = live.drop("head", "singles").join(place.select("v", "cluster"), "v").join(comps, "v", "left").withColumn("comp", F.coalesce("comp", "v"))
     mixed = named.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.min("cluster").alias("k1"), F.max("cluster").alias("k2")).where("c1 != c2 and k1 != k2").select("key")
     rest = materialise(named.join(mixed, "key", "left_semi"), "mixed")
+    discard(live)
     other = rest.select("key", *[F.col(c).alias(f"{c}2") for c in ("v", "n", "place", "k", "often", "comp", "cluster")])
     pairs = rest.join(other, "key").where("v < v2 and comp != comp2 and cluster != cluster2").where(fits)
     pairs = pairs.groupBy("v", "v2").agg(F.sum("single").alias("c"), F.min(F.least("often", "often2")).alias("o"), F.min(F.least("k", "k2")).alias("k")).where("c + o >= k")
     pairs = materialise(pairs.select(F.col("v").alias("a"), F.col("v2").alias("b")), "pairs")
-    more = verify(pairs, sets_of(docs, light, pairs, words), per_cent)
+    sets = sets_of(docs, light, pairs, words)
+    more = verify(pairs, sets, per_cent)
+    discard(rest, pairs, sets)
     if not more.isEmpty():
         comps = connected_components(links.unionByName(more))
     found = spread_join(light.where("n > 0").select(RID, "doc_id", "n", "v"), comps, "v", RID).withColumn("comp", F.coalesce("comp", "v"))
