@@ -16,9 +16,11 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.files import write_files
 from .common import fresh_path, tidy
 
 # The field lists of the two versions of the format.
@@ -38,9 +40,14 @@ def arc_header(name: str, version: int) -> bytes:
     return " ".join(own[f] for f in FIELDS[version]).encode() + b"\n" + block + b"\n"
 
 
+def plain_url(url: str | None) -> str:
+    """The URL without blanks and line ends: these are percent-encoded; "-" for none."""
+    return re.sub(r"\s", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), url or "") or "-"
+
+
 def arc_record(version: int, url: str, block: bytes, date: str = STAMP, ip: str = "0.0.0.0", kind: str = "text/html", name: str = "-", offset: int = 0) -> bytes:
     """One record; blanks and line ends of the URL are percent-encoded, since the line is split at blanks."""
-    url = re.sub(r"\s", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), url) or "-"
+    url = plain_url(url)
     own = {"URL": url, "IP-address": ip, "Archive-date": date, "Content-type": kind, "Result-code": "200", "Checksum": "-", "Location": "-", "Offset": str(offset), "Filename": name, "Archive-length": str(len(block))}
     return " ".join(own[f] for f in FIELDS[version]).encode() + b"\n" + block + b"\n"
 
@@ -97,8 +104,18 @@ def record_id(url: str, date: str, digest: str, key: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(SPACE, f'{url} {date} {digest} {key}')}>"
 
 
-def warc_record(fields: dict, block: bytes, refers_to: str | None = None) -> bytes:
-    """The WARC/1.0 record of a parsed ARC record: response, or revisit (headers only) if refers_to is given."""
+def warc_info(name: str, version: int) -> bytes:
+    """The record that begins a WARC file: what made it, and from which ARC version."""
+    block = f"software: latticeflow\r\nformat: WARC File Format 1.0\r\ndescription: converted from ARC version {version}\r\n".encode()
+    lines = ["WARC/1.0", "WARC-Type: warcinfo", f"WARC-Record-ID: {record_id(name, warc_date(STAMP), base32_sha1(block), 'info')}", f"WARC-Date: {warc_date(STAMP)}", f"WARC-Filename: {name}", "Content-Type: application/warc-fields", f"Content-Length: {len(block)}"]
+    return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def warc_record(fields: dict, block: bytes, refers_to: str | None = None, refers_url: str | None = None) -> bytes:
+    """The WARC/1.0 record of a parsed ARC record: response, or revisit (headers only) if refers_to is given.
+
+    A revisit names the response by its record id, which follows from the response's url, page and the digest.
+    """
     http, head, payload = http_split(block)
     digest, date = base32_sha1(payload), warc_date(fields["Archive-date"])
     key = http.get("x-page-id", "")
@@ -114,7 +131,7 @@ def warc_record(fields: dict, block: bytes, refers_to: str | None = None) -> byt
         f"Content-Type: {'application/http; msgtype=response' if head else fields['Content-type']}",
     ]
     if refers_to is not None:
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.0/revisit/identical-payload-digest", f"X-Refers-To-Page: {refers_to}", "WARC-Truncated: length"]
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.0/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_url or '-', date, digest, refers_to)}", f"WARC-Refers-To-Target-URI: {refers_url or '-'}", f"WARC-Refers-To-Date: {date}", f"X-Refers-To-Page: {refers_to}", "WARC-Truncated: length"]
     kept = block if refers_to is None else head
     lines += [f"WARC-Block-Digest: sha1:{base32_sha1(kept)}", f"Content-Length: {len(kept)}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + kept + b"\r\n\r\n"
@@ -137,24 +154,25 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict, bytes]]:
 
 
 def with_roles(pages: DataFrame) -> DataFrame:
-    """page_id, url, html (null: empty), refers_to: the largest page_id with the same payload, null for that page itself.
+    """page_id, url, html (null: empty), refers_to and refers_url: the largest page_id with the same payload, null for that page itself, and its url.
 
     Digests are counted with a partial aggregate; only digests of more than one page are joined back,
     and the pages of one digest are dealt over SALT keys, so no digest lands in one task.
     """
     rows = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.unhex(F.sha1(F.col("html").cast("binary"))))
-    shared = rows.groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").drop("n")
+    shared = rows.groupBy("digest").agg(F.max("page_id").alias("last"), F.max_by("url", F.struct("page_id", "url")).alias("last_url"), F.count("*").alias("n")).where("n > 1").drop("n")
     shared = shared.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALT)])))
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALT)).cast("int"))
     joined = rows.join(shared, ["digest", "salt"], "left")
-    return joined.select("page_id", "url", "html", F.when(F.col("last") != F.col("page_id"), F.col("last")).alias("refers_to"))
+    other = F.col("last") != F.col("page_id")
+    return joined.select("page_id", "url", "html", F.when(other, F.col("last")).alias("refers_to"), F.when(other, F.col("last_url")).alias("refers_url"))
 
 
 def convert(pages: DataFrame, out: str) -> DataFrame:
     """Put the pages into ARC files, convert these to WARC files, and write those to the table at `out`.
 
-    One row of the table is one WARC file: content, n_records.  ARC versions 1 and 2 take turns.  Null
+    One row of the table is one WARC file: name, n_records, content (write_archives() puts them out as files).  ARC versions 1 and 2 take turns.  Null
     url: "-"; null html: an empty payload.  Rows that repeat a page_id and its html are both response.
     A null page_id has an empty X-Page-Id and never counts as the largest.
     """
@@ -166,10 +184,11 @@ def convert(pages: DataFrame, out: str) -> DataFrame:
 
             def flush():
                 data = b"".join(arc)
-                warc = [warc_record(f, b, r) for (f, b), r in zip(parse_arc(data), refers, strict=True)]
-                return pd.DataFrame({"n_records": [len(warc)], "content": [b"".join(warc)]})
+                warc = [warc_record(f, b, *r) for (f, b), r in zip(parse_arc(data), refers, strict=True)]
+                name = f"part-{TaskContext.get().partitionId()}-{turn}.warc"
+                return pd.DataFrame({"name": [name], "n_records": [len(warc)], "content": [b"".join([warc_info(name, version), *warc])]})
 
-            for page, url, html, ref in zip(pdf["page_id"], pdf["url"], pdf["html"], pdf["refers_to"], strict=True):
+            for page, url, html, ref, ref_url in zip(pdf["page_id"], pdf["url"], pdf["html"], pdf["refers_to"], pdf["refers_url"], strict=True):
                 if not arc:
                     turn, version = turn + 1, 1 + turn % 2
                     arc.append(arc_header(f"part-{turn}.arc", version))
@@ -179,7 +198,7 @@ def convert(pages: DataFrame, out: str) -> DataFrame:
                 head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Page-Id: {own}\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
                 arc.append(arc_record(version, url if isinstance(url, str) else "-", head + payload, offset=size))
                 size += len(arc[-1])
-                refers.append(ref)
+                refers.append((ref, plain_url(ref_url)))
                 if size >= FILE_BYTES:
                     yield flush()
                     arc, size, refers = [], 0, []
@@ -188,7 +207,7 @@ def convert(pages: DataFrame, out: str) -> DataFrame:
 
     # Ids go as texts: a whole number beside a null would lose its last digits on the way.
     rows = with_roles(pages).withColumns({c: F.col(c).cast("string") for c in ("page_id", "refers_to")})
-    rows.mapInPandas(tidy(run), "n_records int, content binary").write.option("compression", "zstd").parquet(out)
+    rows.mapInPandas(tidy(run), "name string, n_records int, content binary").write.option("compression", "zstd").parquet(out)
     return pages.sparkSession.read.parquet(out)
 
 
@@ -203,6 +222,8 @@ def read_back(files: DataFrame) -> DataFrame:
             for content in pdf["content"]:
                 rows = []
                 for fields, block in parse_warc(content):
+                    if fields["WARC-Type"] == "warcinfo":
+                        continue
                     http, _, payload = http_split(block)
                     digest, size = fields["WARC-Payload-Digest"].removeprefix("sha1:"), int(fields["X-Payload-Length"])
                     if fields["WARC-Type"] == "response" and (base32_sha1(payload), len(payload)) != (digest, size):
@@ -217,5 +238,10 @@ def read_back(files: DataFrame) -> DataFrame:
     return files.select("content").mapInPandas(tidy(run), "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, warc_record_id string, url string")
 
 
+def write_archives(files: DataFrame, folder: str) -> DataFrame:
+    """Write each archive of convert()'s table as a .warc file of a folder that the tasks can reach; returns (name, bytes)."""
+    return write_files(files.select("name", "content"), folder)
+
+
 def round_trip(pages: DataFrame) -> DataFrame:
     return read_back(convert(pages, fresh_path(pages.sparkSession, "warc")))

@@ -9,8 +9,9 @@ body and the next are re-encoded together; while the next chunk has no settled p
 grows by that whole chunk, so both edges always agree exactly with the plain encoding.
 
 Bodies and joins go through a byte-pair merge by rank over the same vocabulary.  Text outside the
-alphabet on which the two pre-token patterns are known to agree, and any document that spells a
-special token, goes through the tokenizers library itself.
+alphabet on which the two pre-token patterns are known to agree goes through the tokenizers library
+itself.  A document that spells special tokens is cut at these, the longest at each place, and what stands
+between them goes the same way.
 """
 
 from __future__ import annotations
@@ -84,6 +85,9 @@ class ChunkCodec:
         self.plain.no_truncation()
         self.plain.no_padding()
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        if any(t.get(k) for t in spec["added_tokens"] for k in ("lstrip", "rstrip", "single_word")):
+            raise ValueError("special tokens that take blanks or words with them can't be cut out alone")
+        self.marks = re.compile("|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True)) or "(?!)")
         alphabet = byte_alphabet()
         vocab = {bytes(alphabet[c] for c in k): v for k, v in spec["model"]["vocab"].items() if k not in self.special}
         self.bytes_of = {v: k for k, v in vocab.items()} | {v: k.encode() for k, v in self.special.items()}
@@ -129,11 +133,18 @@ class ChunkCodec:
 
     def encode(self, text: str) -> tuple[str, int, str]:
         """(decimal ids joined by commas, their number, the text they decode to)."""
-        if any(s in text for s in self.special):
-            ids = self.plain.encode(text, add_special_tokens=False).ids
-            return ",".join(map(str, ids)), len(ids), self.decode(ids)
         if self.held > TABLE_BYTES:
             self.clear()
+        parts, at = [], 0
+        for mark in self.marks.finditer(text):
+            parts += self.parts(text[at : mark.start()])
+            parts.append((str(self.special[mark[0]]), 1, mark[0].encode("utf-8")))
+            at = mark.end()
+        parts += self.parts(text[at:])
+        return ",".join([p[0] for p in parts]), sum(p[1] for p in parts), b"".join([p[2] for p in parts]).decode("utf-8", "replace")
+
+    def parts(self, text: str) -> list[tuple[str, int, bytes]]:
+        """The pieces of a text without special tokens."""
         raw = text.encode("utf-8")
         data = np.frombuffer(raw, dtype=np.uint8)
         parts, pending, start = [], b"", 0
@@ -156,8 +167,7 @@ class ChunkCodec:
             start = end
         if pending:
             parts.append(self.join(pending))
-        parts = [p for p in parts if p[1]]
-        return ",".join([p[0] for p in parts]), sum(p[1] for p in parts), b"".join([p[2] for p in parts]).decode("utf-8", "replace")
+        return [p for p in parts if p[1]]
 
     def decode(self, ids: list[int]) -> str:
         return b"".join([self.bytes_of[i] for i in ids]).decode("utf-8", "replace")
