@@ -52,10 +52,16 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete tables of materialise() that nothing reads any more: what was made of them is written itself."""
+    """Delete tables of materialise() that nothing reads any more: what was made of them is written itself.
+
+    The shuffle files behind them go when the driver collects its garbage, which a long chain of jobs with
+    little garbage each would put off until the disks are full; so it is asked to.
+    """
     for t in tables:
         at = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.lattice_path)
         at.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+    for spark in {t.sparkSession for t in tables}:
+        spark.sparkContext._jvm.System.gc()
 
 
 def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
