@@ -417,6 +417,7 @@ def removal_spans(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), RID, "text")
     known = Bitmap(spark, repeated_anchors(docs), "h")
     prints = materialise(fingerprints(docs, known), "prints")
+    known.drop()
     done = prints.where("h is null").select(RID, "start", (F.col("start") + F.col("n") + LENGTH - 1).alias("stop"))
     place = F.struct("doc_id", RID, "start")
     judged = prints.where("h is not null").repartition(parts, "h", "th").withColumn("kept", place == F.min(place).over(Window.partitionBy("h", "th")))
@@ -432,6 +433,8 @@ def removal_spans(docs: DataFrame) -> DataFrame:
 
     wanted = Bitmap(spark, judged.where("kept").select("h", RID, "start").mapInPandas(tidy(keys), "k bigint"), "k")
     texts = materialise(texts_of(docs, wanted), "regions")
+    wanted.drop()
+    mixed.drop()
     hot = texts.groupBy("h").agg(F.count("*").alias("m")).where(F.col("m") > HOT_REGIONS).select("h")
     if hot.isEmpty():
         found = merged_repeats(texts, parts)

@@ -111,6 +111,10 @@ class Bitmap:
             table[r["blk"]] |= np.frombuffer(r["bits"], dtype=np.uint8)
         self.shared = spark.sparkContext.broadcast(table.reshape(-1).tobytes())
 
+    def drop(self) -> None:
+        """Give its room back, once the tables made with it are written."""
+        self.shared.destroy()
+
     def __getstate__(self):
         return self.shared
 

@@ -173,7 +173,7 @@ def describe(docs: DataFrame, words: int, per_cent: int) -> DataFrame:
 
 
 def meeting_entries(light: DataFrame) -> DataFrame:
-    """(key, place, single, v, n, singles, often, k) of the keys under which several sets are indexed.
+    """A table (key, place, single, v, n, singles, often, k) of the keys under which several sets are indexed.
 
     Only the keys themselves are shuffled to be counted; entries are made for those that a bitmap of the
     repeated ones lets through, and checked exactly then.
@@ -195,7 +195,9 @@ def meeting_entries(light: DataFrame) -> DataFrame:
             yield rows.assign(key=key[keep], place=place[keep], single=(order[keep] < rows["singles"].to_numpy()).astype(np.int32))[["key", "place", "single", "v", "n", "singles", "often", "k"]]
 
     made = light.where("size(keys) > 0").select("v", "n", "keys", "places", "singles", "often", "k")
-    return made.mapInPandas(tidy(run), "key bigint, place int, single int, v bigint, n bigint, singles int, often int, k int").distinct()
+    entries = materialise(made.mapInPandas(tidy(run), "key bigint, place int, single int, v bigint, n bigint, singles int, often int, k int").distinct(), "entries")
+    repeated.drop()
+    return entries
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -291,7 +293,7 @@ def near_groups(source: DataFrame, words: int = WORDS, per_cent: int = PER_CENT)
     """
     docs = documents(source, key=True)
     described = materialise(describe(docs, words, per_cent), "prefixes")
-    entries = materialise(meeting_entries(described), "entries")
+    entries = meeting_entries(described)
     light = materialise(described.select(RID, "doc_id", "n", "v"), "members")
     discard(described)
     # The head has the fewest shingles of its own: it is the likeliest to link with the others.
