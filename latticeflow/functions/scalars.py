@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,6 +19,22 @@ def is_number(c: Column) -> Column:
     return ~F.isnan(c) & ~is_infinite(c)
 
 
+# The parts of an IEEE 754 number's bits.
+EXPONENT64, FRACTION64, QUIET64 = 0x7FF0000000000000, 0x000FFFFFFFFFFFFF, 0x0008000000000000
+EXPONENT32, FRACTION32, QUIET32 = 0x7F800000, 0x007FFFFF, 0x00400000
+
+
+def nan_kind(bits: Column, wide: bool = True) -> Column:
+    """struct(number, infinite, signalling, quiet) of a float64 (or float32) given as its bits in an integer.
+
+    Only bits tell the two kinds of NaN apart: engines are free to change them in a floating-point column.
+    """
+    e, f, q = (EXPONENT64, FRACTION64, QUIET64) if wide else (EXPONENT32, FRACTION32, QUIET32)
+    at = lambda mask: bits.cast("bigint").bitwiseAND(F.lit(mask).cast("bigint"))
+    special, fraction, quiet = at(e) == F.lit(e), at(f) != 0, at(q) != 0
+    return F.struct((~special).alias("number"), (special & ~fraction).alias("infinite"), (special & fraction & ~quiet).alias("signalling"), (special & quiet).alias("quiet"))
+
+
 def threshold(c: Column, t) -> Column:
     """1 where c is above t, else 0."""
     return (c > t).cast("int")
@@ -53,25 +71,36 @@ def gaussian(mean: float, sigma: float, seed: int = 0) -> Column:
     return mean + sigma * F.randn(seed)
 
 
-def circular_palette(x: Column) -> Column:
-    """struct(r, g, b) of a byte: three triangles a third of the circle apart."""
-    def ramp(shift: int) -> Column:
-        t = F.pmod(x.cast("int") + shift, F.lit(256))
-        return F.greatest(F.lit(0), 255 - F.least(t, 256 - t) * 3).cast("int")
+def _steps(x: Column, *parts: Column) -> Column:
+    """One value for each quarter of a byte's range."""
+    return F.when(x < 64, parts[0]).when(x < 128, parts[1]).when(x < 192, parts[2]).otherwise(parts[3]).cast("int")
+
+
+def _part(x: Column, low: int, over: int) -> Column:
+    return F.floor((x - low) * 255 / over)
 
-    return F.struct(ramp(0).alias("r"), ramp(171).alias("g"), ramp(85).alias("b"))
+
+def circular_palette(x: Column) -> Column:
+    """struct(r, g, b) of a byte: red, green, cyan, blue and back to red over the four quarters."""
+    x = x.cast("int")
+    full, none = F.lit(255), F.lit(0)
+    red = _steps(x, 255 - _part(x, 0, 63), _part(x, 63, 64), 255 - _part(x, 127, 64), _part(x, 191, 64))
+    green = _steps(x, _part(x, 0, 63), full, 255 - _part(x, 127, 64), none)
+    blue = _steps(x, none, _part(x, 63, 64), full, 255 - _part(x, 191, 64))
+    return F.struct(red.alias("r"), green.alias("g"), blue.alias("b"))
 
 
 def angle_palette(y: Column, x: Column) -> Column:
-    """The palette at twice the angle of (x, y), so that opposite directions share a colour."""
-    turn = F.pmod(2 * F.atan2(y, x), F.lit(6.283185307179586)) / 6.283185307179586
-    return circular_palette(F.floor(turn * 255))
+    """The palette at twice the angle of (x, y), so that opposite directions share a colour; the byte goes round past its ends."""
+    turn = (2 * F.atan2(y, x) + math.pi) / (2 * math.pi)
+    return circular_palette(F.pmod((255 * turn).cast("int"), F.lit(256)))
 
 
 def intensity_palette(value: Column) -> Column:
-    """struct(r, g, b) of a byte on a ramp from black over blue, green and red to white."""
-    t = F.greatest(F.lit(0.0), F.least(F.lit(255.0), value.cast("double"))) / 255
-    part = lambda centre, half: F.greatest(F.lit(0.0), F.least(F.lit(1.0), (half - F.abs(t - centre)) / 0.25))
-    white = F.greatest(F.lit(0.0), (t - 0.875) * 8)
-    scale = lambda c: F.round(255 * F.greatest(c, white)).cast("int")
-    return F.struct(scale(part(0.875, 0.375)).alias("r"), scale(part(0.5, 0.375)).alias("g"), scale(part(0.25, 0.25)).alias("b"))
+    """struct(r, g, b) of a byte on a ramp of blue, cyan, green, yellow and red."""
+    x = value.cast("int")
+    full, none = F.lit(255), F.lit(0)
+    red = _steps(x, none, none, _part(x, 128, 63), full)
+    green = _steps(x, _part(x, 0, 63), full, full, 255 - _part(x, 192, 63))
+    blue = _steps(x, full, 255 - _part(x, 64, 63), none, none)
+    return F.struct(red.alias("r"), green.alias("g"), blue.alias("b"))

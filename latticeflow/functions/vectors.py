@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,11 @@ def doubles(v: Column | str) -> Column:
     return F.col(v).cast("array<double>") if isinstance(v, str) else v.cast("array<double>")
 
 
+def let(x: Column, f) -> Column:
+    """f(x) with x worked out once, however often f names it."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
 def total(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
 
@@ -99,15 +106,23 @@ def fractional_anisotropy(ev: Column, mean: Column | None = None) -> Column:
 
 
 def shape_coefficients(ev: Column) -> Column:
-    """struct(linear, planar, spherical, shape): shares of the sorted eigenvalues and 1, 2 or 3 for the largest; -1 if they sum to about 0."""
-    s = F.sort_array(ev, asc=False)
-    l1, l2, l3 = (F.element_at(s, i) for i in (1, 2, 3))
-    t = l1 + l2 + l3
-    ok = F.abs(t) > 1e-12
-    linear, planar, spherical = (l1 - l2) / t, 2 * (l2 - l3) / t, 3 * l3 / t
-    shape = F.when(~ok, -1).when((linear >= planar) & (linear >= spherical), 1).when(planar >= spherical, 2).otherwise(3)
-    none = F.lit(None).cast("double")
-    return F.struct(F.when(ok, linear).otherwise(none).alias("linear"), F.when(ok, planar).otherwise(none).alias("planar"), F.when(ok, spherical).otherwise(none).alias("spherical"), shape.alias("shape"))
+    """struct(linear, planar, spherical, shape): shares of the sorted eigenvalues, and 1, 2 or 3 for the strictly largest.
+
+    A tie between linear and planar is decided between planar and spherical, every other tie goes to
+    spherical; eigenvalues that sum to about 0 have coefficients of 0 and shape -1.
+    """
+    def shares(s: Column) -> Column:
+        l1, l2, l3 = (F.element_at(s, i) for i in (1, 2, 3))
+        t = l1 + l2 + l3
+        share = lambda x: F.when(F.abs(t) >= 1e-12, x / t).otherwise(0.0)
+        return F.struct(share(l1 - l2).alias("linear"), share(2 * (l2 - l3)).alias("planar"), share(3 * l3).alias("spherical"), (F.abs(t) >= 1e-12).alias("ok"))
+
+    def shape(c: Column) -> Column:
+        linear, planar, spherical = c["linear"], c["planar"], c["spherical"]
+        code = F.when(~c["ok"], -1).when(linear > planar, F.when(linear > spherical, 1).otherwise(3)).when(planar > spherical, 2).otherwise(3)
+        return F.struct(linear.alias("linear"), planar.alias("planar"), spherical.alias("spherical"), code.alias("shape"))
+
+    return let(let(F.sort_array(ev, asc=False), shares), shape)
 
 
 def quadratic_form(q: Column, x: Column) -> Column:
@@ -163,11 +178,61 @@ def big_peaks(f: Column, share: float) -> Column:
     return F.filter(f, lambda x: x > share * F.array_max(f))
 
 
-def colinearity(a: Column, b: Column, displacement: Column) -> Column:
-    """exp(-U): U is the squared sine of both axes against the displacement."""
-    sine = lambda v: F.lit(1.0) - F.pow(abs_cosine(v, displacement), 2)
-    return F.exp(-(sine(a) + sine(b)))
+def _bend(a: Column, b: Column, displacement: Column, d0: float, theta0: float, d_theta0: float, turn: float) -> Column:
+    """exp(-U): squared distance, both axes' angles to the displacement (less half the turn), and their difference."""
+    def weigh(p: Column) -> Column:
+        along = (2 - F.cos(2 * p["a"] - turn) - F.cos(2 * p["b"] - turn)) / (1 - math.cos(2 * theta0))
+        apart = (1 - F.cos(2 * (p["a"] - p["b"]))) / (1 - math.cos(2 * d_theta0))
+        return F.exp(-(sqr_norm(displacement) / (d0 * d0) + along + apart))
+
+    return let(F.struct(axial_angle(a, displacement).alias("a"), axial_angle(b, displacement).alias("b")), weigh)
+
+
+def colinearity(a: Column, b: Column, displacement: Column, d0: float, theta0: float, d_theta0: float) -> Column:
+    """Highest for two axes along the displacement; angles in radians."""
+    return _bend(a, b, displacement, d0, theta0, d_theta0, 0.0)
+
+
+def parallelity(a: Column, b: Column, displacement: Column, d0: float, theta0: float, d_theta0: float) -> Column:
+    """Highest for two axes a quarter of pi off the displacement."""
+    return _bend(a, b, displacement, d0, theta0, d_theta0, 0.5 * math.pi)
+
+
+def combined_direction(a: Column, x: Column, b: Column, y: Column) -> Column:
+    """The dominant eigenvector of a^2 xx' + b^2 yy', of length 1.
+
+    It lies in the plane of the two, so the 2 x 2 matrix of their products gives it.
+    """
+    def mix(p: Column) -> Column:
+        u, v, g, h, m = p["u"], p["v"], p["g"], p["h"], p["m"]
+        top = (g + h + F.sqrt((g - h) * (g - h) + 4 * m * m)) / 2
+        mixed = let(top, lambda t: F.when(g >= h, combine(u, t - h, v, m)).otherwise(combine(u, m, v, t - g)))
+        return let(F.when(m != 0, mixed).when(g >= h, u).otherwise(v), normalize)
+
+    pair = let(F.struct(scale(x, a).alias("u"), scale(y, b).alias("v")), lambda p: F.struct(p["u"].alias("u"), p["v"].alias("v"), sqr_norm(p["u"]).alias("g"), sqr_norm(p["v"]).alias("h"), dot(p["u"], p["v"]).alias("m")))
+    return let(pair, mix)
+
+
+def weighted_angular_distance(a: Column, x: Column, b: Column, y: Column) -> Column:
+    """The lesser angle of two axes to their combined direction."""
+    return let(combined_direction(a, x, b, y), lambda u: F.least(axial_angle(x, u), axial_angle(y, u)))
+
+
+def projection_weights(tensor: Column, directions: Column, least: float = 1e-6) -> Column:
+    """d'(trace I - T)d for each of an array of directions, rescaled to 0..1 where its range is over `least`.
+
+    tensor: xx, yy, zz, xy, xz, yz.
+    """
+    t = [F.element_at(tensor, i + 1) for i in range(6)]
+    trace = t[0] + t[1] + t[2]
+    q = F.array(trace - t[0], -t[3], -t[4], -t[3], trace - t[1], -t[5], -t[4], -t[5], trace - t[2])
+    def spread(w: Column) -> Column:
+        low, range_ = F.array_min(w), F.array_max(w) - F.array_min(w)
+        return F.when(range_ > least, F.transform(w, lambda x: (x - low) / range_)).otherwise(w)
+
+    return let(let(q, lambda m: F.transform(directions, lambda d: quadratic_form(m, d))), spread)
 
 
-def parallelity(a: Column, b: Column) -> Column:
-    return F.exp(-(F.lit(1.0) - F.pow(abs_cosine(a, b), 2)))
+def component(compartments: Column, k: int) -> Column:
+    """Compartment k (from 0) of an array of compartments, null past its end."""
+    return F.try_element_at(compartments, F.lit(k + 1))

@@ -31,6 +31,8 @@ def seed_means(df: DataFrame, vector: str, k: int, order: str, bound: int = 20_0
     """Farthest-first means from a bounded sample: the first `bound` rows by a hash of the order column."""
     rows = df.select(V.doubles(vector).alias("v")).orderBy(F.xxhash64(order), order).limit(bound).collect()
     x = np.array([r[0] for r in rows])
+    if not len(x):
+        return x
     means = [x[0]]
     while len(means) < k:
         d = np.min([((x - m) ** 2).sum(1) for m in means], axis=0)
@@ -38,10 +40,15 @@ def seed_means(df: DataFrame, vector: str, k: int, order: str, bound: int = 20_0
     return np.array(means)
 
 
-def fuzzy_kmeans(df: DataFrame, key: str, vector: str, k: int, exponent: float = 2.0, rounds: int = 30, tolerance: float = 1e-3, axial: bool = False) -> tuple[DataFrame, np.ndarray]:
-    """((key, label, probs), means).  Each round sends the means out and gets k partial sums a task back."""
-    x = df.select(key, (V.normalize(V.doubles(vector)) if axial else V.doubles(vector)).alias("v"))
-    means = seed_means(x, "v", k, key)
+def fuzzy_kmeans(df: DataFrame, key: str, vector: str, k: int, exponent: float = 2.0, rounds: int = 30, tolerance: float = 1e-3, axial: bool = False, start: np.ndarray | None = None) -> tuple[DataFrame, np.ndarray]:
+    """((key, label, probs), means).  Each round sends the means out and gets k partial sums a task back.
+
+    start: means to begin with, in place of farthest-first seeds.  Rows without a vector have no part in it.
+    """
+    x = df.where(F.col(vector).isNotNull()).select(key, (V.normalize(V.doubles(vector)) if axial else V.doubles(vector)).alias("v"))
+    means = seed_means(x, "v", k, key) if start is None else np.array(start, float)
+    if not len(means):
+        return df.sparkSession.createDataFrame([], f"{key} {df.schema[key].dataType.simpleString()}, label int, probs array<double>"), means
     d = means.shape[1]
 
     def sums(batches: Iterator[pd.DataFrame], m=None) -> Iterator[pd.DataFrame]:
@@ -80,7 +87,11 @@ def labels_from_probs(p):
 
 def scatter(df: DataFrame, vector: str, label: str | None = None) -> tuple[np.ndarray, dict]:
     """(sum of vv', {label: (n, mean)}): one d x d matrix and one mean for each label, summed map-side."""
-    d = df.select(F.size(vector)).first()[0]
+    df = df.where(F.col(vector).isNotNull())
+    first = df.select(F.size(vector)).first()
+    if first is None:
+        return np.zeros((0, 0)), {}
+    d = first[0]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total, per = np.zeros((d, d)), {}
@@ -169,7 +180,11 @@ def euclidean_scaling(df: DataFrame, key: str, vector: str, k: int) -> DataFrame
     The doubly centred squares are the products of the centred rows, so the axes are the leading eigenvectors of
     their d x d scatter, and a row's place is its projection on them.
     """
+    kind = df.schema[key].dataType.simpleString()
+    df = df.where(F.col(vector).isNotNull())
     total, per = scatter(df, vector)
+    if not per:
+        return df.sparkSession.createDataFrame([], f"{key} {kind}, x array<double>")
     n, mean = per[0]
     values, vectors = linalg.symmetric_eigen(total - n * np.outer(mean, mean))
     axes = vectors[:, np.flatnonzero(values > 1e-9)[::-1][:k]]

@@ -24,8 +24,11 @@ def back_divergence(r: np.ndarray, c: np.ndarray) -> np.ndarray:
     return d + e
 
 
-def total_variation(g: np.ndarray, lam: float, data: str = "l2", huber: float = 0.0, rounds: int = 5000, tolerance: float = 1e-9) -> np.ndarray:
-    """Primal-dual minimiser of TV(u) (Huber-smoothed if huber > 0) + lam / 2 |u - g|^2, or lam |u - g|_1."""
+def total_variation(g: np.ndarray, lam: float, data: str = "l2", huber: float = 0.0, rounds: int = 5000, tolerance: float = 1e-9, callback: Callable[[np.ndarray], None] | None = None) -> np.ndarray:
+    """Primal-dual minimiser of TV(u) (Huber-smoothed if huber > 0) + lam / 2 |u - g|^2, or lam |u - g|_1.
+
+    callback is shown the image after each round.
+    """
     if min(g.shape) < 2:
         return g.astype(float)
     u, bar = g.astype(float).copy(), g.astype(float).copy()
@@ -41,6 +44,8 @@ def total_variation(g: np.ndarray, lam: float, data: str = "l2", huber: float =
         v = u + tau * back_divergence(p, q)
         u = (v + tau * lam * g) / (1 + tau * lam) if data == "l2" else g + np.sign(v - g) * np.maximum(np.abs(v - g) - tau * lam, 0)
         bar = 2 * u - old
+        if callback is not None:
+            callback(u)
         if max(np.abs(u - old).max(), np.abs(p - po).max(), np.abs(q - qo).max()) < tolerance:
             break
     return u
@@ -70,7 +75,8 @@ def total_generalized_variation(g: np.ndarray, lam: float, first: float = 1.0, s
     return u
 
 
-def robust_weight(r2: np.ndarray, kind: str, scale: float) -> np.ndarray:
+def robust_weight(r2: np.ndarray, kind: str, scale: float = 2.0) -> np.ndarray:
+    """Weight of squared residuals: Geman-McClure, Tukey (none over the scale), or 1."""
     if kind == "geman":
         return scale**2 / (scale + r2) ** 2
     if kind == "tukey":
@@ -78,7 +84,7 @@ def robust_weight(r2: np.ndarray, kind: str, scale: float) -> np.ndarray:
     return np.ones_like(r2)
 
 
-def robust(img: np.ndarray, lam: float, kind: str = "geman", scale: float = 1.0, data_scale: float | None = None, rounds: int = 30) -> np.ndarray:
+def robust(img: np.ndarray, lam: float, kind: str = "geman", scale: float = 2.0, data_scale: float | None = None, rounds: int = 30) -> np.ndarray:
     """Membrane smoothing of an image or volume (last axis: channels, if ndim is 4) with a line process on differences.
 
     data_scale: robust weights on the data term too, so that outliers let go.
@@ -120,7 +126,7 @@ FILTERS: dict[str, Callable] = {
     "huber_l2": lambda g, lam: total_variation(g, lam, "l2", huber=0.05, tolerance=1e-4),
     "tgv_l2": lambda g, lam: total_generalized_variation(g, lam),
     "robust": lambda g, lam: robust(g, lam),
-    "robust_or": lambda g, lam: robust(g, lam, data_scale=1.0),
+    "robust_or": lambda g, lam: robust(g, lam, data_scale=2.0),
 }
 
 

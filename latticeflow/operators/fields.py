@@ -98,15 +98,26 @@ def odf_error(truth: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def coherence(field: DataFrame, void: float) -> DataFrame:
-    """(voxel, lci): mean matched angle to the neighbours that hold something; NaN for an empty voxel, 0 without such neighbours."""
-    @F.pandas_udf(DoubleType())
-    def cost(a: pd.Series, b: pd.Series) -> pd.Series:
+    """(voxel, lci): mean angle of the matched compartments over all neighbours; NaN for an empty voxel, 0 without a match.
+
+    The first three compartments of a voxel are matched with those of each neighbour, a missing one at the
+    cost `void`; only matches of two that are there count, each as one term.
+    """
+    @F.pandas_udf("total double, terms int")
+    def matched(a: pd.Series, b: pd.Series) -> pd.DataFrame:
         pad = lambda x: np.vstack([*[np.asarray(v, float) for v in x[:3]], *[np.zeros(3)] * (3 - min(3, len(x)))])
-        return pd.Series([assignment.match_three(pad(x), pad(y), void)[1] / max(len(x), len(y)) for x, y in zip(a, b, strict=True)], dtype="float64")
+        rows = []
+        for x, y in zip(a, b, strict=True):
+            p, q = pad(x), pad(y)
+            to, angles = assignment.match_three(p, q, void)[0], assignment.axial_costs(p, q)
+            found = [angles[i, to[i]] for i in range(min(3, len(x))) if to[i] < min(3, len(y))]
+            rows.append((float(sum(found)), len(found)))
+        return pd.DataFrame(rows, columns=["total", "terms"])
 
     rows = field.select(*KEY, directions(F.col("compartments")).alias("d"))
     full = rows.where(F.size("d") > 0)
-    near = full.join(shifted(full, ["d"], OFFSETS26), KEY).groupBy(*KEY).agg(F.avg(cost("d", "n_d")).alias("lci"))
+    each = full.join(shifted(full, ["d"], OFFSETS26), KEY).select(*KEY, matched("d", "n_d").alias("m"))
+    near = each.groupBy(*KEY).agg((F.sum("m.total") / F.nullif(F.sum("m.terms"), F.lit(0))).alias("lci"))
     return rows.join(near, KEY, "left").select(*KEY, F.when(F.size("d") == 0, float("nan")).otherwise(F.coalesce("lci", F.lit(0.0))).alias("lci"))
 
 

@@ -2,19 +2,30 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the session's shared folder."""
-    spark: SparkSession = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="latticeflow-"))
-    return df.checkpoint()
+    """Cut lineage with a table in the session's shared folder: computed once, and safe from lost executors."""
+    path = f"{shared_dir(df.sparkSession)}/latticeflow/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share; only a local session without one gets a temporary folder."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = tempfile.mkdtemp(prefix="latticeflow-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
 
 
 def row_sums(m: DataFrame, absolute: bool = False) -> DataFrame:
@@ -56,6 +67,15 @@ def add_diagonal(m: DataFrame, d: DataFrame) -> DataFrame:
     return rows.groupBy("src", "dst").agg(F.sum("w").alias("w"))
 
 
+def first_edges(edges: DataFrame, most: int, order: str = "order") -> DataFrame:
+    """(src, dst, w) as edges are added in order: a repeated one is refused, so is one past `most` of a vertex; a loop is
+    never refused and the last one stays."""
+    loops = edges.where("src = dst").groupBy("src", "dst").agg(F.max_by("w", order).alias("w"))
+    once = edges.where("src != dst").groupBy("src", "dst").agg(F.min(F.struct(order, "w")).alias("e")).select("src", "dst", f"e.{order}", "e.w")
+    kept = once.withColumn("__r", F.row_number().over(Window.partitionBy("src").orderBy(order))).where(F.col("__r") <= most)
+    return kept.select("src", "dst", "w").unionByName(loops)
+
+
 def entry(m: DataFrame, r: int, c: int) -> DataFrame:
     """One entry, 0 if absent."""
     return m.where((F.col("src") == r) & (F.col("dst") == c)).agg(F.coalesce(F.sum("w"), F.lit(0.0)).alias("w"))
@@ -85,11 +105,11 @@ def knn_graph(near: DataFrame, key: str) -> DataFrame:
     return e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")).groupBy("src", "dst").agg(F.max("w").alias("w"))
 
 
-def components(vertices: DataFrame, edges: DataFrame, most_rounds: int = 100) -> DataFrame:
+def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, comp): the least id reachable over edges (src, dst), by hooking to the least neighbour and jumping pointers."""
     both = settle(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src != dst").distinct())
     now = settle(vertices.select("id", F.col("id").alias("comp")))
-    for _ in range(most_rounds):
+    while True:
         near = both.join(now.select(F.col("id").alias("dst"), "comp"), "dst").groupBy("src").agg(F.min("comp").alias("m"))
         hooked = now.join(near.withColumnRenamed("src", "id"), "id", "left").select("id", F.least("comp", F.coalesce("m", "comp")).alias("comp"))
         jump = hooked.select(F.col("id").alias("comp"), F.col("comp").alias("up"))
@@ -116,11 +136,16 @@ def largest_components(vertices: DataFrame, edges: DataFrame, k: int) -> DataFra
     return comps.join(ranked, "comp", "left").select("id", F.coalesce("label", F.lit(0)).alias("label"))
 
 
-def shortest_paths(vertices: DataFrame, edges: DataFrame, source: int, most_rounds: int = 200) -> DataFrame:
-    """(id, dist) from one source by rounds of relaxation; -1 where it can't be reached.  Weights are lengths."""
+def shortest_paths(vertices: DataFrame, edges: DataFrame, source: int) -> DataFrame:
+    """(id, dist) from one source by rounds of relaxation until none is nearer; -1 where it can't be reached.
+
+    Weights are lengths; negative ones raise ValueError.
+    """
     e = settle(edges.select("src", "dst", F.col("w").cast("double").alias("w")))
     now = settle(vertices.select("id", F.when(F.col("id") == source, 0.0).alias("dist")))
-    for _ in range(most_rounds):
+    if not e.where("w < 0").isEmpty():
+        raise ValueError("lengths can't be negative")
+    while True:
         via = e.join(now.where("dist is not null").withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.min(F.col("dist") + F.col("w")).alias("d"))
         new = settle(now.join(via, "id", "left").select("id", F.least("dist", "d").alias("dist"), (F.coalesce(F.least("dist", "d"), F.lit(-1.0)) < F.coalesce("dist", F.lit(float("inf")))).alias("nearer"), "d"))
         moved = new.where("d is not null and nearer").limit(1).isEmpty()

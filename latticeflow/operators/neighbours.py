@@ -6,6 +6,7 @@ voxel and joining on the key, which costs 26 rows a voxel and never compares all
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import product
@@ -15,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import assignment
 from ..functions import vectors as V
 from . import graph
 
@@ -227,13 +229,115 @@ def divergence(voxels: DataFrame, along_row: str, along_col: str, forward: bool
     return c.withColumn("div", F.col("d_row") + F.col("d_col")).drop("d_row", "d_col")
 
 
+def gaussian_weights(queries: DataFrame, base: DataFrame, key: str, vector: str, sigma: float) -> DataFrame:
+    """(src, dst, w): exp(-d2 / sigma^2) from each query to every base row."""
+    kind = base.schema[key].dataType.simpleString()
+
+    def run(keys: np.ndarray, q: np.ndarray, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for lo, hi, ids, d in tiles(q, batches, lambda a, b: (a - b) ** 2):
+            yield pd.DataFrame({"src": np.repeat(keys[lo:hi], len(ids)), "dst": np.tile(ids, hi - lo), "w": np.exp(-d / sigma**2).reshape(-1)})
+
+    return compared(queries, base, key, vector, f"src {kind}, dst {kind}, w double", run, lambda rows: rows)
+
+
+def compartments_of(field: DataFrame) -> DataFrame:
+    """(voxel, k, id, dir) of each compartment; id is k of the voxel's place in the lattice, with room for the most compartments of any."""
+    bounds = field.agg(F.max("row").alias("r"), F.max("col").alias("c"), F.max(F.size("compartments")).alias("k")).first()
+    if bounds["r"] is None:
+        bounds = {"r": 0, "c": 0, "k": 0}
+    place = (F.col("slice").cast("bigint") * (bounds["r"] + 1) + F.col("row")) * (bounds["c"] + 1) + F.col("col")
+    rows = field.select(*KEY, place.alias("p"), F.posexplode("compartments").alias("k", "x"))
+    return rows.select(*KEY, "k", (F.col("p") * bounds["k"] + F.col("k")).alias("id"), F.col("x.dir").alias("dir"))
+
+
+def normalized(edges: DataFrame, offset: float) -> DataFrame:
+    """Weights over the root of both ends' sums of |w|, to each of which twice the offset is added; the diagonal is src = dst."""
+    d = graph.row_sums(edges, absolute=True).select(F.col("src").alias("id"), (1 / F.sqrt(F.col("total") + 2 * offset)).alias("v"))
+    return graph.scaled(edges, d, d)
+
+
+def compartment_graph(field: DataFrame, d0: float, theta0: float, most: float, offset: float) -> DataFrame:
+    """(src, dst, w): the normalised-cut matrix of all compartments.
+
+    Compartments of neighbouring voxels at most `most` degrees apart weigh exp(-(d2 / d0^2 + angle / (1 -
+    cos 2 theta0))), angle in radians and theta0 in degrees; each has a 1 on the diagonal; then normalized().
+    """
+    rows = compartments_of(field)
+    near = rows.join(shifted(rows.withColumn("at", F.struct(*KEY)), ["id", "dir", "at"], OFFSETS26), KEY)
+    near = near.withColumn("angle", V.axial_angle(F.col("dir"), F.col("n_dir"))).where(F.col("angle") < math.radians(most))
+    d2 = sum(F.pow(F.col(k) - F.col(f"n_at.{k}"), 2) for k in KEY)
+    w = F.exp(-(d2 / (d0 * d0) + F.col("angle") / (1 - math.cos(2 * math.radians(theta0)))))
+    return normalized(near.select(F.col("id").alias("src"), F.col("n_id").alias("dst"), w.alias("w")).unionByName(diagonal(rows)), offset)
+
+
+def diagonal(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(1.0).alias("w"))
+
+
+def assigned_graph(field: DataFrame, d0: float, theta0: float, most: float, offset: float) -> DataFrame:
+    """The matrix of compartment_graph() with an edge only between compartments that the best matching of two voxels pairs.
+
+    Weights are exp(-(d2 / d0^2 + angle / theta0)), angle and theta0 in radians; a voxel is matched with each
+    neighbour before it in the lattice, and the edge stands in both directions.
+    """
+    rows = compartments_of(field)
+    voxels = rows.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("k", "id", "dir"))).alias("cs"))
+    voxels = voxels.select(*KEY, F.col("cs.id").alias("ids"), F.col("cs.dir").alias("dirs"), F.struct(*KEY).alias("at"))
+    # A neighbour before a voxel sees it at the opposite offset.
+    near = voxels.join(shifted(voxels, ["ids", "dirs", "at"], [o for o in OFFSETS26 if o > (0, 0, 0)]), KEY)
+
+    @F.pandas_udf("array<int>")
+    def matching(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([assignment.match_axes(np.stack(x), np.stack(y))[0].astype(np.int32) for x, y in zip(a, b, strict=True)])
+
+    d2 = sum(F.pow(F.col(k) - F.col(f"n_at.{k}"), 2) for k in KEY)
+    pairs = near.select("ids", "dirs", "n_ids", "n_dirs", d2.alias("d2"), F.posexplode(matching("dirs", "n_dirs")).alias("k", "to")).where("to >= 0")
+    entry = lambda c, i: F.element_at(c, F.col(i) + 1)
+    pairs = pairs.select(entry("ids", "k").alias("src"), entry("n_ids", "to").alias("dst"), V.axial_angle(entry("dirs", "k"), entry("n_dirs", "to")).alias("angle"), "d2")
+    pairs = pairs.where(F.col("angle") < math.radians(most)).select("src", "dst", F.exp(-(F.col("d2") / (d0 * d0) + F.col("angle") / theta0)).alias("w"))
+    both = pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
+    return normalized(both.unionByName(diagonal(rows)), offset)
+
+
+def full_distances(field: DataFrame, weight: float, queries: DataFrame | None = None) -> DataFrame:
+    """(i, j, d) with i < j of all compartments: 90 * weight within a voxel, else the distance of the voxels plus weight times
+    the larger angle, in degrees, of the two axes to the line between them.
+
+    One side goes out in blocks, as many passes as it needs.
+    """
+    rows = compartments_of(field).select("id", F.concat(F.array(*[F.col(k).cast("double") for k in ("col", "row", "slice")]), V.doubles("dir")).alias("v"))
+
+    def run(keys: np.ndarray, q: np.ndarray, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            ids, x = pdf["id"].to_numpy(), np.stack(pdf["v"].to_numpy()).astype(float)
+            for lo in range(0, len(q), step := max(1, TILE // max(1, len(x)))):
+                a = q[lo : lo + step, None]
+                line = (a[..., :3] - x[None, :, :3]) * [1, -1, 1]  # rows count downwards
+                far = np.sqrt((line**2).sum(-1))
+                angle = lambda d: np.degrees(np.arccos(np.fmin(1.0, np.abs((line * d).sum(-1)) / np.where(far > 0, far * np.linalg.norm(d, axis=-1), 1))))  # noqa: B023, E731
+                d = np.where(far > 0, far + weight * np.maximum(angle(a[..., 3:]), angle(x[None, :, 3:])), 90.0 * weight)
+                i, j = np.nonzero(keys[lo : lo + step, None] < ids)
+                yield pd.DataFrame({"i": keys[lo : lo + step][i], "j": ids[j], "d": d[i, j]})
+
+    own = rows if queries is None else queries
+    return compared(own, rows, "id", "v", "i bigint, j bigint, d double", run, lambda found: found)
+
+
+def dual_lattice(edges: DataFrame, rows: int, cols: int) -> DataFrame:
+    """(vox, axis, value) of edges (a, b, value) between voxel places: the lower place, and the axis along which they are neighbours.
+
+    Pairs that are no neighbours along an axis are left out; of an edge that is given twice the larger value stays.
+    """
+    low, step = F.least("a", "b"), F.abs(F.col("a") - F.col("b"))
+    axis = F.when(step == 1, "col").when(step == cols, "row").when(step == rows * cols, "slice")
+    return edges.select(low.alias("vox"), axis.alias("axis"), "value").where("axis is not null").groupBy("vox", "axis").agg(F.max("value").alias("value"))
+
+
 def lattice_weights(voxels: DataFrame, vector: str, d0: float, theta0: float, most: float) -> DataFrame:
     """(src, dst, w): axis neighbours within `most` radians, weighted exp(-(d2 / d0^2 + angle / (1 - cos 2 theta0))).
 
-    voxels needs an id column; the edges come in both directions.
+    For voxels with one axis each and an id column; the edges come in both directions, without a diagonal.
     """
-    import math
-
     near = voxels.select(*KEY, "id", vector).join(shifted(voxels.withColumn("__at", F.struct(*KEY)), ["id", vector, "__at"], OFFSETS26), KEY)
     angle = V.axial_angle(V.doubles(vector), V.doubles(f"n_{vector}"))
     d2 = sum(F.pow(F.col(k) - F.col(f"n___at.{k}"), 2) for k in KEY)

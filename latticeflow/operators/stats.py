@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from . import graph
 
 
 def scalar_stats(df: DataFrame, value: str, mask: Column | None = None) -> DataFrame:
@@ -61,8 +62,8 @@ def histogram_last_peak(hist: DataFrame, window: int) -> DataFrame:
     return rows.agg(F.max_by("centre", "bucket").alias("peak"), F.max("bucket").alias("bucket"))
 
 
-def histogram_first_min(hist: DataFrame, buckets: int) -> DataFrame:
-    """Centre of the first bucket after the first peak that is a least one within buckets / 20 to either side."""
+def histogram_local_min(hist: DataFrame, buckets: int) -> DataFrame:
+    """Beyond the reference: the first bucket after the first peak that is a least one within buckets / 20 to either side."""
     half = max(1, buckets // 20)
     near = Window.orderBy("bucket").rowsBetween(-half, half)
     rows = hist.withColumns({"top": F.max("freq").over(near), "low": F.min("freq").over(near)})
@@ -70,6 +71,18 @@ def histogram_first_min(hist: DataFrame, buckets: int) -> DataFrame:
     return rows.join(F.broadcast(first)).where("bucket > first_peak and freq = low").agg(F.min_by("centre", "bucket").alias("valley"), F.min("bucket").alias("bucket"))
 
 
+def histogram_first_min(hist: DataFrame, buckets: int) -> DataFrame:
+    """(valley, bucket): the first least bucket among the buckets / 20 from the first highest of the first buckets / 20 on.
+
+    The first bucket where all of those are empty or there are fewer than 20.
+    """
+    step = buckets // 20
+    peak = hist.where((F.col("bucket") < step) & (F.col("freq") > 0)).agg(F.coalesce(F.min_by("bucket", F.struct(-F.col("freq"), "bucket")), F.lit(0)).alias("peak"))
+    rows = hist.join(F.broadcast(peak)).where((F.col("bucket") >= F.col("peak")) & (F.col("bucket") < F.col("peak") + max(step, 1)))
+    order = F.struct("freq", "bucket")
+    return rows.agg(F.min_by("centre", order).alias("valley"), F.min_by("bucket", order).alias("bucket"))
+
+
 def centroids(df: DataFrame, vector: str, label: str) -> DataFrame:
     """(label, pos, mean, n): the mean vector of each label, one row for each place."""
     rows = df.select(label, F.posexplode(V.doubles(vector)).alias("pos", "x"))
@@ -134,6 +147,22 @@ def centred_covariance(df: DataFrame, vector: str) -> DataFrame:
     return sums.select("i", "j", F.when(F.col("n") > 1, (F.col("p") - F.col("si") * F.col("sj") / F.col("n")) / (F.col("n") - 1)).alias("s"))
 
 
+def column_summaries(df: DataFrame, vector: str, target: str) -> DataFrame:
+    """(pos, mean, norm, correlation): of each column its mean, the norm of what is left without it, and its product with the target."""
+    rows = df.select(F.posexplode(V.doubles(vector)).alias("pos", "x"), F.col(target).cast("double").alias("y"))
+    norm = F.sqrt(F.var_pop("x") * F.count("x"))
+    return rows.groupBy("pos").agg(F.avg("x").alias("mean"), norm.alias("norm"), F.sum(F.col("x") * F.col("y")).alias("correlation"))
+
+
+def standardize(df: DataFrame, key: str, vector: str) -> DataFrame:
+    """(key, centred, scaled): each column less its mean, and over the norm of that; a constant column stays 0."""
+    s = column_summaries(df.withColumn("__y", F.lit(0.0)), vector, "__y")
+    table = s.agg(F.array_sort(F.collect_list(F.struct("pos", "mean", "norm"))).alias("s"))
+    centred = F.zip_with(V.doubles(vector), "s", lambda x, c: x - c["mean"])
+    scaled = F.zip_with(V.doubles(vector), "s", lambda x, c: F.when(c["norm"] > 0, (x - c["mean"]) / c["norm"]).otherwise(0.0))
+    return df.join(F.broadcast(table)).select(key, centred.alias("centred"), scaled.alias("scaled"))
+
+
 def entropy(df: DataFrame, category: str) -> DataFrame:
     """Natural-log entropy of a category's shares."""
     counts = df.groupBy(category).agg(F.count("*").alias("c"))
@@ -142,6 +171,121 @@ def entropy(df: DataFrame, category: str) -> DataFrame:
     return counts.join(F.broadcast(total)).agg((-F.sum(p * F.log(p))).alias("entropy"))
 
 
+def categories(df: DataFrame, label: str) -> DataFrame:
+    """One row: how many different labels there are."""
+    return df.agg(F.count_distinct(label).alias("n"))
+
+
+def unique(df: DataFrame, label: str) -> DataFrame:
+    """The different labels, each once; sort the result where an order is wanted."""
+    return df.select(label).distinct()
+
+
+def all_distances(df: DataFrame, centres: DataFrame, key: str, vector: str, label: str, mean: str) -> DataFrame:
+    """(key, label, d): squared distance of every row to each of a few centres, whose size is checked."""
+    n, d = centres.agg(F.count("*"), F.max(F.size(mean))).first()
+    if n * (d or 0) * 8 > CENTROID_BYTES:
+        raise ValueError(f"{n} centres of {d} numbers are too many to send to every task")
+    table = centres.agg(F.collect_list(F.struct(F.col(label).alias("c"), F.col(mean).alias("m"))).alias("cs"))
+    rows = df.join(F.broadcast(table)).select(key, V.doubles(vector).alias("v"), F.explode("cs").alias("e"))
+    return rows.select(key, F.col("e.c").alias(label), V.sqr_distance(F.col("v"), F.col("e.m")).alias("d"))
+
+
+def nth_smallest(df: DataFrame, value: str, n: int) -> float | None:
+    """The value of rank n (from 0); None past the end.  Only one of the ranges that the rows are dealt over is sorted."""
+    rows = graph.settle(df.select(F.col(value).alias("x")).where("x is not null").repartitionByRange("x").withColumn("part", F.spark_partition_id()))
+    before = 0
+    for r in sorted(rows.groupBy("part").agg(F.count("*").alias("m")).collect(), key=lambda r: r["part"]):
+        if n < before + r["m"]:
+            ranked = rows.where(F.col("part") == r["part"]).withColumn("r", F.row_number().over(Window.partitionBy("part").orderBy("x")) - 1)
+            return ranked.where(F.col("r") == n - before).first()["x"]
+        before += r["m"]
+    return None
+
+
+def rate_at_rank(scores: DataFrame, rank: int, score: str = "dist", match: str = "same") -> DataFrame:
+    """(threshold, rate): the non-match of a rank in order, and the share of matches strictly below it; null without either."""
+    threshold = nth_smallest(scores.where(F.col(match) == 0), score, rank)
+    t = F.lit(threshold).cast("double")
+    hits = F.count_if((F.col(match) == 1) & (F.col(score) < t))
+    return scores.agg(F.first(t).alias("threshold"), (hits / F.nullif(F.count_if(F.col(match) == 1), F.lit(0))).alias("rate"))
+
+
+def verification_all_pairs(df: DataFrame, key: str, vector: str, label: str) -> DataFrame:
+    """(threshold, rate) over every pair of rows: equal labels match, the threshold is the non-match of rank n / 1000."""
+    from . import neighbours
+
+    pairs = neighbours.pair_sqr_distances(df, df, key, vector)
+    side = lambda k: df.select(F.col(key).alias(k), F.col(label).alias(f"l{k}"))
+    scores = graph.settle(pairs.join(side("i"), "i").join(side("j"), "j").select(F.col("d").alias("dist"), (F.col("li") == F.col("lj")).cast("int").alias("same")))
+    n = scores.where("same = 0").count()
+    return rate_at_rank(scores, n // 1000)
+
+
+# The codes of a pair mask.
+IGNORED, NON_MATCH, MATCH = 0x00, 0x7F, 0xFF
+
+
+def verification_masked(distances: DataFrame, mask: DataFrame, far: float) -> DataFrame:
+    """(threshold, rate) of distances (i, j, d) by a pair mask (i, j, code); the threshold is the non-match of rank int(far * n)."""
+    rows = distances.join(mask.where(F.col("code").isin(NON_MATCH, MATCH)), ["i", "j"]).select(F.col("d").alias("dist"), (F.col("code") == MATCH).cast("int").alias("same"))
+    rows = graph.settle(rows)
+    return rate_at_rank(rows, int(far * rows.where("same = 0").count()))
+
+
+def mask_counts(mask: DataFrame) -> DataFrame:
+    """Pairs, and how many are ignored, match, don't match, or count at all."""
+    c = F.col("code")
+    return mask.agg(F.count("*").alias("pairs"), F.count_if(c == IGNORED).alias("zeroes"), F.count_if(c == MATCH).alias("positives"), F.count_if(c == NON_MATCH).alias("negatives"), F.count_if(c != IGNORED).alias("counted"))
+
+
+def by_label_order(df: DataFrame, key: str, label: str, order: DataFrame) -> DataFrame:
+    """(key, place): rows of one label together, labels in the order of (label, rank), rows within a label by key.
+
+    Places come from the labels' sizes, so no task sorts more than one label.
+    """
+    sizes = df.groupBy(label).agg(F.count("*").alias("m")).join(order, label)
+    base = sizes.withColumn("base", F.coalesce(F.sum("m").over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    place = F.row_number().over(Window.partitionBy(label).orderBy(key)) - 1 + F.col("base")
+    return df.join(base.select(label, "base"), label).select(key, place.cast("bigint").alias("place"))
+
+
+def permute_by_label(df: DataFrame, key: str, label: str, seed: int = 0) -> DataFrame:
+    """by_label_order() with the labels in a random order of the seed."""
+    draw = df.select(label).distinct().withColumn("rank", F.row_number().over(Window.orderBy(F.xxhash64(F.col(label), F.lit(seed)), label)))
+    return by_label_order(df, key, label, draw)
+
+
+def apply_permutation(df: DataFrame, key: str, permutation: DataFrame) -> DataFrame:
+    """Rows of df under new keys: row `place` of the result is row `key` of df, for a permutation (key, place)."""
+    return df.join(permutation, key).drop(key).withColumnRenamed("place", key)
+
+
+def running_total(df: DataFrame, order: str, value: str, out: str = "running") -> DataFrame:
+    """df and the sum of value up to and with each row in order, over ranges with offsets."""
+    ranged = graph.settle(df.repartitionByRange(order).withColumn("__part", F.spark_partition_id()))
+    sums = ranged.groupBy("__part").agg(F.sum(value).alias("__s"))
+    sums = sums.select("__part", F.coalesce(F.sum("__s").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("__base"))
+    own = F.sum(value).over(Window.partitionBy("__part").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return ranged.join(F.broadcast(sums), "__part").withColumn(out, F.col("__base") + own).drop("__part", "__base")
+
+
+def draw(df: DataFrame, key: str, weight: str, shares: DataFrame) -> DataFrame:
+    """(share, key): for each share of 0..1 the first row, by key, up to which the weights sum to more than that share of all.
+
+    The last row where none does.  Shares are few; their number is checked.
+    """
+    total = df.agg(F.sum(weight).alias("__t"))
+    cum = running_total(df, key, weight).select(key, "running")
+    asked = shares.select("share").join(F.broadcast(total)).select("share", (F.col("share") * F.col("__t")).alias("__r"))
+    last = df.agg(F.max(key).alias("__last"))
+    n = asked.count()
+    if n * 16 > CENTROID_BYTES:
+        raise ValueError(f"{n} draws are too many for one pass")
+    hit = cum.join(F.broadcast(asked), F.col("running") > F.col("__r")).groupBy("share").agg(F.min(key).alias(key))
+    return shares.join(hit, "share", "left").join(F.broadcast(last)).select("share", F.coalesce(key, "__last").alias(key))
+
+
 def first_of_label(df: DataFrame, key: str, label: str) -> DataFrame:
     """The gallery: for each label its first row by key."""
     w = Window.partitionBy(label).orderBy(key)
@@ -170,8 +314,7 @@ def roc_curve(scores: DataFrame, score: str = "dist", match: str = "same") -> Da
     summed and offset, so no single task sorts all rows.
     """
     per = scores.groupBy(F.col(score).alias("score")).agg(F.sum(1 - F.col(match)).alias("f"), F.sum(match).alias("t"))
-    ranged = per.repartitionByRange("score").withColumn("part", F.spark_partition_id())
-    ranged = ranged.persist()
+    ranged = graph.settle(per.repartitionByRange("score").withColumn("part", F.spark_partition_id()))
     sums = ranged.groupBy("part").agg(F.sum("f").alias("pf"), F.sum("t").alias("pt"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy()
@@ -212,7 +355,7 @@ def consecutive_ids(df: DataFrame, value: str, order: str) -> DataFrame:
     Only the distinct values are numbered, over a range partition with offsets, not in one task.
     """
     first = df.groupBy(value).agg(F.min(order).alias("seen"))
-    ranged = first.repartitionByRange("seen").withColumn("part", F.spark_partition_id()).persist()
+    ranged = graph.settle(first.repartitionByRange("seen").withColumn("part", F.spark_partition_id()))
     sizes = ranged.groupBy("part").agg(F.count("*").alias("m"))
     sizes = sizes.select("part", F.coalesce(F.sum("m").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     number = F.row_number().over(Window.partitionBy("part").orderBy("seen", value)) - 1 + F.col("base")

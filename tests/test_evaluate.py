@@ -77,4 +77,4 @@ def test_segmentation(spark):
     assert segment.smooth_axes(axes, both).count() == 7
     grid = generate.grid(spark, 1, 3, 3).withColumn("id", F.col("row") * 3 + F.col("col")).withColumn("v", F.lit(1.0))
     kernel = segment.gaussian_kernel(grid, "v", 1.0)
-    assert kernel.where("w != 1").count() == 0 and graph.row_sums(kernel).agg(F.max("total")).first()[0] == 8
+    assert kernel.where("w != 1").count() == 0 and graph.row_sums(kernel).agg(F.max("total")).first()[0] == 9  # eight neighbours and the diagonal
