@@ -7,14 +7,19 @@ row and is decoded by one task.
 from __future__ import annotations
 
 import gzip
+import re
 import struct
 from collections.abc import Iterator
+from html import unescape
+from xml.sax.saxutils import escape
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import files
+
 # Header codes and numpy types of the image format.
 DTYPES = {2: "u1", 4: "i2", 8: "i4", 16: "f4", 32: "c8", 64: "f8", 256: "i1", 512: "u2", 768: "u4", 1024: "i8", 1280: "u8", 1792: "c16"}
 CODES = {v: k for k, v in DTYPES.items()}
@@ -36,6 +41,81 @@ def parse_nifti_header(raw: bytes) -> dict:
     return {"order": order, "dim": list(dim[1 : 1 + dim[0]]), "pixdim": list(pixdim[1:4]), "qfac": pixdim[0], "datatype": datatype, "bitpix": bitpix, "offset": int(offset), "slope": slope, "inter": inter, "qform": qform, "sform": sform, "quatern": list(quatern), "srow": list(rows), "units": raw[123], "intent": struct.unpack(order + "h", raw[68:70])[0], "magic": raw[344:348]}
 
 
+def sniff(raw: bytes) -> int:
+    """0 for an older image without the mark of the format, 1 for one file, 2 for a pair of files, -1 for neither."""
+    raw = gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw
+    if len(raw) < HEADER:
+        return -1
+    if re.fullmatch(rb"n[+i][1-9]\0", raw[344:348]):
+        return 1 if raw[345:346] == b"+" else 2
+    return 0 if HEADER in struct.unpack("<i", raw[:4]) + struct.unpack(">i", raw[:4]) else -1
+
+
+def extensions(raw: bytes, order: str = "<") -> list[tuple[int, bytes]]:
+    """(code, data) of the extensions between header and image; each block's size is a multiple of 16."""
+    if raw[HEADER : HEADER + 1] != b"\1":
+        return []
+    end, at, out = int(struct.unpack(order + "f", raw[108:112])[0]), HEADER + 4, []
+    while at + 16 <= min(end, len(raw)):
+        size, code = struct.unpack(order + "ii", raw[at : at + 8])
+        if size < 16 or size % 16 or at + size > end:
+            break
+        out.append((code, raw[at + 8 : at + size].rstrip(b"\0")))
+        at += size
+    return out
+
+
+def extension_block(code: int, data: bytes) -> bytes:
+    size = -(-(len(data) + 8) // 16) * 16
+    return struct.pack("<ii", size, code) + data.ljust(size - 8, b"\0")
+
+
+# Names of the header's fields in its text form.
+EXTENTS, STEPS = ("nx", "ny", "nz", "nt", "nu", "nv", "nw"), ("dx", "dy", "dz")
+
+
+def header_text(h: dict) -> str:
+    """The header as one element of `name = 'value'` lines."""
+    rows = {"nifti_type": "NIFTI-1+", "image_offset": h["offset"], "ndim": len(h["dim"])}
+    rows |= dict(zip(EXTENTS, h["dim"], strict=False)) | {k: f"{x:g}" for k, x in zip(STEPS, h["pixdim"][: len(h["dim"])], strict=False)}
+    rows |= {"datatype": h["datatype"], "nvox": int(np.prod(h["dim"])), "nbyper": h["bitpix"] // 8, "byteorder": "LSB_FIRST" if h["order"] == "<" else "MSB_FIRST"}
+    rows |= {"scl_slope": f"{h['slope']:g}", "scl_inter": f"{h['inter']:g}", "intent_code": h["intent"], "qform_code": h["qform"], "sform_code": h["sform"]}
+    if h["sform"] > 0:
+        rows["sto_xyz_matrix"] = " ".join(f"{x:g}" for x in [*h["srow"], 0, 0, 0, 1])
+    return "<nifti_image\n" + "".join(f"  {k} = '{escape(str(v))}'\n" for k, v in rows.items()) + "/>\n"
+
+
+def parse_header_text(text: str) -> dict[str, str]:
+    """The fields of a header's text form; ValueError if it is none."""
+    body = re.match(r"\s*<nifti_image\s(.*?)/>", text, re.S)
+    if not body:
+        raise ValueError("no header element")
+    return {k: unescape(a or b) for k, a, b in re.findall(r"(\w+)\s*=\s*(?:'([^']*)'|\"([^\"]*)\")", body[1])}
+
+
+def int_list(text: str, n: int) -> list[int]:
+    """Indices of a list such as [2,7..4,3..9(2)]; $ is the last one, a-b is a..b, (k) the step.  ValueError for what is none."""
+    number = r"(\$|\d+)"
+    out: list[int] = []
+    for part in re.split(r"[\]}]", text.strip().lstrip("[{"))[0].split(","):
+        if not part.strip():
+            continue
+        found = re.fullmatch(rf"{number}(?:(?:\.\.|-){number}(?:\((-?\d+)\))?)?", re.sub(r"\s", "", part))
+        if not found:
+            raise ValueError(f"no index list: {part!r}")
+        a, b = (None if x is None else n - 1 if x == "$" else int(x) for x in found.groups()[:2])
+        if not 0 <= a < n or not 0 <= (a if b is None else b) < n:
+            raise ValueError(f"{part!r} is out of 0..{n - 1}")
+        if b is None:
+            out.append(a)
+            continue
+        step = int(found[3]) if found[3] else 1 if a <= b else -1
+        if not step:
+            raise ValueError("a step of 0")
+        out += list(range(a, b + (1 if step > 0 else -1), step))
+    return out
+
+
 def decode_nifti(raw: bytes, legacy: bool = False) -> tuple[dict, np.ndarray]:
     """(header, array indexed x, y, z, ...); scaled by slope and intercept unless legacy."""
     if raw[:2] == b"\x1f\x8b":
@@ -51,8 +131,9 @@ def decode_nifti(raw: bytes, legacy: bool = False) -> tuple[dict, np.ndarray]:
     return h, data
 
 
-def encode_nifti(data: np.ndarray, pixdim=(1.0, 1.0, 1.0), affine: np.ndarray | None = None, compress: bool = False) -> bytes:
-    """A single-file NIfTI-1 image of an array indexed x, y, z, ..."""
+def encode_nifti(data: np.ndarray, pixdim=(1.0, 1.0, 1.0), affine: np.ndarray | None = None, compress: bool = False, more: tuple[tuple[int, bytes], ...] = ()) -> bytes:
+    """A single-file NIfTI-1 image of an array indexed x, y, z, ...; more: extensions as (code, data)."""
+    blocks = b"".join(extension_block(*x) for x in more)
     kind = data.dtype.str[1:]
     if kind not in CODES:
         data, kind = data.astype("f4"), "f4"
@@ -61,13 +142,14 @@ def encode_nifti(data: np.ndarray, pixdim=(1.0, 1.0, 1.0), affine: np.ndarray |
     struct.pack_into("<8h", raw, 40, data.ndim, *data.shape, *[1] * (7 - data.ndim))
     struct.pack_into("<hh", raw, 70, CODES[kind], data.dtype.itemsize * 8)
     struct.pack_into("<8f", raw, 76, 1.0, *pixdim, *[1.0] * 4)
-    struct.pack_into("<fff", raw, 108, HEADER + 4, 1.0, 0.0)
+    struct.pack_into("<fff", raw, 108, HEADER + 4 + len(blocks), 1.0, 0.0)
     raw[123] = 10  # millimetres and seconds
     if affine is not None:
         struct.pack_into("<hh", raw, 252, 0, 1)
         struct.pack_into("<12f", raw, 280, *np.asarray(affine, float)[:3].reshape(-1))
     raw[344:348] = b"n+1\0"
-    out = bytes(raw) + np.asfortranarray(data).astype("<" + kind).tobytes(order="F")
+    raw[HEADER] = 1 if more else 0
+    out = bytes(raw) + blocks + np.asfortranarray(data).astype("<" + kind).tobytes(order="F")
     return gzip.compress(out, mtime=0) if compress else out
 
 
@@ -118,20 +200,71 @@ def split_baseline(voxels: DataFrame, baseline: list[int]) -> DataFrame:
     return voxels.select("slice", "row", "col", s0.alias("s0"), rest.alias("dw"))
 
 
-def volume_bytes(voxels: DataFrame, value: str, fmt: str = "nifti", flip: bool = True) -> DataFrame:
-    """(volume, content): the image file of each volume id.  A volume is one group, of image size."""
+def volume_bytes(voxels: DataFrame, value: str, fmt: str = "nifti", flip: bool = True, shape: tuple[int, ...] | None = None, kind: str = "f4", centred: bool = False, compress: bool = False) -> DataFrame:
+    """(volume, content): the image file of each volume id.  A volume is one group, of image size.
+
+    shape: extents of what a voxel's array holds, the first runs fastest (default: its length).  centred: the
+    affine has its origin in the middle.
+    """
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         s, r, c = (pdf[k].to_numpy() for k in ("slice", "row", "col"))
         v = np.stack([np.atleast_1d(np.asarray(x, float)) for x in pdf[value]])
         data = np.zeros((c.max() + 1, r.max() + 1, s.max() + 1, v.shape[1]))
         data[c, r.max() - r if flip else r, s] = v
-        data = data[..., 0] if v.shape[1] == 1 else data
-        content = encode_nifti(data.astype("f4")) if fmt == "nifti" else encode_mrtrix(data) if fmt == "mif" else plain_volume(data)
-        return pd.DataFrame({"volume": [pdf["volume"].iloc[0]], "content": [content]})
+        data = data.reshape(*data.shape[:3], *shape, order="F") if shape else data[..., 0] if v.shape[1] == 1 else data
+        affine = np.eye(4)
+        affine[:3, 3] = [-n / 2 for n in data.shape[:3]]
+        encoded = {"nifti": lambda: encode_nifti(data.astype(kind), affine=affine if centred else None, compress=compress), "mif": lambda: encode_mrtrix(data), "plain": lambda: plain_volume(data)}
+        return pd.DataFrame({"volume": [pdf["volume"].iloc[0]], "content": [encoded[fmt]()]})
 
     return voxels.select("volume", "slice", "row", "col", value).groupBy("volume").applyInPandas(run, f"volume {voxels.schema['volume'].dataType.simpleString()}, content binary")
 
 
+def write_volumes(voxels: DataFrame, value: str, folder: str, fmt: str = "nifti", **how) -> DataFrame:
+    """Write each volume's image to <volume>.nii (.nii.gz, .mif or .dat) in a folder; returns (name, bytes)."""
+    ending = {"nifti": ".nii.gz" if how.get("compress") else ".nii", "mif": ".mif", "plain": ".dat"}[fmt]
+    made = volume_bytes(voxels, value, fmt, **how)
+    return files.write_files(made.select(F.concat(F.col("volume").cast("string"), F.lit(ending)).alias("name"), "content"), folder)
+
+
+def join_signal(signals: DataFrame) -> DataFrame:
+    """(voxel, values): s0 before the signal, for one image of both."""
+    return signals.select("slice", "row", "col", F.concat(F.array(F.col("s0").cast("double")), F.col("dw").cast("array<double>")).alias("values"))
+
+
+def stack_volumes(voxels: DataFrame, order: list[str], baseline: list[int] = ()) -> DataFrame:
+    """(voxel, s0, dw) from many 3D images (path, voxel, values): each file is one place of the signal, in the order of the file names.
+
+    Places of `baseline` are averaged into s0; a name that is listed twice stands for the mean of its files.
+    """
+    rank = F.create_map(*[F.lit(x) for kv in {n: i for i, n in enumerate(dict.fromkeys(order))}.items() for x in kv])
+    place = rank[F.substring_index("path", "/", -1)]
+    rows = voxels.select("slice", "row", "col", place.alias("i"), F.element_at("values", 1).alias("x")).where("i is not null")
+    rows = rows.groupBy("slice", "row", "col", "i").agg(F.avg("x").alias("x")).groupBy("slice", "row", "col").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v"))
+    return split_baseline(rows.select("slice", "row", "col", F.col("v.x").alias("values")), list(baseline))
+
+
+def average_volumes(voxels: DataFrame) -> DataFrame:
+    """(voxel, values): the mean of several images, place by place."""
+    rows = voxels.select("slice", "row", "col", F.posexplode("values").alias("i", "x")).groupBy("slice", "row", "col", "i").agg(F.avg("x").alias("x"))
+    return rows.groupBy("slice", "row", "col").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v")).select("slice", "row", "col", F.col("v.x").alias("values"))
+
+
+def pick_bricks(voxels: DataFrame, bricks: list[int]) -> DataFrame:
+    """voxels with the places of `values` that are listed, in that order; a place may be listed more than once."""
+    return voxels.withColumn("values", F.array(*[F.element_at("values", int(b) + 1) for b in bricks]))
+
+
+def signal_at(voxels: DataFrame, s: int, r: int, c: int) -> DataFrame:
+    """The signal of one voxel; no row outside the lattice."""
+    return voxels.where((F.col("slice") == s) & (F.col("row") == r) & (F.col("col") == c))
+
+
+def mask_volume(voxels: DataFrame, mask: str, bits: int, value: int) -> DataFrame:
+    """(voxel, on): 1 where mask & bits = value."""
+    return voxels.select("slice", "row", "col", (F.col(mask).bitwiseAND(F.lit(bits)) == value).cast("int").alias("on"))
+
+
 def plain_volume(data: np.ndarray) -> bytes:
     """Four int32 extents (slices, rows, cols, length), then doubles voxel by voxel."""
     d = data if data.ndim == 4 else data[..., None]

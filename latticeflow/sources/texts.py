@@ -120,6 +120,20 @@ def field_text(field: DataFrame) -> DataFrame:
     return field.groupBy("id").applyInPandas(run, f"id {field.schema['id'].dataType.simpleString()}, content string")
 
 
+def tensor_lines(tensors: DataFrame, order: str) -> DataFrame:
+    """(order, line) of single tensors (fraction, rotation, lambda): fraction, rotation by columns, diffusivities."""
+    turned = F.transform(F.sequence(F.lit(0), F.lit(8)), lambda p: F.element_at("rotation", (F.pmod(p, F.lit(3)) * 3 + F.floor(p / 3) + 1).cast("int")))
+    numbers = F.concat(F.array("fraction"), turned, F.col("lambda"))
+    return tensors.select(order, F.array_join(F.transform(numbers, lambda x: F.format_string("%f", x)), "\t").alias("line"))
+
+
+def parse_tensor_lines(lines: DataFrame) -> DataFrame:
+    """lines' columns and fraction, rotation, lambda of each line of single tensors."""
+    x = F.transform(F.split(F.trim("line"), r"\s+"), lambda t: t.cast("double"))
+    turned = F.transform(F.sequence(F.lit(0), F.lit(8)), lambda p: F.element_at(x, (F.pmod(p, F.lit(3)) * 3 + F.floor(p / 3) + 2).cast("int")))
+    return lines.select("*", F.element_at(x, 1).alias("fraction"), turned.alias("rotation"), F.slice(x, 11, 3).alias("lambda")).drop("line")
+
+
 def read_numbers(spark: SparkSession, path: str) -> DataFrame:
     """(path, line, x): the numbers of each line that has any."""
     rows = spark.read.format("binaryFile").load(path).select("path", F.posexplode(F.split(F.decode("content", "UTF-8"), "\n")).alias("line", "t"))
@@ -156,6 +170,11 @@ def read_names(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.explode(F.split(F.trim("value"), r"\s+")).alias("name")).where("name != ''")
 
 
+def format_settings(values: dict) -> str:
+    """Lines `name value`, typed as parse_settings() reads them back."""
+    return "".join(f"{k} {int(v) if isinstance(v, bool) else v}\n" for k, v in values.items())
+
+
 def parse_settings(text: str, kinds: dict[str, type]) -> tuple[dict, list[str]]:
     """(values, warnings) of lines `name value`; # begins a comment; names without a kind are warned of."""
     values, warnings = {}, []
