@@ -5,7 +5,7 @@ import pytest
 
 from latticeflow.plans import queries as plans
 
-TABLES = "part lineitem orders events documents embeddings pages".split()
+TABLES = "region nation part lineitem orders events documents embeddings pages".split()
 SQL = plans.oracle_sql()
 
 
