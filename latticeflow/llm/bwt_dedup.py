@@ -486,18 +486,21 @@ def span_lists(docs: DataFrame) -> DataFrame:
     return lists.select(RID, F.col("s.start").alias("starts"), F.col("s.stop").alias("stops"))
 
 
-def cut_text(keep: str) -> Column:
-    """(n_removed, n_spans, kept) by the spans beside the text column `keep`; only texts that lose bytes cross to Python."""
+def cut_text(keep: str, valid: bool = False) -> Column:
+    """(n_removed, n_spans, kept) by the spans beside the text column `keep`; only texts that lose bytes cross to Python.
+
+    valid: kept is a string, without what is left of characters that were cut apart; else it is bytes.
+    """
 
     def cut(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for texts, starts, stops in batches:
             made = []
             for t, a, b in zip(texts, starts, stops, strict=True):
                 made.append((b"", 0, 0) if t is None else remaining(t.encode("utf-8", "surrogatepass"), list(zip(a.tolist(), b.tolist(), strict=True))))
-            yield pd.DataFrame({"kept": [x[0] for x in made], "n_removed": [x[1] for x in made], "n_spans": [x[2] for x in made]})
+            yield pd.DataFrame({"kept": [x[0].decode("utf-8", "ignore") if valid else x[0] for x in made], "n_removed": [x[1] for x in made], "n_spans": [x[2] for x in made]})
 
     some = F.col("__lf_starts").isNotNull()
-    made = F.pandas_udf(tidy(cut), "kept binary, n_removed bigint, n_spans bigint")(F.when(some, F.col(keep)), "__lf_starts", "__lf_stops")
+    made = F.pandas_udf(tidy(cut), f"kept {'string' if valid else 'binary'}, n_removed bigint, n_spans bigint")(F.when(some, F.col(keep)), "__lf_starts", "__lf_stops")
     return F.when(some, made)
 
 
@@ -526,16 +529,8 @@ def dedup_rows(source: DataFrame) -> DataFrame:
 
     A text must stay valid: what is left of a character cut apart goes too.
     """
-    made = with_spans(source, documents(source, key=True)).withColumn("__lf_cut", cut_text("text"))
-
-    def valid(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield pd.Series([None if t is None else t.decode("utf-8", "ignore") for t in batch], dtype=object)
-
-    kept = F.col("__lf_cut")["kept"]
-    whole = F.when(F.try_validate_utf8(kept.cast("string")).isNotNull(), kept.cast("string"))
-    broken = F.pandas_udf(tidy(valid), "string")(F.when(whole.isNull(), kept))
-    return made.withColumn("text", F.coalesce(whole, broken, F.col("text"))).select(*[F.col(f"`{c}`") for c in source.columns])
+    made = with_spans(source, documents(source, key=True)).withColumn("__lf_cut", cut_text("text", valid=True))
+    return made.withColumn("text", F.coalesce(F.col("__lf_cut")["kept"], F.col("text"))).select(*[F.col(f"`{c}`") for c in source.columns])
 
 
 def digests(source: DataFrame) -> DataFrame:

@@ -155,8 +155,8 @@ def each_text(run: Callable[[list[str]], pd.DataFrame], kind: str, text: str = "
     def texts(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             own = batch.to_numpy()
-            made = [run(own[lo : lo + AT_ONCE].tolist()) for lo in range(0, len(own), AT_ONCE)]
-            yield pd.concat(made, ignore_index=True) if len(made) != 1 else made[0]
+            for lo in range(0, len(own), AT_ONCE):
+                yield run(own[lo : lo + AT_ONCE].tolist())
         close()
 
     return F.pandas_udf(tidy(texts), kind)(F.coalesce(F.col(text), F.lit("")))
