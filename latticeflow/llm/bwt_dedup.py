@@ -35,7 +35,7 @@ HALF = (LENGTH - GRAM) // 2
 SHARDS = 4
 BATCH = 1 << 16
 PACK = 1 << 17
-HOT_REGIONS = 20_000
+HOT_REGIONS = 8192
 MIX32 = np.random.default_rng(32_003).integers(0, 1 << 32, 256, dtype=np.uint32) | np.uint32(1)
 K64 = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
 S29, S32 = np.uint64(29), np.uint64(32)

@@ -219,7 +219,8 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 def sets_of(docs: DataFrame, light: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
     """The sets of the pairs' members, each from one document that has it."""
     wanted = pairs.select(F.col("a").alias("v")).unionByName(pairs.select(F.col("b").alias("v"))).distinct()
-    one = light.join(wanted, "v", "left_semi").groupBy("v").agg(F.min(RID).alias(RID))
+    # Copies are combined in their own tasks before they meet: one set may belong to very many documents.
+    one = light.groupBy("v").agg(F.min(RID).alias(RID)).join(wanted, "v", "left_semi")
     return materialise(whole_sets(docs, one.select(RID), words), "sets")
 
 
