@@ -167,3 +167,12 @@ def emd(p: np.ndarray, q: np.ndarray, ground: np.ndarray, extra: float | None =
     i, j = np.flatnonzero(p > 0), np.flatnonzero(q > 0)
     cost = min_cost_flow(p[i], q[j], d[np.ix_(i, j)])[0] if len(i) and len(j) else 0.0
     return cost + more * (d.max() if extra is None and d.size else extra or 0.0)
+
+
+def emd_with_entropy(p: np.ndarray, q: np.ndarray, ground: np.ndarray) -> float:
+    """The cost of moving a unit of the common mass, a penalty of the largest distance for each unit that one side has more, and the difference of entropies, weighted by the larger mass."""
+    a, b, top = float(np.sum(p)), float(np.sum(q)), float(np.max(ground))
+    moved = emd(p, q, ground, extra=0.0)
+    shares = [np.asarray(x, float)[np.asarray(x) > 0] / np.sum(x) for x in (p, q)]
+    entropies = [-float((s * np.log(s)).sum()) for s in shares]
+    return moved / min(a, b) + abs(a - b) * top + max(a, b) * abs(entropies[0] - entropies[1])

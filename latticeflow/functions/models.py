@@ -43,15 +43,27 @@ class TensorModel:
         return np.array([[get(i, j) for j in range(3)] for i in range(3)])
 
     def voxel(self, s0: float, s: np.ndarray) -> dict:
-        """Eigenvalues (ascending), principal direction, mean diffusivity and FA; NaN where a signal is below the floor."""
+        """voxels() of one."""
+        return {k: x[0].tolist() if x.ndim > 1 else float(x[0]) for k, x in self.voxels(np.array([s0], float), np.asarray(s, float)[None]).items()}
+
+    def voxels(self, s0: np.ndarray, s: np.ndarray) -> dict[str, np.ndarray]:
+        """Eigenvalues (ascending), principal direction, mean diffusivity and FA of many signals at once; NaN where a signal is below the floor."""
         if self.rank != 2:
             raise ValueError("eigenvalues are of rank 2")
-        if s0 < FLOOR or (np.asarray(s) < FLOOR).any():
-            return {"ev": [float("nan")] * 3, "pdd": [float("nan")] * 3, "md": float("nan"), "fa": float("nan")}
-        values, vectors = linalg.symmetric_eigen(self.matrix(self.solve(s0, np.asarray(s, float))))
-        md, size = values.mean(), np.linalg.norm(values)
-        fa = math.sqrt(1.5) * np.linalg.norm(values - md) / size if size else float("nan")
-        return {"ev": values.tolist(), "pdd": vectors[:, -1].tolist(), "md": float(md), "fa": float(min(fa, 1.0))}
+        fine = (s0 >= FLOOR) & (s >= FLOOR).all(1)
+        logs = np.log(np.maximum(s, FLOOR)) - np.log(np.maximum(s0, FLOOR))[:, None]
+        coefs = logs @ self.inverse.T
+        at = {p: k for k, p in enumerate(self.powers)}
+        index = np.array([[at[tuple((i == k) + (j == k) for k in range(3))] for j in range(3)] for i in range(3)])
+        values, vectors = np.linalg.eigh(coefs[:, index])
+        md = values.mean(1)
+        size = np.linalg.norm(values, axis=1)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            fa = np.minimum(math.sqrt(1.5) * np.linalg.norm(values - md[:, None], axis=1) / size, 1.0)
+        out = {"ev": values, "pdd": vectors[:, :, -1], "md": md, "fa": fa}
+        for x in out.values():
+            x[~fine] = np.nan
+        return out
 
 
 def tensor(direction: np.ndarray, longitudinal: float, transversal: float) -> np.ndarray:

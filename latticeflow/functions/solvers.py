@@ -37,6 +37,14 @@ def nnls(e: np.ndarray, f: np.ndarray, eps: float = 1e-10) -> tuple[np.ndarray,
     return x, float(((e @ x - f) ** 2).sum())
 
 
+def least_squares(e: np.ndarray, f: np.ndarray, columns: np.ndarray | None = None) -> np.ndarray:
+    """x of least |Ex - f|, on all columns or on some (0 for the others)."""
+    at = np.arange(e.shape[1]) if columns is None else np.asarray(columns)
+    x = np.zeros(e.shape[1])
+    x[at] = np.linalg.lstsq(np.asarray(e, float)[:, at], np.asarray(f, float), rcond=None)[0]
+    return x
+
+
 def nnls_subset(e: np.ndarray, f: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, float]:
     x = np.zeros(e.shape[1])
     x[columns], error = nnls(e[:, columns], f)

@@ -7,29 +7,32 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def forward(f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Forward differences along rows and columns, the last two axes; 0 at the far edges."""
     r, c = np.zeros_like(f), np.zeros_like(f)
-    r[:-1], c[:, :-1] = f[1:] - f[:-1], f[:, 1:] - f[:, :-1]
+    r[..., :-1, :], c[..., :-1] = f[..., 1:, :] - f[..., :-1, :], f[..., 1:] - f[..., :-1]
     return r, c
 
 
 def back_divergence(r: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Minus the adjoint of forward()."""
     d = np.zeros_like(r)
-    d[0], d[1:-1], d[-1] = r[0], r[1:-1] - r[:-2], -r[-2]
+    d[..., 0, :], d[..., 1:-1, :], d[..., -1, :] = r[..., 0, :], r[..., 1:-1, :] - r[..., :-2, :], -r[..., -2, :]
     e = np.zeros_like(c)
-    e[:, 0], e[:, 1:-1], e[:, -1] = c[:, 0], c[:, 1:-1] - c[:, :-2], -c[:, -2]
+    e[..., 0], e[..., 1:-1], e[..., -1] = c[..., 0], c[..., 1:-1] - c[..., :-2], -c[..., -2]
     return d + e
 
 
 def total_variation(g: np.ndarray, lam: float, data: str = "l2", huber: float = 0.0, rounds: int = 5000, tolerance: float = 1e-9, callback: Callable[[np.ndarray], None] | None = None) -> np.ndarray:
     """Primal-dual minimiser of TV(u) (Huber-smoothed if huber > 0) + lam / 2 |u - g|^2, or lam |u - g|_1.
 
+    g is an image or a stack of images, each filtered by itself; rounds go on until the last of them stands.
     callback is shown the image after each round.
     """
-    if min(g.shape) < 2:
+    if min(g.shape[-2:]) < 2:
         return g.astype(float)
     u, bar = g.astype(float).copy(), g.astype(float).copy()
     p, q = np.zeros_like(u), np.zeros_like(u)
@@ -52,8 +55,8 @@ def total_variation(g: np.ndarray, lam: float, data: str = "l2", huber: float =
 
 
 def total_generalized_variation(g: np.ndarray, lam: float, first: float = 1.0, second: float = 2.0, rounds: int = 500, tolerance: float = 1e-9) -> np.ndarray:
-    """Second-order TGV with an L2 data term: first * |grad u - w| + second * |sym grad w| + lam / 2 |u - g|^2."""
-    if min(g.shape) < 2:
+    """Second-order TGV with an L2 data term: first * |grad u - w| + second * |sym grad w| + lam / 2 |u - g|^2; of an image or a stack of them."""
+    if min(g.shape[-2:]) < 2:
         return g.astype(float)
     u, ub = g.astype(float).copy(), g.astype(float).copy()
     w, wb = np.zeros((2, *g.shape)), np.zeros((2, *g.shape))
@@ -130,15 +133,36 @@ FILTERS: dict[str, Callable] = {
 }
 
 
+STACKED = ("tv_l2", "tv_l1", "huber_l2", "tgv_l2")
+BUNDLE = 16
+
+
 def filter_slices(voxels: DataFrame, value: str, name: str, lam: float, by: list[str] | None = None) -> DataFrame:
-    """(by, row, col, filtered): one filter over each slice; a slice is one group, of image size."""
+    """(by, row, col, filtered): one filter over each slice.
+
+    A group is up to BUNDLE neighbouring slices, where `slice` is among the keys: those of one shape go through
+    the rounds together.  A slice with missing voxels has its mean there.
+    """
     by = by or ["slice"]
     spec = ", ".join(f"`{k}` {voxels.schema[k].dataType.simpleString()}" for k in [*by, "row", "col"])
+    keys = [F.floor(F.col("slice") / BUNDLE).alias("__bundle") if k == "slice" and name in STACKED else F.col(k) for k in by]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        r, c = pdf["row"].to_numpy(), pdf["col"].to_numpy()
-        g = np.full((r.max() + 1, c.max() + 1), pdf[value].mean())
-        g[r, c] = pdf[value].to_numpy()
-        return pdf[[*by, "row", "col"]].assign(filtered=FILTERS[name](g, lam)[r, c])
-
-    return voxels.select(*by, "row", "col", value).groupBy(*by).applyInPandas(run, f"{spec}, filtered double")
+        images, places = [], []
+        for _, at in sorted(pdf.groupby(by).indices.items()):
+            own = pdf.iloc[at]
+            r, c = own["row"].to_numpy(), own["col"].to_numpy()
+            g = np.full((r.max() + 1, c.max() + 1), own[value].mean())
+            g[r, c] = own[value].to_numpy()
+            images.append(g)
+            places.append((at, r, c))
+        filtered = np.empty(len(pdf))
+        for shape in {g.shape for g in images}:
+            same = [i for i, g in enumerate(images) if g.shape == shape]
+            stack = FILTERS[name](np.stack([images[i] for i in same]), lam) if name in STACKED else [FILTERS[name](images[i], lam) for i in same]
+            for i, u in zip(same, stack, strict=True):
+                at, r, c = places[i]
+                filtered[at] = u[r, c]
+        return pdf[[*by, "row", "col"]].assign(filtered=filtered)
+
+    return voxels.select(*by, "row", "col", value).groupBy(*keys).applyInPandas(run, f"{spec}, filtered double")

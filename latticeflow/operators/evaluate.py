@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from . import clustering, stats
+from . import clustering, graph, stats
 
 
 def class_scores(df: DataFrame, vector: str, label: str, key: str, centres: DataFrame) -> DataFrame:
@@ -110,3 +110,33 @@ def contained(tensors: list[np.ndarray], b: float, directions: np.ndarray) -> in
     """How many tensors hold no smaller one: their signal profile lies above that of none of the others in every direction."""
     profiles = [np.exp(-b * np.einsum("ni,ij,nj->n", directions, t, directions)) for t in tensors]
     return sum(not any(i != j and (p >= q).all() and (p > q).any() for j, q in enumerate(profiles)) for i, p in enumerate(profiles))
+
+
+def read_labelled(spark: SparkSession, path: str) -> DataFrame:
+    """(id, v, label) of a text matrix whose last column is the label."""
+    from ..sources import files
+
+    x = F.col("x")
+    return files.read_matrix(spark, path).select(F.col("i").alias("id"), F.slice(x, 1, F.size(x) - 1).alias("v"), F.element_at(x, -1).cast("bigint").alias("label"))
+
+
+def save_libsvm(df: DataFrame, key: str, vector: str, label: str, path: str) -> None:
+    """Lines `label place:value ...`, places from 1, in the order of a key."""
+    pairs = F.transform(V.doubles(vector), lambda x, i: F.concat((i + 1).cast("string"), F.lit(":"), x.cast("string")))
+    line = F.concat_ws(" ", F.col(label).cast("string"), F.array_join(pairs, " "))
+    df.repartitionByRange(key).sortWithinPartitions(key).select(line.alias("line")).write.text(path)
+
+
+def discriminants_from_file(spark: SparkSession, path: str, directions: int, out: str | None = None) -> DataFrame:
+    """(id, label, predicted) of the rows of a file by nearest centroid among discriminants fitted on them; projections go to `out` as libsvm lines."""
+    rows = graph.settle(read_labelled(spark, path))
+    w = clustering.discriminants(rows, "v", "label", directions)
+    p = clustering.projected(rows, "v", w)
+    if out:
+        save_libsvm(p, "id", "projected", "label", out)
+    return stats.nearest_centroid(p, stats.centroid_vectors(p, "projected", "label"), "projected", "label", ["id", "label"]).select("id", "label", "predicted")
+
+
+def validation_from_file(spark: SparkSession, path: str, directions: int, proportion: float = 0.5) -> DataFrame:
+    """label_generalization() of the rows of a file."""
+    return label_generalization(graph.settle(read_labelled(spark, path)), "id", "v", "label", directions, proportion)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import models, solvers
+from . import graph
 from .neighbours import KEY, OFFSETS26, shifted
 
 
@@ -20,8 +21,9 @@ def fit_tensor(signals: DataFrame, gradients: np.ndarray, b: float, keys: list[s
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = [model.voxel(s0, np.asarray(dw, float)) for s0, dw in zip(pdf["s0"], pdf["dw"], strict=True)]
-            yield pd.concat([pdf[keys].reset_index(drop=True), pd.DataFrame(found, columns=["ev", "pdd", "md", "fa"])], axis=1)
+            if len(pdf):
+                found = model.voxels(pdf["s0"].to_numpy(float), np.stack(pdf["dw"].to_numpy()).astype(float))
+                yield pdf[keys].reset_index(drop=True).assign(ev=list(found["ev"]), pdd=list(found["pdd"]), md=found["md"], fa=found["fa"])
 
     return signals.select(*keys, "s0", "dw").mapInPandas(run, f"{spec}, ev array<double>, pdd array<double>, md double, fa double")
 
@@ -71,5 +73,5 @@ def smooth_coefficients(voxels: DataFrame, weight: float, rounds: int = 5) -> Da
         near = shifted(now, ["alpha"], OFFSETS26).select(*KEY, F.posexplode("n_alpha").alias("i", "x"))
         sums = near.groupBy(*KEY, "i").agg(F.sum("x").alias("x"), F.count("*").alias("m")).groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("xs"), F.max("m").alias("m"))
         joined = now.join(sums, KEY, "left")
-        now = joined.select(*KEY, F.when(F.col("m").isNull(), F.col("data")).otherwise(F.zip_with("data", "xs", lambda d, x: F.greatest(F.lit(0.0), (d + weight * x["x"]) / (1 + weight * F.col("m"))))).alias("alpha"), "data")
+        now = graph.settle(joined.select(*KEY, F.when(F.col("m").isNull(), F.col("data")).otherwise(F.zip_with("data", "xs", lambda d, x: F.greatest(F.lit(0.0), (d + weight * x["x"]) / (1 + weight * F.col("m"))))).alias("alpha"), "data"))
     return now.select(*KEY, "alpha")

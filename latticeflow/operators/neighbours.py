@@ -197,7 +197,9 @@ def median26(voxels: DataFrame, value: str) -> DataFrame:
 def erode(voxels: DataFrame, flag: str, rounds: int = 1) -> DataFrame:
     """A voxel stays set if it and all neighbours that are there are set; neighbours outside are ignored."""
     now = voxels.select(*KEY, F.col(flag).cast("boolean").alias("kept"))
-    for _ in range(rounds):
+    for k in range(rounds):
+        if k:
+            now = graph.settle(now)
         near = shifted(now, ["kept"], [*OFFSETS26, (0, 0, 0)])
         now = now.select(*KEY).join(near.groupBy(*KEY).agg(F.bool_and("n_kept").alias("kept")), KEY)
     return now

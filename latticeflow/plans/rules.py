@@ -263,7 +263,7 @@ def header_codes(spark, sf):
     return read(spark, sf, "part").select("p_partkey", *[strings.coded(p, t, o).alias(k) for k, (t, o) in CODES.items()], F.when(name == "**ILLEGAL**", 0).otherwise(strings.datatype_code(name)).cast("bigint").alias("code"))
 
 
-@query("WITH n AS (SELECT page_id, url, CASE page_id % 5 WHEN 0 THEN 'a' || page_id || '.nii.gz' WHEN 1 THEN 'b' || page_id || '.hdr' WHEN 2 THEN 'c.d' || page_id || '.img' WHEN 3 THEN 'e' || page_id || '.nia' ELSE 'f' || page_id END AS f FROM pages) SELECT page_id, regexp_replace(f, '\\.[^.]*$', '') || '.txt' AS changed, coalesce(nullif(regexp_extract(f, '(\\.nii\\.gz|\\.hdr|\\.img|\\.nia)$', 1), ''), '') AS image, f LIKE '%.gz' AS zipped, regexp_replace(f, '(\\.nii\\.gz|\\.hdr|\\.img|\\.nia)$', '') AS base, replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS escaped, url AS back, len(list_filter(string_split_regex(rtrim(url, '/:?'), '[/:?]'), lambda x: true)) AS pieces, regexp_matches(lower(f), '^.*d.*\.im.$') AS named FROM n")
+@query(r"WITH n AS (SELECT page_id, url, CASE page_id % 5 WHEN 0 THEN 'a' || page_id || '.nii.gz' WHEN 1 THEN 'b' || page_id || '.hdr' WHEN 2 THEN 'c.d' || page_id || '.img' WHEN 3 THEN 'e' || page_id || '.nia' ELSE 'f' || page_id END AS f FROM pages) SELECT page_id, regexp_replace(f, '\.[^.]*$', '') || '.txt' AS changed, coalesce(nullif(regexp_extract(f, '(\.nii\.gz|\.hdr|\.img|\.nia)$', 1), ''), '') AS image, f LIKE '%.gz' AS zipped, regexp_replace(f, '(\.nii\.gz|\.hdr|\.img|\.nia)$', '') AS base, replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS escaped, url AS back, len(list_filter(string_split_regex(rtrim(url, '/:?'), '[/:?]'), lambda x: true)) AS pieces, regexp_matches(lower(f), '^.*d.*\.im.$') AS named FROM n")
 def file_names(spark, sf):
     """Extensions, image names, escapes, splits at any of several marks and patterns of * and ? on file names."""
     from ..sources import files

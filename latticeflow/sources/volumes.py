@@ -85,7 +85,9 @@ class VolumeReader(DataSourceReader):
             out += [Run(x.path, s, min(hi, s + step)) for s in range(lo, hi, step)]
         return out
 
-    def read(self, partition: Run) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Run | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # there are none
+            return
         with self._open(partition.path) as f:
             zipped = partition.path.lower().endswith(".gz")
             raw = gzip.decompress(f.read()) if zipped else None

@@ -78,3 +78,23 @@ def test_segmentation(spark):
     grid = generate.grid(spark, 1, 3, 3).withColumn("id", F.col("row") * 3 + F.col("col")).withColumn("v", F.lit(1.0))
     kernel = segment.gaussian_kernel(grid, "v", 1.0)
     assert kernel.where("w != 1").count() == 0 and graph.row_sums(kernel).agg(F.max("total")).first()[0] == 9  # eight neighbours and the diagonal
+
+
+def test_runs_from_files(spark, samples, tmp_path):
+    from latticeflow.sources import files
+
+    files.save_matrix(samples.select("id", F.concat("v", F.array(F.col("label").cast("double"))).alias("x")), "id", "x", str(tmp_path / "m"))
+    found = evaluate.discriminants_from_file(spark, str(tmp_path / "m"), 3, str(tmp_path / "svm"))
+    assert found.count() == 120 and found.where("label = predicted").count() == 120
+    lines = spark.read.text(str(tmp_path / "svm"))
+    assert lines.count() == 120 and all(r[0].split(" ")[1].startswith("1:") for r in lines.collect())
+    assert evaluate.validation_from_file(spark, str(tmp_path / "m"), 2).count() >= 1
+
+
+def test_empty_tables(spark, samples):
+    none = samples.limit(0)
+    assert clustering.fuzzy_kmeans(none, "id", "v", 3)[0].count() == 0
+    assert clustering.euclidean_scaling(none, "id", "v", 2).count() == 0
+    nulls = samples.limit(3).withColumn("v", F.lit(None).cast("array<double>")).unionByName(samples)
+    assert clustering.fuzzy_kmeans(nulls, "id", "v", 3, 1.0, rounds=2)[0].count() == 120
+    assert stats.nth_smallest(none, "id", 0) is None and stats.nth_smallest(samples, "id", 5) == 5
