@@ -165,12 +165,13 @@ def raw_second_moment_whole(spark, sf):
 @query(f"WITH {LONG_SQL} SELECT a.pos AS i, b.pos AS j, round(covar_samp(a.x, b.x), 6) AS s FROM x a JOIN x b ON a.vec_id = b.vec_id WHERE a.pos < 8 AND b.pos < 8 GROUP BY a.pos, b.pos")
 def centred_covariance(spark, sf):
     """The first 8 places, as its SQL has them; centred_covariance_whole has all."""
-    return centred_covariance_whole(spark, sf).where("i < 8 and j < 8")
+    return rounded(stats.centred_covariance(embeddings(spark, sf), "embedding"), "s").where("i < 8 and j < 8")
 
 
 @query(f"WITH {LONG_SQL} SELECT a.pos AS i, b.pos AS j, round(covar_samp(a.x, b.x), 6) AS s FROM x a JOIN x b ON a.vec_id = b.vec_id GROUP BY a.pos, b.pos")
 def centred_covariance_whole(spark, sf):
-    return stats.centred_covariance(embeddings(spark, sf), "embedding").withColumn("s", F.round("s", 6))
+    # A value that rounds to 0 keeps its sign, as the SQL's does.
+    return stats.centred_covariance(embeddings(spark, sf), "embedding").withColumn("s", F.round(F.abs("s"), 6) * F.signum("s"))
 
 
 SCORES_SQL = f"WITH e AS ({VEC_SQL}), g AS (SELECT min(vec_id) AS vec_id FROM e GROUP BY label), s AS (SELECT round(list_sum(list_transform(list_zip(p.v, q.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 6) AS dist, CAST(p.label = q.label AS INT) AS same FROM e p, e q WHERE p.vec_id NOT IN (SELECT vec_id FROM g) AND q.vec_id IN (SELECT vec_id FROM g)), a AS (SELECT dist AS score, sum(1 - same) AS f, sum(same) AS t FROM s GROUP BY dist), r AS (SELECT score, sum(f) OVER (ORDER BY score) / (sum(f) OVER () + sum(t) OVER ()) AS far, sum(t) OVER (ORDER BY score) / sum(t) OVER () AS vr FROM a)"
