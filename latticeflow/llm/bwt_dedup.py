@@ -4,7 +4,8 @@
    that are equal have equal anchors at equal offsets, so only strings with one anchor need to meet.
    Runs of neighbouring strings with the same anchor place are one region of text.
 2. Anchors that stand once anywhere are dropped.  Regions with equal text are settled at once: all but
-   the earliest are repeats as a whole.
+   the earliest are repeats as a whole.  Regions of an anchor that has very many of them are dealt anew by
+   longer and longer context, so that no task gets more than HOT_REGIONS about one.
 3. What is left are different regions about one anchor.  A task takes whole anchors, deals their regions over
    shards, sorts each shard's rotations and keeps its transform.  The transforms are merged by
    refining an interleave: it starts as the shards one after another, and each pass sorts it stably by
@@ -35,7 +36,7 @@ HALF = (LENGTH - GRAM) // 2
 SHARDS = 4
 BATCH = 1 << 16
 PACK = 1 << 17
-HOT_REGIONS = 8192
+HOT_REGIONS = 4096
 MIX32 = np.random.default_rng(32_003).integers(0, 1 << 32, 256, dtype=np.uint32) | np.uint32(1)
 K64 = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
 S29, S32 = np.uint64(29), np.uint64(32)
@@ -194,35 +195,48 @@ def texts_of(docs: DataFrame, wanted: Bitmap) -> DataFrame:
     return docs.mapInPandas(tidy(run), f"h bigint, region binary, at int, doc_id bigint, {RID} bigint, start int")
 
 
-def single_strings(rows: DataFrame) -> DataFrame:
-    """Regions cut into their strings, each with its own hash for an anchor: equal strings still meet.
+DEALT = f"h bigint, region binary, at int, lo int, hi int, doc_id bigint, {RID} bigint, start int"
 
-    Of a task's equal strings only the earliest keeps its text; the others are repeats already.
+
+def dealt_anew(rows: DataFrame) -> DataFrame:
+    """Regions of hot anchors under keys of longer context.
+
+    The strings of a row have their anchor at an offset of lo to hi, so equal ones agree from lo bytes before
+    the anchor on, to LENGTH - hi after its begin.  Each half of that range makes a region of its own, with a
+    key of the longer context that its strings must share.  Of a task's equal regions under one key only the
+    earliest keeps its text; the others are repeats as a whole (at holds their number of strings).
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: dict[bytes, tuple] = {}
+        best: dict[tuple, tuple] = {}
+        digest = xxhash.xxh3_64_intdigest
         for pdf in batches:
             lost = []
-            for region, at, d, r, s in zip(pdf["region"], pdf["at"].tolist(), pdf["doc_id"].tolist(), pdf[RID].tolist(), pdf["start"].tolist(), strict=True):
-                for k in range(len(region) - LENGTH + 1):
-                    t, row = bytes(region[k : k + LENGTH]), (d, r, s + k, at - k)
-                    old = best.setdefault(t, row)
+            for h, region, at, lo, hi, d, r, s in zip(*[pdf[c].tolist() for c in ("h", "region", "at", "lo", "hi", "doc_id", RID, "start")], strict=True):
+                mid = (lo + hi) // 2
+                for a, b in ((lo, mid), (mid + 1, hi)):
+                    first, last = max(0, at - b), min(len(region) - LENGTH, at - a)
+                    if a > b or first > last:
+                        continue
+                    key = digest(b"%d %d %d " % (h, a, b) + region[at - a : at + LENGTH - b]) - (1 << 63)
+                    which, row = (key, bytes(region[first : last + LENGTH])), (d, r, s + first, at - first, a, b)
+                    old = best.setdefault(which, row)
                     if old is not row:
-                        best[t] = min(old, row)
-                        lost.append(max(old, row))
+                        best[which] = min(old, row)
+                        d2, r2, s2, *_ = max(old, row)
+                        lost.append((0, None, last - first + 1, 0, 0, d2, r2, s2))
             if lost:
-                yield frame([(0, None, *x) for x in lost])
-            if len(best) > 200_000:
-                yield frame([(xxhash.xxh3_64_intdigest(t) - (1 << 63), t, *x) for t, x in best.items()])
+                yield frame(lost)
+            if len(best) > 100_000:
+                yield frame([(k, t, at, a, b, d, r, s) for (k, t), (d, r, s, at, a, b) in best.items()])
                 best = {}
-        yield frame([(xxhash.xxh3_64_intdigest(t) - (1 << 63), t, *x) for t, x in best.items()])
+        yield frame([(k, t, at, a, b, d, r, s) for (k, t), (d, r, s, at, a, b) in best.items()])
 
     def frame(found: list[tuple]) -> pd.DataFrame:
-        out = pd.DataFrame(found, columns=["h", "region", "doc_id", RID, "start", "at"]).astype({"h": "int64", "doc_id": "int64", RID: "int64", "at": "int32", "start": "int32"})
-        return out[["h", "region", "at", "doc_id", RID, "start"]]
+        names = ["h", "region", "at", "lo", "hi", "doc_id", RID, "start"]
+        return pd.DataFrame(found, columns=names).astype({n: "int64" if n in ("h", "doc_id", RID) else "int32" for n in names if n != "region"})
 
-    return rows.select("region", "at", "doc_id", RID, "start").mapInPandas(tidy(run), f"h bigint, region binary, at int, doc_id bigint, {RID} bigint, start int")
+    return rows.mapInPandas(tidy(run), DEALT)
 
 
 class Rotations:
@@ -422,6 +436,8 @@ def removal_spans(docs: DataFrame) -> DataFrame:
     place = F.struct("doc_id", RID, "start")
     judged = prints.where("h is not null").repartition(parts, "h", "th").withColumn("kept", place == F.min(place).over(Window.partitionBy("h", "th")))
     judged = materialise(judged.select("h", RID, "start", "n", "kept"), "judged")
+    done = materialise(done, "done")
+    discard(prints)
     whole = judged.where("not kept").select(RID, "start", (F.col("start") + F.col("n") + LENGTH - 1).alias("stop"))
     # Anchors with several texts go by a bitmap and not by a join, so that a common anchor's regions stay dealt out.
     mixed = Bitmap(spark, judged.where("kept").groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h"), "h")
@@ -435,15 +451,24 @@ def removal_spans(docs: DataFrame) -> DataFrame:
     texts = materialise(texts_of(docs, wanted), "regions")
     wanted.drop()
     mixed.drop()
-    hot = texts.groupBy("h").agg(F.count("*").alias("m")).where(F.col("m") > HOT_REGIONS).select("h")
-    if hot.isEmpty():
-        found = merged_repeats(texts, parts)
-    else:
-        split = materialise(single_strings(texts.join(hot, "h", "left_semi")), "strings")
-        done = done.unionByName(split.where("region is null").select(RID, "start", (F.col("start") + LENGTH).alias("stop")))
-        found = merged_repeats(texts.join(hot, "h", "left_anti").unionByName(split.where("region is not null")), parts)
+    ready, rows, spent = [], texts.withColumns({"lo": F.lit(0), "hi": F.lit(LENGTH - GRAM)}), [texts]
+    while True:
+        hot = rows.where("lo < hi").groupBy("h").agg(F.count("*").alias("m")).where(F.col("m") > HOT_REGIONS).select("h")
+        if hot.isEmpty():
+            ready.append(rows)
+            break
+        hot = materialise(hot, "hot")
+        ready.append(rows.join(hot, "h", "left_anti").select(*rows.columns))
+        dealt = materialise(dealt_anew(rows.join(hot, "h", "left_semi").select(*rows.columns)), "dealt")
+        spent.append(hot)
+        done = done.unionByName(dealt.where("region is null").select(RID, "start", (F.col("start") + F.col("at") + LENGTH - 1).alias("stop")))
+        rows = dealt.where("region is not null")
+    every = ready[0]
+    for more in ready[1:]:
+        every = every.unionByName(more)
+    found = merged_repeats(every.drop("lo", "hi"), parts)
     found = materialise(found, "spans")
-    discard(texts)
+    discard(*spent)
     return done.unionByName(whole).unionByName(found)
 
 

@@ -122,3 +122,11 @@ def test_run_is_the_stages(spark, folder, stages):
     got = corpus_pipeline.run(spark, folder)
     assert sorted(map(str, got.select("doc_id", "ids_sha256").collect())) == sorted(map(str, stages[5].select("doc_id", "ids_sha256").collect()))
     assert got.where(F.col("n_tokens") != F.size("ids")).count() == 0
+
+
+def test_no_documents(spark, folder, tmp_path):
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{folder}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    spark.read.parquet(f"{folder}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.count() == 0 and {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"} <= set(out.columns)
