@@ -21,7 +21,7 @@ RID = "__lf_rid"
 NULL_ID = -(1 << 63)
 BITMAP_BITS = 1 << 27
 AT_ONCE = 500
-SALT = 16
+HOT_KEYS, HOT_ROWS = 1000, 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -83,13 +83,21 @@ def width(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
 
 
-def spread_join(rows: DataFrame, few: DataFrame, key: str, own: str) -> DataFrame:
-    """rows left-joined with few (one row for each of its keys), each key of rows dealt over SALT tasks by a hash of own.
+def spread_join(rows: DataFrame, few: DataFrame, key: str) -> DataFrame:
+    """rows left-joined with few (at most one row for each key), without a task for all rows of a common key.
 
-    However many rows share one key, no task reads more than a SALT-th of them.
+    The HOT_KEYS commonest keys, where more than HOT_ROWS rows have one, come to the driver; few's rows of
+    these, no more than that, are broadcast to rows where they stand.  Any other key has at most one row in
+    HOT_KEYS of all, and goes through the shuffle.
     """
-    few = few.withColumn("__lf_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    return rows.withColumn("__lf_salt", F.pmod(F.xxhash64(own), F.lit(SALT)).cast("int")).join(few, [key, "__lf_salt"], "left").drop("__lf_salt")
+    counts = rows.groupBy(key).agg(F.count("*").alias("n")).where((F.col("n") > HOT_ROWS) & F.col(key).isNotNull())
+    hot = [r[key] for r in counts.orderBy(F.desc("n"), key).limit(HOT_KEYS).collect()]
+    if not hot:
+        return rows.join(few, key, "left")
+    common = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    names = list(dict.fromkeys([key, *rows.columns, *few.columns]))
+    there = rows.where(common).join(F.broadcast(few.where(common)), key, "left").select(*names)
+    return there.unionByName(rows.where(~common).join(few.where(~common), key, "left").select(*names))
 
 
 class Bitmap:

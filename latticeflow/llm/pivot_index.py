@@ -150,7 +150,7 @@ def near_vectors(source: DataFrame, least: float = COSINE, prefix: int = PREFIX,
         classes = classes.withColumn("w", F.lit(0)).withColumn("comp", F.col("v"))
     classes = classes.select("v", "size", "least", F.coalesce("w", F.lit(0)).alias("w"), F.coalesce("comp", "v").alias("comp"))
     several = classes.groupBy("comp").agg(F.min("least").alias("component_id"), F.count("*").alias("m")).where("m > 1").drop("m")
-    classes = materialise(spread_join(classes, several, "comp", "v").withColumn("component_id", F.coalesce("component_id", "least")), "classes")
-    named = spread_join(good.select("vec_id", "v"), classes, "v", "vec_id").select("vec_id", (F.col("size") - 1 + F.col("w")).cast("bigint").alias("n_links"), "component_id")
+    classes = materialise(spread_join(classes, several, "comp").withColumn("component_id", F.coalesce("component_id", "least")), "classes")
+    named = spread_join(good.select("vec_id", "v"), classes, "v").select("vec_id", (F.col("size") - 1 + F.col("w")).cast("bigint").alias("n_links"), "component_id")
     alone = rows.where("not fine").select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
     return named.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -334,8 +334,8 @@ def near_groups(source: DataFrame, words: int = WORDS, per_cent: int = PER_CENT)
     discard(rest, pairs, sets)
     if not more.isEmpty():
         comps = connected_components(links.unionByName(more))
-    found = spread_join(light.where("n > 0").select(RID, "doc_id", "n", "v"), comps, "v", RID).withColumn("comp", F.coalesce("comp", "v"))
+    found = spread_join(light.where("n > 0").select(RID, "doc_id", "n", "v"), comps, "v").withColumn("comp", F.coalesce("comp", "v"))
     least = found.groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("m")).where("m > 1").drop("m")
-    out = spread_join(found, least, "comp", RID).select(RID, "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "comp")
+    out = spread_join(found, least, "comp").select(RID, "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "comp")
     alone = light.where("n = 0").select(RID, "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("bigint").alias("comp"))
     return out.unionByName(alone)
