@@ -118,6 +118,8 @@ class Bitmap:
         for r in cut.mapInPandas(tidy(run), "blk int, bits binary").collect():  # at most BITMAP_BITS in all
             table[r["blk"]] |= np.frombuffer(r["bits"], dtype=np.uint8)
         self.shared = spark.sparkContext.broadcast(table.reshape(-1).tobytes())
+        del table
+        give_back()
 
     def drop(self) -> None:
         """Give its room back, once the tables made with it are written."""
@@ -136,7 +138,7 @@ class Bitmap:
 
 
 def give_back() -> None:
-    """Return what is free to the system: workers live on after a task, and both allocators keep what is freed."""
+    """Return what is free to the system: workers, and the driver, live on, and both allocators keep what is freed."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     if platform.libc_ver()[0] == "glibc":

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import labelled
-from .common import each_text
+from .common import each_text, give_back
 
 FOLDS, HELD = 4, 2
 THRESHOLD = 0.7
@@ -212,7 +212,9 @@ def fit(rows: list[tuple[str, int]], steps: int = STEPS, rounds: int = 2, ridge:
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, limit: int = labelled.FIT_DOCUMENTS) -> LineField:
-    return fit(labelled.sample(docs, labels, "quality", FOLDS, HELD, limit))
+    model = fit(labelled.sample(docs, labels, "quality", FOLDS, HELD, limit))
+    give_back()
+    return model
 
 
 def quality_score(model: LineField, text: str = "text") -> Column:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import labelled
-from .common import each_text
+from .common import each_text, give_back
 
 FOLDS, HELD = 5, 0
 WINDOW = 6
@@ -221,7 +221,9 @@ def fit(rows: list[tuple[str, int]]) -> Scorer:
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, limit: int = labelled.FIT_DOCUMENTS) -> Scorer:
-    return fit(labelled.sample(docs, labels, "toxic", FOLDS, HELD, limit))
+    model = fit(labelled.sample(docs, labels, "toxic", FOLDS, HELD, limit))
+    give_back()
+    return model
 
 
 def score_documents(docs: DataFrame, model: Scorer, text: str = "text") -> DataFrame:
