@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import arc_convert, bitplane, bwt_dedup, chunk_bpe, decontam, line_crf, pivot_index, recurrent_lm, shingle_join, toxicity
+from . import arc_convert, bitplane, bwt_dedup, chunk_bpe, crc_resampling, decontam, line_crf, pivot_index, projection_forest, recurrent_lm, shingle_join, toxicity
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,11 +53,20 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op11_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projection_forest.nearest(read(spark, sf_dir, "embeddings"))
+
+
+def op12_crc_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crc_resampling.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
-#: DuckDB SQL of the queries that SQL can express over whole tables.  Tokenising, learned scores, edit
+#: DuckDB SQL of the queries that SQL can express over whole tables; that of operator 11 is the exact search, which the forest equals
+#: where its queue reaches all neighbours (recall is tested apart).  Tokenising, learned scores, edit
 #: matching and byte strings of 100 are tested against plain versions in tests/llm instead.
 ORACLE = {
     "op3_pivot_index": """
@@ -83,6 +92,28 @@ c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.
 l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 90 * (x.n + y.n - i)),
 r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
 SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.b) AS component_id FROM documents d LEFT JOIN n USING (doc_id) JOIN r ON r.a = d.doc_id GROUP BY d.doc_id
+""",
+    "op11_projection_forest": """
+WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id IS NOT NULL),
+good AS (SELECT DISTINCT vec_id, v FROM e WHERE v IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x != 0)) > 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_cosine_similarity(q.v, c.v) AS score FROM good q JOIN good c ON q.vec_id != c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+""",
+    "op12_crc_resampling": """
+WITH RECURSIVE c AS (SELECT CAST(i AS BIGINT) AS i, CAST(i AS BIGINT) AS x, 0 AS k FROM range(256) t(i) UNION ALL SELECT i, xor(x >> 1, 3988292384 * (x & 1)), k + 1 FROM c WHERE k < 8),
+tab AS (SELECT list(x ORDER BY i) AS tab FROM c WHERE k = 8),
+t AS (SELECT doc_id, true AS corpus, text FROM documents UNION ALL SELECT item_id, false, text FROM benchmark),
+l AS (SELECT doc_id, corpus, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM t),
+w AS (SELECT doc_id, corpus, unnest(ws) AS w FROM l),
+v AS (SELECT w, hex(encode(w)) AS h FROM (SELECT DISTINCT w FROM w)),
+b AS (SELECT w, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, CAST(length(h) AS BIGINT), 2), lambda i: CAST(CAST('0x' || substr(h, i, 2) AS INT) AS BIGINT))), lambda x, y: xor(x >> 8, tab[(xor(x, y) & 255) + 1])), 4294967295) % 10000 AS b FROM v, tab),
+n AS (SELECT b, count(*) FILTER (WHERE corpus) AS s, count(*) FILTER (WHERE NOT corpus) AS t FROM w JOIN b USING (w) GROUP BY b),
+g AS (SELECT b, floor(1000 * ln((t + 1.0::DOUBLE) * ((SELECT sum(s)::DOUBLE FROM n) + 10000) / ((s + 1.0::DOUBLE) * ((SELECT sum(t)::DOUBLE FROM n) + 10000)))) AS g FROM n),
+m AS (SELECT doc_id, count(*) AS n_features, CAST(sum(g) AS BIGINT) AS weight FROM w JOIN b USING (w) JOIN g USING (b) WHERE corpus GROUP BY doc_id),
+x AS (SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM documents LEFT JOIN m USING (doc_id)),
+r AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS o, count(*) OVER (PARTITION BY n_features >= 20) AS n FROM x)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, CAST(weight AS BIGINT) AS weight, CAST(score AS BIGINT) AS score, CASE WHEN n_features >= 20 AND o <= 10 * n // 100 THEN o END AS rank FROM r
 """,
 }
 
