@@ -55,11 +55,12 @@ def histogram(df: DataFrame, value: str, buckets: int) -> DataFrame:
     return every.join(counts, "bucket", "left").select("bucket", centre.alias("centre"), F.coalesce("freq", F.lit(0)).alias("freq"))
 
 
-def histogram_last_peak(hist: DataFrame, window: int) -> DataFrame:
-    """Centre of the highest bucket that is not below any of its `window` neighbours on either side and not empty."""
-    near = Window.orderBy("bucket").rowsBetween(-window, window)
+def histogram_last_peak(hist: DataFrame, window: int, by: list[str] | None = None) -> DataFrame:
+    """Centre of the last bucket that is not below any of its `window` neighbours on either side and not empty; one histogram for each group of `by`."""
+    by = by or []
+    near = Window.partitionBy(*by).orderBy("bucket").rowsBetween(-window, window)
     rows = hist.withColumn("top", F.max("freq").over(near)).where("freq = top and freq > 0")
-    return rows.agg(F.max_by("centre", "bucket").alias("peak"), F.max("bucket").alias("bucket"))
+    return rows.groupBy(*by).agg(F.max_by("centre", "bucket").alias("peak"), F.max("bucket").alias("bucket"))
 
 
 def histogram_local_min(hist: DataFrame, buckets: int) -> DataFrame:
@@ -98,20 +99,26 @@ def centroid_vectors(df: DataFrame, vector: str, label: str) -> DataFrame:
 CENTROID_BYTES = 32 << 20
 
 
-def nearest_centroid(df: DataFrame, centres: DataFrame, vector: str, label: str, keep: list[str], prior: str | None = None) -> DataFrame:
+def nearest_centroid(df: DataFrame, centres: DataFrame, vector: str, label: str, keep: list[str], prior: str | None = None, by: str | None = None) -> DataFrame:
     """keep and (predicted, dist): the centroid of least squared distance (less its prior), ties to the smaller label.
 
-    The centroids are one aggregated row, of a size that is checked here and must stay under
-    CENTROID_BYTES; each row is compared in place, without a shuffle.
+    With `by`, a column of both sides, a row meets the centroids of its own group only.  Centroids are dealt over blocks
+    of about CENTROID_BYTES by a hash; each row is compared with block after block in place, without a shuffle, and
+    carries its best so far, so any number of them works.
     """
     size = centres.agg(F.count("*").alias("n"), F.max(F.size("centroid")).alias("d")).first()
-    if size["n"] * (size["d"] or 0) * 8 > CENTROID_BYTES:
-        raise ValueError(f"{size['n']} centroids of {size['d']} numbers are too many to send to every task")
+    blocks = max(1, -(-size["n"] * (size["d"] or 0) * 8 // CENTROID_BYTES))
     bias = F.col(prior) if prior else F.lit(0.0)
-    table = centres.agg(F.array_sort(F.collect_list(F.struct(F.col(label).alias("label"), "centroid", bias.alias("prior")))).alias("cs"))
-    v = V.doubles(vector)
-    best = F.array_min(F.transform("cs", lambda c: F.struct((V.sqr_distance(v, c["centroid"]) - c["prior"]).alias("dist"), c["label"].alias("label"))))
-    return df.join(F.broadcast(table)).withColumn("best", best).select(*keep, F.col("best.label").alias("predicted"), F.col("best.dist").alias("dist"))
+    group = [F.col(by).alias("__by")] if by else []
+    entry = F.struct(F.col(label).alias("label"), "centroid", bias.alias("prior"))
+    rows = df.select(*keep, V.doubles(vector).alias("__v"), *group).withColumn("__best", F.lit(None))
+    for k in range(blocks):
+        part = centres.where(F.pmod(F.xxhash64(label, *([by] if by else [])), F.lit(blocks)) == k).select(entry.alias("e"), *group)
+        table = part.groupBy(*(["__by"] if by else [])).agg(F.array_sort(F.collect_list("e")).alias("__cs"))
+        rows = rows.join(F.broadcast(table), "__by", "left") if by else rows.join(F.broadcast(table))
+        found = F.array_min(F.transform("__cs", lambda c: F.struct((V.sqr_distance(F.col("__v"), c["centroid"]) - c["prior"]).alias("dist"), c["label"].alias("label"))))
+        rows = rows.withColumn("__best", F.least("__best", found) if k else found).drop("__cs")
+    return rows.select(*keep, F.col("__best.label").alias("predicted"), F.col("__best.dist").alias("dist"))
 
 
 def products(df: DataFrame, vector: str, origin: np.ndarray | float = 0.0) -> DataFrame:
