@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import discard, materialise, spread_join, tidy
 
 NEAREST, QUERY_STEP = 5, 50
-TREES, FIRST = 8, 2
+TREES, FIRST = 8, 4
 LEAF, SAMPLE, STEP = 128, 8192, 10
 HITS, INNER_HITS = 4.75, 7.0
 BLOCK = 4096
@@ -81,8 +81,8 @@ def leaf_chances(p: np.ndarray, cut: np.ndarray, sigma: np.ndarray) -> np.ndarra
     return chance
 
 
-def best_of(x: np.ndarray, y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row of x, row of y, cosine) of the k largest cosines of each unit row of x, and all that tie with the last.
+def best_of(x: np.ndarray, y: np.ndarray, k: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of x, row of y, cosine) of the k largest cosines of each unit row of x that reach its `least`, and all that tie with the last.
 
     The products of whole blocks choose; what is returned is summed anew row by row, so that a pair has the
     same value wherever it meets.
@@ -90,7 +90,7 @@ def best_of(x: np.ndarray, y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarra
     rough = x @ y.T
     k = min(k, rough.shape[1])
     last = np.partition(rough, rough.shape[1] - k, axis=1)[:, rough.shape[1] - k]
-    i, j = np.nonzero(rough >= last[:, None] - 1e-12)
+    i, j = np.nonzero(rough >= np.maximum(last, least)[:, None] - 1e-12)
     return i, j, np.clip((x[i] * y[j]).sum(axis=1), -1.0, 1.0)
 
 
@@ -148,15 +148,16 @@ class Forest:
         return pd.DataFrame({"tree": np.int32([tree]), "cell": [cell], "d": np.int32([d]), "cuts": [thresholds(p)]})
 
     def own_leaves(self, queries: DataFrame, first: int) -> DataFrame:
-        """q, tree, cell of the leaves in which queries (v) themselves lie, in the first trees."""
+        """q, tree, cell, least of the leaves in which queries (v) themselves lie, in the first trees."""
         own = queries.select("v")
-        return self.places.where(F.col("tree") < first).join(own, "v", "left_semi").select(F.col("v").alias("q"), "tree", "cell")
+        return self.places.where(F.col("tree") < first).join(own, "v", "left_semi").select(F.col("v").alias("q"), "tree", "cell", F.lit(-1.0).alias("least"))
 
     def likely_leaves(self, reach: DataFrame, hits: float, inner: float) -> DataFrame:
-        """q, tree, cell of the leaves that leave the queue of each query; reach: q and the distance of its k-th so far."""
+        """q, tree, cell, least of the leaves that leave the queue of each query; reach: q, the cosine (least) and distance of its k-th so far."""
         dim = self.dim
-        front = self.projected(self.vectors.join(reach.select(F.col("q").alias("v")), "v", "left_semi")).withColumnRenamed("v", "q")
-        front = front.join(reach, "q").withColumn("chance", F.lit(1.0))
+        roots = materialise(self.projected(self.vectors.join(reach.select(F.col("q").alias("v")), "v", "left_semi")).withColumnRenamed("v", "q").join(reach, "q"), "roots")
+        self.fronts.append(roots)
+        front = roots.withColumn("chance", F.lit(1.0))
 
         def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
@@ -182,28 +183,31 @@ class Forest:
             nodes = nodes.withColumn("before", F.coalesce(F.sum("chance").over(likeliest), F.lit(0.0))).where(F.col("before") < (hits if last else inner)).drop("before")
             nodes = materialise(nodes, "front")
             self.fronts.append(nodes)
-            front = nodes if last else nodes.join(front.select("q", "tree", "proj", "reach").dropDuplicates(["q", "tree"]), ["q", "tree"])
+            front = nodes if last else nodes.join(roots.select("q", "tree", "proj", "reach"), ["q", "tree"])
         if not self.splits:  # every tree is one leaf, so one of them holds all
             front = front.where("tree = 0")
-        return front.select("q", "tree", "cell")
+        return front.select("q", "tree", "cell").join(reach.select("q", "least"), "q")
 
     def ranked(self, asked: DataFrame, k: int) -> DataFrame:
-        """q, v, score: of the vectors in the asked leaves (q, tree, cell) the k of largest cosine, each class once, the query's own included."""
+        """q, v, score: of the vectors in the asked leaves (q, tree, cell) the k of largest cosine, each class once, the query's own included.
+
+        least is what is known already: only cosines that reach it leave a leaf.
+        """
         asked = materialise(asked, "asked")
         load = asked.groupBy("tree", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
         sizes = self.places.groupBy("tree", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("slabs"))
         load = materialise(load.join(sizes, ["tree", "cell"]), "load")
         upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
         queries = asked.join(load, ["tree", "cell"]).join(self.vectors.select(F.col("v").alias("q"), "embedding"), "q")
-        queries = queries.select("tree", "cell", F.pmod(F.xxhash64("q"), F.col("parts")).cast("int").alias("part"), upto("slabs").alias("slab"), "q", "embedding")
+        queries = queries.select("tree", "cell", F.pmod(F.xxhash64("q"), F.col("parts")).cast("int").alias("part"), upto("slabs").alias("slab"), "q", "least", "embedding")
         members = self.places.select("v", "tree", "cell").join(load, ["tree", "cell"]).join(self.vectors.select("v", F.col("embedding").alias("vector")), "v")
         members = members.select("tree", "cell", upto("parts").alias("part"), F.pmod(F.xxhash64(F.lit("slab"), "v"), F.col("slabs")).cast("int").alias("slab"), "v", "vector")
 
         def rank(key: tuple, own: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
             if not len(own) or not len(other):
                 return pd.DataFrame({"q": np.int64([]), "v": np.int64([]), "score": np.float64([])})
-            x, y, q, v = unit(own["embedding"]), unit(other["vector"]), own["q"].to_numpy(), other["v"].to_numpy()
-            found = [(q[lo + i], v[j], s) for lo in range(0, len(x), 512) for i, j, s in [best_of(x[lo : lo + 512], y, k)]]
+            x, y, q, v, least = unit(own["embedding"]), unit(other["vector"]), own["q"].to_numpy(), other["v"].to_numpy(), own["least"].to_numpy()
+            found = [(q[lo + i], v[j], s) for lo in range(0, len(x), 512) for i, j, s in [best_of(x[lo : lo + 512], y, k, least[lo : lo + 512])]]
             return pd.DataFrame(dict(zip(("q", "v", "score"), map(np.concatenate, zip(*found, strict=True)), strict=True)))
 
         keys = ["tree", "cell", "part", "slab"]
@@ -245,8 +249,9 @@ def nearest(source: DataFrame, k: int = NEAREST, every: int = QUERY_STEP, trees:
         asking = own.where("asks = 1")
         near = forest.ranked(forest.own_leaves(asking, FIRST), k + 1)
         if forest.splits:
-            last = near.groupBy("q").agg(F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.min("score"))).alias("reach"), F.count("*").alias("n"))
-            last = last.select("q", F.when(F.col("n") > k, F.col("reach")).otherwise(2.0).alias("reach"))  # too few in its leaves: any distance
+            last = near.groupBy("q").agg(F.min("score").alias("least"), F.count("*").alias("n"))
+            least = F.when(F.col("n") > k, F.col("least")).otherwise(-1.0)  # too few in its leaves: any distance
+            last = last.select("q", least.alias("least"), F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * least)).alias("reach"))
             first, reach = near, materialise(last, "reach")
             near = forest.ranked(forest.likely_leaves(reach, hits, max(INNER_HITS, hits)), k + 1)
             discard(first, reach)
