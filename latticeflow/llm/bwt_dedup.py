@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Bitmap, NULL_ID, RID, discard, documents, materialise, row_key, tidy, width
+from .common import Bitmap, NULL_ID, RID, discard, documents, materialise, quoted, row_key, tidy, width
 
 LENGTH = 100
 GRAM = 32
@@ -550,12 +550,14 @@ def dedup(source: DataFrame) -> DataFrame:
 
 
 def dedup_rows(source: DataFrame) -> DataFrame:
-    """source with each text without its repeated strings; a null text stays null.
+    """source with each text without its repeated strings; a null text stays null, other columns stay as they are, whatever their names.
 
     A text must stay valid: what is left of a character cut apart goes too.
     """
-    made = with_spans(source, documents(source, key=True)).withColumn("__lf_cut", cut_text("text", valid=True))
-    return made.withColumn("text", F.coalesce(F.col("__lf_cut")["kept"], F.col("text"))).select(*[F.col(f"`{c}`") for c in source.columns])
+    others = F.struct(*[quoted(c).alias(c) for c in source.columns if c != "text"])
+    made = with_spans(source.select("doc_id", "text", others.alias("others")), documents(source, key=True)).withColumn("__lf_cut", cut_text("text", valid=True))
+    text = F.coalesce(F.col("__lf_cut")["kept"], F.col("text"))
+    return made.select(*[text.alias(c) if c == "text" else F.col("others").getField(c).alias(c) for c in source.columns])
 
 
 def digests(source: DataFrame) -> DataFrame:

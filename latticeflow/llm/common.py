@@ -78,6 +78,27 @@ def documents(df: DataFrame, key: bool = False) -> DataFrame:
     return out.withColumn(RID, row_key()) if key else out
 
 
+def quoted(name: str) -> Column:
+    """A column by its whole name, dots and back-ticks in it too."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, made longer until no column of df is called that."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def least_row(df: DataFrame, at: str) -> Column:
+    """Aggregate: the least of a group's rows by all columns but `at`, as a struct; columns that have no order, such as maps, count by their JSON."""
+    names = [c for c in df.columns if c != at]
+    ordered = lambda c: "map<" not in df.schema[c].dataType.simpleString() and "variant" not in df.schema[c].dataType.simpleString()
+    order = [quoted(c) if ordered(c) else F.to_json(F.struct(quoted(c).alias("x"))) for c in names]
+    return F.min_by(F.struct(*[quoted(c) for c in names]), F.struct(*[o.alias(f"o{k}") for k, o in enumerate(order)]))
+
+
 def width(spark: SparkSession) -> int:
     """Partitions for a shuffle, as the session sizes them."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)

@@ -130,3 +130,22 @@ def test_no_documents(spark, folder, tmp_path):
     spark.read.parquet(f"{folder}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert out.count() == 0 and {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"} <= set(out.columns)
+
+
+def test_columns_that_clash_stay_as_they_are(spark, folder, stages):
+    more = {"__lf_rid": "doc_id + 1", "__lf_starts": "lang", "__lf_key": "1", "__lf_cut": "2", "__lf_quality": "3", "others": "named_struct('x', doc_id)", "a.b": "n_chars", "tags": "map('k', lang, 'id', cast(doc_id as string))"}
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for name, value in more.items():
+        docs = docs.withColumn(name, F.expr(value))
+    docs = docs.unionByName(docs.where("doc_id in (0, 4)").withColumn("__lf_key", F.lit(0)))  # rows that repeat, least in an extra column
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        path = fresh_path(spark, "stage")
+        stage(spark, docs, folder).write.parquet(path)
+        out = spark.read.parquet(path)
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes
+        assert texts(out) == texts(stages[k + 1])
+        for r in out.collect():
+            i = r["doc_id"]
+            assert (r["__lf_rid"], r["__lf_starts"], r["tags"]["k"], r["others"]["x"]) == (i + 1 if i is not None else None, r["lang"], r["lang"], i)
+            assert r["__lf_key"] == (0 if i in (0, 4) and k > 0 else r["__lf_key"])
+        docs = out
