@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each result as Parquet in the
 session's shared folder and reads it back as the next stage's docs.  All stages but the last return the
-columns that docs came with.
+columns that docs came with, whatever their names and types.
 """
 
 from __future__ import annotations
@@ -11,37 +11,40 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latticeflow.llm import bwt_dedup, chunk_bpe, decontam, line_crf, shingle_join
-from latticeflow.llm.common import RID, fresh_path, materialise, row_key
+from latticeflow.llm.common import RID, discard, free_name, least_row, materialise, row_key
 
 VOCABULARY = "byte_bpe_50k.json"
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line classifier takes for good (score of at least its threshold)."""
+    """Documents that the line classifier takes for good (score of at least its threshold).
+
+    A null text is judged as the empty one; rows that repeat one another are judged alike, and all stay or go.
+    """
     model = line_crf.fit_on(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = docs.withColumn("__lf_quality", line_crf.quality_score(model))
-    return scored.where(F.col("__lf_quality") >= line_crf.THRESHOLD).select(*docs.columns)
+    return docs.where(line_crf.quality_score(model) >= line_crf.THRESHOLD)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component, that with the smallest doc_id (five words to a shingle, similarity 0.8).
 
     A null doc_id comes after all others; texts that share the smallest doc_id go by __lf_rid, and rows that
-    repeat a doc_id and text by all their columns.  Texts without words are no copies of one another and stay.
+    repeat a doc_id and text by all their columns (maps by their JSON).  Texts without words are no copies of one another and stay.
     """
     groups = shingle_join.near_groups(docs, words=5, per_cent=80)
     alone = groups.where("comp is null").select(RID, F.lit(False).alias("repeated")).distinct()
     each = groups.where("comp is not null").groupBy("comp", RID).agg(F.min("doc_id").alias("doc_id"), (F.count("*") > 1).alias("repeated"))
     first = each.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", RID, "repeated")).alias("e"))
     keep = materialise(first.select(f"e.{RID}", "e.repeated").unionByName(alone), "kept")
-    rows = docs.withColumn(RID, row_key())
-    once = rows.join(keep.where("not repeated"), RID, "left_semi").select(*docs.columns)
-    more = rows.join(keep.where("repeated"), RID, "left_semi").groupBy(RID).agg(F.min(F.struct(*docs.columns)).alias("e"))
+    at = free_name(docs, RID)
+    rows, keep = docs.withColumn(at, row_key()), keep.withColumnRenamed(RID, at)
+    once = rows.join(keep.where("not repeated"), at, "left_semi").drop(at)
+    more = rows.join(keep.where("repeated"), at, "left_semi").groupBy(at).agg(least_row(rows, at).alias("e"))
     return once.unionByName(more.select("e.*"))
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document without the strings of 100 bytes that stand earlier too; n_chars counts what is left.
+    """Every document without the strings of 100 bytes that stand earlier too; a column n_chars counts what is left.
 
     Bytes of a character that was cut apart are left out with it.  Documents of which nothing is left stay
     as empty texts.
@@ -49,14 +52,19 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     out = bwt_dedup.dedup_rows(docs)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item stands, even with edits."""
-    keyed = docs.withColumn(RID, row_key())
-    found = decontam.matches(keyed.select(F.col(RID).alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return keyed.join(found.select(F.col("doc_id").alias(RID)).distinct(), RID, "left_anti").select(*docs.columns)
+    """Documents in which no benchmark item stands, even with edits.
+
+    Null and empty texts hold no item and stay, as do all rows where the benchmark is empty; of rows that repeat a
+    doc_id and text all stay or go.
+    """
+    at = free_name(docs, RID)
+    keyed = docs.withColumn(at, row_key())
+    found = decontam.matches(keyed.select(F.col(at).alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return keyed.join(found.select(F.col("doc_id").alias(at)).distinct(), at, "left_anti").drop(at)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,9 +81,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for _, stage in STAGES:
-        path = fresh_path(spark, "pipeline")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        docs = materialise(stage(spark, docs, sf_dir), "pipeline")
+        discard(*last)
+        last = [docs]
     return docs
