@@ -32,6 +32,7 @@ TREES, FIRST = 8, 4
 LEAF, SAMPLE, STEP = 128, 8192, 10
 HITS, INNER_HITS = 4.75, 7.0
 BLOCK = 4096
+BINS = 40
 SEED = 11
 
 
@@ -159,28 +160,50 @@ class Forest:
         self.fronts.append(roots)
         front = roots.withColumn("chance", F.lit(1.0))
 
+        def chances(pdf: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, np.ndarray, int]]:
+            """(rows, chance of each leaf below, levels) for rows of one cell at a time, at most 256 of them."""
+            for (depth, d), rows in pdf.groupby(["depth", "d"]):
+                own = np.stack(rows["proj"].to_numpy())[:, depth : depth + d]
+                cuts = rows["cuts"].to_numpy()
+                for place in rows.groupby(["tree", "cell"]).indices.values():
+                    for lo in range(0, len(place), 256):
+                        here = place[lo : lo + 256]
+                        some = rows.iloc[here]
+                        sigma = np.maximum(some["reach"].to_numpy() / math.sqrt(dim), 1e-9)
+                        yield some, leaf_chances(own[here], np.asarray(cuts[here[0]]), sigma) * some["chance"].to_numpy()[:, None], d
+
+        def masses(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for some, c, _ in chances(pdf):
+                    of = np.clip(-np.log2(np.maximum(c, 1e-300)), 0, BINS - 1).astype(np.int64) + BINS * np.arange(len(c))[:, None]
+                    total = np.bincount(of.reshape(-1), weights=c.reshape(-1), minlength=BINS * len(c)).reshape(len(c), BINS)
+                    yield pd.DataFrame({"q": some["q"].to_numpy(), **{f"m{k}": total[:, k] for k in range(BINS)}})
+
         def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                for (depth, d), rows in pdf.groupby(["depth", "d"]):
-                    own = np.stack(rows["proj"].to_numpy())[:, depth : depth + d]
-                    cuts, at = rows["cuts"].to_numpy(), rows.groupby(["tree", "cell"]).indices
-                    for place in at.values():
-                        for lo in range(0, len(place), 256):
-                            here = place[lo : lo + 256]
-                            some = rows.iloc[here]
-                            sigma = np.maximum(some["reach"].to_numpy() / math.sqrt(dim), 1e-9)
-                            c = leaf_chances(own[here], np.asarray(cuts[here[0]]), sigma) * some["chance"].to_numpy()[:, None]
-                            i, leaf = np.nonzero(c >= 1e-9)
-                            yield pd.DataFrame({"q": some["q"].to_numpy()[i], "tree": some["tree"].to_numpy()[i], "cell": some["cell"].to_numpy()[i] * (1 << d) + leaf, "depth": np.int32(depth + d), "chance": c[i, leaf]})
+                for some, c, d in chances(pdf):
+                    i, leaf = np.nonzero(c >= some["floor"].to_numpy()[:, None])
+                    yield pd.DataFrame({"q": some["q"].to_numpy()[i], "tree": some["tree"].to_numpy()[i], "cell": some["cell"].to_numpy()[i] * (1 << d) + leaf, "depth": (some["depth"].to_numpy()[i] + d).astype(np.int32), "chance": c[i, leaf]})
 
         likeliest = Window.partitionBy("q").orderBy(F.desc("chance"), "tree", "cell").rowsBetween(Window.unboundedPreceding, -1)
         for k, cuts in enumerate(self.splits):
             last = k + 1 == len(self.splits)
+            enough = hits if last else inner
             joined = front.join(cuts if k else F.broadcast(cuts), ["tree", "cell"], "left")
-            done = joined.where("d is null").select("q", "tree", "cell", "depth", "chance")
-            more = joined.where("d is not null").select("q", "tree", "cell", "depth", "d", "cuts", "proj", "reach", "chance").mapInPandas(tidy(expand), "q bigint, tree int, cell bigint, depth int, chance double")
+            done, open_ = joined.where("d is null"), joined.where("d is not null").select("q", "tree", "cell", "depth", "d", "cuts", "proj", "reach", "chance")
+            # How likely a node must be at least: masses in powers of two, so that only about what stays leaves the tasks.
+            names = [f"m{i}" for i in range(BINS)]
+            spread = open_.mapInPandas(tidy(masses), "q bigint, " + ", ".join(f"{m} double" for m in names))
+            bin_of = F.least(F.lit(BINS - 1), F.floor(-F.log2("chance")))
+            spread = spread.unionByName(done.select("q", *[F.when(bin_of == i, F.col("chance")).otherwise(0.0).alias(m) for i, m in enumerate(names)]))
+            sums = F.array(*[F.sum(m) for m in names])
+            below = F.aggregate(sums, F.struct(F.lit(0.0).alias("total"), F.lit(0).alias("n")), lambda s, m: F.struct((s["total"] + m).alias("total"), (s["n"] + (s["total"] + m < enough).cast("int")).alias("n")))
+            floors = materialise(spread.groupBy("q").agg(below["n"].alias("n")).select("q", F.when(F.col("n") < BINS - 1, F.pow(F.lit(2.0), -(F.col("n") + 1.0))).otherwise(0.0).alias("floor")), "floors")
+            self.fronts.append(floors)
+            done = done.select("q", "tree", "cell", "depth", "chance")
+            more = open_.join(floors, "q").mapInPandas(tidy(expand), "q bigint, tree int, cell bigint, depth int, chance double")
             nodes = done.unionByName(more)
-            nodes = nodes.withColumn("before", F.coalesce(F.sum("chance").over(likeliest), F.lit(0.0))).where(F.col("before") < (hits if last else inner)).drop("before")
+            nodes = nodes.withColumn("before", F.coalesce(F.sum("chance").over(likeliest), F.lit(0.0))).where(F.col("before") < enough).drop("before")
             nodes = materialise(nodes, "front")
             self.fronts.append(nodes)
             front = nodes if last else nodes.join(roots.select("q", "tree", "proj", "reach"), ["q", "tree"])
