@@ -20,7 +20,7 @@ from ..functions import models
 from ..functions import scalars
 from ..sources import fields as field_images
 from ..sources import files, images, texts
-from . import denoise, fields, fits, generate, graph, neighbours, regularize
+from . import denoise, fields, fits, generate, graph, regularize, tiles
 from .neighbours import KEY
 
 
@@ -162,16 +162,12 @@ def smoothed(signals: DataFrame, gradients: np.ndarray, settings: Settings) -> D
     if kind == "aligned":
         return signals.select(*KEY, "s0").join(regularize.denoise_aligned(signals, gradients).select(*KEY, "dw"), KEY)
     places = graph.settle(signals.select(*KEY, F.posexplode("dw").alias("i", "x")))
-    n = len(gradients)
     if kind in ("tv", "tgv"):
         name = {"tv": "tv_l2", "tgv": "tgv_l2"}[kind]
         done = denoise.filter_slices(places, "x", name, settings.strength, ["i", "slice"]).withColumnRenamed("filtered", "x")
     else:
-        one = {"mean": lambda v: neighbours.mean26(v, "x").withColumnRenamed("mean", "x"), "median": lambda v: neighbours.median26(v, "x").withColumnRenamed("median", "x"), "selective": lambda v: neighbours.selective_mean26(v, "x", "x", settings.strength).withColumnRenamed("mean", "x").drop("dropped")}[kind]
-        done = None
-        for i in range(n):
-            part = one(places.where(F.col("i") == i).drop("i")).withColumn("i", F.lit(i))
-            done = part if done is None else done.unionByName(part)
+        one = {"mean": lambda v: tiles.mean(v, "x", by=("i",)), "median": lambda v: tiles.median(v, "x", by=("i",)).withColumnRenamed("median", "mean"), "selective": lambda v: tiles.selective_mean(v, "x", "x", settings.strength, by=("i",)).drop("dropped")}[kind]
+        done = one(places).withColumnRenamed("mean", "x")
     dw = done.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v")).select(*KEY, F.col("v.x").alias("dw"))
     return signals.select(*KEY, "s0").join(dw, KEY)
 

@@ -14,7 +14,20 @@ def settle(df: DataFrame) -> DataFrame:
     """Cut lineage with a table in the session's shared folder: computed once, and safe from lost executors."""
     path = f"{shared_dir(df.sparkSession)}/latticeflow/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.settled_path = path
+    return out
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of settle() that nothing reads any more: what was made of them is written itself."""
+    for t in tables:
+        delete(t.sparkSession, t.settled_path)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -114,10 +127,12 @@ def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
         hooked = now.join(near.withColumnRenamed("src", "id"), "id", "left").select("id", F.least("comp", F.coalesce("m", "comp")).alias("comp"))
         jump = hooked.select(F.col("id").alias("comp"), F.col("comp").alias("up"))
         new = settle(hooked.join(jump, "comp").select("id", F.least("comp", "up").alias("comp")))
-        moved = new.join(now.withColumnRenamed("comp", "old"), "id").where("comp != old").limit(1)
+        still = new.join(now.withColumnRenamed("comp", "old"), "id").where("comp != old").isEmpty()
+        discard(now)
         now = new
-        if moved.isEmpty():
+        if still:
             break
+    discard(both)
     return now
 
 
@@ -145,13 +160,16 @@ def shortest_paths(vertices: DataFrame, edges: DataFrame, source: int) -> DataFr
     now = settle(vertices.select("id", F.when(F.col("id") == source, 0.0).alias("dist")))
     if not e.where("w < 0").isEmpty():
         raise ValueError("lengths can't be negative")
+    last = now
     while True:
         via = e.join(now.where("dist is not null").withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.min(F.col("dist") + F.col("w")).alias("d"))
         new = settle(now.join(via, "id", "left").select("id", F.least("dist", "d").alias("dist"), (F.coalesce(F.least("dist", "d"), F.lit(-1.0)) < F.coalesce("dist", F.lit(float("inf")))).alias("nearer"), "d"))
-        moved = new.where("d is not null and nearer").limit(1).isEmpty()
-        now = new.select("id", "dist")
-        if moved:
+        still = new.where("d is not null and nearer").isEmpty()
+        discard(last)
+        last, now = new, new.select("id", "dist")
+        if still:
             break
+    discard(e)
     return now.select("id", F.coalesce("dist", F.lit(-1.0)).alias("dist"))
 
 

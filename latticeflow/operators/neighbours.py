@@ -174,37 +174,6 @@ def neighbours(voxels: DataFrame, values: list[str], offsets: list[tuple[int, in
     return voxels.join(shifted(voxels, values, offsets), KEY)
 
 
-def mean26(voxels: DataFrame, value: str) -> DataFrame:
-    """Mean of a voxel and its neighbours that are there; voxels outside a mask are simply not in the table."""
-    near = shifted(voxels, [value], [*OFFSETS26, (0, 0, 0)])
-    means = near.groupBy(*KEY).agg(F.avg(f"n_{value}").alias("mean"))
-    return voxels.select(*KEY).join(means, KEY)
-
-
-def selective_mean26(voxels: DataFrame, value: str, feature: str, within: float) -> DataFrame:
-    """Mean over neighbours whose feature differs by at most `within`, and how many were left out."""
-    near = voxels.select(*KEY, feature).join(shifted(voxels, [value, feature] if value != feature else [value], [*OFFSETS26, (0, 0, 0)]), KEY)
-    close = F.abs(F.col(feature) - F.col(f"n_{feature}")) <= within
-    return near.groupBy(*KEY).agg(F.avg(F.when(close, F.col(f"n_{value}"))).alias("mean"), F.count_if(~close).alias("dropped"))
-
-
-def median26(voxels: DataFrame, value: str) -> DataFrame:
-    """Median of a voxel and its neighbours; an even number averages the middle two."""
-    near = shifted(voxels, [value], [*OFFSETS26, (0, 0, 0)])
-    return voxels.select(*KEY).join(near.groupBy(*KEY).agg(F.median(f"n_{value}").alias("median")), KEY)
-
-
-def erode(voxels: DataFrame, flag: str, rounds: int = 1) -> DataFrame:
-    """A voxel stays set if it and all neighbours that are there are set; neighbours outside are ignored."""
-    now = voxels.select(*KEY, F.col(flag).cast("boolean").alias("kept"))
-    for k in range(rounds):
-        if k:
-            now = graph.settle(now)
-        near = shifted(now, ["kept"], [*OFFSETS26, (0, 0, 0)])
-        now = now.select(*KEY).join(near.groupBy(*KEY).agg(F.bool_and("n_kept").alias("kept")), KEY)
-    return now
-
-
 def difference(voxels: DataFrame, value: str, axis: str, forward: bool = True, boundary: str = "neumann") -> DataFrame:
     """Forward or backward difference along an axis.
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import assignment, harmonics, linalg, models, solvers
 from ..functions import vectors as V
-from ..operators import clustering, denoise, evaluate, fits, generate, graph, neighbours, stats
+from ..operators import clustering, denoise, evaluate, fits, generate, graph, neighbours, stats, tiles
 from .lattices import nations
 from .queries import ABSCOS, LATTICE_SQL, NORM, VEC_SQL, embeddings, lattice, query, read, rounded
 from .rules import DET, PARTS_SQL, listed
@@ -331,7 +331,7 @@ def filter_means(spark, sf):
 @query(f"WITH {LATTICE_SQL}, one AS (SELECT *, v > 950 AS k FROM lat), e1 AS (SELECT p.id, p.slice, p.row_, p.col_, bool_and(q.k) AS k FROM one p JOIN one q ON abs(p.slice - q.slice) <= 1 AND abs(p.row_ - q.row_) <= 1 AND abs(p.col_ - q.col_) <= 1 GROUP BY ALL) SELECT p.slice, p.row_ AS \"row\", p.col_ AS col, bool_and(q.k) AS kept FROM e1 p JOIN e1 q ON abs(p.slice - q.slice) <= 1 AND abs(p.row_ - q.row_) <= 1 AND abs(p.col_ - q.col_) <= 1 GROUP BY ALL")
 def lattice_erode_twice(spark, sf):
     """Two passes of erosion."""
-    return neighbours.erode(lattice(spark, sf).withColumn("on", F.col("v") > 950), "on", 2)
+    return tiles.erode(lattice(spark, sf).withColumn("on", F.col("v") > 950), "on", 2)
 
 
 @query(f"WITH e AS ({VEC_SQL}) SELECT a.vec_id AS i, b.vec_id AS j, round(acos({ABSCOS.format('a.v', 'b.v')}), 6) AS axial, round(acos(greatest(-1.0, least(1.0, list_dot_product(a.v, b.v) / ({NORM.format('a.v')} * {NORM.format('b.v')})))), 6) AS plain FROM e a, e b WHERE a.vec_id < 20 AND b.vec_id < 20 AND a.vec_id != b.vec_id")

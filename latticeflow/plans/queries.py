@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars, strings
 from ..functions import vectors as V
-from ..operators import graph, neighbours, stats
+from ..operators import graph, neighbours, stats, tiles
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -151,29 +151,35 @@ def codify_directions(spark, sf):
     return rounded(neighbours.codify(probes(e), e, "vec_id", "embedding", 4), "weight")
 
 
-@query(f"WITH {LONG_SQL}, n AS (SELECT count(*) AS n FROM e) SELECT a.pos AS i, b.pos AS j, round(sum(a.x * b.x) / (any_value(n) - 1), 6) AS s FROM x a JOIN x b ON a.vec_id = b.vec_id, n WHERE a.pos < 8 AND b.pos < 8 GROUP BY a.pos, b.pos")
+MOMENT_SQL = f"WITH {LONG_SQL}, n AS (SELECT count(*) AS n FROM e) SELECT a.pos AS i, b.pos AS j, round(sum(a.x * b.x) / (any_value(n) - 1), 6) AS s FROM x a JOIN x b ON a.vec_id = b.vec_id, n GROUP BY a.pos, b.pos"
+
+
+@query(MOMENT_SQL)
 def raw_second_moment(spark, sf):
-    """The first 8 places, as its SQL has them; raw_second_moment_whole has all."""
-    return raw_second_moment_whole(spark, sf).where("i < 8 and j < 8")
+    return rounded(stats.raw_second_moment(embeddings(spark, sf), "embedding"), "s")
 
 
-@query(f"WITH {LONG_SQL}, n AS (SELECT count(*) AS n FROM e) SELECT a.pos AS i, b.pos AS j, round(sum(a.x * b.x) / (any_value(n) - 1), 6) AS s FROM x a JOIN x b ON a.vec_id = b.vec_id, n GROUP BY a.pos, b.pos")
+@query(MOMENT_SQL)
 def raw_second_moment_whole(spark, sf):
-    return rounded(stats.raw_second_moment(embeddings(spark, sf), "embedding"), "s")
+    """The same; the name is from when the other gave the first places only."""
+    return raw_second_moment(spark, sf)
 
 
-@query(f"WITH {LONG_SQL} SELECT a.pos AS i, b.pos AS j, round(covar_samp(a.x, b.x), 6) AS s FROM x a JOIN x b ON a.vec_id = b.vec_id WHERE a.pos < 8 AND b.pos < 8 GROUP BY a.pos, b.pos")
-def centred_covariance(spark, sf):
-    """The first 8 places, as its SQL has them; centred_covariance_whole has all."""
-    return rounded(stats.centred_covariance(embeddings(spark, sf), "embedding"), "s").where("i < 8 and j < 8")
+COVARIANCE_SQL = f"WITH {LONG_SQL} SELECT a.pos AS i, b.pos AS j, round(covar_samp(a.x, b.x), 6) AS s FROM x a JOIN x b ON a.vec_id = b.vec_id GROUP BY a.pos, b.pos"
 
 
-@query(f"WITH {LONG_SQL} SELECT a.pos AS i, b.pos AS j, round(covar_samp(a.x, b.x), 6) AS s FROM x a JOIN x b ON a.vec_id = b.vec_id GROUP BY a.pos, b.pos")
-def centred_covariance_whole(spark, sf):
+@query(COVARIANCE_SQL)
+def centred_covariance(spark, sf):
     # A value that rounds to 0 keeps its sign, as the SQL's does.
     return stats.centred_covariance(embeddings(spark, sf), "embedding").withColumn("s", F.round(F.abs("s"), 6) * F.signum("s"))
 
 
+@query(COVARIANCE_SQL)
+def centred_covariance_whole(spark, sf):
+    """The same; the name is from when the other gave the first places only."""
+    return centred_covariance(spark, sf)
+
+
 SCORES_SQL = f"WITH e AS ({VEC_SQL}), g AS (SELECT min(vec_id) AS vec_id FROM e GROUP BY label), s AS (SELECT round(list_sum(list_transform(list_zip(p.v, q.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 6) AS dist, CAST(p.label = q.label AS INT) AS same FROM e p, e q WHERE p.vec_id NOT IN (SELECT vec_id FROM g) AND q.vec_id IN (SELECT vec_id FROM g)), a AS (SELECT dist AS score, sum(1 - same) AS f, sum(same) AS t FROM s GROUP BY dist), r AS (SELECT score, sum(f) OVER (ORDER BY score) / (sum(f) OVER () + sum(t) OVER ()) AS far, sum(t) OVER (ORDER BY score) / sum(t) OVER () AS vr FROM a)"
 
 
@@ -229,22 +235,22 @@ def minmax_scale(spark, sf):
 
 @query(NEAR_SQL + ' SELECT slice, row_ AS "row", col_ AS col, round(avg(nv), 6) AS mean FROM near GROUP BY ALL')
 def lattice_mean26(spark, sf):
-    return rounded(neighbours.mean26(lattice(spark, sf), "v"), "mean")
+    return rounded(tiles.mean(lattice(spark, sf), "v"), "mean")
 
 
 @query(NEAR_SQL + ' SELECT slice, row_ AS "row", col_ AS col, round(avg(nv) FILTER (abs(nv - v) <= 100), 6) AS mean, count(*) FILTER (abs(nv - v) > 100) AS dropped FROM near GROUP BY ALL')
 def lattice_selective_mean(spark, sf):
-    return rounded(neighbours.selective_mean26(lattice(spark, sf), "v", "v", 100.0), "mean")
+    return rounded(tiles.selective_mean(lattice(spark, sf), "v", "v", 100.0), "mean")
 
 
 @query(NEAR_SQL + ' SELECT slice, row_ AS "row", col_ AS col, round(median(nv), 6) AS median FROM near GROUP BY ALL')
 def lattice_median26(spark, sf):
-    return rounded(neighbours.median26(lattice(spark, sf), "v"), "median")
+    return rounded(tiles.median(lattice(spark, sf), "v"), "median")
 
 
 @query(NEAR_SQL + ' SELECT slice, row_ AS "row", col_ AS col, bool_and(nv > 950) AS kept FROM near GROUP BY ALL')
 def lattice_erode(spark, sf):
-    return neighbours.erode(lattice(spark, sf).withColumn("on", F.col("v") > 950), "on")
+    return tiles.erode(lattice(spark, sf).withColumn("on", F.col("v") > 950), "on")
 
 
 @query(f'WITH {LATTICE_SQL} SELECT slice, row_ AS "row", col_ AS col, round(coalesce(lead(v) OVER (PARTITION BY slice, col_ ORDER BY row_), v) - v, 6) AS d_row, round(coalesce(lead(v) OVER (PARTITION BY slice, row_ ORDER BY col_), v) - v, 6) AS d_col FROM lat')
@@ -292,25 +298,45 @@ def graph_asymmetry(spark, sf):
     return rounded(graph.asymmetry(knn_graph(spark, sf).withColumn("w", F.col("w") + F.col("src") % 3)), "asymmetry")
 
 
-def bright(spark, sf, mask) -> tuple[DataFrame, DataFrame]:
-    v = lattice(spark, sf).where(mask)
-    e = neighbours.neighbours(v.select("slice", "row", "col", "id"), ["id"], neighbours.OFFSETS6)
-    return v.select("id"), e.select(F.col("id").alias("src"), F.col("n_id").alias("dst"))
+def largest_part(spark, sf, over: bool) -> DataFrame:
+    """Ids of the largest component, by six neighbours, of the voxels whose value is over the mean (or not), ties to the one with the least id."""
+    voxels = lattice(spark, sf)
+    mean = F.lit(voxels.agg(F.avg("v")).first()[0])
+    part = voxels.where(F.col("v") > mean if over else F.col("v") <= mean).select("slice", "row", "col", "id")
+    found = graph.settle(part.join(tiles.labels(part, near=6, size=(8, 10, 10)), ["slice", "row", "col"]))
+    best = found.groupBy("comp").agg(F.count("*").alias("n"), F.min("id").alias("least")).orderBy(F.desc("n"), "least").limit(1)
+    return found.join(F.broadcast(best.select("comp")), "comp", "left_semi").select("id")
 
 
-@query(f"WITH RECURSIVE {LATTICE_SQL}, b AS (SELECT * FROM lat WHERE id * 7919 % 100 < 40), ed AS (SELECT p.id AS src, q.id AS dst FROM b p JOIN b q ON abs(p.slice - q.slice) + abs(p.row_ - q.row_) + abs(p.col_ - q.col_) = 1), reach AS (SELECT id AS src, id AS dst FROM b UNION SELECT reach.src, ed.dst FROM reach JOIN ed ON ed.src = reach.dst), comp AS (SELECT src AS id, min(dst) AS c FROM reach GROUP BY src), best AS (SELECT c FROM comp GROUP BY c ORDER BY count(*) DESC, c LIMIT 1) SELECT id FROM comp WHERE c IN (SELECT c FROM best)")
+def part_sql(mask: str) -> str:
+    near = "SELECT p.id AS src, q.id AS dst FROM b p JOIN b q ON abs(p.slice - q.slice) + abs(p.row_ - q.row_) + abs(p.col_ - q.col_) = 1"
+    return f"WITH RECURSIVE {LATTICE_SQL}, b AS (SELECT * FROM lat WHERE {mask}), ed AS ({near}), reach AS (SELECT id AS src, id AS dst FROM b UNION SELECT reach.src, ed.dst FROM reach JOIN ed ON ed.src = reach.dst), comp AS (SELECT src AS id, min(dst) AS c FROM reach GROUP BY src), best AS (SELECT c FROM comp GROUP BY c ORDER BY count(*) DESC, c LIMIT 1) SELECT id FROM comp WHERE c IN (SELECT c FROM best)"
+
+
+@query(part_sql("v <= (SELECT avg(v) FROM lat)"))
 def largest_component(spark, sf):
-    """Of the voxels that its SQL takes by their ids; largest_bright_component goes by the value."""
-    vertices, edges = bright(spark, sf, "id * 7919 % 100 < 40")
-    return graph.largest_component(vertices, edges)
+    return largest_part(spark, sf, False)
 
 
-@query()
+@query(part_sql("v > (SELECT avg(v) FROM lat)"))
 def largest_bright_component(spark, sf):
-    """Of all voxels whose value is over the mean value."""
-    mean = lattice(spark, sf).agg(F.avg("v")).first()[0]
-    vertices, edges = bright(spark, sf, F.col("v") > F.lit(mean))
-    return graph.largest_component(vertices, edges)
+    return largest_part(spark, sf, True)
+
+
+@query()
+def robust_volume(spark, sf):
+    """The lattice of values smoothed by a membrane that breaks at edges, over tiles of several tasks; tests hold it against the whole array."""
+    v = lattice(spark, sf).withColumn("v", F.col("v") / 100)
+    return rounded(tiles.robust(v, ["v"], 0.5, "tukey", 4.0, size=(8, 10, 10), halo=8), "v")
+
+
+@query()
+def robust_vectors(spark, sf):
+    """The first three places of the vectors as a field, smoothed together: one weight for each pair of voxels, outliers let go."""
+    i = F.col("vec_id")
+    at = [F.floor(i / 200).cast("int").alias("slice"), F.pmod(F.floor(i / 20), F.lit(10)).cast("int").alias("row"), F.pmod(i, F.lit(20)).cast("int").alias("col")]
+    field = embeddings(spark, sf).select(*at, *[F.element_at(V.doubles("embedding"), k).alias(n) for k, n in enumerate("xyz", 1)])
+    return rounded(tiles.robust(field, ["x", "y", "z"], 0.2, "geman", 2.0, data_scale=2.0, size=(8, 10, 10), halo=8), "x", "y", "z")
 
 
 @query()

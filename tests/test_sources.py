@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from latticeflow.functions import scalars, strings
 from latticeflow.functions import vectors as V
-from latticeflow.operators import fields, fits, generate, graph, neighbours, stats
+from latticeflow.operators import fields, fits, generate, graph, neighbours, stats, tiles
 from latticeflow.sources import images, texts
 
 
@@ -126,8 +126,8 @@ def test_fields_and_fits(spark):
 def test_erosion_and_differences(spark):
     grid = generate.grid(spark, 1, 5, 5).withColumn("on", F.lit(True)).withColumn("v", (F.col("row") * 10 + F.col("col")).cast("double"))
     hole = grid.withColumn("on", ~((F.col("row") == 2) & (F.col("col") == 2)))
-    assert neighbours.erode(grid, "on", 3).where("kept").count() == 25
-    assert neighbours.erode(hole, "on").where("not kept").count() == 9
+    assert tiles.erode(grid, "on", 3).where("kept").count() == 25
+    assert tiles.erode(hole, "on").where("not kept").count() == 9
     d = neighbours.difference(grid, "v", "row", boundary="circular").where("row = 4").select("d_row").distinct().first()[0]
     assert d == -40
     assert neighbours.difference(grid, "v", "col", forward=False, boundary="dirichlet").where("col = 0 and row = 1").first()["d_col"] == 10
