@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from ..operators import generate, graph
 from ..operators import stats as S
-from ..sources import fields, files, images, texts, volumes
+from ..sources import fields, files, images, sinks, texts, volumes
 from .lattices import AXES_SQL, VOX, field
 from .queries import HIST_SQL, LATTICE_SQL, NORM, VEC_SQL, embeddings, lattice, query, read, rounded
 
@@ -29,13 +29,31 @@ def volume(spark, sf) -> DataFrame:
     return lattice(spark, sf).select(F.lit("lattice").alias("volume"), "slice", "row", "col", F.array("v", F.col("v") * 2, F.col("v") + 0.5).alias("x"), F.array("v").alias("one"))
 
 
+def written(spark, sf) -> DataFrame:
+    """The lattice for the image sink, which the session has to know."""
+    volumes.register(spark)
+    return volume(spark, sf)
+
+
+@query(f"WITH {GRID_SQL}, d AS (SELECT *, coalesce((SELECT l.v FROM lat l WHERE l.slice = full_.slice AND l.row_ = full_.row_ AND l.col_ = full_.col_), 0) AS raw, EXISTS (SELECT 1 FROM lat l WHERE l.slice = full_.slice AND l.row_ = full_.row_ AND l.col_ = full_.col_) AS there FROM full_) SELECT {VOX}, round(CASE WHEN there THEN raw + 0.5 ELSE 0 END, 6) AS half, round(raw, 6) AS v, round(CASE WHEN there THEN raw + 0.5 ELSE 0 END, 6) AS again, round(raw * 2, 6) AS twice FROM d")
+def image_sink(spark, sf):
+    """The whole lattice as one 4D image in double precision, its bricks picked and repeated on writing, by as many tasks as there are ranges of slices; read back by another source."""
+    at = f"{folder(spark, 'sink')}/lattice.nii"
+    sinks.save_volume(written(spark, sf), "x", at, bricks="2,0,2..2,1", kind="f8")
+    rows = images.read_nifti(spark, at)
+    return rows.select("slice", "row", "col", *[F.round(F.element_at("values", i + 1), 6).alias(n) for i, n in enumerate(("half", "v", "again", "twice"))])
+
+
 @query(f"WITH {GRID_SQL} SELECT 'nifti' AS kind, {VOX}, round(v, 4) AS v FROM full_ UNION ALL SELECT 'zipped', {VOX}, round(v, 4) FROM full_ UNION ALL SELECT 'mrtrix', {VOX}, round(v, 4) FROM full_")
 def image_round_trip(spark, sf):
     """3D images written and read: plain, zipped, and in the other image format."""
     out = None
     for kind, how in (("nifti", {}), ("zipped", {"compress": True}), ("mrtrix", {"fmt": "mif", "flip": False})):
         at = folder(spark, kind)
-        images.write_volumes(volume(spark, sf), "one", at, **how)
+        if kind == "nifti":
+            sinks.save_volume(written(spark, sf), "one", f"{at}/lattice.nii")
+        else:
+            images.write_volumes(volume(spark, sf), "one", at, **how)
         rows = (images.read_mrtrix if kind == "mrtrix" else images.read_nifti)(spark, at)
         one = rows.select(F.lit(kind).alias("kind"), "slice", "row", "col", F.round(F.element_at("values", 1), 4).alias("v"))
         out = one if out is None else out.unionByName(one)
@@ -46,8 +64,7 @@ def image_round_trip(spark, sf):
 def image_regions(spark, sf):
     """Bricks 1, 0 and 1 again of a box of a 4D image, by the data source that reads only these."""
     at = folder(spark, "regions")
-    images.write_volumes(volume(spark, sf), "x", at)
-    volumes.register(spark)
+    sinks.save_volume(written(spark, sf), "x", f"{at}/lattice.nii")
     rows = spark.read.format("volume").option("path", at.removeprefix("file://")).option("row", "2:5").option("bricks", "[1,0..0,1]").load().where("col = 7")
     return rows.select("slice", "row", "col", *[F.round(F.element_at("values", i + 1), 4).alias(n) for i, n in enumerate("abc")])
 

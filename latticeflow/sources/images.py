@@ -131,16 +131,13 @@ def decode_nifti(raw: bytes, legacy: bool = False) -> tuple[dict, np.ndarray]:
     return h, data
 
 
-def encode_nifti(data: np.ndarray, pixdim=(1.0, 1.0, 1.0), affine: np.ndarray | None = None, compress: bool = False, more: tuple[tuple[int, bytes], ...] = ()) -> bytes:
-    """A single-file NIfTI-1 image of an array indexed x, y, z, ...; more: extensions as (code, data)."""
+def nifti_head(shape: tuple[int, ...], kind: str, pixdim=(1.0, 1.0, 1.0), affine: np.ndarray | None = None, more: tuple[tuple[int, bytes], ...] = ()) -> bytes:
+    """What stands before the numbers of a single-file NIfTI-1 image of that shape (x, y, z, ...) and kind of number."""
     blocks = b"".join(extension_block(*x) for x in more)
-    kind = data.dtype.str[1:]
-    if kind not in CODES:
-        data, kind = data.astype("f4"), "f4"
     raw = bytearray(HEADER + 4)
     struct.pack_into("<i", raw, 0, HEADER)
-    struct.pack_into("<8h", raw, 40, data.ndim, *data.shape, *[1] * (7 - data.ndim))
-    struct.pack_into("<hh", raw, 70, CODES[kind], data.dtype.itemsize * 8)
+    struct.pack_into("<8h", raw, 40, len(shape), *shape, *[1] * (7 - len(shape)))
+    struct.pack_into("<hh", raw, 70, CODES[kind], np.dtype(kind).itemsize * 8)
     struct.pack_into("<8f", raw, 76, 1.0, *pixdim, *[1.0] * 4)
     struct.pack_into("<fff", raw, 108, HEADER + 4 + len(blocks), 1.0, 0.0)
     raw[123] = 10  # millimetres and seconds
@@ -149,7 +146,15 @@ def encode_nifti(data: np.ndarray, pixdim=(1.0, 1.0, 1.0), affine: np.ndarray |
         struct.pack_into("<12f", raw, 280, *np.asarray(affine, float)[:3].reshape(-1))
     raw[344:348] = b"n+1\0"
     raw[HEADER] = 1 if more else 0
-    out = bytes(raw) + blocks + np.asfortranarray(data).astype("<" + kind).tobytes(order="F")
+    return bytes(raw) + blocks
+
+
+def encode_nifti(data: np.ndarray, pixdim=(1.0, 1.0, 1.0), affine: np.ndarray | None = None, compress: bool = False, more: tuple[tuple[int, bytes], ...] = ()) -> bytes:
+    """A single-file NIfTI-1 image of an array indexed x, y, z, ...; more: extensions as (code, data)."""
+    kind = data.dtype.str[1:]
+    if kind not in CODES:
+        data, kind = data.astype("f4"), "f4"
+    out = nifti_head(data.shape, kind, pixdim, affine, more) + np.asfortranarray(data).astype("<" + kind).tobytes(order="F")
     return gzip.compress(out, mtime=0) if compress else out
 
 

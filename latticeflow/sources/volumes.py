@@ -1,4 +1,4 @@
-"""`volume`, a Python data source over NIfTI-1 images that reads only the slices, rows and bricks asked for.
+"""`volume`, a Python data source over NIfTI-1 images that reads only the slices, rows and bricks asked for, and writes from many tasks (see sinks).
 
     volumes.register(spark)
     spark.read.format("volume").option("path", folder).option("slice", "3:5").load().where("row >= 10 and row < 20")
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
-from . import files, images
+from . import files, images, sinks
 
 AXES = ("slice", "row", "col")
 FAR = 1 << 31
@@ -135,6 +135,9 @@ class VolumeSource(DataSource):
     def reader(self, schema) -> VolumeReader:
         return VolumeReader(dict(self.options))
 
+    def writer(self, schema, overwrite: bool) -> sinks.VolumeWriter:
+        return sinks.VolumeWriter(dict(self.options), overwrite)
+
 
 def register(spark: SparkSession) -> None:
     """Make the source known to a session, which from then on passes filters to Python sources."""
