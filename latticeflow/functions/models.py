@@ -105,6 +105,16 @@ def fit_basis(s: np.ndarray, phi: np.ndarray, solver: str = "nnls", sparsity: fl
     return x, sse, math.sqrt(sse / len(s))
 
 
+def fit_bases(s: np.ndarray, phi: np.ndarray, solver: str = "nnls", sparsity: float = 0.0, refit: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """fit_basis() for every row of s: (coefficients, SSE, RMSE).  Non-negative least squares go through all rows together; a refit of them changes nothing."""
+    if solver != "nnls":
+        found = [fit_basis(y, phi, solver, sparsity, refit) for y in s]
+        return np.array([x for x, _, _ in found]).reshape(len(s), phi.shape[1]), np.array([e for _, e, _ in found]), np.array([r for _, _, r in found])
+    x = solvers.nnls_batch(phi, s)
+    sse = ((x @ phi.T - s) ** 2).sum(axis=1)
+    return x, sse, np.sqrt(sse / s.shape[1])
+
+
 def centroid(directions: np.ndarray, alpha: np.ndarray, members: list[int]) -> tuple[np.ndarray, float]:
     """(unit weighted mean with signs aligned to the heaviest member, sum of |dot| * alpha)."""
     lead = directions[max(members, key=lambda i: alpha[i])]
@@ -141,9 +151,9 @@ def neighbourhoods(directions: np.ndarray, k: int | None = None, most: float | N
     return [set(np.flatnonzero(r <= most).tolist()) for r in a]
 
 
-def peaks(alpha: np.ndarray, directions: np.ndarray, k: int = 16, keep: int = 3, share: float = 0.3) -> list[tuple[np.ndarray, float]]:
-    """Up to `keep` group centroids of at least `share` of the largest amount, amounts scaled to sum 1."""
-    found = [centroid(directions, alpha, g) for g in group(alpha, directions, neighbourhoods(directions, k=k))]
+def peaks(alpha: np.ndarray, directions: np.ndarray, k: int = 16, keep: int = 3, share: float = 0.3, near: list[set[int]] | None = None) -> list[tuple[np.ndarray, float]]:
+    """Up to `keep` group centroids of at least `share` of the largest amount, amounts scaled to sum 1; near: neighbourhoods() where they are known."""
+    found = [centroid(directions, alpha, g) for g in group(alpha, directions, near or neighbourhoods(directions, k=k))]
     found = sorted(found, key=lambda p: -p[1])[:keep]
     found = [p for p in found if p[1] > share * found[0][1]] or found[:1]
     total = sum(a for _, a in found)

@@ -37,6 +37,59 @@ def nnls(e: np.ndarray, f: np.ndarray, eps: float = 1e-10) -> tuple[np.ndarray,
     return x, float(((e @ x - f) ** 2).sum())
 
 
+def nnls_batch(e: np.ndarray, f: np.ndarray, eps: float = 1e-10, at_once: int = 4096) -> np.ndarray:
+    """x >= 0 of least squares for every row of f, by nnls()'s active sets, all rows a step at a time.
+
+    The rows share one Gram matrix; rows whose sets have one size are solved together.
+    """
+    e, f = np.asarray(e, float), np.atleast_2d(np.asarray(f, float))
+    m, gram = e.shape[1], e.T @ e
+    parts = [_nnls_rows(gram, f[k : k + at_once] @ e, eps) for k in range(0, len(f), at_once)]
+    return np.concatenate(parts) if parts else np.zeros((0, m))
+
+
+def _on_sets(gram: np.ndarray, cross: np.ndarray, sets: np.ndarray) -> np.ndarray:
+    """Least squares on each row's set of columns, 0 elsewhere."""
+    z, sizes = np.zeros_like(cross), sets.sum(1)
+    for k in np.unique(sizes[sizes > 0]):
+        rows = np.flatnonzero(sizes == k)
+        at = np.nonzero(sets[rows])[1].reshape(len(rows), k)
+        g, c = gram[at[:, :, None], at[:, None, :]], cross[rows[:, None], at]
+        try:
+            found = np.linalg.solve(g, c[..., None])[..., 0]
+        except np.linalg.LinAlgError:
+            found = (np.linalg.pinv(g, hermitian=True) @ c[..., None])[..., 0]
+        z[rows[:, None], at] = found
+    return z
+
+
+def _nnls_rows(gram: np.ndarray, cross: np.ndarray, eps: float) -> np.ndarray:
+    n, m = cross.shape
+    x, free, live = np.zeros((n, m)), np.zeros((n, m), dtype=bool), np.arange(n)
+    for _ in range(3 * m):
+        w = np.where(free[live], -np.inf, cross[live] - x[live] @ gram)
+        j = w.argmax(axis=1)
+        more = w[np.arange(len(live)), j] > eps
+        live = live[more]
+        if not len(live):
+            break
+        free[live, j[more]] = True
+        open_ = live
+        while len(open_):
+            z = _on_sets(gram, cross[open_], free[open_])
+            bad = free[open_] & (z <= eps)
+            fine = ~bad.any(1)
+            x[open_[fine]] = z[fine]
+            open_, z, bad = open_[~fine], z[~fine], bad[~fine]
+            old = x[open_]
+            ratio = np.where(bad, old / np.maximum(old - z, 1e-300), np.inf).min(axis=1, initial=np.inf)
+            new = np.where(free[open_], old + ratio[:, None] * (z - old), 0.0)
+            free[open_] &= new > eps
+            x[open_] = np.where(free[open_], new, 0.0)
+            open_ = open_[free[open_].any(1)]
+    return x
+
+
 def least_squares(e: np.ndarray, f: np.ndarray, columns: np.ndarray | None = None) -> np.ndarray:
     """x of least |Ex - f|, on all columns or on some (0 for the others)."""
     at = np.arange(e.shape[1]) if columns is None else np.asarray(columns)

@@ -40,16 +40,21 @@ def fit_orientations(signals: DataFrame, gradients: np.ndarray, directions: np.n
         raise ValueError(f"no solver {solver}; there are {sorted(solvers.SOLVERS)}")
     phi = models.basis(gradients, directions, b, longitudinal, transversal)
     axes = np.asarray(directions, float)
+    near = models.neighbourhoods(axes, k=min(16, len(axes) - 1))
     spec = ", ".join(f"`{k}` {signals.schema[k].dataType.simpleString()}" for k in keys)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for s0, dw in zip(pdf["s0"], pdf["dw"], strict=True):
-                x, sse, rmse = models.fit_basis(np.asarray(dw, float) / (s0 or 1.0), phi, solver, sparsity, refit)
-                found = models.peaks(x, axes, k=min(16, len(axes) - 1)) if (x > 0).any() else []
-                rows.append((x, sse, rmse, [{"fraction": float(f), "dir": d.tolist(), "lambda": [transversal, transversal, longitudinal], "grp": k} for k, (d, f) in enumerate(found)]))
-            yield pd.concat([pdf[keys].reset_index(drop=True), pd.DataFrame(rows, columns=["alpha", "sse", "rmse", "compartments"])], axis=1)
+            if not len(pdf):
+                continue
+            s0 = pdf["s0"].to_numpy(float)
+            y = np.stack(pdf["dw"].to_numpy()).astype(float) / np.where(np.isnan(s0) | (s0 == 0), 1.0, s0)[:, None]
+            alpha, sse, rmse = models.fit_bases(y, phi, solver, sparsity, refit)
+            parts = []
+            for x in alpha:
+                found = models.peaks(x, axes, near=near) if (x > 0).any() else []
+                parts.append([{"fraction": float(f), "dir": d.tolist(), "lambda": [transversal, transversal, longitudinal], "grp": k} for k, (d, f) in enumerate(found)])
+            yield pdf[keys].reset_index(drop=True).assign(alpha=list(alpha), sse=sse, rmse=rmse, compartments=parts)
 
     return signals.select(*keys, "s0", "dw").mapInPandas(run, f"{spec}, alpha array<double>, sse double, rmse double, compartments array<struct<fraction:double,dir:array<double>,lambda:array<double>,grp:int>>")
 

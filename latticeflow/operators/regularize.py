@@ -51,35 +51,36 @@ def basis_edges(voxels: DataFrame, directions: np.ndarray) -> DataFrame:
 
 
 def _around(now: DataFrame, edges: DataFrame) -> DataFrame:
-    """(voxel, wa, w): sum of w * alpha and of w over the neighbours; at most six of them."""
+    """(voxel, near): weights and coefficients of the neighbours, at most six, in the order of their places."""
     rows = now.select(F.struct(*KEY).alias("at"), F.col("alpha").alias("n"))
-    near = edges.join(rows, "at").select(*KEY, "w", F.posexplode("n").alias("i", "x"))
-    sums = near.groupBy(*KEY, "i").agg(F.sum(F.col("w") * F.col("x")).alias("x"), F.sum("w").alias("w"))
-    return sums.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("wa"), F.max("w").alias("w")).select(*KEY, F.col("wa.x").alias("wa"), "w")
+    return edges.join(rows, "at").groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("at", "w", "n"))).alias("near"))
 
 
 def _rounds(voxels: DataFrame, edges: DataFrame | Callable[[DataFrame], DataFrame], update: Callable, rounds: int, stop: float, callback: Progress | None) -> DataFrame:
-    """Rounds of update(alpha, cross, wpt, sum of w * alpha, sum of w) of each voxel until the mean squared change is at most stop."""
+    """Rounds of update(alpha, cross, wpt, sums of w * alpha, sums of w), a row for each voxel of a batch, until the mean squared change is at most stop."""
     spec = "slice int, row int, col int, alpha array<double>, cross array<double>, wpt array<double>, moved double"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out, moved = [], []
-            for a, b, p, wa, w in zip(pdf["alpha"], pdf["cross"], pdf["wpt"], pdf["wa"], pdf["w"], strict=True):
-                old = np.asarray(a, float)
-                new = update(old.copy(), np.asarray(b, float), np.asarray(p, float), np.zeros(len(old)) if wa is None else np.asarray(wa, float), 0.0 if w is None or np.isnan(w) else float(w))
-                out.append(new)
-                moved.append(float(((new - old) ** 2).mean()))
-            yield pdf[[*KEY, "cross", "wpt"]].assign(alpha=out, moved=moved)[[*KEY, "alpha", "cross", "wpt", "moved"]]
-
-    now = graph.settle(voxels.select(*KEY, V.doubles("alpha").alias("alpha"), "cross", "wpt"))
+            if not len(pdf):
+                continue
+            old, cross, wpt = (np.stack(pdf[c].to_numpy()).astype(float) for c in ("alpha", "cross", "wpt"))
+            wa, w = np.zeros_like(old), np.zeros(len(old))
+            for i, (weights, alphas) in enumerate(zip(pdf["w"], pdf["n"], strict=True)):
+                if weights is not None:
+                    wa[i], w[i] = np.asarray(weights) @ np.stack(alphas), np.sum(weights)
+            new = update(old.copy(), cross, wpt, wa, w)
+            yield pdf[[*KEY, "cross", "wpt"]].assign(alpha=list(new), moved=((new - old) ** 2).mean(1))[[*KEY, "alpha", "cross", "wpt", "moved"]]
+
+    now = last = graph.settle(voxels.select(*KEY, V.doubles("alpha").alias("alpha"), "cross", "wpt"))
     fixed = graph.settle(edges) if isinstance(edges, DataFrame) else None
     for k in range(rounds):
         if callback is not None:
             callback(k, now.select(*KEY, "alpha"))
         near = _around(now, fixed if fixed is not None else edges(now))
-        new = graph.settle(now.join(near, KEY, "left").mapInPandas(run, spec))
-        now = new.drop("moved")
+        new = graph.settle(now.join(near, KEY, "left").select(*KEY, "alpha", "cross", "wpt", F.col("near.w").alias("w"), F.col("near.n").alias("n")).mapInPandas(run, spec))
+        graph.discard(last)
+        last, now = new, new.drop("moved")
         if (new.agg(F.avg("moved")).first()[0] or 0.0) <= stop:
             break
     return now.select(*KEY, "alpha")
@@ -106,7 +107,9 @@ def regularize(voxels: DataFrame, phi: np.ndarray, directions: np.ndarray, sprea
     gram = phi.T @ phi + spread * (np.eye(phi.shape[1]) - 1.0 / phi.shape[1])
 
     def update(a, cross, wpt, wa, w):
-        return solvers.nnls(gram + mu * w * np.eye(len(a)), cross + mu * wa)[0]
+        for x in np.unique(w):  # voxels with as many neighbours share their matrix
+            a[w == x] = solvers.nnls_batch(gram + mu * x * np.eye(a.shape[1]), (cross + mu * wa)[w == x])
+        return a
 
     rows = voxels.select(*KEY, F.struct(*KEY).alias("at"))
     edges = rows.select(*KEY).join(shifted(rows, ["at"], OFFSETS6), KEY).select(*KEY, F.col("n_at").alias("at"), F.lit(1.0).alias("w"))
@@ -123,12 +126,12 @@ def robust_smooth(voxels: DataFrame, phi: np.ndarray, directions: np.ndarray, sm
     own = np.diag(gram)
 
     def update(a, cross, wpt, wa, w):
-        mean = a.mean()
-        den = own + smooth * w + weight * wpt - bonus
+        mean = a.mean(1)
+        den = own + smooth * w[:, None] + weight * wpt - bonus
         for _ in range(inner):
-            for k in range(len(a)):
-                others = gram[k] @ a - a[k] * own[k]
-                a[k] = max(0.0, (cross[k] - others + smooth * wa[k] - bonus * mean) / den[k])
+            for k in range(a.shape[1]):
+                others = a @ gram[k] - a[:, k] * own[k]
+                a[:, k] = np.maximum(0.0, (cross[:, k] - others + smooth * wa[:, k] - bonus * mean) / den[:, k])
         return a
 
     return _rounds(prepared(voxels, phi, directions, tensor), basis_edges(voxels, directions) if edges is None else edges, update, rounds, stop, callback)
@@ -139,11 +142,12 @@ def mixed_smooth(voxels: DataFrame, phi: np.ndarray, directions: np.ndarray, smo
     gram, q, gini = phi.T @ phi, models.smoothing_matrix(np.asarray(directions, float)), models.gini_matrix(phi.shape[1])
 
     def update(a, cross, wpt, wa, w):
-        m = gram + smooth * w * q - smooth * gini + smooth * np.diag(wpt)
-        b = q @ (cross + smooth * wa)
+        same, b = gram - smooth * gini, (cross + smooth * wa) @ q.T
         for _ in range(inner):
-            for k in range(len(a)):
-                a[k] = max(0.0, (b[k] - m[k] @ a + a[k] * m[k, k]) / m[k, k])
+            for k in range(a.shape[1]):
+                own = same[k, k] + smooth * (w * q[k, k] + wpt[:, k])
+                others = a @ same[k] + smooth * (w * (a @ q[k]) + wpt[:, k] * a[:, k]) - a[:, k] * own
+                a[:, k] = np.maximum(0.0, (b[:, k] - others) / own)
         return a
 
     return _rounds(prepared(voxels, phi, directions, tensor), basis_edges(voxels, directions) if edges is None else edges, update, rounds, stop, callback)

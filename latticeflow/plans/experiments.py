@@ -73,20 +73,20 @@ def error_by_crossing(spark, sf):
     return rounded(fields.error_by_crossing(truth, fields.angular_error(truth, field(spark, sf, 2)), "angle"), "angle")
 
 
-def small(spark, sf) -> DataFrame:
-    return field(spark, sf).where("slice = 0 and row < 3 and col < 4").select(*KEY, "compartments")
+def whole(spark, sf) -> DataFrame:
+    return field(spark, sf).select(*KEY, "compartments")
 
 
 @query()
 def snr_sweep(spark, sf):
-    """Errors of reconstructions at two signal-to-noise ratios, of a field of twelve voxels."""
-    return experiment.snr_sweep(small(spark, sf), generate.sphere(32), generate.sphere(64), experiment.Settings(refit=True), (10, 30))
+    """Errors of reconstructions of the field at two signal-to-noise ratios."""
+    return experiment.snr_sweep(whole(spark, sf), generate.sphere(32), generate.sphere(64), experiment.Settings(refit=True), (10, 30))
 
 
 @query()
 def denoising_grid(spark, sf):
     """What denoising leaves of the noise, by its kind and strength."""
-    return experiment.denoising_grid(small(spark, sf), generate.sphere(16), experiment.Settings(snr=15.0), [1.0, 10.0], ("tv",))
+    return experiment.denoising_grid(whole(spark, sf), generate.sphere(16), experiment.Settings(snr=15.0), [1.0, 10.0], ("tv",))
 
 
 @query()
@@ -94,7 +94,7 @@ def regularized_field(spark, sf):
     """A noisy field with coefficients smoothed over its neighbours, in steps."""
     g, basis = generate.sphere(24), generate.sphere(32)
     settings = experiment.Settings(regularization="robust", snr=20.0)
-    signals = graph.settle(experiment.simulated(small(spark, sf), g, settings))
+    signals = graph.settle(experiment.simulated(whole(spark, sf), g, settings))
     return experiment.reconstruct(signals, g, basis, settings)
 
 
@@ -102,4 +102,4 @@ def regularized_field(spark, sf):
 def aligned_denoising(spark, sf):
     """Signals made anew from those of their neighbours whose shapes align best."""
     g = generate.sphere(12)
-    return regularize.denoise_aligned(experiment.simulated(small(spark, sf), g, experiment.Settings(snr=20.0)), g, lmax=2)
+    return regularize.denoise_aligned(experiment.simulated(whole(spark, sf), g, experiment.Settings(snr=20.0)), g, lmax=2)
