@@ -115,14 +115,20 @@ def discriminants(df: DataFrame, vector: str, label: str, directions: int, least
     then those in which the within-class scatter is least.  exclude: unlabelled rows whose centred scatter
     joins the within-class one with a weight."""
     total, per = scatter(df, vector, label)
-    n = sum(k for k, _ in per.values())
-    grand = sum(k * m for k, m in per.values()) / n
-    between = sum(k * np.outer(m - grand, m - grand) for k, m in per.values())
-    within = total - sum(k * np.outer(m, m) for k, m in per.values())
+    more = 0.0
     if exclude is not None and weight:
         t, p = scatter(exclude, vector)
         k, m = p[0]
-        within = within + weight * (t - k * np.outer(m, m))
+        more = weight * (t - k * np.outer(m, m))
+    return discriminants_of(total, per, directions, least, more)
+
+
+def discriminants_of(total: np.ndarray, per: dict, directions: int, least: float = 1e-6, more: np.ndarray | float = 0.0) -> np.ndarray:
+    """discriminants() of what scatter() gives; more: joins the within-class scatter."""
+    n = sum(k for k, _ in per.values())
+    grand = sum(k * m for k, m in per.values()) / n
+    between = sum(k * np.outer(m - grand, m - grand) for k, m in per.values())
+    within = total - sum(k * np.outer(m, m) for k, m in per.values()) + more
     values, vectors = linalg.symmetric_eigen(between / n)
     keep = np.flatnonzero(values > least)[::-1]
     z = vectors[:, keep] / np.sqrt(values[keep])
@@ -141,19 +147,11 @@ def folds_of(df: DataFrame, key: str, folds: int) -> DataFrame:
 
 
 def cross_validate(df: DataFrame, key: str, vector: str, label: str, directions: int, folds: int = 5) -> DataFrame:
-    """(fold, error) of nearest-centroid classification in discriminant space, one plan for each fold."""
-    from . import stats
-
-    split = folds_of(df, key, folds)
-    out = None
-    for f in range(folds):
-        train, test = split.where(F.col("fold") != f), split.where(F.col("fold") == f)
-        w = discriminants(train, vector, label, directions)
-        centres = stats.centroid_vectors(projected(train, vector, w), "projected", label)
-        found = stats.nearest_centroid(projected(test, vector, w), centres, "projected", label, [key, label])
-        one = found.agg(F.lit(f).alias("fold"), F.avg((F.col("predicted") != F.col(label)).cast("double")).alias("error"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """(fold, error) of nearest-centroid classification in discriminant space; all folds in two scans."""
+    from . import folds as over
+
+    counts = over.discriminant_counts(df, vector, label, directions, F.pmod(F.xxhash64(key), F.lit(folds)), folds)
+    return over.fold_errors(counts).select("fold", F.col("out_error").alias("error"))
 
 
 def cross_validation_summary(errors: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import assignment, linalg, models
 from ..functions import vectors as V
-from ..operators import clustering, denoise, fields, fits, generate
+from ..operators import clustering, denoise, fields, fits, folds, generate
 
 QUERIES: dict = {}
 B = 1500.0
@@ -135,6 +135,13 @@ def lda_cross_validation(spark, sf):
     return clustering.cross_validation_summary(clustering.cross_validate(read(spark, sf, "embeddings"), "vec_id", "embedding", "label", 4, folds=3))
 
 
+@query
+def discriminant_validation(spark, sf):
+    """Mean and sd over folds of the shares of each label's unseen vectors that discriminants give each class."""
+    counts = folds.discriminant_counts(read(spark, sf, "embeddings"), "embedding", "label", 4, F.pmod("vec_id", F.lit(5)), 5)
+    return folds.share_confusion(counts, 5)
+
+
 @query
 def mds(spark, sf):
     return clustering.euclidean_scaling(read(spark, sf, "embeddings"), "vec_id", "embedding", 3)
