@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars, strings
 from ..functions import vectors as V
-from ..operators import graph, neighbours, stats, tiles
+from ..operators import graph, metric_index, neighbours, stats, tiles
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -263,12 +263,18 @@ def lattice_divergence(spark, sf):
     return rounded(neighbours.divergence(lattice(spark, sf), "v", "v").select("slice", "row", "col", "div"), "div")
 
 
+@query(KNN_SQL.replace(" WHERE p.vec_id % 50 = 0", "") + " SELECT vec_id, CAST(rank AS INT) AS rank, neighbour, round(angle, 6) AS angle FROM k WHERE rank < 5")
+def knn_axial_all(spark, sf):
+    """The five nearest axes of every vector, exactly, through the metric index."""
+    return rounded(metric_index.nearest_of_all(embeddings(spark, sf), "vec_id", "embedding", 5)[0], "angle")
+
+
 def knn_graph(spark, sf) -> DataFrame:
-    e = embeddings(spark, sf)
-    return graph.knn_graph(neighbours.nearest_axes(probes(e), e, "vec_id", "embedding", 5), "vec_id")
+    """The graph of every vector and its five nearest."""
+    return graph.knn_graph(metric_index.nearest_of_all(embeddings(spark, sf), "vec_id", "embedding", 5)[0], "vec_id")
 
 
-GRAPH_SQL = KNN_SQL + ", g0 AS (SELECT vec_id AS src, neighbour AS dst, exp(-angle) AS w FROM k WHERE rank < 5), g AS (SELECT src, dst, max(w) AS w FROM (SELECT * FROM g0 UNION ALL SELECT dst, src, w FROM g0) GROUP BY src, dst)"
+GRAPH_SQL = KNN_SQL.replace(" WHERE p.vec_id % 50 = 0", "") + ", g0 AS (SELECT vec_id AS src, neighbour AS dst, exp(-angle) AS w FROM k WHERE rank < 5), g AS (SELECT src, dst, max(w) AS w FROM (SELECT * FROM g0 UNION ALL SELECT dst, src, w FROM g0) GROUP BY src, dst)"
 
 
 @query(GRAPH_SQL + " SELECT src, round(sum(w), 6) AS total FROM g GROUP BY src")
