@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import linalg
 from ..functions import vectors as V
-from . import graph
+from . import graph, krylov
 
 
 def memberships(x: np.ndarray, means: np.ndarray, exponent: float, axial: bool = False) -> np.ndarray:
@@ -195,30 +195,9 @@ def euclidean_scaling(df: DataFrame, key: str, vector: str, k: int) -> DataFrame
     return df.select(key, V.doubles(vector).alias("v")).mapInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, x array<double>")
 
 
-def spectral_embedding(edges: DataFrame, vertices: DataFrame, dim: int, rounds: int = 25) -> DataFrame:
-    """(id, x): leading eigenvectors of the normalised-cut matrix by block power iteration, all vectors in one pass.
-
-    The block is kept orthonormal through its dim x dim Gram matrix, the only thing that comes to the driver.
-    """
-    m = graph.settle(graph.normalized_cut(edges))
-    start = F.array(*[(F.pmod(F.xxhash64("id", F.lit(k)), F.lit(100003)) / 100003.0 - 0.5) for k in range(dim)])
-    now = graph.settle(vertices.select("id", start.alias("x")))
-    last = None
-    for _ in range(rounds):
-        parts = m.join(now.withColumnRenamed("id", "dst"), "dst").select("src", *[(F.col("w") * F.element_at("x", k + 1)).alias(f"x{k}") for k in range(dim)])
-        mv = parts.groupBy(F.col("src").alias("id")).agg(*[F.sum(f"x{k}").alias(f"x{k}") for k in range(dim)])
-        # + I keeps the order of eigenvalues by value rather than by size
-        mv = now.join(mv, "id", "left").select("id", *[(F.coalesce(F.col(f"x{k}"), F.lit(0.0)) + F.element_at("x", k + 1)).alias(f"x{k}") for k in range(dim)])
-        mv = graph.settle(mv)
-        g = mv.agg(*[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"g{i}_{j}") for i in range(dim) for j in range(dim)]).first()
-        gram = np.array(g).reshape(dim, dim)
-        r = np.linalg.inv(np.linalg.cholesky(gram)).T
-        now = mv.select("id", F.array(*[sum(F.col(f"x{i}") * float(r[i, k]) for i in range(k + 1)) for k in range(dim)]).alias("x"))
-        size = np.sqrt(np.diag(gram))
-        if last is not None and np.abs(size - last).max() < 1e-4:
-            break
-        last = size
-    return graph.settle(now)
+def spectral_embedding(edges: DataFrame, vertices: DataFrame, dim: int, tolerance: float = 1e-3) -> DataFrame:
+    """(id, x): leading eigenvectors of the normalised-cut matrix, to a tolerance."""
+    return krylov.leading_eigenpairs(graph.normalized_cut(edges), vertices, dim, tolerance)[1]
 
 
 def discretize(x: np.ndarray, rounds: int = 20) -> np.ndarray:

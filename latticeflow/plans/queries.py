@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars, strings
 from ..functions import vectors as V
-from ..operators import graph, metric_index, neighbours, stats, tiles
+from ..operators import graph, krylov, metric_index, neighbours, stats, tiles
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -304,6 +304,15 @@ def graph_asymmetry(spark, sf):
     return rounded(graph.asymmetry(knn_graph(spark, sf).withColumn("w", F.col("w") + F.col("src") % 3)), "asymmetry")
 
 
+@query()
+def cut_eigenvalues(spark, sf):
+    """The four leading eigenvalues of the normalised cut of the neighbour graph, and how many vertices their vectors have."""
+    g = graph.settle(knn_graph(spark, sf))
+    values, vectors = krylov.leading_eigenpairs(graph.normalized_cut(g), g.select(F.col("src").alias("id")).distinct(), 4, tolerance=1e-4)  # values err by the square of that
+    table = F.array(*[F.lit(float(v)) for v in values])
+    return vectors.agg(F.count("*").alias("n")).select(F.posexplode(table).alias("rank", "value"), "n").withColumn("value", F.round("value", 6))
+
+
 def largest_part(spark, sf, over: bool) -> DataFrame:
     """Ids of the largest component, by six neighbours, of the voxels whose value is over the mean (or not), ties to the one with the least id."""
     voxels = lattice(spark, sf)
