@@ -117,3 +117,23 @@ def test_centroids_in_blocks(spark, monkeypatch):
 def test_peaks_of_each_group(spark):
     hist = spark.createDataFrame([(g, b, float(b), f) for g, fs in {"a": [1, 5, 1, 2, 0], "b": [0, 0, 7, 0, 0]}.items() for b, f in enumerate(fs)], "g string, bucket int, centre double, freq bigint")
     assert {r["g"]: r["bucket"] for r in stats.histogram_last_peak(hist, 1, ["g"]).collect()} == {"a": 3, "b": 2}
+
+
+@pytest.mark.parametrize("name", ["job1_text_profile", "job2_class_report"])
+def test_queries_match_their_sql(spark, sf, name):
+    import duckdb
+
+    import __spark_entry__
+    from test_oracle import table
+
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    ours = table(__spark_entry__.queries()[name](spark, sf).toPandas())
+    theirs = table(con.execute(__spark_entry__.oracle_sql()[name]).df())
+    assert list(ours.columns) == list(theirs.columns) and len(ours) == len(theirs) > 0
+    for c in ours.columns:
+        same = (ours[c] == theirs[c]) | (ours[c].isna() & theirs[c].isna())
+        if ours[c].dtype.kind == "f":
+            same |= (ours[c] - theirs[c].astype(float)).abs() < 2e-6
+        assert same.all(), c
