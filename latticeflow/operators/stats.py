@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -220,13 +220,9 @@ def rate_at_rank(scores: DataFrame, rank: int, score: str = "dist", match: str =
 
 def verification_all_pairs(df: DataFrame, key: str, vector: str, label: str) -> DataFrame:
     """(threshold, rate) over every pair of rows: equal labels match, the threshold is the non-match of rank n / 1000."""
-    from . import neighbours
+    from . import pairs
 
-    pairs = neighbours.pair_sqr_distances(df, df, key, vector)
-    side = lambda k: df.select(F.col(key).alias(k), F.col(label).alias(f"l{k}"))
-    scores = graph.settle(pairs.join(side("i"), "i").join(side("j"), "j").select(F.col("d").alias("dist"), (F.col("li") == F.col("lj")).cast("int").alias("same")))
-    n = scores.where("same = 0").count()
-    return rate_at_rank(scores, n // 1000)
+    return pairs.rate_of_pairs(df, None, key, vector, label, pairs.equal_labels, lambda n: n // 1000)
 
 
 # The codes of a pair mask.
@@ -240,6 +236,13 @@ def verification_masked(distances: DataFrame, mask: DataFrame, far: float) -> Da
     return rate_at_rank(rows, int(far * rows.where("same = 0").count()))
 
 
+def verification_ruled(queries: DataFrame, base: DataFrame, key: str, vector: str, label: str, ignored: Callable[[np.ndarray, np.ndarray], np.ndarray], far: float) -> DataFrame:
+    """verification_masked() of each query and the rows after it, for a mask that a rule gives: pairs that ignored(i, j) leaves match by equal labels."""
+    from . import pairs
+
+    return pairs.rate_of_pairs(queries, base, key, vector, label, pairs.masked(ignored), lambda n: int(far * n))
+
+
 def mask_counts(mask: DataFrame) -> DataFrame:
     """Pairs, and how many are ignored, match, don't match, or count at all."""
     c = F.col("code")
