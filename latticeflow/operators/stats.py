@@ -26,12 +26,25 @@ def arg_extremes(df: DataFrame, value: str, index: str) -> DataFrame:
 
 
 def upper_median(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
-    """The upper middle element of each group in order (no averaging), by rank rather than by a collected list."""
+    """The upper middle element of each group in order (no averaging), by rank rather than by a collected list.
+
+    Equal values are counted together and dealt over ranges; only the range that holds a group's middle is put in order,
+    so no task holds a group.
+    """
     by = by or []
-    w = Window.partitionBy(*by).orderBy(value)
-    n = F.count("*").over(Window.partitionBy(*by))
-    rows = df.where(F.col(value).isNotNull()).select(*by, value, F.row_number().over(w).alias("r"), n.alias("n"))
-    return rows.where(F.col("r") == F.floor(F.col("n") / 2) + 1).select(*by, F.col(value).alias("median"))
+    every = [F.lit(0).alias("__all"), *[F.col(c) for c in by]]
+    rows = df.where(F.col(value).isNotNull()).select(*every, F.col(value).alias("__x")).groupBy("__all", *by, "__x").agg(F.count("*").alias("__m"))
+    rows = graph.settle(rows.repartitionByRange("__all", *by, "__x").withColumn("__part", F.spark_partition_id()))
+    group = Window.partitionBy("__all", *by)
+    sums = rows.groupBy("__all", *by, "__part").agg(F.sum("__m").alias("__s"))
+    sums = sums.withColumns({"__upto": F.sum("__s").over(group.orderBy("__part").rowsBetween(Window.unboundedPreceding, 0)), "__n": F.sum("__s").over(group)})
+    middle = F.floor(F.col("__n") / 2)
+    here = sums.where((F.col("__upto") > middle) & (F.col("__upto") - F.col("__s") <= middle)).select(*[F.col(c).alias(f"__of_{c}") for c in by], F.col("__part").alias("__p"), (middle - (F.col("__upto") - F.col("__s"))).alias("__rank"))
+    same = [F.col(c).eqNullSafe(F.col(f"__of_{c}")) for c in by]
+    near = rows.join(here, [F.col("__part") == F.col("__p"), *same])
+    upto = F.sum("__m").over(group.orderBy("__x").rowsBetween(Window.unboundedPreceding, 0))
+    near = near.withColumn("__upto", upto).where((F.col("__upto") > F.col("__rank")) & (F.col("__upto") - F.col("__m") <= F.col("__rank")))
+    return near.select(*by, F.col("__x").alias("median"))
 
 
 def column_bounds(df: DataFrame, vector: str) -> DataFrame:
