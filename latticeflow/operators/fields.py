@@ -14,7 +14,7 @@ from pyspark.sql.types import DoubleType
 
 from ..functions import assignment
 from ..functions import vectors as V
-from .neighbours import KEY, OFFSETS26, shifted
+from .neighbours import KEY, OFFSETS26, meeting, shifted
 
 COMPARTMENT = "struct<fraction:double,dir:array<double>,lambda:array<double>,grp:int>"
 
@@ -104,19 +104,19 @@ def coherence(field: DataFrame, void: float) -> DataFrame:
     cost `void`; only matches of two that are there count, each as one term.
     """
     @F.pandas_udf("total double, terms int")
-    def matched(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        pad = lambda x: np.vstack([*[np.asarray(v, float) for v in x[:3]], *[np.zeros(3)] * (3 - min(3, len(x)))])
-        rows = []
-        for x, y in zip(a, b, strict=True):
-            p, q = pad(x), pad(y)
-            to, angles = assignment.match_three(p, q, void)[0], assignment.axial_costs(p, q)
-            found = [angles[i, to[i]] for i in range(min(3, len(x))) if to[i] < min(3, len(y))]
-            rows.append((float(sum(found)), len(found)))
-        return pd.DataFrame(rows, columns=["total", "terms"])
+    def matched(a: pd.Series, n: pd.Series, b: pd.Series, m: pd.Series) -> pd.DataFrame:
+        if not len(a):
+            return pd.DataFrame({"total": np.zeros(0), "terms": np.zeros(0, dtype=np.int32)})
+        p, q = (np.stack(x.to_numpy()).astype(float).reshape(-1, 3, 3) for x in (a, b))
+        to, angles = assignment.match_threes(p, q, void)
+        there = (np.arange(3) < n.to_numpy()[:, None]) & (to < m.to_numpy()[:, None])
+        found = np.where(there, np.take_along_axis(angles, to[..., None], 2)[..., 0], 0.0)
+        return pd.DataFrame({"total": found[:, 0] + found[:, 1] + found[:, 2], "terms": there.sum(1).astype(np.int32)})
 
     rows = field.select(*KEY, directions(F.col("compartments")).alias("d"))
-    full = rows.where(F.size("d") > 0)
-    each = full.join(shifted(full, ["d"], OFFSETS26), KEY).select(*KEY, matched("d", "n_d").alias("m"))
+    none = F.array(*[F.array(*[F.lit(0.0)] * 3)] * 3)
+    full = rows.where(F.size("d") > 0).select(*KEY, F.flatten(F.slice(F.concat("d", none), 1, 3)).alias("d"), F.least(F.size("d"), F.lit(3)).alias("n"))
+    each = meeting(full, shifted(full, ["d", "n"], OFFSETS26)).select(*KEY, matched("d", "n", "n_d", "n_n").alias("m"))
     near = each.groupBy(*KEY).agg((F.sum("m.total") / F.nullif(F.sum("m.terms"), F.lit(0))).alias("lci"))
     return rows.join(near, KEY, "left").select(*KEY, F.when(F.size("d") == 0, float("nan")).otherwise(F.coalesce("lci", F.lit(0.0))).alias("lci"))
 
@@ -167,7 +167,7 @@ def signal_variance(signals: DataFrame) -> DataFrame:
 def alpha_differences(voxels: DataFrame) -> DataFrame:
     """(voxel, neighbour, w): 1 - d / max over lattice edges of the distance of coefficient arrays `alpha`."""
     at = voxels.withColumn("__at", F.struct(*KEY))
-    near = voxels.select(*KEY, "alpha").join(shifted(at, ["alpha", "__at"], OFFSETS26), KEY)
+    near = meeting(voxels.select(*KEY, "alpha"), shifted(at, ["alpha", "__at"], OFFSETS26))
     d = near.select(*KEY, F.col("n___at").alias("neighbour"), V.distance(F.col("alpha"), F.col("n_alpha")).alias("d"))
     return d.join(F.broadcast(d.agg(F.max("d").alias("top")))).select(*KEY, "neighbour", (1 - F.coalesce(F.col("d") / F.nullif("top", F.lit(0.0)), F.lit(0.0))).alias("w"))
 
