@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import assignment, harmonics, models, solvers
 from ..functions import vectors as V
 from . import graph
-from .neighbours import KEY, OFFSETS6, OFFSETS26, shifted
+from .neighbours import KEY, OFFSETS6, OFFSETS26, meeting, shifted
 
 AHEAD = [(0, 0, -1), (0, -1, 0), (-1, 0, 0)]  # what stands one place on is seen from one place back
 NEAR_DEGREES = 5.0
@@ -42,7 +42,7 @@ def basis_edges(voxels: DataFrame, directions: np.ndarray) -> DataFrame:
         return pd.Series(((x - y @ spread) ** 2).sum(1))
 
     rows = voxels.select(*KEY, V.doubles("alpha").alias("alpha"), F.struct(*KEY).alias("at"))
-    pairs = graph.settle(rows.join(shifted(rows, ["alpha", "at"], AHEAD), KEY).select("at", "n_at", apart("alpha", "n_alpha").alias("d")))
+    pairs = graph.settle(meeting(rows, shifted(rows, ["alpha", "at"], AHEAD)).select("at", "n_at", apart("alpha", "n_alpha").alias("d")))
     top = pairs.agg(F.max("d")).first()[0] or 0.0
     w = (1 - F.col("d") / top) if top > 1e-6 else F.lit(1.0)
     one = pairs.select("at", F.col("n_at").alias("from"), w.alias("w"))
@@ -53,7 +53,7 @@ def basis_edges(voxels: DataFrame, directions: np.ndarray) -> DataFrame:
 def _around(now: DataFrame, edges: DataFrame) -> DataFrame:
     """(voxel, near): weights and coefficients of the neighbours, at most six, in the order of their places."""
     rows = now.select(F.struct(*KEY).alias("at"), F.col("alpha").alias("n"))
-    return edges.join(rows, "at").groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("at", "w", "n"))).alias("near"))
+    return edges.join(rows.hint("merge"), "at").groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("at", "w", "n"))).alias("near"))
 
 
 def _rounds(voxels: DataFrame, edges: DataFrame | Callable[[DataFrame], DataFrame], update: Callable, rounds: int, stop: float, callback: Progress | None) -> DataFrame:
@@ -78,7 +78,7 @@ def _rounds(voxels: DataFrame, edges: DataFrame | Callable[[DataFrame], DataFram
         if callback is not None:
             callback(k, now.select(*KEY, "alpha"))
         near = _around(now, fixed if fixed is not None else edges(now))
-        new = graph.settle(now.join(near, KEY, "left").select(*KEY, "alpha", "cross", "wpt", F.col("near.w").alias("w"), F.col("near.n").alias("n")).mapInPandas(run, spec))
+        new = graph.settle(now.join(near.hint("merge"), KEY, "left").select(*KEY, "alpha", "cross", "wpt", F.col("near.w").alias("w"), F.col("near.n").alias("n")).mapInPandas(run, spec))
         graph.discard(last)
         last, now = new, new.drop("moved")
         if (new.agg(F.avg("moved")).first()[0] or 0.0) <= stop:
@@ -112,7 +112,7 @@ def regularize(voxels: DataFrame, phi: np.ndarray, directions: np.ndarray, sprea
         return a
 
     rows = voxels.select(*KEY, F.struct(*KEY).alias("at"))
-    edges = rows.select(*KEY).join(shifted(rows, ["at"], OFFSETS6), KEY).select(*KEY, F.col("n_at").alias("at"), F.lit(1.0).alias("w"))
+    edges = meeting(rows.select(*KEY), shifted(rows, ["at"], OFFSETS6)).select(*KEY, F.col("n_at").alias("at"), F.lit(1.0).alias("w"))
     return _rounds(prepared(voxels, phi, directions), edges, update, rounds, stop, callback)
 
 
@@ -162,7 +162,7 @@ def regularize_in_steps(voxels: DataFrame, phi: np.ndarray, directions: np.ndarr
             alpha = mixed_smooth(now, phi, directions, lam, tensor, rounds=rounds, stop=stop, callback=callback)
         else:
             alpha = robust_smooth(now, phi, directions, lam, lam, lam, tensor, rounds=rounds, stop=stop, callback=callback)
-        now = data.join(alpha, KEY)
+        now = data.join(alpha.hint("merge"), KEY)
     return now.select(*KEY, "alpha")
 
 
@@ -198,5 +198,5 @@ def denoise_aligned(signals: DataFrame, gradients: np.ndarray, lmax: int = 8) ->
 
     rows = signals.select(*KEY, V.doubles("dw").alias("dw"), F.struct(*KEY).alias("at"))
     near = shifted(rows, ["dw", "at"], OFFSETS26).groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("n_at", "n_dw"))).alias("n"))
-    joined = rows.select(*KEY, "dw").join(near, KEY, "left").select(*KEY, "dw", F.col("n.n_dw").alias("near"))
+    joined = rows.select(*KEY, "dw").join(near.hint("merge"), KEY, "left").select(*KEY, "dw", F.col("n.n_dw").alias("near"))
     return joined.mapInPandas(run, "slice int, row int, col int, dw array<double>, errors array<double>")

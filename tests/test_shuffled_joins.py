@@ -11,3 +11,14 @@ def test_neighbours_are_not_broadcast(spark, sf, name):
     df.collect()
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in plan.split("== Initial Plan ==")[0] and "SortMergeJoin" in plan
+
+
+def test_rounds_of_regularisation_are_not_broadcast(spark):
+    from latticeflow.operators import graph, regularize
+
+    voxels = graph.settle(spark.createDataFrame([(0, 0, c, [1.0, 2.0]) for c in range(4)], "slice int, row int, col int, alpha array<double>"))
+    at = "struct(slice, row, cast(col + 1 as int) as col) as at"
+    edges = graph.settle(voxels.selectExpr("slice", "row", "col", at, "1.0D as w"))
+    df = regularize._around(voxels, edges)
+    assert df.count() == 3 and {r["near"][0]["w"] for r in df.collect()} == {1.0}
+    assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
