@@ -199,4 +199,4 @@ def denoise_aligned(signals: DataFrame, gradients: np.ndarray, lmax: int = 8) ->
     rows = signals.select(*KEY, V.doubles("dw").alias("dw"), F.struct(*KEY).alias("at"))
     near = shifted(rows, ["dw", "at"], OFFSETS26).groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("n_at", "n_dw"))).alias("n"))
     joined = rows.select(*KEY, "dw").join(near.hint("merge"), KEY, "left").select(*KEY, "dw", F.col("n.n_dw").alias("near"))
-    return joined.mapInPandas(run, "slice int, row int, col int, dw array<double>, errors array<double>")
+    return graph.spread(joined, *KEY).mapInPandas(run, "slice int, row int, col int, dw array<double>, errors array<double>")

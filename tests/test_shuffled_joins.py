@@ -22,3 +22,8 @@ def test_rounds_of_regularisation_are_not_broadcast(spark):
     df = regularize._around(voxels, edges)
     assert df.count() == 3 and {r["near"][0]["w"] for r in df.collect()} == {1.0}
     assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_aligned_denoising_is_dealt_over_all_tasks(spark, sf):
+    df = plans.queries()["aligned_denoising"](spark, sf)
+    assert df.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
