@@ -1,0 +1,16 @@
+"""Gaussian weights of some rows to all, on points that lie in one file."""
+
+import numpy as np
+
+from latticeflow.operators import segment
+
+
+def test_one_file_is_dealt_over_all_tasks(spark):
+    x = np.random.default_rng(4).uniform(900, 1000, (500, 2))
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id bigint, v array<double>").coalesce(1)
+    got = segment.dense_kernel(points, "v", 40.0, points.where("id % 50 = 0"), places=4)
+    assert got.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = got.toPandas().pivot(index="src", columns="dst", values="w")
+    w = np.exp(-((x[::50, None] - x) ** 2).sum(2) / 1600)
+    assert rows.shape == (10, 500) and np.allclose(rows.to_numpy(), np.round(w, 4), atol=1e-12)
+    assert got.select("w").distinct().count() == len(np.unique(np.round(w, 4)))
