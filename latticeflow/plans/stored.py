@@ -107,22 +107,14 @@ def field_images(spark, sf):
 @query(f"WITH {AXES_SQL}, t AS (SELECT {VOX}, vec_id, 0 AS k, v[1] AS f, v FROM ax UNION ALL SELECT {VOX}, vec_id, 1, v[2], v FROM ax), r AS (SELECT slice, \"row\", col, k, f, v[11 + k * 9:19 + k * 9] AS r, vec_id FROM t), q AS (SELECT slice, \"row\", col, k, round(f, 9) + 0.0 AS fraction, round(r[2], 9) + 0.0 AS r2, round(r[4], 9) + 0.0 AS r4, round(r[9], 9) + 0.0 AS r9, CAST(vec_id % 3 AS INT) AS seg, 5 AS atoms FROM r) SELECT 'text' AS kind, * FROM q UNION ALL SELECT 'binary', * FROM q UNION ALL SELECT 'slice', * FROM q WHERE slice = 0")
 def field_files(spark, sf):
     """A field of two compartments and five atoms a voxel as text, as binary and one slice of it as text, written and read."""
-    import pandas as pd
-
     v = V.doubles("embedding")
     made = lambda k: F.struct(F.element_at(v, k + 1).alias("fraction"), F.slice(v, 11 + 9 * k, 9).alias("rotation"), F.array(F.lit(3e-4), F.lit(3e-4), F.lit(1.7e-3)).alias("lambda"), F.pmod("vec_id", F.lit(3)).cast("int").alias("seg"))
     atom = lambda k: F.struct(F.element_at(v, k + 1).alias("alpha"), F.slice(v, k + 1, 3).alias("dir"), F.lit(k).alias("grp"))
     place = field(spark, sf).select("vec_id", "slice", "row", "col")
     f = embeddings(spark, sf).join(place, "vec_id").select("vec_id", "slice", "row", "col", F.array(made(0), made(1)).alias("compartments"), F.array(*[atom(k) for k in range(5)]).alias("atoms"))
     at = folder(spark, "fields")
-    whole = f.withColumn("id", F.lit("text"))
-    files.write_files(texts.field_text(whole).select(F.concat("id", F.lit(".txt")).alias("name"), "content"), f"{at}/text")
-
-    def binary(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = {(s, r, c): (cs, a) for s, r, c, cs, a in zip(pdf["slice"], pdf["row"], pdf["col"], pdf["compartments"], pdf["atoms"], strict=True)}
-        return pd.DataFrame({"name": ["field.bin"], "content": [texts.encode_binary_field(rows, *[int(pdf[k].max()) + 1 for k in ("slice", "row", "col")])]})
-
-    files.write_files(whole.groupBy("id").applyInPandas(binary, "name string, content binary"), f"{at}/binary")
+    fields.write_field(f.withColumn("name", F.lit("field.txt")), f"{at}/text")
+    fields.write_field(f.withColumn("name", F.lit("field.bin")), f"{at}/binary", binary=True)
     fields.write_slice_text(f, 0, f"{at}/slice", "one")
     out = None
     for kind in ("text", "binary", "slice"):

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import struct
+from collections.abc import Iterator
+from itertools import chain, groupby
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..operators import graph
 from ..operators.neighbours import KEY
-from . import files, images
+from . import files, images, texts
 
 # The diffusivities of a field that is read from images, which hold none.
 PROFILE = (0.001393979, 0.001393979, 0.001974300)
@@ -79,12 +85,49 @@ def read_peaks(spark: SparkSession, path: str, legacy: bool = False, least: floa
     return rows.select(*KEY, made.alias("compartments"))
 
 
+def write_field(field: DataFrame, folder: str, binary: bool = False) -> DataFrame:
+    """Write (name, voxel, compartments, atoms) as field files of their names; returns (name, bytes) of each.
+
+    Records are made in all tasks, put in order by Spark, and one task for each file passes them on a batch at a
+    time.  Voxels without a row are empty.
+    """
+    record = texts.voxel_bytes if binary else lambda c, a: texts.voxel_text(c, a).encode()
+    empty = record([], [])
+
+    def records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf[["name", *KEY]].assign(content=[record(c, a) for c, a in zip(pdf["compartments"], pdf["atoms"], strict=True)])
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = (r for pdf in batches for r in zip(pdf["name"], *[pdf[k].tolist() for k in KEY], pdf["content"], strict=True))
+        for name, own in groupby(rows, key=lambda r: r[0]):
+            _, _, nr, nc, ns = next(own)  # sorted first
+            ns, at = int(ns), 0
+            with files.whole_file(folder, name) as f:
+                size = f.write(struct.pack("<3i", ns, nr, nc) if binary else f"3\n{ns} {nr} {nc}\n".encode())
+                for _, s, r, c, content in chain(own, [(name, ns, 0 if binary else nr - 1, 0, b"")]):
+                    to = (s * nr + (r if binary else nr - 1 - r)) * nc + c
+                    while at < to:
+                        n = min(to - at, 4096)
+                        size += f.write(empty * n)
+                        at += n
+                    if at == to and s < ns:
+                        size += f.write(content)
+                        at += 1
+            yield pd.DataFrame({"name": [name], "bytes": [size]})
+
+    spec = "name string, slice int, row int, col int, content binary"
+    rows = graph.spread(field.select("name", *KEY, "compartments", "atoms"), *KEY).mapInPandas(records, spec)
+    size = lambda k: (F.max(k) + 1).alias(k)
+    heads = field.groupBy("name").agg(*[size(k) for k in KEY]).select("name", F.lit(-1).alias("slice"), "row", "col", F.encode(F.col("slice").cast("string"), "UTF-8").alias("content"))
+    order = F.col("row") if binary else -F.col("row")
+    return graph.settle(heads.unionByName(rows).repartition("name").sortWithinPartitions("name", "slice", order, "col").mapInPandas(write, "name string, bytes bigint"))
+
+
 def write_slice_text(field: DataFrame, s: int, folder: str, name: str) -> DataFrame:
     """One slice of a field as a text field of its own."""
-    from . import texts
-
-    rows = field.where(F.col("slice") == s).select(F.lit(name).alias("id"), F.lit(0).alias("slice"), "row", "col", "compartments", "atoms")
-    return files.write_files(texts.field_text(rows).select(F.concat("id", F.lit(".txt")).alias("name"), "content"), folder)
+    rows = field.where(F.col("slice") == s).select(F.lit(f"{name}.txt").alias("name"), F.lit(0).alias("slice"), "row", "col", "compartments", "atoms")
+    return write_field(rows, folder)
 
 
 def odf_of_alpha(voxels: DataFrame, directions, basis, profile=(3e-4, 3e-4, 1.7e-3), share: float = 0.2) -> DataFrame:

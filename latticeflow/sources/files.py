@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -21,6 +22,17 @@ def filesystem(folder: str):
     return fs.FileSystem.from_uri(re.sub("^file:/(?!/)", "file:///", folder))
 
 
+@contextmanager
+def whole_file(folder: str, name: str):
+    """A stream into a file of a folder, which appears under its name once it is whole."""
+    store, base = filesystem(folder)
+    store.create_dir(base, recursive=True)
+    part = f"{base}/.{name}.{uuid.uuid4().hex}"
+    with store.open_output_stream(part) as f:
+        yield f
+    store.move(part, f"{base}/{name}")
+
+
 def write_files(files: DataFrame, folder: str) -> DataFrame:
     """Write (name, content) as files of a folder, from the tasks; returns (name, bytes) of each.
 
@@ -28,14 +40,10 @@ def write_files(files: DataFrame, folder: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        store, base = filesystem(folder)
-        store.create_dir(base, recursive=True)
         for pdf in batches:
             for name, content in zip(pdf["name"], pdf["content"], strict=True):
-                part = f"{base}/.{name}.{uuid.uuid4().hex}"
-                with store.open_output_stream(part) as f:
+                with whole_file(folder, name) as f:
                     f.write(content)
-                store.move(part, f"{base}/{name}")
             yield pd.DataFrame({"name": pdf["name"], "bytes": [len(c) for c in pdf["content"]]})
 
     kind = files.schema["content"].dataType.simpleString()

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import fields as dataclass_fields
+from itertools import chain, groupby, islice
 
 import numpy as np
 import pandas as pd
@@ -12,14 +13,31 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 VERSION = 4
+PIECE = 1 << 14  # bytes of a file that reach a task at once
+VOXELS = 1024  # parsed at once
 FIELD = "path string, slice int, row int, col int, compartments array<struct<fraction:double,rotation:array<double>,lambda:array<double>,seg:int>>, atoms array<struct<alpha:double,dir:array<double>,grp:int>>"
 
 
 class Tokens:
-    def __init__(self, text: str):
-        self.items, self.at = text.split(), 0
+    """The numbers of a text that comes in pieces."""
+
+    def __init__(self, pieces: Iterable[str]):
+        self.pieces, self.items, self.at, self.rest = iter(pieces), [], 0, ""
+
+    def more(self) -> bool:
+        piece = next(self.pieces, None)
+        if piece is None:
+            piece, done = " ", not self.rest
+        else:
+            done = False
+        text = self.rest + piece
+        self.items, self.at = self.items[self.at :] + text.split(), 0
+        self.rest = self.items.pop() if self.items and text and not text[-1].isspace() else ""
+        return not done
 
     def take(self, n: int = 1, kind=float) -> list:
+        while len(self.items) - self.at < n and self.more():
+            pass
         out = [kind(x) for x in self.items[self.at : self.at + n]]
         if len(out) != n:
             raise ValueError("the field file ends early")
@@ -27,6 +45,24 @@ class Tokens:
         return out
 
 
+class Numbers:
+    """The numbers of a binary field that comes in pieces."""
+
+    def __init__(self, pieces: Iterable[bytes]):
+        self.pieces, self.raw, self.at = iter(pieces), b"", 0
+
+    def take(self, n: int = 1, kind=float) -> list:
+        size = n * (4 if kind is int else 8)
+        while len(self.raw) - self.at < size:
+            piece = next(self.pieces, None)
+            if piece is None:
+                raise ValueError("the field file ends early")
+            self.raw, self.at = self.raw[self.at :] + piece, 0
+        out = list(struct.unpack_from(f"<{n}{'i' if kind is int else 'd'}", self.raw, self.at))
+        self.at += size
+        return out
+
+
 def parse_voxel(read) -> tuple[list[dict], list[dict]]:
     """One versioned record: a negative first number is minus the version; later versions carry more."""
     (first,) = read(1, int)
@@ -57,58 +93,79 @@ def voxel_numbers(compartments, atoms) -> list:
     return out + [int(a["grp"]) if a["grp"] is not None else -1 for a in at] + [int(c["seg"]) if c["seg"] is not None else -1 for c in cs]
 
 
-def parse_field(text: str) -> list[tuple]:
+def text_voxels(pieces: Iterable[str]) -> Iterator[tuple]:
     """(slice, row, col, compartments, atoms) of a text field; rows stand bottom-up."""
-    t = Tokens(text)
+    t = Tokens(pieces)
     (dim,) = t.take(1, int)
     ns = t.take(1, int)[0] if dim == 3 else 1
     nr, nc = t.take(2, int)
-    return [(s, r, c, *parse_voxel(t.take)) for s in range(ns) for r in reversed(range(nr)) for c in range(nc)]
+    return ((s, r, c, *parse_voxel(t.take)) for s in range(ns) for r in reversed(range(nr)) for c in range(nc))
+
+
+def binary_voxels(pieces: Iterable[bytes]) -> Iterator[tuple]:
+    """(slice, row, col, compartments, atoms) of a binary field."""
+    t = Numbers(pieces)
+    ns, nr, nc = t.take(3, int)
+    return ((s, r, c, *parse_voxel(t.take)) for s in range(ns) for r in range(nr) for c in range(nc))
+
+
+def parse_field(text: str) -> list[tuple]:
+    return list(text_voxels([text]))
+
+
+def voxel_text(compartments, atoms) -> str:
+    """A voxel's line of a text field."""
+    return " ".join(repr(x) for x in voxel_numbers(compartments, atoms)) + "\n"
+
+
+def voxel_bytes(compartments, atoms) -> bytes:
+    """A voxel's record of a binary field: little-endian int32 counts and labels, float64 values."""
+    return b"".join(struct.pack("<i" if isinstance(x, int) else "<d", x) for x in voxel_numbers(compartments, atoms))
 
 
 def format_field(rows: dict, ns: int, nr: int, nc: int) -> str:
     """A text field; voxels that are not in rows {(slice, row, col): (compartments, atoms)} are empty."""
-    lines = ["3", f"{ns} {nr} {nc}"]
+    lines = [f"3\n{ns} {nr} {nc}\n"]
     for s in range(ns):
         for r in reversed(range(nr)):
             for c in range(nc):
-                lines.append(" ".join(repr(x) for x in voxel_numbers(*rows.get((s, r, c), ([], [])))))
-    return "\n".join(lines) + "\n"
+                lines.append(voxel_text(*rows.get((s, r, c), ([], []))))
+    return "".join(lines)
 
 
 def encode_binary_field(rows: dict, ns: int, nr: int, nc: int) -> bytes:
-    """The same records as little-endian numbers: int32 counts and labels, float64 values."""
+    """The same records as little-endian numbers."""
     out = [struct.pack("<3i", ns, nr, nc)]
     for s in range(ns):
         for r in range(nr):
             for c in range(nc):
-                out.append(b"".join(struct.pack("<i" if isinstance(x, int) else "<d", x) for x in voxel_numbers(*rows.get((s, r, c), ([], [])))))
+                out.append(voxel_bytes(*rows.get((s, r, c), ([], []))))
     return b"".join(out)
 
 
 def decode_binary_field(raw: bytes) -> list[tuple]:
-    at = 12
-    ns, nr, nc = struct.unpack("<3i", raw[:12])
-
-    def read(n: int, kind=float) -> list:
-        nonlocal at
-        size = 4 if kind is int else 8
-        out = list(struct.unpack(f"<{n}{'i' if kind is int else 'd'}", raw[at : at + n * size]))
-        at += n * size
-        return out
+    return list(binary_voxels([raw]))
 
-    return [(s, r, c, *parse_voxel(read)) for s in range(ns) for r in range(nr) for c in range(nc)]
 
+def read_field(spark: SparkSession, path: str, piece: int = PIECE) -> DataFrame:
+    """Text and binary fields, one row for each voxel; a file is parsed by one task, which holds a few pieces of it."""
 
-def read_field(spark: SparkSession, path: str) -> DataFrame:
-    """Text fields, one row for each voxel; a file is parsed by one task."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for p, raw in zip(pdf["path"], pdf["content"], strict=True):
-                rows = parse_field(raw.decode()) if not raw[:1] in (b"\0",) and b"\0" not in raw[:64] else decode_binary_field(raw)
-                yield pd.DataFrame([(p, *r) for r in rows], columns=["path", "slice", "row", "col", "compartments", "atoms"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, FIELD)
+        rows = ((p, raw) for pdf in batches for p, raw in zip(pdf["path"], pdf["raw"], strict=True))
+        for p, own in groupby(rows, key=lambda r: r[0]):
+            pieces = (raw for _, raw in own)
+            head = b""
+            while len(head) < 64 and (raw := next(pieces, None)) is not None:
+                head += raw
+            pieces = chain([head], pieces)
+            voxels = binary_voxels(pieces) if b"\0" in head[:64] else text_voxels(raw.decode("latin-1") for raw in pieces)  # all of it is ASCII
+            while some := list(islice(voxels, VOXELS)):
+                yield pd.DataFrame([(p, *v) for v in some], columns=["path", "slice", "row", "col", "compartments", "atoms"])
+
+    whole = spark.read.format("binaryFile").load(path)
+    count = F.greatest(F.lit(1), F.ceil(F.col("length") / piece)).cast("int")
+    each = whole.select("path", "content", F.explode(F.sequence(F.lit(0), count - 1)).alias("i"))
+    return each.select("path", F.substring("content", F.col("i") * piece + 1, F.lit(piece)).alias("raw")).mapInPandas(run, FIELD)
 
 
 def field_text(field: DataFrame) -> DataFrame:
