@@ -34,24 +34,49 @@ def total_variation(g: np.ndarray, lam: float, data: str = "l2", huber: float =
     """
     if min(g.shape[-2:]) < 2:
         return g.astype(float)
-    u, bar = g.astype(float).copy(), g.astype(float).copy()
-    p, q = np.zeros_like(u), np.zeros_like(u)
+    outer, shape = g.shape, (*g.shape[-2:], g.size // (g.shape[-2] * g.shape[-1]))
+    last = lambda x: np.moveaxis(x.reshape(shape[2], *shape[:2]), 0, 2)
+    first = lambda x: np.moveaxis(x, 2, 0).reshape(outer).copy()
+    g = np.ascontiguousarray(last(g.astype(float)))  # images last: a step along either side is one long run of numbers
+    u, bar = g.copy(), g.copy()
+    p, q, po, qo, old, d, e = (np.zeros(shape) for _ in range(7))
     tau = sigma = 1 / np.sqrt(8)
+    pull = tau * lam * g
+    step = lambda x, y: np.abs(np.subtract(x, y, out=d), out=d).max()
     for _ in range(rounds):
-        r, c = forward(bar)
-        po, qo = p, q
-        p, q = (p + sigma * r) / (1 + sigma * huber), (q + sigma * c) / (1 + sigma * huber)
-        size = np.maximum(1, np.hypot(p, q))
-        p, q = p / size, q / size
-        old = u
-        v = u + tau * back_divergence(p, q)
-        u = (v + tau * lam * g) / (1 + tau * lam) if data == "l2" else g + np.sign(v - g) * np.maximum(np.abs(v - g) - tau * lam, 0)
-        bar = 2 * u - old
+        p, po, q, qo, u, old = po, p, qo, q, old, u
+        np.subtract(bar[1:], bar[:-1], out=d[:-1])
+        np.subtract(bar[:, 1:], bar[:, :-1], out=e[:, :-1])
+        d[-1], e[:, -1] = 0, 0
+        for now, was, gap in ((p, po, d), (q, qo, e)):
+            np.multiply(gap, sigma, out=gap)
+            np.add(was, gap, out=now)
+            if huber:
+                now /= 1 + sigma * huber
+        np.multiply(p, p, out=d)
+        np.multiply(q, q, out=e)
+        d += e
+        np.sqrt(d, out=d)
+        np.maximum(d, 1, out=d)
+        p /= d
+        q /= d
+        np.add(p, q, out=d)  # minus the adjoint of forward(); the far edges of p and q are 0
+        d[1:] -= p[:-1]
+        d[:, 1:] -= q[:, :-1]
+        d *= tau
+        d += old
+        if data == "l2":
+            d += pull
+            np.divide(d, 1 + tau * lam, out=u)
+        else:
+            u[:] = g + np.sign(d - g) * np.maximum(np.abs(d - g) - tau * lam, 0)
+        np.multiply(u, 2, out=bar)
+        bar -= old
         if callback is not None:
-            callback(u)
-        if max(np.abs(u - old).max(), np.abs(p - po).max(), np.abs(q - qo).max()) < tolerance:
+            callback(first(u))
+        if step(u, old) < tolerance and step(p, po) < tolerance and step(q, qo) < tolerance:
             break
-    return u
+    return first(u)
 
 
 def total_generalized_variation(g: np.ndarray, lam: float, first: float = 1.0, second: float = 2.0, rounds: int = 500, tolerance: float = 1e-9) -> np.ndarray:
@@ -145,7 +170,7 @@ def filter_slices(voxels: DataFrame, value: str, name: str, lam: float, by: list
     """
     by = by or ["slice"]
     spec = ", ".join(f"`{k}` {voxels.schema[k].dataType.simpleString()}" for k in [*by, "row", "col"])
-    keys = [F.floor(F.col("slice") / BUNDLE).alias("__bundle") if k == "slice" and name in STACKED else F.col(k) for k in by]
+    keys = ["__bundle" if k == "slice" and name in STACKED else k for k in by]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         images, places = [], []
@@ -165,4 +190,6 @@ def filter_slices(voxels: DataFrame, value: str, name: str, lam: float, by: list
                 filtered[at] = u[r, c]
         return pdf[[*by, "row", "col"]].assign(filtered=filtered)
 
-    return voxels.select(*by, "row", "col", value).groupBy(*keys).applyInPandas(run, f"{spec}, filtered double")
+    rows = voxels.select(*by, "row", "col", value, *([F.floor(F.col("slice") / BUNDLE).alias("__bundle")] if "__bundle" in keys else []))
+    tasks = int(voxels.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes cost much work, so they are not coalesced
+    return rows.repartition(tasks, *keys).groupBy(*keys).applyInPandas(run, f"{spec}, filtered double")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import models
+from . import graph
 from .neighbours import KEY
 
 FIELD = "slice int, row int, col int, compartments array<struct<fraction:double,dir:array<double>,lambda:array<double>,grp:int>>"
@@ -44,7 +45,10 @@ def random_field(spark: SparkSession, slices: int, rows: int, cols: int, least_a
 
 
 def simulate(field: DataFrame, gradients: np.ndarray, b, snr: float = 0.0, seed: int = 0) -> DataFrame:
-    """(voxel, s0 = 1, dw): signals of each voxel's tensors with Rician noise of sigma 1 / snr (none for snr <= 0)."""
+    """(voxel, s0 = 1, dw): signals of each voxel's tensors with Rician noise of sigma 1 / snr (none for snr <= 0).
+
+    Voxels are dealt over all tasks: a small file has work for as many.
+    """
     g = np.asarray(gradients, float)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -52,10 +56,10 @@ def simulate(field: DataFrame, gradients: np.ndarray, b, snr: float = 0.0, seed:
             out = []
             for s, r, c, cs in zip(pdf["slice"], pdf["row"], pdf["col"], pdf["compartments"], strict=True):
                 y = models.signal([x["fraction"] for x in cs], [models.tensor(np.asarray(x["dir"]), x["lambda"][2], x["lambda"][0]) for x in cs], g, b) if len(cs) else np.zeros(len(g))
-                out.append(models.rician(y, 1 / snr if snr > 0 else 0.0, np.random.default_rng([seed, s, r, c])))
+                out.append(models.rician(y, 1 / snr, np.random.default_rng([seed, s, r, c])) if snr > 0 else y)
             yield pdf[KEY].assign(s0=1.0, dw=out)
 
-    return field.mapInPandas(run, "slice int, row int, col int, s0 double, dw array<double>")
+    return graph.spread(field.select(*KEY, "compartments"), *KEY).mapInPandas(run, "slice int, row int, col int, s0 double, dw array<double>")
 
 
 def field_from_paths(spark: SparkSession, paths: list[np.ndarray], radius: float, size: int = 50, longitudinal: float = 1.7e-3, transversal: float = 3e-4) -> DataFrame:
