@@ -34,8 +34,8 @@ def average_profile(fits: DataFrame, mask: str, bits: int, value: int) -> DataFr
     return rows.agg(*[F.avg(F.element_at("ev", i)).alias(f"l{i}") for i in (1, 2, 3)], F.count("*").alias("n"))
 
 
-def fit_orientations(signals: DataFrame, gradients: np.ndarray, directions: np.ndarray, b: float, longitudinal: float, transversal: float, solver: str = "nnls", sparsity: float = 0.0, refit: bool = False, keys: list[str] = KEY) -> DataFrame:
-    """keys and alpha, sse, rmse and compartments (grouped peaks) of each voxel."""
+def fit_orientations(signals: DataFrame, gradients: np.ndarray, directions: np.ndarray, b: float, longitudinal: float, transversal: float, solver: str = "nnls", sparsity: float = 0.0, refit: bool = False, keys: list[str] = KEY, grouped: bool = True) -> DataFrame:
+    """keys and alpha, sse, rmse and compartments (grouped peaks; none are looked for unless grouped) of each voxel."""
     if solver not in solvers.SOLVERS:
         raise ValueError(f"no solver {solver}; there are {sorted(solvers.SOLVERS)}")
     phi = models.basis(gradients, directions, b, longitudinal, transversal)
@@ -52,7 +52,7 @@ def fit_orientations(signals: DataFrame, gradients: np.ndarray, directions: np.n
             alpha, sse, rmse = models.fit_bases(y, phi, solver, sparsity, refit)
             parts = []
             for x in alpha:
-                found = models.peaks(x, axes, near=near) if (x > 0).any() else []
+                found = models.peaks(x, axes, near=near) if grouped and (x > 0).any() else []
                 parts.append([{"fraction": float(f), "dir": d.tolist(), "lambda": [transversal, transversal, longitudinal], "grp": k} for k, (d, f) in enumerate(found)])
             yield pdf[keys].reset_index(drop=True).assign(alpha=list(alpha), sse=sse, rmse=rmse, compartments=parts)
 
