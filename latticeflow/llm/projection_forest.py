@@ -32,6 +32,7 @@ TREES, FIRST = 8, 4
 LEAF, SAMPLE, STEP = 128, 8192, 10
 HITS, INNER_HITS = 4.75, 7.0
 BLOCK = 4096
+CHANCES = 1 << 18
 BINS = 40
 SEED = 11
 
@@ -73,11 +74,12 @@ def normal_cdf(z: np.ndarray) -> np.ndarray:
 
 
 def leaf_chances(p: np.ndarray, cut: np.ndarray, sigma: np.ndarray) -> np.ndarray:
-    """Chance of each leaf of a heap of thresholds, for rows of projections p (rows x levels)."""
+    """Chance of each leaf of a heap of thresholds, for rows of projections p (rows x levels); cut: one heap for all rows, or one for each."""
+    cut = np.atleast_2d(cut)
     chance = np.ones((len(p), 1))
     for level in range(p.shape[1]):
         first = (1 << level) - 1
-        up = normal_cdf((p[:, level, None] - cut[None, first : 2 * first + 1]) / sigma[:, None])
+        up = normal_cdf((p[:, level, None] - cut[:, first : 2 * first + 1]) / sigma[:, None])
         chance = np.stack([chance * (1 - up), chance * up], axis=2).reshape(len(p), -1)
     return chance
 
@@ -161,16 +163,14 @@ class Forest:
         front = roots.withColumn("chance", F.lit(1.0))
 
         def chances(pdf: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, np.ndarray, int]]:
-            """(rows, chance of each leaf below, levels) for rows of one cell at a time, at most 256 of them."""
+            """(rows, chance of each leaf below, levels), for at most CHANCES chances at a time, whatever cells their rows are of."""
             for (depth, d), rows in pdf.groupby(["depth", "d"]):
-                own = np.stack(rows["proj"].to_numpy())[:, depth : depth + d]
-                cuts = rows["cuts"].to_numpy()
-                for place in rows.groupby(["tree", "cell"]).indices.values():
-                    for lo in range(0, len(place), 256):
-                        here = place[lo : lo + 256]
-                        some = rows.iloc[here]
-                        sigma = np.maximum(some["reach"].to_numpy() / math.sqrt(dim), 1e-9)
-                        yield some, leaf_chances(own[here], np.asarray(cuts[here[0]]), sigma) * some["chance"].to_numpy()[:, None], d
+                step = max(1, CHANCES >> d)
+                for lo in range(0, len(rows), step):
+                    some = rows.iloc[lo : lo + step]
+                    own = np.stack(some["proj"].to_numpy())[:, depth : depth + d]
+                    sigma = np.maximum(some["reach"].to_numpy() / math.sqrt(dim), 1e-9)
+                    yield some, leaf_chances(own, np.stack(some["cuts"].to_numpy()), sigma) * some["chance"].to_numpy()[:, None], d
 
         def masses(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:

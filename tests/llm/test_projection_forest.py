@@ -89,3 +89,12 @@ def test_thresholds_part_evenly():
     assert set(np.bincount(node - 31)) == {32}
     chances = pf.leaf_chances(p[:3], cut, np.array([0.1, 1.0, 10.0]))
     assert np.allclose(chances.sum(axis=1), 1, atol=1e-6) and chances[0].argmax() == node[0] - 31 and chances[2].max() < 0.1
+
+
+def test_rows_of_many_cells_go_together():
+    """One call for rows that have each its own thresholds gives what a call for each row gives."""
+    rng = np.random.default_rng(6)
+    p, cuts, sigma = rng.normal(size=(300, 3)), rng.normal(size=(300, 7)), rng.uniform(0.1, 2, 300)
+    together = pf.leaf_chances(p, cuts, sigma)
+    assert together.shape == (300, 8)
+    assert all((together[i] == pf.leaf_chances(p[i : i + 1], cuts[i], sigma[i : i + 1])[0]).all() for i in range(300))
