@@ -33,3 +33,17 @@ def test_simulation_is_dealt_over_all_tasks(spark):
     truth = generate.random_field(spark, 1, 4, 4).coalesce(1)
     got = generate.simulate(truth, generate.sphere(6), 1500.0)
     assert got.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) and got.count() == 16
+
+
+def test_the_dense_kernel_takes_little_room(spark, tmp_path):
+    """Rows lie so that a columnar file holds them in well under a byte each; queries alike, more than a run of them, lose none."""
+    x = np.append(np.random.default_rng(5).integers(900, 1000, 2700), [950] * 300) / 1.0
+    points = spark.createDataFrame([(7 * i, [v]) for i, v in enumerate(x.tolist())], "id bigint, v array<double>")
+    segment.dense_kernel(points, "v", 40.0, points.where("id % 2 = 0 or id >= 18900"), places=6).write.parquet(str(tmp_path / "out"))
+    got = spark.read.parquet(str(tmp_path / "out"))
+    rows = got.toPandas()
+    picked = np.array([i for i in range(3000) if 7 * i % 2 == 0 or 7 * i >= 18900])
+    assert len(rows) == 3000 * len(picked) and not rows.duplicated(["src", "dst"]).any() and set(rows["src"]) == set((7 * picked).tolist())
+    want = np.floor(np.exp(-((x[rows["src"] // 7] - x[rows["dst"] // 7]) ** 2) / 1600) * 1e6 + 0.5) / 1e6
+    assert np.allclose(rows["w"], want, atol=1.1e-6)
+    assert sum(p.stat().st_size for p in (tmp_path / "out").glob("*.parquet")) < 0.5 * len(rows)
