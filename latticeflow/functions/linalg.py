@@ -125,6 +125,14 @@ def quaternion_rotation(q: np.ndarray) -> np.ndarray:
     return (w * w - u @ u) * np.eye(3) + 2 * np.outer(u, u) + 2 * w * k
 
 
+def quaternion_rotations(q: np.ndarray) -> np.ndarray:
+    """quaternion_rotation() of each row."""
+    w, x, y, z = (np.asarray(q, float) / np.linalg.norm(q, axis=1, keepdims=True)).T
+    u, o = np.stack([x, y, z], axis=1), np.zeros(len(w))
+    k = np.stack([o, -z, y, z, o, -x, -y, x, o], axis=1).reshape(-1, 3, 3)
+    return (w * w - (u * u).sum(1))[:, None, None] * np.eye(3) + 2 * u[:, :, None] * u[:, None] + 2 * w[:, None, None] * k
+
+
 def rotation_quaternion(r: np.ndarray) -> np.ndarray:
     """Unit quaternion (w >= 0) of a rotation: the dominant eigenvector of its 4x4 form."""
     r = np.asarray(r, float)

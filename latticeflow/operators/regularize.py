@@ -21,6 +21,7 @@ from .neighbours import KEY, OFFSETS6, OFFSETS26, meeting, shifted
 
 AHEAD = [(0, 0, -1), (0, -1, 0), (-1, 0, 0)]  # what stands one place on is seen from one place back
 NEAR_DEGREES = 5.0
+TOGETHER = 1 << 20
 Progress = Callable[[int, DataFrame], None]
 
 
@@ -172,29 +173,38 @@ def denoise_aligned(signals: DataFrame, gradients: np.ndarray, lmax: int = 8) ->
     A signal's shape is its amplitude along each gradient and the opposite one.  Neighbours are aligned by
     iterated closest points; the shape and those up to the middle error are fitted with harmonics, whose
     mean gives the amplitudes.  errors: of the alignments, neighbours in the order of their places.
+
+    Voxels go through it together, as many as have about TOGETHER distances between points to compare.
     """
     g = np.asarray(gradients, float)
     n, basis = len(g), harmonics.design(g, lmax)
+    step = max(1, TOGETHER // (len(OFFSETS26) * n * n))
 
-    def shape(y: np.ndarray) -> np.ndarray:
-        return np.concatenate([y[:, None] * g, -y[:, None] * g])
+    def shapes(y: np.ndarray) -> np.ndarray:
+        return y[:, :, None] * g  # the opposite points go without saying
 
     def fit(points: np.ndarray) -> np.ndarray:
-        size = np.linalg.norm(points[:n], axis=1)
-        return np.linalg.lstsq(harmonics.design(points[:n], lmax), size, rcond=None)[0]
+        size = np.linalg.norm(points, axis=2)
+        design = harmonics.design(points.reshape(-1, 3), lmax).reshape(len(points), n, -1)
+        least = np.finfo(float).eps * max(design.shape[1:])
+        return (np.linalg.pinv(design, rcond=least) @ size[:, :, None])[:, :, 0]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out, errors = [], []
-            for own, near in zip(pdf["dw"], pdf["near"], strict=True):
-                reference = shape(np.asarray(own, float))
-                found = [assignment.icp(shape(np.asarray(x, float)), reference) for x in near] if near is not None else []
-                e = np.array([x[1] for x in found])
-                limit = np.sort(np.append(e, np.inf))[(len(e) + 1) // 2] if len(e) else 0.0
-                kept = [reference, *[s for s, x in found if x <= limit]]
-                out.append(basis @ np.mean([fit(s) for s in kept], axis=0))
-                errors.append(e)
-            yield pdf[KEY].assign(dw=out, errors=errors)
+            for lo in range(0, len(pdf), step):
+                some = pdf.iloc[lo : lo + step]
+                near = [x if x is not None else [] for x in some["near"]]
+                counts = np.array([len(x) for x in near])
+                own, of = shapes(np.stack(some["dw"].to_numpy()).astype(float)), np.repeat(np.arange(len(some)), counts)
+                others = np.array([np.asarray(y, float) for x in near for y in x]).reshape(-1, n)
+                aligned, errors = assignment.axial_icp(shapes(others), own[of])
+                errors = np.split(errors, np.cumsum(counts)[:-1])
+                kept = np.concatenate([e <= np.sort(np.append(e, np.inf))[(len(e) + 1) // 2] for e in errors])
+                coefs, voxel = fit(np.concatenate([own, aligned[kept]])), np.append(np.arange(len(some)), of[kept])
+                total = np.zeros((len(some), coefs.shape[1]))
+                np.add.at(total, voxel, coefs)
+                mean = total / np.bincount(voxel)[:, None]
+                yield some[KEY].assign(dw=list(mean @ basis.T), errors=errors)
 
     rows = signals.select(*KEY, V.doubles("dw").alias("dw"), F.struct(*KEY).alias("at"))
     near = shifted(rows, ["dw", "at"], OFFSETS26).groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("n_at", "n_dw"))).alias("n"))

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from latticeflow.functions import models
+from latticeflow.functions import assignment, harmonics, models
 from latticeflow.operators import experiment, fields, generate, regularize
 from latticeflow.operators.neighbours import KEY
 
@@ -158,3 +158,42 @@ def test_studies_and_progress(spark):
     assert seen.get["rows"] == 16
     assert experiment.Clock().tic().toc() >= 0
     assert study.select(*KEY).distinct().count() == 16
+
+
+def test_aligning_a_batch_of_axial_shapes_is_that_of_each(monkeypatch):
+    """Half of the points gives what all of them give one pair at a time, and no pair goes through the loop."""
+    r = np.random.default_rng(3)
+    half = r.uniform(0.1, 1.0, (40, 12, 1)) * (lambda d: d / np.linalg.norm(d, axis=1, keepdims=True))(r.standard_normal((12, 3)))
+    both = lambda x: np.concatenate([x, -x])
+    want = [assignment.icp(both(x), both(y)) for x, y in zip(half[:-1], half[1:], strict=True)]
+    monkeypatch.setattr(assignment, "assign", None)
+    moved, errors = assignment.axial_icp(half[:-1], half[1:])
+    assert np.allclose(errors, [e for _, e in want], atol=1e-12)
+    assert np.allclose(moved, [x[:12] for x, _ in want], atol=1e-9)
+
+
+def test_assignments_of_a_batch(monkeypatch):
+    r = np.random.default_rng(9)
+    for k in (1, 2, 5, 12):
+        for c in (r.random((60, k, k)), r.integers(0, 3, (60, k, k)).astype(float)):
+            to = assignment.assign_batch(c)
+            assert (np.sort(to, axis=1) == np.arange(k)).all()
+            assert np.allclose(np.take_along_axis(c, to[:, :, None], 2).sum((1, 2)), [assignment.assign(x)[1] for x in c])
+    assert assignment.assign_batch(np.zeros((0, 3, 3))).shape == (0, 3)
+
+
+def test_aligned_denoising_against_a_loop(spark):
+    """Voxel by voxel with all points of both shapes; one voxel has no neighbours."""
+    r = np.random.default_rng(8)
+    dw = {(0, y, x): r.uniform(0.2, 1.0, 20) for y, x in np.ndindex(3, 3)} | {(5, 5, 5): r.uniform(0.2, 1.0, 20)}
+    rows = spark.createDataFrame([(*p, 1.0, y.tolist()) for p, y in dw.items()], "slice int, row int, col int, s0 double, dw array<double>")
+    got = {(x["slice"], x["row"], x["col"]): x for x in regularize.denoise_aligned(rows, G, lmax=2).collect()}
+    shape = lambda y: np.concatenate([y[:, None] * G, -y[:, None] * G])
+    fit = lambda s: np.linalg.lstsq(harmonics.design(s[:20], 2), np.linalg.norm(s[:20], axis=1), rcond=None)[0]
+    for p, y in dw.items():
+        near = [assignment.icp(shape(dw[q]), shape(y)) for q in sorted(dw) if q != p and max(abs(a - b) for a, b in zip(p, q, strict=True)) <= 1]
+        e = np.array([x for _, x in near])
+        limit = np.sort(np.append(e, np.inf))[(len(e) + 1) // 2] if len(e) else 0.0
+        kept = [shape(y), *[s for s, x in near if x <= limit]]
+        assert np.allclose(got[p]["errors"], e, atol=1e-9)
+        assert np.allclose(got[p]["dw"], harmonics.design(G, 2) @ np.mean([fit(s) for s in kept], axis=0), atol=1e-9)
